@@ -4,7 +4,7 @@ Long texts are cut only where the splitting pattern must end a match in any case
 the whole text.  Long runs of white space, on which the library's regular expression overflows its
 stack, are one match of the pattern and go to the merges directly.
 
-Nulls count as empty and give an empty list; repeated rows and further columns pass through.  Cells are
+Nulls count as empty and give an empty list; repeated rows and further columns pass through.  Texts are
 independent of each other, so the work is one map over the partitions without any shuffle.
 """
 
@@ -14,17 +14,21 @@ import base64
 import functools
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+
+from .common import steps, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of a chunk of a long text.
 CHUNK = 1 << 16
+#: Bytes of text, and rows of ids, of an Arrow batch that goes back to Spark.
+STEP, ROWS = 1 << 20, 200
 #: White space from which on a run is split off.
 RUN = 256
 _SAFE = regex.compile(r"(?<=\S)(?=\s)")
@@ -73,38 +77,49 @@ def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
     return out
 
 
-def encode(text: Column | str, path: str | None = None, pattern: str | None = None) -> Column:
-    """Ids of a text column as array<int>."""
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``docs`` with ``ids`` (array<int>) of its text column, in place of a column of that name."""
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+    kept = [c for c in docs.columns if c != "ids"]
+    schema = StructType([*(docs.schema[c] for c in kept), StructField("ids", ArrayType(IntegerType()))])
+    at = kept.index(text)
 
-    @pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches):
         enc = encoding(path, pattern)
-        return pd.Series([np.array(encode_text(enc, t), np.int32) if t else np.zeros(0, np.int32) for t in texts], dtype=object)
+        for batch in batches:
+            for lo, hi in steps(batch.column(at), STEP):
+                part = batch.slice(lo, hi - lo)
+                found = [np.array(encode_text(enc, t), np.int32) if t else np.zeros(0, np.int32) for t in part.column(at).to_pylist()]
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in found])], pa.int32()), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*kept, "ids"])
 
-    return run(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")))
+    return docs.select(*kept).mapInArrow(run, schema)
 
 
-def decode(ids: Column | str, path: str | None = None, pattern: str | None = None) -> Column:
-    """Bytes that ids stand for; an id outside the vocabulary is an error, null gives null."""
+def decode(docs: DataFrame, ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``docs`` with ``decoded`` (binary), the bytes that ids stand for; null gives null, an unknown id is an error."""
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+    kept = [c for c in docs.columns if c != "decoded"]
+    schema = StructType([*(docs.schema[c] for c in kept), StructField("decoded", BinaryType())])
+    at = kept.index(ids)
 
-    @pandas_udf("binary")
-    def run(column: pd.Series) -> pd.Series:
+    def run(batches):
         enc = encoding(path, pattern)
-        return pd.Series([None if x is None else enc.decode_bytes(x.tolist()) for x in column], dtype=object)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                found = [None if x is None else enc.decode_bytes(x) for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*kept, "decoded"])
 
-    return run(ids if isinstance(ids, Column) else F.col(ids))
+    return docs.select(*kept).mapInArrow(run, schema)
 
 
 def byte_bpe(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) and ``decoded`` (binary), replacing columns of these names."""
-    return docs.withColumn("ids", encode(text, path)).withColumn("decoded", decode("ids", path))
+    return decode(encode(docs, text, path), "ids", path)
 
 
 def op10_byte_bpe(spark, sf_dir):
-    from .common import table
-
     docs = byte_bpe(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(
         "doc_id",

@@ -4,6 +4,13 @@ from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .language import op8_language
+from .token_files import op6_token_files
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op6_token_files": op6_token_files,
+    "op8_language": op8_language,
+    "op10_byte_bpe": op10_byte_bpe,
+}
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
