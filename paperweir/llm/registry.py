@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op10_byte_bpe
 from .decontaminate import op4_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .jaccard_join import op7_jaccard_join
 from .language import op8_language
 from .token_files import op6_token_files
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op6_token_files": op6_token_files,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_language": op8_language,
     "op10_byte_bpe": op10_byte_bpe,
 }
