@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import shared_dir, steps, table, words
+from .common import shared_dir, steps, stored, table, words
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Words that a Python worker remembers; beyond it, it forgets all.
-REMEMBERED = 1_000_000
+REMEMBERED = 3_000_000
 STEP = 4 << 20
+#: Words that are encoded in one call.
+TOGETHER = 500
 LAYOUT = {
     "parquet.writer.version": "v2",
     "parquet.block.size": str(32 << 20),
@@ -54,6 +56,9 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -61,10 +66,28 @@ class WordEncoder:
         self.flat = np.zeros(0, np.int32)
 
     def learn(self, keys: np.ndarray, spelled: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(spelled, add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int64, len(found))
+        """Encodes words.  Those of letters only go together: each gives one token that ends a word, its last."""
+        count = np.zeros(len(spelled), np.int64)
+        plain = np.fromiter((w.isalpha() for w in spelled), bool, len(spelled))
+        flat: list[np.ndarray] = []
+        for group in np.array_split(np.flatnonzero(plain), max(1, plain.sum() // TOGETHER)):
+            text = " ".join([spelled[i] for i in group])
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(group) or (len(ids) and last[-1] != len(ids) - 1):
+                plain[group] = False
+                continue
+            count[group] = np.diff(last, prepend=-1)
+            flat.append(ids)
+        order = np.flatnonzero(plain)
+        rest = np.flatnonzero(~plain)
+        found = [e.ids for e in self.library.encode_batch_fast([spelled[i] for i in rest], add_special_tokens=False)]
+        count[rest] = np.fromiter(map(len, found), np.int64, len(found))
+        flat.append(np.fromiter((i for ids in found for i in ids), np.int32, int(count[rest].sum())))
+        order = np.r_[order, rest]
+        keys, count = keys[order], count[order]
         first = len(self.flat) + np.cumsum(count) - count
-        self.flat = np.concatenate([self.flat, *(np.array(x, np.int32) for x in ([i for ids in found for i in ids],))])
+        self.flat = np.concatenate([self.flat, *flat])
         keys, first, count = np.r_[self.keys, keys], np.r_[self.first, first], np.r_[self.count, count]
         order = np.argsort(keys)
         self.keys, self.first, self.count = keys[order], first[order], count[order]
@@ -159,4 +182,4 @@ def op6_token_files(spark, sf_dir):
     path = shared_dir(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path)
     rows = read_tokens(spark, path)
-    return with_starts(with_crc32(rows)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(stored(with_crc32(rows), "sums")).select("doc_id", "start", "n_tokens", "ids_crc32")
