@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -55,7 +56,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+@functools.lru_cache(maxsize=4)
+def _byte(seed: int) -> np.ndarray:
+    """A random 64-bit integer for each byte."""
+    return mix(np.arange(256 * seed + 1, 256 * seed + 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 _LOW = np.uint64(0x2545F4914F6CDD1D) ** np.arange(4096, dtype=np.uint64)
 _STEP = _LOW[-1:] * _LOW[1:2]
 
@@ -85,8 +91,8 @@ def steps(texts: pa.Array, size: int = STEP_BYTES):
         yield first, len(lengths)
 
 
-def words(texts: pa.Array, blank: np.ndarray = BLANK):
-    """Words of a column, ASCII letters lower-cased: (hash uint64, row, first byte, end byte) of each, in order.
+def words(texts: pa.Array, blank: np.ndarray = BLANK, seed: int = 0, lower: bool = True):
+    """Words of a column, ASCII letters lower-cased if so asked: (hash uint64, row, first byte, end byte) of each, in order.
 
     Byte positions are relative to the first text; nulls count as empty.
     """
@@ -114,7 +120,7 @@ def words(texts: pa.Array, blank: np.ndarray = BLANK):
     length = end - first
     at = np.cumsum(length) - length
     place = np.arange(int(length.sum())) - np.repeat(at, length)
-    value = _BYTE[_LOWER[buf[inside]]] * _LOW[place & 4095]
+    value = _byte(seed)[_LOWER[buf[inside]] if lower else buf[inside]] * _LOW[place & 4095]
     if len(place) and int(length.max()) > 4096:
         value *= _STEP ** (place >> 12).astype(np.uint64)
     h = mix(np.add.reduceat(value, at) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))

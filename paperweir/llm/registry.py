@@ -7,9 +7,11 @@ from .decontaminate import op4_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .jaccard_join import op7_jaccard_join
 from .language import op8_language
+from .line_dedup import op1_line_dedup
 from .token_files import op6_token_files
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op6_token_files": op6_token_files,
