@@ -23,16 +23,18 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, mix, shared_dir, shingles, steps, stored, table, words
 from .graph import components
-from .signature_tree import WORDS64, bitmaps, linked, possible
+from .signature_tree import Maps, bitmaps, linked, width
 
 WIDTH, PERCENT = 4, 85
 #: Rows of a batch that share a shingle before it may count as frequent, and rows in all; how many are told to the tasks.
-OFTEN_HERE, OFTEN, OFTEN_MOST = 4, 64, 200_000
+OFTEN_HERE, OFTEN, OFTEN_MOST = 3, 64, 200_000
 #: Sets and shingles that meet in one task.
 GROUP_SETS, GROUP_TOKENS = 30_000, 8_000_000
 #: Rows that are joined by broadcast.
 BROADCAST_ROWS = 500_000
 SMALL = 16
+#: Sets that are handled at once where frequent shingles are counted and looked up.
+ROWS = 3000
 _MASK = np.uint64((1 << 48) - 1)
 SETS = "uid long, id long, key long, n int, bits binary, tokens array<long>"
 LAYOUT = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "compression": "zstd"}
@@ -59,18 +61,31 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFra
                     n = np.diff(offsets)
                     sums = np.r_[np.uint64(0), np.cumsum(mix(s + np.uint64(1)))]
                     key = mix(sums[offsets[1:]] - sums[offsets[:-1]] + n.astype(np.uint64))
-                    maps = bitmaps(s, offsets)
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(key.view(np.int64)), pa.array(n, pa.int32()), pa.array([m.tobytes() for m in maps], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(s.view(np.int64)))], ["id", "key", "n", "bits", "tokens"])
+                    maps = packed(s, offsets)
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(key.view(np.int64)), pa.array(n, pa.int32()), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(s.view(np.int64)))], ["id", "key", "n", "bits", "tokens"])
 
     found = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, key long, n int, bits binary, tokens array<long>")
     return found.select(F.monotonically_increasing_id().alias("uid"), "*")
 
 
+def packed(tokens: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Bitmap of each set, of a width by its size."""
+    n = np.diff(offsets)
+    bits = width(n)
+    out = [b""] * len(n)
+    for w in np.unique(bits).tolist():
+        at = np.flatnonzero(bits == w)
+        some = tokens[np.repeat(offsets[at] - (np.cumsum(n[at]) - n[at]), n[at]) + np.arange(n[at].sum())]
+        for i, m in zip(at.tolist(), bitmaps(some, np.r_[0, np.cumsum(n[at])], w), strict=True):
+            out[i] = m.tobytes()
+    return out
+
+
 def frequent(sets: DataFrame) -> np.ndarray:
     """Shingles seen often, rarest first.  Any choice gives the same result; this one keeps groups small."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             keys = batch.column(0).to_numpy()
             _, one = np.unique(keys, return_index=True)
             t, c = np.unique(batch.column(1).take(pa.array(np.sort(one))).flatten().to_numpy(), return_counts=True)
@@ -88,7 +103,7 @@ def prefixes(sets: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
     def run(batches):
         rank = np.argsort(told.value)
         often_sorted = told.value[rank]
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             lists = batch.column(2)
             t, ends = lists.flatten().to_numpy(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             row = np.repeat(np.arange(len(lists)), np.diff(ends))
@@ -174,7 +189,7 @@ def possible_links(members: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for rows, ends in groups(batches, 3):
             key, n = rows["key"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
-            maps = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(-1, WORDS64)
+            maps = Maps(rows["bits"].to_pylist())
             size = np.diff(ends)
             a, b = [], []
             small = np.flatnonzero(size <= SMALL)
@@ -186,8 +201,7 @@ def possible_links(members: DataFrame, percent: int) -> DataFrame:
                 each = size[some] - d
                 i = np.repeat(ends[some], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
                 i = i[100 * n[i] >= percent * n[i + d]]
-                ok = [possible(n[x], n[x + d], maps[x], maps[x + d], percent) for x in np.array_split(i, len(i) // 50_000 + 1)]
-                i = i[np.concatenate(ok)]
+                i = i[maps.possible(n, i, i + d, percent)]
                 a.append(i)
                 b.append(i + d)
             i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -200,7 +214,7 @@ def possible_links(members: DataFrame, percent: int) -> DataFrame:
                     break
             for g in np.flatnonzero(size > SMALL).tolist():
                 lo, hi = int(ends[g]), int(ends[g + 1])
-                found = linked(n[lo:hi], maps[lo:hi], percent)
+                found = maps.linked(n, lo, hi, percent)
                 root[lo:hi] = [lo + found.root(x) for x in range(hi - lo)]
             i = np.flatnonzero(root != np.arange(len(root)))
             pairs = np.unique(np.stack([key[i], key[root[i]]], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
@@ -231,7 +245,8 @@ def exact_links(members: DataFrame, percent: int) -> DataFrame:
                     both = int((y[place] == x).sum())
                     return 100 * both >= percent * (len(x) + len(y) - both)
 
-                maps = bitmaps(flat[at[lo] : at[hi]].view(np.uint64), at[lo : hi + 1] - at[lo])
+                bits = int(width(np.median(n[lo:hi]), 4096))
+                maps = bitmaps(flat[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], bits)
                 found = linked(n[lo:hi], maps, percent, verify)
                 for x in range(hi - lo):
                     if (r := found.root(x)) != x:

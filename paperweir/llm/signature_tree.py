@@ -13,18 +13,76 @@ from collections.abc import Callable
 
 import numpy as np
 
-BITS = 1024
-WORDS64 = BITS // 64
+#: Bits of the smallest and the largest bitmap; between, the power of two that is not less than the set.
+BITS_LEAST, BITS_MOST = 256, 1 << 16
 LEAF, FANOUT = 32, 8
-_WORD = np.uint64(1) << np.arange(64, dtype=np.uint64)
+#: Unpacked bits that are handled at once.
+STEP_BITS = 1 << 23
 
 
-def bitmaps(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bitmap (WORDS64 unsigned 64-bit words) of each set; tokens are unsigned hashes."""
+def width(n: np.ndarray, most: int = BITS_MOST) -> np.ndarray:
+    """Bits of the bitmap of a set of n."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), BITS_LEAST, most)
+
+
+def bitmaps(tokens: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
+    """Bitmaps, as rows of unsigned 64-bit words; tokens are hashes, set i has those from offsets[i] to offsets[i + 1]."""
     n = len(offsets) - 1
-    out = np.zeros((n, BITS), np.uint8)
-    out[np.repeat(np.arange(n), np.diff(offsets)), (tokens & np.uint64(BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(out, axis=1).view(np.uint64).reshape(n, WORDS64)
+    out = np.empty((n, bits // 64), np.uint64)
+    place = (tokens & np.array(bits - 1, tokens.dtype)).astype(np.int64)
+    for lo in range(0, n, max(1, STEP_BITS // bits)):
+        hi = min(n, lo + max(1, STEP_BITS // bits))
+        part = np.zeros((hi - lo, bits), np.uint8)
+        part[np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1])), place[offsets[lo] : offsets[hi]]] = 1
+        out[lo:hi] = np.packbits(part, axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
+def fold(maps: np.ndarray) -> np.ndarray:
+    """Bitmaps of half the width."""
+    half = maps.shape[1] // 2
+    return maps[:, :half] | maps[:, half:]
+
+
+class Maps:
+    """Bitmaps of several widths; two sets are compared at the smaller width of the two."""
+
+    def __init__(self, packed: list[bytes]) -> None:
+        self.words = np.fromiter((len(b) // 8 for b in packed), np.int64, len(packed))
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        own = {int(w): np.flatnonzero(self.words == w) for w in np.unique(self.words)}
+        full = {w: np.frombuffer(b"".join([packed[i] for i in at]), np.uint64).reshape(-1, w) for w, at in own.items()}
+        for w, at in own.items():
+            index = np.full(len(packed), -1)
+            index[at] = np.arange(len(at))
+            maps = full[w]
+            if 2 * w in own:
+                index[own[2 * w]] = len(at) + np.arange(len(own[2 * w]))
+                maps = np.concatenate([maps, fold(full[2 * w])])
+            self.rows[w] = maps, index
+
+    def possible(self, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of sets i, j their bitmaps don't keep apart; sizes differ by a factor of two at most."""
+        ok = np.zeros(len(i), bool)
+        least = np.minimum(self.words[i], self.words[j])
+        for w in np.unique(least).tolist():
+            maps, index = self.rows[w]
+            at = np.flatnonzero(least == w)
+            for part in np.array_split(at, len(at) * w // 500_000 + 1):
+                x, y = i[part], j[part]
+                ok[part] = possible(n[x], n[y], maps[index[x]], maps[index[y]], percent)
+        return ok
+
+    def linked(self, n: np.ndarray, lo: int, hi: int, percent: int) -> "Links":
+        """Components of sets lo .. hi-1, which are in ascending order of size."""
+        links = Links(hi - lo)
+        for w in np.unique(self.words[lo:hi]).tolist():
+            maps, index = self.rows[w]
+            at = lo + np.flatnonzero((self.words[lo:hi] == w) | ((self.words[lo:hi] == 2 * w) & (percent * n[lo:hi] <= 100 * 64 * w)))
+            found = linked(n[at], maps[index[at]], percent)
+            for x in range(len(at)):
+                links.join(int(at[x]) - lo, int(at[found.root(x)]) - lo)
+        return links
 
 
 def missing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
