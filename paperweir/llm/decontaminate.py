@@ -68,14 +68,18 @@ class Index:
         self.similarity = similarity
         self.groups: dict[tuple[int, int], list] = defaultdict(list)
         known: dict[int, set[int]] = defaultdict(set)
+        self.sizes: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for item_id, h in items:
             if len(h):
                 width = min(k, len(h))
                 s = row_shingles(h, width)
                 known[width].update(s.tolist())
+                for x in s.tolist():
+                    self.sizes[width][x].add(len(h))
                 self.groups[width, len(h)].append((item_id, Counter(s.tolist()), fingerprints(bits(s).sum(0, keepdims=True))[0]))
         self.known = {w: np.array(sorted(x), np.uint64) for w, x in known.items()}
         self.need = {w: min(self.required(n - v + 1) for v, n in self.groups if v == w) for w in known}
+        self.sizes = {w: dict(x) for w, x in self.sizes.items()}
         self.tables = {}
         for key, group in self.groups.items():
             tables = [defaultdict(list) for _ in range(BLOCKS)]
@@ -113,9 +117,18 @@ class Index:
             if not len(s):
                 continue
             hit = sorted_[np.minimum(np.searchsorted(sorted_, s), len(sorted_) - 1)] == s
-            total, signs = np.r_[0, np.cumsum(hit)], None
-            for key in [g for g in self.groups if g[0] == width]:
-                need, m = self.required(key[1] - width + 1), min(key[1] - width + 1, len(s))
+            places: dict[int, list[int]] = defaultdict(list)  # by item size, where a shingle of such an item stands
+            for p in np.flatnonzero(hit).tolist():
+                for size in self.sizes[width][int(s[p])]:
+                    places[size].append(p)
+            signs = None
+            for size, at in sorted(places.items()):
+                key, need, m = (width, size), self.required(size - width + 1), min(size - width + 1, len(s))
+                if len(at) < need:
+                    continue
+                total = np.zeros(len(s) + 1, np.int64)
+                total[np.array(at) + 1] = 1
+                total = np.cumsum(total)
                 for p in np.flatnonzero(total[m:] - total[:-m] >= need).tolist():
                     if signs is None:
                         signs = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits(s), 0, dtype=np.int32)])
