@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
+from .chat import OP3_SQL, op3_chat
 from .decontaminate import op4_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .jaccard_join import op7_jaccard_join
@@ -13,10 +14,11 @@ from .token_files import op6_token_files
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_chat": op3_chat,
     "op4_decontaminate": op4_decontaminate,
     "op6_token_files": op6_token_files,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_language": op8_language,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
+ORACLE_SQL = {"op3_chat": OP3_SQL, "op2_exact_dedup": OP2_SQL}
