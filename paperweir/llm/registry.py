@@ -10,6 +10,7 @@ from .jaccard_join import op7_jaccard_join
 from .language import op8_language
 from .line_dedup import op1_line_dedup
 from .token_files import op6_token_files
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_language": op8_language,
+    "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL = {"op3_chat": OP3_SQL, "op2_exact_dedup": OP2_SQL}
