@@ -125,11 +125,14 @@ def prefixes(sets: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
     return sets.where("n > 0").select("key", "n", "tokens").mapInArrow(run, "token long, key long, n int")
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """Of (token, key, n), distinct rows of the tokens that several sets have."""
+def shared(rows: DataFrame, percent: int) -> DataFrame:
+    """Of (token, key, n), distinct rows of the tokens that several sets of like size have.
+
+    In order of size, a set has a partner of like size only if its neighbour is one.
+    """
 
     def run(batches):
-        last, sent = None, True  # the last row so far, and whether it went out
+        last, sent = None, False  # the last row so far, and whether it went out
         for batch in batches:
             t, k, n = (np.asarray(c) for c in batch.columns)
             if not len(t):
@@ -137,16 +140,14 @@ def shared(rows: DataFrame) -> DataFrame:
             if last is not None:
                 t, k, n = np.r_[last[0], t], np.r_[last[1], k], np.r_[last[2], n]
             new = np.r_[True, (t[1:] != t[:-1]) | (n[1:] != n[:-1]) | (k[1:] != k[:-1])]
-            t, k, n = t[new], k[new], n[new]
-            again = np.r_[False, t[1:] == t[:-1]]
-            many = again | np.r_[again[1:], False]
-            known = last is not None and sent  # then its token has several sets
-            if known:
-                many |= t == t[0]
-                many[0] = False
-            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (t, k, n)], ["token", "key", "n"])
-            sent = bool(many[-1]) or (known and len(t) == 1)
-            last = (t[-1], k[-1], n[-1])
+            t, k, n = t[new], k[new], n[new].astype(np.int64)
+            near = np.r_[False, (t[1:] == t[:-1]) & (100 * n[:-1] >= percent * n[1:])]
+            keep = near | np.r_[near[1:], False]
+            last, now = (t[-1], k[-1], n[-1]), bool(keep[-1]) or (sent and len(t) == 1)
+            if sent:
+                keep[0] = False
+            sent = now
+            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(k[keep]), pa.array(n[keep], pa.int32())], ["token", "key", "n"])
 
     return rows.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(run, "token long, key long, n int")
 
@@ -266,7 +267,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = spark.read.schema(SETS).parquet(path)
     distinct = stored(sets.where("n > 0").groupBy("key", "n").agg(F.min("uid").alias("uid"), F.min("id").alias("first")), "distinct")
 
-    members = stored(shared(prefixes(sets, frequent(sets.where("n > 0")), percent)), "members")
+    members = stored(shared(prefixes(sets, frequent(sets.where("n > 0")), percent), percent), "members")
     signed = sets.select("uid", "bits").join(distinct.select("uid", "key", "n").join(members.select("key", "n").distinct(), ["key", "n"]), "uid").select("key", "n", "bits")
     plausible = components(possible_links(spread(members, "token", F.lit(1), GROUP_SETS, "key").join(signed, ["key", "n"]), percent))
 
