@@ -16,13 +16,23 @@ from ..ship import ship
 
 #: Bytes of text that one vectorised step handles; a longer text is one step of its own.
 STEP_BYTES = 2 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 #: The characters [\x20\x09-\x0D].
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Ships the package, and keeps Arrow batches of whole texts small where the session hasn't said how large they are."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+    return ship(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -42,11 +52,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a ``stored`` frame that nothing reads any more."""
-    for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def gathered(batches, rows: int):
+    """Arrow batches joined to about ``rows`` rows, and larger ones cut to it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            held.append(batch.slice(lo, rows))
+            if sum(b.num_rows for b in held) >= rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, mix, shared_dir, shingles, steps, stored, table, words
+from .common import BLANK, gathered, mix, shared_dir, shingles, steps, stored, table, words
 from .graph import components
 from .signature_tree import Maps, bitmaps, linked, width
 
@@ -35,6 +35,8 @@ BROADCAST_ROWS = 500_000
 SMALL = 16
 #: Sets that are handled at once where frequent shingles are counted and looked up.
 ROWS = 3000
+#: Rows of sorted groups that are handled at once, besides a larger group.
+GROUPED = 8000
 _MASK = np.uint64((1 << 48) - 1)
 SETS = "uid long, id long, key long, n int, bits binary, tokens array<long>"
 LAYOUT = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "compression": "zstd"}
@@ -85,7 +87,7 @@ def frequent(sets: DataFrame) -> np.ndarray:
     """Shingles seen often, rarest first.  Any choice gives the same result; this one keeps groups small."""
 
     def run(batches):
-        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
+        for batch in gathered(batches, ROWS):
             keys = batch.column(0).to_numpy()
             _, one = np.unique(keys, return_index=True)
             t, c = np.unique(batch.column(1).take(pa.array(np.sort(one))).flatten().to_numpy(), return_counts=True)
@@ -103,7 +105,7 @@ def prefixes(sets: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
     def run(batches):
         rank = np.argsort(told.value)
         often_sorted = told.value[rank]
-        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
+        for batch in gathered(batches, ROWS):
             lists = batch.column(2)
             t, ends = lists.flatten().to_numpy(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             row = np.repeat(np.arange(len(lists)), np.diff(ends))
@@ -165,9 +167,7 @@ def spread(rows: DataFrame, group: str, weight, most: int, of: str) -> DataFrame
 def groups(batches, width: int):
     """Rows of sorted batches in runs of whole groups, which agree in the first ``width`` columns."""
     rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in gathered(batches, GROUPED):
         now = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
         differs = np.zeros(len(now) - 1, bool)
         for c in now.columns[:width]:

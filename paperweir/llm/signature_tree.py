@@ -79,7 +79,8 @@ class Maps:
         for w in np.unique(self.words[lo:hi]).tolist():
             maps, index = self.rows[w]
             at = lo + np.flatnonzero((self.words[lo:hi] == w) | ((self.words[lo:hi] == 2 * w) & (percent * n[lo:hi] <= 100 * 64 * w)))
-            found = linked(n[at], maps[index[at]], percent)
+            wide = (self.words[at] > w).tolist()  # two such sets are compared at their own width
+            found = linked(n[at], maps[index[at]], percent, lambda i, j, wide=wide: not (wide[i] and wide[j]))
             for x in range(len(at)):
                 links.join(int(at[x]) - lo, int(at[found.root(x)]) - lo)
         return links
