@@ -9,6 +9,7 @@ from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .jaccard_join import op7_jaccard_join
 from .language import op8_language
 from .line_dedup import op1_line_dedup
+from .quality import op5_quality
 from .token_files import op6_token_files
 from .toxicity import op9_toxicity
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_chat": op3_chat,
     "op4_decontaminate": op4_decontaminate,
+    "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_language": op8_language,
