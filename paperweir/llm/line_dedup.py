@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import separators, steps, stored, table, words
 
 MIN_WORDS = 50
+#: Runs, and documents that have any, that are joined by broadcast; more are joined by shuffle.
+BROADCAST_RUNS = 400_000
 DOC = ["doc", "mark"]
 LINE = "doc long, mark long, line int, no int, h long, g long, ahead int, ahead_no int, back int, back_no int"
 
@@ -121,7 +123,9 @@ def merged_runs(found: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id_col, n_lines, deleted_lines, runs, text) of each row: the text without later copies of line runs."""
     lines = stored(line_table(docs, id_col, text_col, min_words), "lines")
-    runs = merged_runs(repeated_runs(lines))
+    runs = stored(merged_runs(repeated_runs(lines)), "merged")
+    size = runs.agg(F.sum(F.size("runs") + 1)).first()[0] or 0
+    runs = F.broadcast(runs) if size <= BROADCAST_RUNS else runs
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(id_col, text_col, _doc(id_col).alias("doc"), F.xxhash64(text).alias("mark")).join(runs, DOC, "left")
     split = F.split(text, "\n")
