@@ -34,9 +34,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ready(spark)
     known = language.learn(docs.select("text", "lang"))
-    said = language.predict(docs, known, docs.columns)
+    said = language.predict(docs, known, docs.columns, into=("_said", "_like"))
     letters = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
-    keep = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LIKE) if known else letters
+    keep = (F.col("_said") != language.UNKNOWN) & (F.col("_like") >= LEAST_LIKE) if known else letters
     return said.where(keep).select(*docs.columns)
 
 
@@ -58,8 +58,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a passage like an item of the benchmark."""
-    marked = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"))
-    return marked.where(F.size("leaks") == 0).select(*docs.columns)
+    marked = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"), into="_found")
+    return marked.where(F.size("_found") == 0).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

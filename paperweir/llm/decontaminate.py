@@ -153,9 +153,9 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str):
             yield [(r["id"], words(pa.array([r["text"]]), PUNCT)[0]) for r in rows]
 
 
-def mark(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with ``leaks``: item, place, similarity, fingerprint distance and passage of the best window of each item found."""
-    kept = [c for c in docs.columns if c != "leaks"]
+def mark(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = WORDS, similarity: float = SIMILARITY, into: str = "leaks") -> DataFrame:
+    """``docs`` with a column ``into``, in place of one of that name: item, place, similarity, fingerprint distance and passage of the best window of each item found."""
+    kept = [c for c in docs.columns if c != into]
     schema = StructType([*(docs.schema[c] for c in kept), StructField("_low", StringType()), StructField("_leaks", LEAK), StructField("_more", LEAK)])
     out = docs.select(*kept, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"), F.array().cast(LEAK).alias("_leaks"))
     for block in item_blocks(items, item_id, item_text):
@@ -178,7 +178,7 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], [*kept, "_low", "_leaks", "_more"])
 
         out = out.mapInArrow(run, schema).withColumn("_leaks", F.concat("_leaks", "_more")).drop("_more")
-    return out.drop("_low").withColumnRenamed("_leaks", "leaks")
+    return out.drop("_low").withColumnRenamed("_leaks", into)
 
 
 def _start(texts: pa.Array, i: int) -> int:

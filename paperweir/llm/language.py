@@ -139,12 +139,12 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     return {k: np.array(v) / np.linalg.norm(v) for k, v in found.items() if np.any(v)}
 
 
-def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` of each row with lang_pred and score."""
+def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str], text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of each row with the language and the score, in two more columns ``into``."""
     names = sorted(model)
     matrix = np.array([model[k] for k in names], np.float32).reshape(len(names), DIM)
     kept = docs.select(*keep)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, lang_pred string, score double"
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, `{into[0]}` string, `{into[1]}` double"
 
     def run(batches):
         for batch in batches:
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str], text
                 else:
                     score, said = np.zeros(len(v)), [UNKNOWN] * len(v)
                 columns = [c[lo:hi] for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(said, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(said, pa.string()), pa.array(score)], [*keep, *into])
 
     return docs.select(*keep, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")).mapInArrow(run, schema)
 
