@@ -13,8 +13,9 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Bits of the smallest and the largest bitmap; between, the power of two that is not less than the set.
-BITS_LEAST, BITS_MOST = 256, 1 << 16
+#: Bits of the smallest and the largest bitmap; between, twice the power of two that is not less than the set.  With
+#: half of it, sets of a similarity well under the threshold pass, and more of them the larger the corpus is.
+BITS_LEAST, BITS_MOST = 512, 1 << 17
 LEAF, FANOUT = 32, 8
 #: Unpacked bits that are handled at once.
 STEP_BITS = 1 << 23
@@ -22,7 +23,7 @@ STEP_BITS = 1 << 23
 
 def width(n: np.ndarray, most: int = BITS_MOST) -> np.ndarray:
     """Bits of the bitmap of a set of n."""
-    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), BITS_LEAST, most)
+    return np.clip(2 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), BITS_LEAST, most)
 
 
 def bitmaps(tokens: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
@@ -78,7 +79,7 @@ class Maps:
         links = Links(hi - lo)
         for w in np.unique(self.words[lo:hi]).tolist():
             maps, index = self.rows[w]
-            at = lo + np.flatnonzero((self.words[lo:hi] == w) | ((self.words[lo:hi] == 2 * w) & (percent * n[lo:hi] <= 100 * 64 * w)))
+            at = lo + np.flatnonzero((self.words[lo:hi] == w) | ((self.words[lo:hi] == 2 * w) & (percent * n[lo:hi] <= 100 * 32 * w)))
             wide = (self.words[at] > w).tolist()  # two such sets are compared at their own width
             found = linked(n[at], maps[index[at]], percent, lambda i, j, wide=wide: not (wide[i] and wide[j]))
             for x in range(len(at)):
