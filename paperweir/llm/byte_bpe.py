@@ -28,7 +28,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of a chunk of a long text.
 CHUNK = 1 << 16
 #: Bytes of text, and rows of ids, of an Arrow batch that goes back to Spark.
-STEP, ROWS = 1 << 20, 200
+STEP, ROWS = 512 << 10, 100
 #: White space from which on a run is split off.
 RUN = 256
 _SAFE = regex.compile(r"(?<=\S)(?=\s)")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..ship import ship
 
 #: Bytes of text that one vectorised step handles; a longer text is one step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000
 

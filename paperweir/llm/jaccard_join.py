@@ -90,7 +90,10 @@ def frequent(sets: DataFrame) -> np.ndarray:
         for batch in gathered(batches, ROWS):
             keys = batch.column(0).to_numpy()
             _, one = np.unique(keys, return_index=True)
-            t, c = np.unique(batch.column(1).take(pa.array(np.sort(one))).flatten().to_numpy(), return_counts=True)
+            t = batch.column(1).take(pa.array(np.sort(one))).flatten().to_numpy().copy()
+            t.sort()
+            head = np.flatnonzero(np.r_[True, t[1:] != t[:-1]][: len(t)])
+            t, c = t[head], np.diff(np.r_[head, len(t)])
             yield pa.RecordBatch.from_arrays([pa.array(t[c >= OFTEN_HERE]), pa.array(c[c >= OFTEN_HERE].astype(np.int64))], ["token", "c"])
 
     seen = sets.select("key", "tokens").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
@@ -105,7 +108,7 @@ def prefixes(sets: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
     def run(batches):
         rank = np.argsort(told.value)
         often_sorted = told.value[rank]
-        for batch in gathered(batches, ROWS):
+        for batch in gathered(batches, ROWS // 4):
             lists = batch.column(2)
             t, ends = lists.flatten().to_numpy(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             row = np.repeat(np.arange(len(lists)), np.diff(ends))
@@ -164,10 +167,10 @@ def spread(rows: DataFrame, group: str, weight, most: int, of: str) -> DataFrame
     return cut.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "own", "other")
 
 
-def groups(batches, width: int):
+def groups(batches, width: int, rows: int):
     """Rows of sorted batches in runs of whole groups, which agree in the first ``width`` columns."""
     rest = None
-    for batch in gathered(batches, GROUPED):
+    for batch in gathered(batches, rows):
         now = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
         differs = np.zeros(len(now) - 1, bool)
         for c in now.columns[:width]:
@@ -188,7 +191,7 @@ def possible_links(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): for each shared shingle, a spanning forest of the sets that signatures don't keep apart."""
 
     def run(batches):
-        for rows, ends in groups(batches, 3):
+        for rows, ends in groups(batches, 3, GROUPED):
             key, n = rows["key"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
             maps = Maps(rows["bits"].to_pylist())
             size = np.diff(ends)
@@ -229,7 +232,7 @@ def exact_links(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) by uid: a spanning forest of the true links of each group; members has root, i, j, n, uid, tokens."""
 
     def run(batches):
-        for rows, ends in groups(batches, 3):
+        for rows, ends in groups(batches, 3, GROUPED // 8):
             uid, n = rows["uid"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
             lists = rows["tokens"].combine_chunks() if isinstance(rows["tokens"], pa.ChunkedArray) else rows["tokens"]
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists

@@ -24,7 +24,7 @@ from .common import steps, table
 DIM = 1024
 SEED = 20240229
 UNKNOWN = "und"
-STEP = 1 << 20
+STEP = 256 << 10
 #: Sequences whose vectors a Python worker remembers.
 REMEMBERED = 40_000
 #: Letters of a text that count at once; longer texts are summed stretch by stretch.

@@ -37,7 +37,7 @@ BROADCAST_ROWS = 1_000_000
 SYMBOLS = 1 << 12
 SHIFT = 12
 EDGE, BLANK, OTHER = 1, 2, 3
-STEP = 1 << 20
+STEP = 512 << 10
 
 
 def symbol_table() -> np.ndarray:

@@ -29,7 +29,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Words that a Python worker remembers; beyond it, it forgets all.
 REMEMBERED = 3_000_000
-STEP = 4 << 20
+STEP = 2 << 20
 #: Words that are encoded in one call.
 TOGETHER = 500
 LAYOUT = {
