@@ -97,8 +97,8 @@ def frequent(sets: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(t[c >= OFTEN_HERE]), pa.array(c[c >= OFTEN_HERE].astype(np.int64))], ["token", "c"])
 
     seen = sets.select("key", "tokens").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-    rows = seen.where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "token").limit(OFTEN_MOST).toPandas()
-    return rows.sort_values(["c", "token"])["token"].to_numpy(np.int64)
+    rows = seen.where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "token").limit(OFTEN_MOST).toArrow()
+    return rows.sort_by([("c", "ascending"), ("token", "ascending")])["token"].to_numpy()
 
 
 def prefixes(sets: DataFrame, often: np.ndarray, percent: int) -> DataFrame:

@@ -30,7 +30,7 @@ ORDER = 5
 #: Share of the trusted texts of a language that its threshold keeps.
 QUANTILE = 0.995
 ACCURACY = 10_000
-MODEL_ROWS = 3_000_000
+MODEL_ROWS = 2_000_000
 #: Trusted ids that are joined by broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Symbols are numbers below 2**12: hashes of characters, so that ORDER of them fit one 64-bit number.
@@ -163,14 +163,16 @@ def model(trusted: DataFrame, order: int = ORDER) -> DataFrame:
 class Scorer:
     """A model as sorted arrays by length."""
 
-    def __init__(self, rows, order: int) -> None:
+    def __init__(self, rows: pa.Table, order: int) -> None:
         self.order = order
+        g, of = rows["g"].to_numpy(), rows["size"].to_numpy()
+        p, back = rows["p"].to_numpy(), rows["back"].to_numpy()
         self.p, self.back = [], []
         for m in range(order + 1):
-            part = rows[rows["size"] == m].sort_values("g")
-            with_p, with_b = part[part["p"].notna()], part[part["back"].notna()]
-            self.p.append((with_p["g"].to_numpy(np.int64), np.log(with_p["p"].to_numpy())))
-            self.back.append((with_b["g"].to_numpy(np.int64), np.log(with_b["back"].to_numpy())))
+            for known, into in ((p, self.p), (back, self.back)):
+                at = np.flatnonzero((of == m) & ~np.isnan(known))
+                at = at[np.argsort(g[at])]
+                into.append((g[at], np.log(known[at])))
         kinds = len(self.p[1][0])
         self.unseen = float(np.exp(self.back[0][1][0])) / (kinds + 1) if len(self.back[0][1]) else 1.0
 
@@ -204,7 +206,7 @@ def perplexities(docs: DataFrame, keep: list[str], rows: DataFrame | None, text:
     if rows is None or rows.isEmpty():
         return kept.withColumns({"n_symbols": F.lit(0).cast("long"), "perplexity": F.lit(None).cast("double")})
     if rows.count() <= most:
-        scorer = docs.sparkSession.sparkContext.broadcast(Scorer(rows.toPandas(), order))
+        scorer = docs.sparkSession.sparkContext.broadcast(Scorer(rows.toArrow(), order))
 
         def run(batches):
             for batch in batches:

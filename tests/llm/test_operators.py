@@ -259,9 +259,9 @@ def test_quality_paths_agree(spark):
 
 def test_quality_probabilities_sum_to_one(spark):
     texts = docs(spark, [(i, t) for i, t in enumerate(["abra cadabra", "a bad cab", "abacus", "cab bad abba"])])
-    rows = quality.model(texts.select(F.lower("text").alias("t"))).toPandas()
-    scorer = quality.Scorer(rows, quality.ORDER)
-    vocabulary = np.sort(rows[(rows["size"] == 1) & rows["p"].notna()]["g"].to_numpy(np.int64))
+    rows = quality.model(texts.select(F.lower("text").alias("t")))
+    scorer = quality.Scorer(rows.toArrow(), quality.ORDER)
+    vocabulary = [r["g"] for r in rows.where("size = 1 AND p IS NOT NULL").orderBy("g").collect()]
     for context in ([], [4 + ord("a")], [4 + ord("a"), 4 + ord("b")], [4 + ord("z")]):
         head = 0
         for s in context:
