@@ -48,7 +48,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # its buffers lie in the heap, those of the default don't
     return spark.read.schema(df.schema).parquet(path)
 
 
