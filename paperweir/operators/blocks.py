@@ -56,7 +56,10 @@ def tidied(blocks: Column) -> Column:
 
 
 def counts(blocks: Column) -> dict[str, Column]:
-    return {name: F.size(F.filter(blocks, lambda b, kind=kind: b["kind"] == kind)) for name, kind in (("headings", "heading"), ("paragraphs", "para"), ("tables", "table"))}
+    def of(kind):
+        return F.size(F.filter(blocks, lambda b: b["kind"] == kind))
+
+    return {"headings": of("heading"), "paragraphs": of("para"), "tables": of("table")}
 
 
 def simple(rows: Column) -> Column:

@@ -54,7 +54,8 @@ def settled(polls: DataFrame, stable: float = STABLE_SECONDS) -> DataFrame:
     new = (~F.lag("size").over(order).eqNullSafe(F.col("size")) | (F.row_number().over(order) == 1)).cast("int")
     rows = polls.withColumn("run", F.sum(new).over(order)).where("size IS NOT NULL")
     since = F.min("ts").over(Window.partitionBy("name", "run"))
-    late = rows.withColumn("since", since).where(F.col("ts").cast("double") - F.col("since").cast("double") >= stable)
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double")
+    late = rows.withColumn("since", since).where(seconds("ts") - seconds("since") >= stable)
     return late.groupBy("name", "run", "size", "since").agg(F.min("ts").alias("ready")).drop("run").select("name", "size", "since", "ready")
 
 
