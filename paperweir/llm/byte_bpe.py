@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import steps, table
+from .common import lean, steps, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of a chunk of a long text.
@@ -93,7 +93,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in found])], pa.int32()), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*kept, "ids"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(lean(run), schema)
 
 
 def decode(docs: DataFrame, ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -111,12 +111,26 @@ def decode(docs: DataFrame, ids: str = "ids", path: str | None = None, pattern:
                 found = [None if x is None else enc.decode_bytes(x) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*kept, "decoded"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(lean(run), schema)
 
 
-def byte_bpe(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with ``ids`` (array<int>) and ``decoded`` (binary), replacing columns of these names."""
-    return decode(encode(docs, text, path), "ids", path)
+def byte_bpe(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``docs`` with ``ids`` (array<int>) and ``decoded`` (binary), replacing columns of these names, in one pass."""
+    path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    schema = StructType([*(docs.schema[c] for c in kept), StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())])
+    at = kept.index(text)
+
+    def run(batches):
+        enc = encoding(path, pattern)
+        for batch in batches:
+            for lo, hi in steps(batch.column(at), STEP):
+                part = batch.slice(lo, hi - lo)
+                found = [encode_text(enc, t) if t else [] for t in part.column(at).to_pylist()]
+                back = pa.array([enc.decode_bytes(x) for x in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32())), back], [*kept, "ids", "decoded"])
+
+    return docs.select(*kept).mapInArrow(lean(run), schema)
 
 
 def op10_byte_bpe(spark, sf_dir):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
-import os
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run):
+    """``run`` for mapInArrow, handing memory back to the system at the end of each task: idle workers stay small."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def gathered(batches, rows: int):
     """Arrow batches joined to about ``rows`` rows, and larger ones cut to it."""
     held: list[pa.RecordBatch] = []

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import PUNCT, mix, steps, table, words
+from .common import PUNCT, lean, mix, steps, table, words
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -177,7 +177,7 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
                             found[i] = [dict(zip(("item_id", "first_word", "n_words", "similarity", "distance", "passage"), (*x, raw[shift[x[1]] : stop[x[1] + x[2] - 1]].decode()), strict=True)) for x in leaks]
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], [*kept, "_low", "_leaks", "_more"])
 
-        out = out.mapInArrow(run, schema).withColumn("_leaks", F.concat("_leaks", "_more")).drop("_more")
+        out = out.mapInArrow(lean(run), schema).withColumn("_leaks", F.concat("_leaks", "_more")).drop("_more")
     return out.drop("_low").withColumnRenamed("_leaks", into)
 
 

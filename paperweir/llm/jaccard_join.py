@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, gathered, mix, shared_dir, shingles, steps, stored, table, words
+from .common import BLANK, gathered, lean, mix, shared_dir, shingles, steps, stored, table, words
 from .graph import components
 from .signature_tree import Maps, bitmaps, linked, width
 
@@ -66,7 +66,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFra
                     maps = packed(s, offsets)
                     yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(key.view(np.int64)), pa.array(n, pa.int32()), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(s.view(np.int64)))], ["id", "key", "n", "bits", "tokens"])
 
-    found = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, key long, n int, bits binary, tokens array<long>")
+    found = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(lean(run), "id long, key long, n int, bits binary, tokens array<long>")
     return found.select(F.monotonically_increasing_id().alias("uid"), "*")
 
 
@@ -96,7 +96,7 @@ def frequent(sets: DataFrame) -> np.ndarray:
             t, c = t[head], np.diff(np.r_[head, len(t)])
             yield pa.RecordBatch.from_arrays([pa.array(t[c >= OFTEN_HERE]), pa.array(c[c >= OFTEN_HERE].astype(np.int64))], ["token", "c"])
 
-    seen = sets.select("key", "tokens").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    seen = sets.select("key", "tokens").mapInArrow(lean(run), "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
     rows = seen.where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "token").limit(OFTEN_MOST).toArrow()
     return rows.sort_by([("c", "ascending"), ("token", "ascending")])["token"].to_numpy()
 
@@ -127,7 +127,7 @@ def prefixes(sets: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
             keep &= only[row]
             yield pa.RecordBatch.from_arrays([pa.array(t[keep]), batch.column(0).take(pa.array(row[keep])), batch.column(1).take(pa.array(row[keep]))], ["token", "key", "n"])
 
-    return sets.where("n > 0").select("key", "n", "tokens").mapInArrow(run, "token long, key long, n int")
+    return sets.where("n > 0").select("key", "n", "tokens").mapInArrow(lean(run), "token long, key long, n int")
 
 
 def shared(rows: DataFrame, percent: int) -> DataFrame:
@@ -154,7 +154,7 @@ def shared(rows: DataFrame, percent: int) -> DataFrame:
             sent = now
             yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(k[keep]), pa.array(n[keep], pa.int32())], ["token", "key", "n"])
 
-    return rows.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(run, "token long, key long, n int")
+    return rows.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(lean(run), "token long, key long, n int")
 
 
 def spread(rows: DataFrame, group: str, weight, most: int, of: str) -> DataFrame:
@@ -225,7 +225,7 @@ def possible_links(members: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     rows = members.select("token", "i", "j", "n", "key", "bits").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "key")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def exact_links(members: DataFrame, percent: int) -> DataFrame:
@@ -259,7 +259,7 @@ def exact_links(members: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     rows = members.select("root", "i", "j", "n", "uid", "tokens").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "n", "uid")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WIDTH, percent: int = PERCENT) -> DataFrame:

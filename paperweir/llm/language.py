@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, table
+from .common import lean, steps, table
 
 DIM = 1024
 SEED = 20240229
 UNKNOWN = "und"
 STEP = 256 << 10
 #: Sequences whose vectors a Python worker remembers.
-REMEMBERED = 40_000
+REMEMBERED = 24_000
 #: Letters of a text that count at once; longer texts are summed stretch by stretch.
 EDGE = 0
 
@@ -131,7 +131,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["lang", "vector"])
 
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.lower(text).alias("text"), F.col(lang).alias("lang"))
-    parts = known.mapInArrow(run, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("at", "x"))
+    parts = known.mapInArrow(lean(run), "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("at", "x"))
     rows = parts.groupBy("lang", "at").agg(F.sum("x").alias("x")).orderBy("lang", "at").collect()  # DIM numbers for each language
     found: dict[str, list[float]] = {}
     for r in rows:
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str], text
                 columns = [c[lo:hi] for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(said, pa.string()), pa.array(score)], [*keep, *into])
 
-    return docs.select(*keep, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")).mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import separators, steps, stored, table, words
+from .common import lean, separators, steps, stored, table, words
 
 MIN_WORDS = 50
 #: Runs, and documents that have any, that are joined by broadcast; more are joined by shuffle.
@@ -67,7 +67,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].take(pick), batch.column(1)[lo:hi].take(pick), *ints[0], pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), *ints[1]], ["doc", "mark", "line", "no", "h", "g", "ahead", "ahead_no", "back", "back_no"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(_doc(id_col).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, LINE)
+    return docs.select(_doc(id_col).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(lean(run), LINE)
 
 
 def _doc(id_col: str):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, steps, stored, table
+from .common import lean, ready, steps, stored, table
 
 ORDER = 5
 #: Share of the trusted texts of a language that its threshold keeps.
@@ -107,7 +107,7 @@ def count(trusted: DataFrame, order: int) -> DataFrame:
         for lo in range(0, len(total_k), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(total_k[lo : lo + 50_000]), pa.array(total_n[lo : lo + 50_000])], ["g", "n"])
 
-    return trusted.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return trusted.mapInArrow(lean(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 def length(g):
@@ -221,7 +221,7 @@ def perplexities(docs: DataFrame, keep: list[str], rows: DataFrame | None, text:
                     mean = np.bincount(row, logs, hi - lo) / np.maximum(n, 1)
                     yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[:-1]), pa.array(n, pa.int64()), pa.array(np.exp(-mean))], [*keep, "n_symbols", "perplexity"])
 
-        return docs.select(*keep, low).mapInArrow(run, f"{names}, n_symbols long, perplexity double")
+        return docs.select(*keep, low).mapInArrow(lean(run), f"{names}, n_symbols long, perplexity double")
     return joined_perplexities(docs, keep, rows, low, order)
 
 
@@ -236,7 +236,7 @@ def joined_perplexities(docs: DataFrame, keep: list[str], rows: DataFrame, low,
                 both, n = np.unique(np.stack([row, number, size]), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].take(pa.array(both[0])), pa.array(both[1]), pa.array(both[2], pa.int32()), pa.array(n, pa.int64())], ["_uid", "number", "long", "n"])
 
-    counts = texts.select("_uid", "_text").mapInArrow(run, "_uid long, number long, long int, n long")
+    counts = texts.select("_uid", "_text").mapInArrow(lean(run), "_uid long, number long, long int, n long")
     distinct = counts.select("number", "long").distinct().withColumns({"log": F.lit(None).cast("double"), "weight": F.lit(0.0)})
     kinds = rows.where("size = 1 AND p IS NOT NULL").count()
     floor = rows.where("size = 0").agg(F.first("back")).first()[0]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import shared_dir, steps, stored, table, words
+from .common import lean, shared_dir, steps, stored, table, words
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -135,7 +135,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 ids = encoder(path).encode(batch.column(1)[lo:hi], end_id)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(ids.offsets), pa.int64()), ids], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(lean(run), SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int | None = END_ID, files: int | None = None) -> None:
@@ -175,7 +175,7 @@ def with_crc32(rows: DataFrame, ids: str = "ids") -> DataFrame:
             sums = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(ends), pa.int64()), pa.array(sums, pa.int64())], [*kept, "n_tokens", "ids_crc32"])
 
-    return rows.select(*kept, ids).mapInArrow(run, schema)
+    return rows.select(*kept, ids).mapInArrow(lean(run), schema)
 
 
 def op6_token_files(spark, sf_dir):

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import PUNCT, shingles, steps, stored, table, words
+from .common import PUNCT, lean, shingles, steps, stored, table, words
 
 EXAMPLES, VOCABULARY = 4096, 4096
 #: Standard errors by which a word's share among toxic examples exceeds its share among others, and families of examples
@@ -138,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     text = F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text).join(F.broadcast(chosen), "id").select("id", "label", "text")
-    spelled = stored(rows.mapInArrow(spell, "id long, label int, word long, times long, family long"), "spelled")
+    spelled = stored(rows.mapInArrow(lean(spell), "id long, label int, word long, times long, family long"), "spelled")
     size = {c: min(total.get(c, 0), EXAMPLES) for c in (0, 1)}
     model = Model(weights=tuple(total.get(c, 0) / max(1, size[c]) for c in (0, 1)), share=total.get(1, 0) / max(1, sum(total.values())))
     if not (size[0] and size[1]):
@@ -159,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 n += hi - lo
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, np.arange(len(seen))]), pa.array(np.r_[n, seen])], ["at", "n"])
 
-    had = {r["at"]: r["n"] for r in docs.select(text).mapInArrow(occur, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    had = {r["at"]: r["n"] for r in docs.select(text).mapInArrow(lean(occur), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
     model.idf = np.log((1 + had.get(-1, 0)) / (1 + np.array([had.get(i, 0) for i in range(len(model.words))]))) + 1
     place = {int(w): i for i, w in enumerate(model.words.view(np.int64).tolist())}
     vocabulary = docs.sparkSession.createDataFrame([(w, i) for w, i in place.items()], "word long, at int")
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
                 evidence = [[dict(zip(("doc_id", "similarity", "toxic"), x, strict=True)) for x in e] for e in evidence]
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[:-1]), pa.array(scores), pa.array(evidence, kind)], [*keep, "score", "evidence"])
 
-    out = docs.select(*keep, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")).mapInArrow(run, schema)
+    out = docs.select(*keep, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")).mapInArrow(lean(run), schema)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
