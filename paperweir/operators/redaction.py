@@ -130,19 +130,24 @@ def candidates(docs: DataFrame, user_names: list[str] = (), user_stopwords: list
 
 
 def with_echoes(rows: DataFrame, single: bool = True) -> DataFrame:
-    """Adds every further place of a name that an anchor confirmed in the same document, with or without a particle."""
-    real = rows.where("kind <> 'RUN'")
-    sure = real.where((F.col("confidence") == AUTO) & F.col("kind").isin(*ANCHORS) & (F.length("value") >= 2))
-    sure = sure.select("doc_id", F.col("value").alias("name"), F.substring("value", 1, 2).alias("begin")).distinct()
-    runs = rows.where("kind = 'RUN'").withColumn("begin", F.substring("value", 1, 2))
-    again = runs.join(sure, ["doc_id", "begin"]).where(F.col("value").startswith(F.col("name")))
+    """Adds every further place of a name that an anchor confirmed in the same document, with or without a particle.
+
+    All that is known of a document meets in one window, so the matches are dealt out once.
+    """
+    real = F.col("kind") != "RUN"
+    auto = real & (F.col("confidence") == AUTO)
+    sure = auto & F.col("kind").isin(*ANCHORS) & (F.length("value") >= 2)
+    whole = Window.partitionBy("doc_id")
+    rows = rows.withColumns({"names": F.collect_set(F.when(sure, F.col("value"))).over(whole), "taken": F.collect_set(F.when(auto, F.col("start"))).over(whole)})
+    own = F.filter("names", lambda n: F.startswith(F.col("value"), n) & N.one_of(F.substring(F.col("value"), F.length(n) + 1, F.lit(100)), N.PARTICLES))
+    again = F.when(real, F.array(F.lit(None).cast("string"))).when(F.array_contains("taken", F.col("start")), F.array().cast("array<string>")).otherwise(own)
+    rows = rows.withColumn("name", F.explode(again)).drop("names", "taken")
+    echo = F.col("name").isNotNull()
     tail = F.substring("value", F.length("name") + 1, F.lit(100))
-    again = again.where(N.one_of(tail, N.PARTICLES)).withColumn("right", F.concat(tail, F.col("right"))).withColumn("value", F.col("name"))
-    again = again.where(~N.in_organisation(F.col("left"), F.col("value"), F.col("right"), single))
-    taken = real.where(F.col("confidence") == AUTO).select("doc_id", "start").distinct()
-    again = again.join(taken, ["doc_id", "start"], "left_anti")
-    echo = again.withColumns({"ord": F.lit(ECHO), "kind": F.lit("NAME_ECHO"), "label": F.lit("성명(같은 문서 재등장)")})
-    return real.unionByName(echo.select(*real.columns))
+    rows = rows.withColumn("right", F.when(echo, F.concat(tail, F.col("right"))).otherwise(F.col("right"))).withColumn("value", F.coalesce("name", "value"))
+    rows = rows.where(~echo | ~N.in_organisation(F.col("left"), F.col("value"), F.col("right"), single))
+    told = {"ord": F.lit(ECHO), "kind": F.lit("NAME_ECHO"), "label": F.lit("성명(같은 문서 재등장)")}
+    return rows.withColumns({c: F.when(echo, v).otherwise(F.col(c)) for c, v in told.items()}).drop("name")
 
 
 def without_overlaps(rows: DataFrame) -> DataFrame:
