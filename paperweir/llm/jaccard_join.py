@@ -157,6 +157,13 @@ def shared(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(lean(run), "token long, key long, n int")
 
 
+def once(members: DataFrame) -> DataFrame:
+    """Of tokens with the very same sets, the rows of one: near copies share most of theirs."""
+    who = [F.xxhash64("key", "n"), F.xxhash64("n", "key", F.lit(1))]
+    groups = members.groupBy("token").agg(F.count("*").alias("c"), *(F.bit_xor(h).alias(f"h{i}") for i, h in enumerate(who)))
+    return members.join(groups.groupBy("c", "h0", "h1").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
+
+
 def spread(rows: DataFrame, group: str, weight, most: int, of: str) -> DataFrame:
     """Adds block columns i and j: groups of more than ``most`` are cut into blocks by ``of``, each two of which meet."""
     big = rows.groupBy(group).agg(F.ceil(F.sum(weight) / most).cast("int").alias("blocks")).where("blocks > 1")
@@ -271,6 +278,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     distinct = stored(sets.where("n > 0").groupBy("key", "n").agg(F.min("uid").alias("uid"), F.min("id").alias("first")), "distinct")
 
     members = stored(shared(prefixes(sets, frequent(sets.where("n > 0")), percent), percent), "members")
+    members = stored(once(members), "once")
     signed = sets.select("uid", "bits").join(distinct.select("uid", "key", "n").join(members.select("key", "n").distinct(), ["key", "n"]), "uid").select("key", "n", "bits")
     plausible = components(possible_links(spread(members, "token", F.lit(1), GROUP_SETS, "key").join(signed, ["key", "n"]), percent))
 
