@@ -106,7 +106,8 @@ def word_blocks(files: DataFrame) -> DataFrame:
         F.max((F.col("tag") == "numPr").cast("int")).alias("numbered"),
     )
     paragraph = d.where("tag = 'p'").select("doc_id", F.col("ord").alias("p"), up("tc").alias("tc"), up("tbl").alias("tbl")).join(texts, ["doc_id", "p"], "left").join(told, ["doc_id", "p"], "left").join(style, ["doc_id", "style"], "left")
-    level = F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce("style_level", F.col("outline") + 1)))
+    asked = F.coalesce("style_level", F.col("outline") + 1)
+    level = F.when(asked.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(6), asked)))
     lead = F.when(F.col("numbered") == 1, F.concat(F.repeat(F.lit("  "), F.least(F.lit(5), F.coalesce("ilvl", F.lit(0)))), F.lit("- "))).when(F.coalesce("style_list", F.lit(False)), "- ").otherwise("")
     text = F.coalesce("text", F.lit(""))
     kind = F.when(text == "", "blank").when(level.isNotNull(), "heading").otherwise("para")
