@@ -1,10 +1,10 @@
 """Exact dedup as a tree merge of sorted digest runs, in DataFrame operations only.
 
-Each input partition is a run of digests.  In a round, runs whose numbers agree but for their last
-binary digits meet: a multiway merge keeps, for each digest, the number of rows and the best row, so a
-digest has at most ``FAN`` rows to merge at any node whatever its frequency.  The decision then goes
-down the same tree, again to at most ``FAN`` children a node.  The text itself never moves: a second,
-independent digest and the length verify what the first one calls equal.
+Each input partition is a run of digests, merged before it leaves its task.  In a round, runs whose numbers
+agree but for their last binary digits meet: a multiway merge keeps, for each digest, the number of rows and
+the best row, so a digest has at most ``FAN`` rows to merge at any node whatever its frequency.  The decision
+then goes down the same tree to the rows of each group of ``FAN`` runs.  The text itself never moves: a
+second, independent digest and the length verify what the first one calls equal.
 
 A null text counts as empty.  Of equal texts the row with the longest original text (code points)
 stays, then the one with the smallest id (null last); repeated ids of one text are one best row but
@@ -33,7 +33,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.col("_text")
     return (
         docs.select(F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"), normalised(F.col(text_col)).alias("_text"))
-        .select("id", "points", F.sha2(text.cast("binary"), 256).alias("sha"), F.xxhash64(text).alias("check"), F.octet_length(text).alias("size"))
+        .select("id", "points", F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"), F.xxhash64(text).alias("check"), F.octet_length(text).alias("size"))
         .withColumn("run", F.spark_partition_id())
     )
 
@@ -48,22 +48,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan:
 
     Where a kept id is itself repeated with the same text, every row of it counts as kept.
     """
-    rows = stored(digests(docs, id_col, text_col), "digests")
+    rows = stored(digests(docs, id_col, text_col).withColumn("up", F.floor(F.col("run") / fan).cast("int")), "digests")
     best = F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("none"), "id")
-    levels = [merged(rows.select(*KEY, "run", F.lit(1).cast("long").alias("n"), best.alias("best")), F.col("run"))]
-    top = rows.agg(F.max("run")).first()[0] or 0
+    top = (rows.agg(F.max("run")).first()[0] or 0) // fan
+    # a run itself is merged before it leaves its task, by the map side of the first grouping
+    levels = [stored(merged(rows.select(*KEY, "up", F.lit(1).cast("long").alias("n"), best.alias("best")), F.col("up")), "level1")]
     while top > 0:
         top //= fan
-        levels.append(merged(levels[-1], F.floor(F.col("node") / fan).cast("int")))
-        levels[-1] = stored(levels[-1], f"level{len(levels)}") if top > 0 else levels[-1]
+        levels.append(stored(merged(levels[-1], F.floor(F.col("node") / fan).cast("int")), f"level{len(levels) + 1}"))
     found = levels[-1].select(F.col("node").alias("up"), *KEY, F.col("n").alias("group_size"), F.col("best.id").alias("keep_id"))
     for level in levels[-2::-1]:
         below = level.select("node", *KEY, F.floor(F.col("node") / fan).cast("int").alias("up"))
         found = below.join(found, ["up", *KEY]).select(F.col("node").alias("up"), *KEY, "group_size", "keep_id")
-    return (
-        rows.withColumnRenamed("run", "up")
-        .join(found, ["up", *KEY])
-        .select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return rows.join(found, ["up", *KEY]).select(
+        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 
 
