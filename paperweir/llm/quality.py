@@ -1,16 +1,19 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model of characters.
 
-The model is trained on the texts of trusted rows, all of them.  Counts of n-grams are summed in every
+The model is trained on the texts of trusted rows.  Counts of n-grams are summed in every
 partition before they are shuffled, joined by prefix and by suffix in shards to give the discounts,
 interpolation weights and continuation counts, and end as one probability for each n-gram seen and one
 back-off weight for each context.  Each text gets its perplexity by character; it is kept if that is not
-above a quantile of the trusted texts of its language.
+above a quantile of the trusted texts of its language.  One trusted row in ``HELD`` (by a hash of its id)
+isn't trained on, and the quantiles are those of such rows: a text that the model knows scores too well.
+Where there are none, the quantiles are of all trusted rows.
 
 A model of up to ``MODEL_ROWS`` n-grams (its size is counted first) goes to every task as sorted arrays;
 beyond it, the n-grams of each text are joined with the model in shards instead, with the same scores.
 
-The text is lower-cased, each run of characters other than letters or digits becomes one mark by its
-kind, and an edge mark stands before and after.  A null or empty text scores as the two edges alone.
+A run of white space is one symbol, every other character is its own, and an edge mark stands before and
+after.  A null or empty text scores as the two edges alone.  Short texts say little: a text's perplexity is
+drawn towards the median of its language as if it had ``PULL`` more symbols of that perplexity.
 A null language is its own group; a language without trusted rows uses all trusted rows' threshold.
 Without any trusted row nothing is known: perplexity is null and every row is kept.
 """
@@ -28,7 +31,9 @@ from .common import lean, ready, steps, stored, table
 
 ORDER = 5
 #: Share of the trusted texts of a language that its threshold keeps.
-QUANTILE = 0.995
+QUANTILE = 0.998
+PULL = 60
+HELD = 10
 ACCURACY = 10_000
 MODEL_ROWS = 2_000_000
 #: Trusted ids that are joined by broadcast.
@@ -36,37 +41,32 @@ BROADCAST_ROWS = 1_000_000
 #: Symbols are numbers below 2**12: hashes of characters, so that ORDER of them fit one 64-bit number.
 SYMBOLS = 1 << 12
 SHIFT = 12
-EDGE, BLANK, OTHER = 1, 2, 3
+EDGE, BLANK = 1, 2
 STEP = 512 << 10
 
 
 def symbol_table() -> np.ndarray:
-    """Symbol of each code point: letters and digits keep apart (by hash beyond 4,000 of them), the rest are marks."""
+    """Symbol of each code point: its own below about 4,000, by hash beyond; white space is one."""
     if not hasattr(symbol_table, "made"):
-        out = np.full(0x110000, OTHER, np.int64)
-        for c in range(0x110000):
-            ch = chr(c)
-            if ch.isalnum():
-                out[c] = 4 + c if c < SYMBOLS - 4 else 4 + (c * 2654435761 >> 7) % (SYMBOLS - 4)
-            elif ch.isspace():
-                out[c] = BLANK
-        symbol_table.made = out
+        c = np.arange(0x110000)
+        out = np.where(c < SYMBOLS - 3, 3 + c, 3 + (c * 2654435761 >> 7) % (SYMBOLS - 3))
+        out[[i for i in range(0x3001) if chr(i).isspace()]] = BLANK
+        symbol_table.made = out.astype(np.int32)
     return symbol_table.made
 
 
 def symbols(texts: pa.Array):
-    """(symbols, row of each) of lower-cased texts, each between edges; runs of marks are one."""
+    """(symbols, row of each) of texts, each between edges."""
     listed = [t or "" for t in texts.to_pylist()]
     n = np.fromiter(map(len, listed), np.int64, len(listed))
     code = np.frombuffer("".join(f"\x00{t}\x00" for t in listed).encode("utf-32-le", "replace"), "<u4")
-    s = symbol_table()[code]
+    s = symbol_table()[code].astype(np.int64)
     ends = np.cumsum(n + 2)
     s[ends - 1] = EDGE
     s[ends - n - 2] = EDGE
     row = np.repeat(np.arange(len(listed)), n + 2)
-    mark = (s == BLANK) | (s == OTHER)
     keep = np.ones(len(s), bool)
-    keep[1:] = ~(mark[1:] & mark[:-1] & (s[1:] == s[:-1]))
+    keep[1:] = (s[1:] != BLANK) | (s[:-1] != BLANK)
     return s[keep], row[keep]
 
 
@@ -201,7 +201,7 @@ class Scorer:
 def perplexities(docs: DataFrame, keep: list[str], rows: DataFrame | None, text: str, order: int, most: int) -> DataFrame:
     """Columns ``keep`` with n_symbols and perplexity."""
     kept = docs.select(*keep)
-    low = F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")
+    low = F.coalesce(F.col(text), F.lit("")).alias("_text")
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     if rows is None or rows.isEmpty():
         return kept.withColumns({"n_symbols": F.lit(0).cast("long"), "perplexity": F.lit(None).cast("double")})
@@ -255,22 +255,32 @@ def joined_perplexities(docs: DataFrame, keep: list[str], rows: DataFrame, low,
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, most: int = MODEL_ROWS) -> DataFrame:
-    """(id_col, lang, n_symbols, perplexity, threshold, trusted, kept) of each row; trusted_ids has the ids of trusted rows."""
+    """(id_col, lang, n_symbols, perplexity, score, threshold, trusted, kept) of each row; trusted_ids has the ids of trusted rows."""
     ready(docs.sparkSession)
     ids = stored(trusted_ids.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).distinct(), "trusted")
     marked = docs.select(id_col, F.col(lang_col).alias("lang"), text_col)
     few = ids.count() <= BROADCAST_ROWS
     ids = F.broadcast(ids) if few else ids
-    texts = marked.join(ids, marked[id_col] == ids["_id"], "left_semi").select(F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    held = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % HELD == 0
+    texts = marked.join(ids.where(~held("_id")), marked[id_col] == F.col("_id"), "left_semi").select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = model(texts, order)
     scored = stored(perplexities(marked, [id_col, "lang"], rows, text_col, order, most), "perplexities")
     scored = scored.join(ids.withColumn("_trusted", F.lit(True)), scored[id_col] == F.col("_id"), "left").select(*scored.columns, F.coalesce("_trusted", F.lit(False)).alias("trusted"))
-    limit = F.percentile_approx("perplexity", quantile, ACCURACY)
-    known = scored.where("trusted")
-    by_lang = F.broadcast(known.groupBy(F.col("lang").alias("_lang")).agg(limit.alias("_own")))  # a row for each language
-    overall = known.agg(limit).first()[0]
-    out = scored.join(by_lang, scored["lang"].eqNullSafe(F.col("_lang")), "left").withColumn("threshold", F.coalesce("_own", F.lit(overall).cast("double")))
-    return out.select(id_col, "lang", "n_symbols", "perplexity", "threshold", "trusted", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+    same = lambda rows: scored["lang"].eqNullSafe(rows["_lang"])
+    tested = F.col("trusted") & held(id_col)
+    tested = F.col("trusted") if scored.where(tested).isEmpty() else tested
+    known = scored.where(tested)
+    usual = lambda c, q: F.percentile_approx(c, q, ACCURACY)
+    middle = known.groupBy(F.col("lang").alias("_lang")).agg(usual("perplexity", 0.5).alias("_middle"))  # a row for each language
+    overall = known.agg(usual("perplexity", 0.5)).first()[0]
+    scored = scored.join(F.broadcast(middle), same(middle), "left").withColumn("_middle", F.coalesce("_middle", F.lit(overall).cast("double")))
+    drawn = F.exp((F.col("n_symbols") * F.log("perplexity") + PULL * F.log("_middle")) / (F.col("n_symbols") + PULL))
+    scored = scored.withColumn("score", drawn).drop("_lang", "_middle")
+    known = scored.where(tested)
+    limits = known.groupBy(F.col("lang").alias("_lang")).agg(usual("score", quantile).alias("_own"))
+    overall = known.agg(usual("score", quantile)).first()[0]
+    out = scored.join(F.broadcast(limits), same(limits), "left").withColumn("threshold", F.coalesce("_own", F.lit(overall).cast("double")))
+    return out.select(id_col, "lang", "n_symbols", "perplexity", "score", "threshold", "trusted", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("kept"))
 
 
 def op5_quality(spark, sf_dir):
