@@ -1,6 +1,7 @@
 """Exact Jaccard self-join of shingle sets with signature trees: shingle count and component of each text.
 
-1. Each text becomes its set of word shingles (48-bit hashes) with a bitmap; equal sets are one from there.
+1. Each text becomes its set of word shingles (48-bit hashes); equal sets (64-bit key and size) are one from there.
+   Sets aren't stored: each step makes those that it needs from the texts again, which is cheaper than their space.
 2. Two sets of similarity t share one of their first n - ceil(t n) + 1 shingles in any fixed order.  The
    order puts shingles known to be frequent last, so common passages seldom bring sets together.
 3. For sets that share such a shingle, a signature tree finds those whose bitmaps and sizes allow a link,
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, gathered, lean, mix, shared_dir, shingles, steps, stored, table, words
+from .common import BLANK, gathered, lean, mix, shingles, steps, stored, table, words
 from .graph import components
 from .signature_tree import Maps, bitmaps, linked, width
 
@@ -38,36 +39,59 @@ ROWS = 3000
 #: Rows of sorted groups that are handled at once, besides a larger group.
 GROUPED = 8000
 _MASK = np.uint64((1 << 48) - 1)
-SETS = "uid long, id long, key long, n int, bits binary, tokens array<long>"
-LAYOUT = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "compression": "zstd"}
-
-
 def least(percent: int, n):
     """Shingles that a set of n shares at least with a similar one."""
     return -(-percent * n // 100)
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """One row for each text: id, key of its set, size, bitmap and ascending shingles."""
-
-    def run(batches):
-        for batch in batches:
-            for a, b in steps(batch.column(1)):
-                for lo in range(a, b, 60_000):
-                    hi = min(lo + 60_000, b)
-                    h, row, _, _ = words(batch.column(1)[lo:hi], BLANK)
-                    s, at = shingles(h, row, k)
-                    both = np.unique(at.astype(np.uint64) << np.uint64(48) | s & _MASK)
-                    row, s = (both >> np.uint64(48)).astype(np.int64), both & _MASK
-                    offsets = np.searchsorted(row, np.arange(hi - lo + 1))
-                    n = np.diff(offsets)
-                    sums = np.r_[np.uint64(0), np.cumsum(mix(s + np.uint64(1)))]
-                    key = mix(sums[offsets[1:]] - sums[offsets[:-1]] + n.astype(np.uint64))
-                    maps = packed(s, offsets)
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(key.view(np.int64)), pa.array(n, pa.int32()), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(s.view(np.int64)))], ["id", "key", "n", "bits", "tokens"])
-
-    found = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(lean(run), "id long, key long, n int, bits binary, tokens array<long>")
-    return found.select(F.monotonically_increasing_id().alias("uid"), "*")
+def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+
+def sets_of(batches, k: int):
+    """Of batches of (id, text): ids, keys, sizes, offsets and ascending shingles of their sets, step by step."""
+    for batch in batches:
+        for lo, hi in steps(batch.column(1)):
+            h, row, _, _ = words(batch.column(1)[lo:hi], BLANK)
+            s, at = shingles(h, row, k)
+            both = np.unique(at.astype(np.uint64) << np.uint64(48) | s & _MASK)
+            row, s = (both >> np.uint64(48)).astype(np.int64), both & _MASK
+            offsets = np.searchsorted(row, np.arange(hi - lo + 1))
+            n = np.diff(offsets)
+            sums = np.r_[np.uint64(0), np.cumsum(mix(s + np.uint64(1)))]
+            key = mix(sums[offsets[1:]] - sums[offsets[:-1]] + n.astype(np.uint64)).view(np.int64)
+            yield batch.column(0)[lo:hi], key, n, offsets, s.view(np.int64)
+
+
+def rows_of(offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the shingles of sets ``at``, and their offsets."""
+    n = offsets[at + 1] - offsets[at]
+    ends = np.r_[0, np.cumsum(n)]
+    return np.repeat(offsets[at] - ends[:-1], n) + np.arange(ends[-1]), ends
+
+
+class Fresh:
+    """Tells which keys of a partition come for the first time, as far as it remembers."""
+
+    def __init__(self, wanted: np.ndarray | None = None) -> None:
+        self.wanted, self.seen = wanted, set()
+
+    def places(self, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+        if self.wanted is not None:
+            at = np.flatnonzero(n > 0)
+            if not len(self.wanted):
+                return at[:0]
+            at = at[self.wanted[np.minimum(np.searchsorted(self.wanted, key[at]), len(self.wanted) - 1)] == key[at]]
+        else:
+            at = np.flatnonzero(n > 0)
+        if len(self.seen) > 300_000:
+            self.seen.clear()
+        new = []
+        for i, k in zip(at.tolist(), key[at].tolist(), strict=True):
+            if k not in self.seen:
+                self.seen.add(k)
+                new.append(i)
+        return np.array(new, np.int64)
 
 
 def packed(tokens: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -83,51 +107,87 @@ def packed(tokens: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return out
 
 
-def frequent(sets: DataFrame) -> np.ndarray:
-    """Shingles seen often, rarest first.  Any choice gives the same result; this one keeps groups small."""
+def overview(docs: DataFrame, k: int) -> DataFrame:
+    """Rows (id, key, n) of all texts and, with a null n, rows (token, c) of shingles that some stretch of texts has often."""
 
     def run(batches):
-        for batch in gathered(batches, ROWS):
-            keys = batch.column(0).to_numpy()
-            _, one = np.unique(keys, return_index=True)
-            t = batch.column(1).take(pa.array(np.sort(one))).flatten().to_numpy().copy()
+        fresh, held, rows = Fresh(), [], 0
+
+        def often():
+            t = np.concatenate(held) if held else np.zeros(0, np.int64)
             t.sort()
             head = np.flatnonzero(np.r_[True, t[1:] != t[:-1]][: len(t)])
-            t, c = t[head], np.diff(np.r_[head, len(t)])
-            yield pa.RecordBatch.from_arrays([pa.array(t[c >= OFTEN_HERE]), pa.array(c[c >= OFTEN_HERE].astype(np.int64))], ["token", "c"])
-
-    seen = sets.select("key", "tokens").mapInArrow(lean(run), "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+            c = np.diff(np.r_[head, len(t)])
+            t, c = t[head][c >= OFTEN_HERE], c[c >= OFTEN_HERE]
+            none = pa.nulls(len(t), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(t), pa.int32()), pa.array(t), pa.array(c)], ["id", "key", "n", "token", "c"])
+
+        for ids, key, n, offsets, s in sets_of(batches, k):
+            none = pa.nulls(len(key), pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(key), pa.array(n, pa.int32()), none, none], ["id", "key", "n", "token", "c"])
+            at = fresh.places(key, n)
+            held.append(s[rows_of(offsets, at)[0]])
+            rows += len(at)
+            if rows >= ROWS:
+                yield often()
+                held, rows = [], 0
+        yield often()
+
+    return docs.mapInArrow(lean(run), "id long, key long, n int, token long, c long")
+
+
+def frequent(seen: DataFrame) -> np.ndarray:
+    """Shingles seen often, rarest first.  Any choice gives the same result; this one keeps groups small."""
+    seen = seen.where("n IS NULL").groupBy("token").agg(F.sum("c").alias("c"))
     rows = seen.where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "token").limit(OFTEN_MOST).toArrow()
     return rows.sort_by([("c", "ascending"), ("token", "ascending")])["token"].to_numpy()
 
 
-def prefixes(sets: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, k: int, often: np.ndarray, percent: int) -> DataFrame:
     """(token, key, n) of the shingles that each set is looked up by."""
-    told = sets.sparkSession.sparkContext.broadcast(often)
+    told = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
+        fresh = Fresh()
         rank = np.argsort(told.value)
         often_sorted = told.value[rank]
-        for batch in gathered(batches, ROWS // 4):
-            lists = batch.column(2)
-            t, ends = lists.flatten().to_numpy(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            row = np.repeat(np.arange(len(lists)), np.diff(ends))
-            order = t.copy()
+        for _, key, n, offsets, s in sets_of(batches, k):
+            at = fresh.places(key, n)
+            place, ends = rows_of(offsets, at)
+            t, key, n = s[place], key[at], n[at]
+            row = np.repeat(np.arange(len(at)), n)
             if len(often_sorted):
+                order = t.copy()
                 place = np.minimum(np.searchsorted(often_sorted, t), len(often_sorted) - 1)
                 hit = often_sorted[place] == t
                 order[hit] = (1 << 48) + rank[place[hit]]
-                moved = np.lexsort((order, row))
-                t = t[moved]
-            n = np.diff(ends)
+                t = t[np.lexsort((order, row))]
             keep = np.arange(len(t)) - np.repeat(ends[:-1], n) < np.repeat(n - least(percent, n) + 1, n)
-            _, one = np.unique(batch.column(0).to_numpy(), return_index=True)  # equal sets of the batch count once
-            only = np.zeros(len(lists), bool)
-            only[one] = True
-            keep &= only[row]
-            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), batch.column(0).take(pa.array(row[keep])), batch.column(1).take(pa.array(row[keep]))], ["token", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(key[row[keep]]), pa.array(n[row[keep]], pa.int32())], ["token", "key", "n"])
 
-    return sets.where("n > 0").select("key", "n", "tokens").mapInArrow(lean(run), "token long, key long, n int")
+    return docs.mapInArrow(lean(run), "token long, key long, n int")
+
+
+def again(docs: DataFrame, k: int, keys: DataFrame, bits: bool) -> DataFrame:
+    """(key, n, bits or tokens) of the sets whose keys ``keys`` has, at most a few rows for each set and partition.
+
+    Up to BROADCAST_ROWS keys go to the tasks; for more, all sets are made and joined.
+    """
+    keys = stored(keys.select("key").distinct(), "keys")
+    few = keys.count() <= BROADCAST_ROWS
+    told = docs.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow()["key"].to_numpy()) if few else None)
+    name, kind = ("bits", "binary") if bits else ("tokens", "array<long>")
+
+    def run(batches):
+        fresh = Fresh(told.value)
+        for _, key, n, offsets, s in sets_of(batches, k):
+            at = fresh.places(key, n)
+            place, ends = rows_of(offsets, at)
+            column = pa.array(packed(s[place], ends), pa.binary()) if bits else pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(s[place]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(n[at], pa.int32()), column], ["key", "n", name])
+
+    made = docs.mapInArrow(lean(run), f"key long, n int, {name} {kind}")
+    return made if few else made.join(keys, "key")
 
 
 def shared(rows: DataFrame, percent: int) -> DataFrame:
@@ -236,19 +296,20 @@ def possible_links(members: DataFrame, percent: int) -> DataFrame:
 
 
 def exact_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) by uid: a spanning forest of the true links of each group; members has root, i, j, n, uid, tokens."""
+    """(a, b) by key: a spanning forest of the true links of each group; members has root, i, j, n, key, tokens, with repeats."""
 
     def run(batches):
         for rows, ends in groups(batches, 3, GROUPED // 8):
-            uid, n = rows["uid"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
+            key, n = rows["key"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
             lists = rows["tokens"].combine_chunks() if isinstance(rows["tokens"], pa.ChunkedArray) else rows["tokens"]
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
             flat, at = lists.flatten().to_numpy(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             a, b = [], []
             for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                if hi - lo < 2:
+                own = lo + np.flatnonzero(np.r_[True, (key[lo + 1 : hi] != key[lo : hi - 1]) | (n[lo + 1 : hi] != n[lo : hi - 1])])
+                if len(own) < 2:
                     continue
-                tokens = [flat[at[x] : at[x + 1]] for x in range(lo, hi)]
+                tokens = [flat[at[x] : at[x + 1]] for x in own]
 
                 def verify(i, j, tokens=tokens):
                     x, y = tokens[i], tokens[j]
@@ -256,43 +317,42 @@ def exact_links(members: DataFrame, percent: int) -> DataFrame:
                     both = int((y[place] == x).sum())
                     return 100 * both >= percent * (len(x) + len(y) - both)
 
-                bits = int(width(np.median(n[lo:hi]), 4096))
-                maps = bitmaps(flat[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], bits)
-                found = linked(n[lo:hi], maps, percent, verify)
-                for x in range(hi - lo):
+                bits = int(width(np.median(n[own]), 4096))
+                maps = bitmaps(np.concatenate(tokens), np.r_[0, np.cumsum(n[own])], bits)
+                found = linked(n[own], maps, percent, verify)
+                for x in range(len(own)):
                     if (r := found.root(x)) != x:
-                        a.append(uid[lo + x])
-                        b.append(uid[lo + r])
+                        a.append(key[own[x]])
+                        b.append(key[own[r]])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = members.select("root", "i", "j", "n", "uid", "tokens").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "n", "uid")
+    rows = members.select("root", "i", "j", "n", "key", "tokens").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "n", "key")
     return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles, component_id, linked_sets) of each row; sets link when 100 * overlap >= percent * union."""
-    spark = docs.sparkSession
-    path = shared_dir(spark, "sets")
-    shingle_sets(docs, id_col, text_col, k).write.options(**LAYOUT).parquet(path)
-    sets = spark.read.schema(SETS).parquet(path)
-    distinct = stored(sets.where("n > 0").groupBy("key", "n").agg(F.min("uid").alias("uid"), F.min("id").alias("first")), "distinct")
+    docs = texts(docs, id_col, text_col)
+    seen = stored(overview(docs, k), "sets")
+    sets = seen.where("n IS NOT NULL").select("id", "key", "n")
+    distinct = stored(sets.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("first")), "distinct")
 
-    members = stored(shared(prefixes(sets, frequent(sets.where("n > 0")), percent), percent), "members")
+    members = stored(shared(prefixes(docs, k, frequent(seen), percent), percent), "members")
     members = stored(once(members), "once")
-    signed = sets.select("uid", "bits").join(distinct.select("uid", "key", "n").join(members.select("key", "n").distinct(), ["key", "n"]), "uid").select("key", "n", "bits")
+    signed = again(docs, k, members, True).groupBy("key", "n").agg(F.first("bits").alias("bits"))
     plausible = components(possible_links(spread(members, "token", F.lit(1), GROUP_SETS, "key").join(signed, ["key", "n"]), percent))
 
-    called = stored(plausible.select(F.col("node").alias("key"), "root").join(distinct, "key").select("root", "uid", "n"), "called")
-    called = spread(called, "root", F.col("n"), GROUP_TOKENS, "uid").drop("n")
+    called = plausible.select(F.col("node").alias("key"), "root").join(distinct, "key").select("root", "key", "n")
+    called = spread(stored(called, "called"), "root", F.col("n"), GROUP_TOKENS, "key")
     few = called.count() <= BROADCAST_ROWS
-    tokens = sets.select("uid", "n", "tokens").join(F.broadcast(called) if few else called, "uid")
+    tokens = again(docs, k, called, False).join(F.broadcast(called) if few else called, ["key", "n"])
     joined = components(exact_links(tokens, percent))
 
-    named = joined.join(distinct.select(F.col("uid").alias("node"), "first"), "node")
+    named = joined.join(distinct.select(F.col("key").alias("node"), "first"), "node")
     name = named.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("linked_sets"))
-    by_set = distinct.join(joined, distinct["uid"] == joined["node"], "left").join(name, "root", "left")
+    by_set = distinct.join(joined, distinct["key"] == joined["node"], "left").join(name, "root", "left")
     by_set = by_set.select("key", "n", F.coalesce("component", "first").alias("component"), F.coalesce("linked_sets", F.lit(1).cast("long")).alias("linked_sets"))
-    out = sets.select("id", "key", "n").join(by_set, ["key", "n"], "left")
+    out = sets.join(by_set, ["key", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("linked_sets", F.lit(0).cast("long")).alias("linked_sets"))
 
 
