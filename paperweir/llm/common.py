@@ -36,12 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; the setting is made here only where it is unset."""
+    """A new folder under ``spark.checkpoint.dir``; only where that is unset, as in tests, a folder of one's own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-paperweir-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-paperweir-")
+        root = _own_dirs[app]
     return f"{root.rstrip('/')}/paperweir/{uuid.uuid4().hex}/{label}"
 
 
