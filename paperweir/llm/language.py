@@ -27,7 +27,7 @@ UNKNOWN = "und"
 STEP = 256 << 10
 #: Sequences whose vectors a Python worker remembers.
 REMEMBERED = 24_000
-#: Letters of a text that count at once; longer texts are summed stretch by stretch.
+#: The mark for what isn't a letter.
 EDGE = 0
 
 

@@ -38,7 +38,7 @@ ACCURACY = 10_000
 MODEL_ROWS = 2_000_000
 #: Trusted ids that are joined by broadcast.
 BROADCAST_ROWS = 1_000_000
-#: Symbols are numbers below 2**12: hashes of characters, so that ORDER of them fit one 64-bit number.
+#: Symbols are numbers below 2**12, so that ORDER of them fit one 64-bit number; the first are the marks.
 SYMBOLS = 1 << 12
 SHIFT = 12
 EDGE, BLANK = 1, 2

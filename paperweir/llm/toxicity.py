@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import functools
 import heapq
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
