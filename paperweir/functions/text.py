@@ -74,9 +74,9 @@ def latex(script: Column | str) -> Column:
     return F.regexp_replace(out, r"(?U)\{([^{}]*)\}\s*\\over\s*\{([^{}]*)\}", r"\\frac{$1}{$2}")
 
 
-def column_index(letters: Column | str) -> Column:
+def column_index(letters: Column | str, kind: str = "int") -> Column:
     """A, Z, AA as 0, 25, 26."""
-    return F.aggregate(F.split(F.upper(col(letters)), ""), F.lit(0), lambda a, c: a * 26 + F.ascii(c) - 64) - 1
+    return F.aggregate(F.split(F.upper(col(letters)), ""), F.lit(0).cast(kind), lambda a, c: a * 26 + F.ascii(c) - 64) - 1
 
 
 def serial_date(serial: Column | str) -> Column:

@@ -326,8 +326,10 @@ kept AS (SELECT l.doc_id, l.page_no, l.line_no, l.line FROM lines l LEFT JOIN bo
 """
 
 
-def _page_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_no", "body")).withColumn("page_no", F.col("page_no") + 1)
+def _page_lines(spark, sf_dir, every=False):
+    """Each line of a document as a page; those of one document in five, as in the SQL, or of ``every`` document."""
+    docs = table(spark, sf_dir, "documents")
+    docs = (docs if every else docs.where("doc_id % 5 = 0")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_no", "body")).withColumn("page_no", F.col("page_no") + 1)
     text = F.concat(F.lit("Internal Report\n"), F.replace("body", F.lit("\n"), F.lit(" ")), F.lit("\n- "), F.col("page_no").cast("string"), F.lit(" -"))
     return pages.clean_lines(docs.select("doc_id", "page_no", text.alias("text")))
 
@@ -350,6 +352,24 @@ def page_text_size(spark, sf_dir):
     return pages.scanned(pages.body_lines(_page_lines(spark, sf_dir)))
 
 
+@query()
+def page_boilerplate_all(spark, sf_dir):
+    """``page_boilerplate`` of every document."""
+    return pages.repeated_edges(_page_lines(spark, sf_dir, every=True))
+
+
+@query()
+def page_body_all(spark, sf_dir):
+    """``page_body`` of every document."""
+    return pages.body_lines(_page_lines(spark, sf_dir, every=True)).select("doc_id", "page_no", "line_no", "line")
+
+
+@query()
+def page_text_size_all(spark, sf_dir):
+    """``page_text_size`` of every document."""
+    return pages.scanned(pages.body_lines(_page_lines(spark, sf_dir, every=True)))
+
+
 _LINES = ("제3조 목적", "이 규정은", "적용한다.", "• 항목", "2.1 범위", "끝난다", "제 2 장 총칙", "1. 서론")
 
 
@@ -413,6 +433,15 @@ def column_letters(spark, sf_dir):
     return table(spark, sf_dir, "part").where("p_partkey < 702").select("p_partkey", letters.alias("letters")).withColumn("idx", T.column_index("letters"))
 
 
+@query()
+def column_letters_all(spark, sf_dir):
+    """Column letters of any length to numbers, for every part."""
+    spelled = lambda a, _: F.when(a["n"] > 0, F.struct(F.floor((a["n"] - 1) / 26).alias("n"), F.concat(F.char((a["n"] - 1) % 26 + 65), a["s"]).alias("s"))).otherwise(a)
+    start = F.struct((F.col("p_partkey") + 1).alias("n"), F.lit("").alias("s"))
+    letters = F.aggregate(F.sequence(F.lit(1), F.lit(13)), start, spelled, lambda a: a["s"])  # 13 letters number more than 2 ** 61 columns
+    return table(spark, sf_dir, "part").select("p_partkey", letters.alias("letters")).withColumn("idx", T.column_index("letters", "long"))
+
+
 @query("""SELECT p_partkey, ['\\frac{a}{b}', '\\alpha \\times 2', '\\sqrt {x} \\leq \\infty'][p_partkey % 3 + 1] AS latex FROM part""")
 def equations(spark, sf_dir):
     """Equation scripts as LaTeX."""
