@@ -55,7 +55,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -93,7 +92,7 @@ class WordEncoder:
         self.keys, self.first, self.count = keys[order], first[order], count[order]
 
     def encode(self, texts: pa.Array, end_id: int | None) -> pa.ListArray:
-        h, row, first, end = words(texts)
+        h, row, first, end = words(texts, lower=False)  # an added token is one only as it is spelled
         keys, at, inverse = np.unique(h, return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
