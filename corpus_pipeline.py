@@ -1,13 +1,15 @@
 """The corpus pipeline: five stages, each one operator, over ``documents`` and ``benchmark``.
 
 Every stage reads all rows that the one before it kept, written as Parquet in between, and hands on the
-columns of ``documents``; the last one hands on token ids.  A row without an id can't be named by a
-decision of the two dedup stages and stays.
+columns of ``documents``; the last one hands on token ids.  The two dedup stages decide by row, named by its
+id, null or not, and the digest or set of its text, so ids may repeat.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperweir.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language
@@ -17,14 +19,28 @@ from paperweir.llm.common import ready, stored, table
 LEAST_LIKE = language.DIM**-0.5
 #: Words of a shingle and similarity, in hundredths, of near duplicates.
 WIDTH, PERCENT = 5, 80
-#: Ids to drop that are sent to every task; more are joined by shuffle.
+#: Rows to drop whose names are sent to every task; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows of these ids (column doc_id)."""
-    ids = stored(ids.where("doc_id IS NOT NULL").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(*docs.columns)
+def left(docs: DataFrame, name: list[str], found: DataFrame) -> DataFrame:
+    """``docs``, which has the columns ``name``, without the rows that ``found`` (name.., kept, rows) doesn't keep.
+
+    Of several rows of one kept name the one with the longest text stays.  Names may have nulls.
+    """
+    found = found.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(name)), "kept", "rows")
+
+    def named(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        same = functools.reduce(Column.__and__, [rows[c].eqNullSafe(some[f"_{i}"]) for i, c in enumerate(name)])
+        return rows.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, same, how)
+
+    out = named(docs, stored(found.where("NOT kept").drop("kept", "rows"), "dropped"), "left_anti")
+    again = stored(found.where("kept AND rows > 1").drop("kept", "rows"), "again")
+    if again.isEmpty():
+        return out
+    first = F.max_by(F.struct(*out.columns), F.struct(F.length(F.coalesce("text", F.lit(""))), "text")).alias("row")
+    one = named(out, again, "left_semi").groupBy(*name).agg(first).select("row.*")
+    return named(out, again, "left_anti").unionByName(one)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,17 +59,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space, the longest stays, then the smallest id; a row that repeats its id too stays once."""
     ready(spark)
-    found = stored(exact_dedup.dedup(docs), "exact")
-    left = without(docs, found.where("NOT kept").select("doc_id"))
-    again = stored(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    return left if again.isEmpty() else left.where("doc_id IS NULL").unionByName(left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    found = exact_dedup.dedup(docs).groupBy("doc_id", F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    named = docs.withColumn("_sha", F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256))
+    return left(named, ["doc_id", "_sha"], stored(found, "exact")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest id stays."""
+    """Of each group of near duplicates the row with the smallest id stays; one without an id only if none has one."""
     ready(spark)
-    found = jaccard_join.jaccard_components(docs, k=WIDTH, percent=PERCENT)
-    return without(docs, found.where("doc_id <> component_id").select("doc_id"))
+    found = stored(jaccard_join.jaccard_sets(docs, k=WIDTH, percent=PERCENT), "near")
+    best = found.where("_n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_set", "_n")).alias("best"))
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"best.{c}")) for c in ("doc_id", "_set", "_n")])
+    found = found.where("_n > 0").join(best, "root").select("doc_id", "_set", "_n", "rows", same.alias("kept"))
+    return left(jaccard_join.keyed(docs, WIDTH), ["doc_id", "_set", "_n"], found).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import BLANK, gathered, lean, mix, shingles, steps, stored, table, words
 from .graph import components
@@ -330,9 +331,22 @@ def exact_links(members: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(lean(run), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(id_col, n_shingles, component_id, linked_sets) of each row; sets link when 100 * overlap >= percent * union."""
-    docs = texts(docs, id_col, text_col)
+def keyed(docs: DataFrame, k: int, text_col: str = "text") -> DataFrame:
+    """``docs`` with the set of each text: its key ``_set`` and its size ``_n``."""
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            for at, key, n, _, _ in sets_of([pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(len(names))], ["id", "text"])], k):
+                part = batch.slice(at[0].as_py(), len(at))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(key), pa.array(n, pa.int32())], [*names, "_set", "_n"])
+
+    schema = StructType([*docs.schema, StructField("_set", LongType()), StructField("_n", IntegerType())])
+    return docs.select(*names, F.col(text_col).alias("_text")).mapInArrow(lean(run), schema)
+
+
+def linked_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs (id, text): (id, key, n) of each row; (key, n, first) of each set with its smallest id; (node, root) of the keys of linked sets."""
     seen = stored(overview(docs, k), "sets")
     sets = seen.where("n IS NOT NULL").select("id", "key", "n")
     distinct = stored(sets.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("first")), "distinct")
@@ -348,6 +362,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tokens = again(docs, k, called, False).join(F.broadcast(called) if few else called, ["key", "n"])
     joined = components(exact_links(tokens, percent))
 
+    return sets, distinct, joined
+
+
+def jaccard_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(id_col, _set, _n, root, rows) of the distinct ids of each set, with a key of the set's component and the number of rows."""
+    sets, _, joined = linked_sets(texts(docs, id_col, text_col), k, percent)
+    rows = sets.groupBy("id", "key", "n").agg(F.count("*").alias("rows")).join(joined, F.col("key") == joined["node"], "left")
+    return rows.select(F.col("id").alias(id_col), F.col("key").alias("_set"), F.col("n").alias("_n"), F.coalesce("root", "key").alias("root"), "rows")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(id_col, n_shingles, component_id, linked_sets) of each row; sets link when 100 * overlap >= percent * union."""
+    sets, distinct, joined = linked_sets(texts(docs, id_col, text_col), k, percent)
     named = joined.join(distinct.select(F.col("key").alias("node"), "first"), "node")
     name = named.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("linked_sets"))
     by_set = distinct.join(joined, distinct["key"] == joined["node"], "left").join(name, "root", "left")
