@@ -17,6 +17,12 @@ from paperweir.llm.common import ready, stored, table
 
 #: Cosine under which a text is no more like any language than a random vector is.
 LEAST_LIKE = language.DIM**-0.5
+#: Times of it that the largest of several random vectors hardly reaches: the least for texts that aren't short.
+DEVIATIONS = 5
+#: A text stays with this share of the cosine that all but a quantile of the labelled texts of its language and length reach.
+SHARE, QUANTILE, ACCURACY = 0.5, 0.01, 10_000
+#: Classes of length are powers of four letters up to LONGEST; short texts, under class LONG (15 letters), say little of their language.
+LONG, LONGEST = 2, 5
 #: Words of a shingle and similarity, in hundredths, of near duplicates.
 WIDTH, PERCENT = 5, 80
 #: Rows to drop whose names are sent to every task; more are joined by shuffle.
@@ -43,17 +49,46 @@ def left(docs: DataFrame, name: list[str], found: DataFrame) -> DataFrame:
     return named(out, again, "left_anti").unionByName(one)
 
 
+def length_class(text: Column) -> Column:
+    letters = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\P{L}+", ""))
+    return F.least(F.floor(F.log2(letters + 1) / 2), F.lit(LONGEST)).cast("int")
+
+
+def limits(spark: SparkSession, docs: DataFrame, model: dict, languages: list[str]) -> DataFrame:
+    """(_lang, _class, _limit): the least cosine for texts of each language and class of length.
+
+    From the labelled rows of ``docs``, which ``model`` hasn't learned from.  A class without such rows has the
+    limit of the nearest shorter one.
+    """
+    scored = language.predict(docs.withColumn("_class", length_class(F.col("text"))), model, ["lang", "_class"], into=("_said", "_like"))
+    usual = scored.where(F.col("_said") == F.col("lang")).groupBy("lang", "_class").agg((SHARE * F.percentile_approx("_like", QUANTILE, ACCURACY)).alias("limit"))
+    own = {(r["lang"], r["_class"]): r["limit"] for r in usual.collect()}  # a few rows for each language
+    rows = []
+    for lang in languages:
+        last = 0.0
+        for c in range(LONGEST + 1):
+            last = own.get((lang, c), last)
+            rows.append((lang, c, float(max(last, LEAST_LIKE * (DEVIATIONS if c >= LONG else 1)))))
+    return spark.createDataFrame(rows, "_lang string, _class int, _limit double")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts that are in no known language: without letters, or like none of the learned ones.
+    """Drops texts that are in no known language: without letters, or much less like any learned one than its own texts are.
 
-    Learns from the language column of all rows; without any, only texts without letters go.
+    Learns from the language column of all rows; the limits are from the held-out third under a model of the others.
+    Without any labelled row only texts without letters go.
     """
     ready(spark)
-    known = language.learn(docs.select("text", "lang"))
-    said = language.predict(docs, known, docs.columns, into=("_said", "_like"))
-    letters = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
-    keep = (F.col("_said") != language.UNKNOWN) & (F.col("_like") >= LEAST_LIKE) if known else letters
-    return said.where(keep).select(*docs.columns)
+    held = F.coalesce(language.held_out(F.col("doc_id")), F.lit(False))
+    parts = language.sums(docs.select("text", F.concat(F.when(held, "1").otherwise("0"), "lang").alias("lang")))
+    known = language.of_length_one({k: parts.get(f"0{k}", 0) + parts.get(f"1{k}", 0) for k in {x[1:] for x in parts}})
+    if not known:
+        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    trained = language.of_length_one({k[1:]: v for k, v in parts.items() if k[0] == "0"})
+    least = limits(spark, docs.where(held & F.col("lang").isNotNull()), trained, sorted(known))
+    said = language.predict(docs, known, docs.columns, into=("_said", "_like")).where(F.col("_said") != language.UNKNOWN)
+    same = (F.col("_said") == F.col("_lang")) & (length_class(F.col("text")) == F.col("_class"))
+    return said.join(F.broadcast(least), same).where("_like >= _limit").select(*docs.columns)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,8 +113,8 @@ def bundles(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
-    """A vector for each language, from every row of ``docs`` with a language and a text."""
+def sums(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
+    """The sum of the vectors of each language's texts, over every row of ``docs`` with a language and a text."""
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -136,7 +136,16 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     found: dict[str, list[float]] = {}
     for r in rows:
         found.setdefault(r["lang"], []).append(r["x"])
-    return {k: np.array(v) / np.linalg.norm(v) for k, v in found.items() if np.any(v)}
+    return {k: np.array(v) for k, v in found.items()}
+
+
+def of_length_one(vectors: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {k: v / np.linalg.norm(v) for k, v in vectors.items() if np.any(v)}
+
+
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
+    """A vector for each language, from every row of ``docs`` with a language and a text."""
+    return of_length_one(sums(docs, text, lang))
 
 
 def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str], text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
