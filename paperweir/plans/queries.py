@@ -16,6 +16,7 @@ from ..operators import blocks, pages, redaction
 from ..ship import ship
 from ..sources import formats, markup
 from ..streaming import inbox
+from . import engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -301,9 +302,8 @@ def html_items(spark, sf_dir):
 @query()
 def html_blocks(spark, sf_dir):
     """All blocks of web pages, as Markdown."""
-    rows = table(spark, sf_dir, "pages").select("page_id", markup.html_events(F.col("html")).alias("events"))
-    made = F.transform(F.filter("events", lambda e: e["kind"] != "cell"), lambda e: F.struct(e["kind"].alias("kind"), e["text"].alias("text"), e["level"].alias("level"), F.lit(None).cast(f"array<array<{blocks.CELL}>>").alias("rows")))
-    return rows.select("page_id", blocks.body(made).alias("body"))
+    texts = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("html").alias("handler"), F.col("html").alias("text"), F.lit(None).cast("string").alias("encoding"))
+    return engine._plain(texts, "html", engine.Config()).select(F.col("doc_id").alias("page_id"), blocks.body(F.col("blocks")).alias("body"))
 
 
 # ---------------------------------------------------------------- pages and sheets

@@ -41,3 +41,11 @@ def test_column_letters_of_any_length(spark, tmp_path):
     spark.createDataFrame([(k,) for k in known], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
     rows = entry.queries()["column_letters_all"](spark, str(tmp_path)).collect()
     assert {r["p_partkey"]: (r["letters"], r["idx"]) for r in rows} == {k: (v, k) for k, v in known.items()}
+
+
+def test_html_blocks_keep_tables(spark, tmp_path):
+    html = "<h1>T</h1><p>before</p><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table><p>after</p><table><tr><td>x</td></tr></table>"
+    spark.createDataFrame([(1, html), (2, "<p>only</p>"), (3, "")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    body = {r["page_id"]: r["body"] for r in entry.queries()["html_blocks"](spark, str(tmp_path)).collect()}
+    assert body[1].strip() == "# T\n\nbefore\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\nafter\n\n| x |\n| --- |"
+    assert body[2].strip() == "only" and set(body) == {1, 2, 3}
