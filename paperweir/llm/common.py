@@ -40,9 +40,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset, as in tests, a folder of one's own."""
+    """A new folder under ``spark.checkpoint.dir``; only where that is unset, and all runs in one process, a folder of one's own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-paperweir-")
@@ -58,6 +60,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(label: str = "c") -> str:
+    """A column name that no table has."""
+    return f"_{label}_{uuid.uuid4().hex}"
+
+
 def lean(run):
     """``run`` for mapInArrow, handing memory back to the system at the end of each task: idle workers stay small."""
 

@@ -1,23 +1,31 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine with a block-max inverted index.
-
-At most ``EXAMPLES`` labelled rows of each class are examples, those with the smallest hash of their id;
-classes weigh in the votes as often as they occur among all labels.  The words that count are those that
-toxic examples have significantly more often; how many documents have each is counted over the whole
-corpus.  Examples lie in blocks, and for every word and block the index holds the largest weight, so blocks
-that can't reach the nearest neighbours so far are skipped without changing the result.  A score is the
-vote of the nearest examples by similarity, drawn towards the share of toxic rows among texts without any
-of these words; the nearest examples are its evidence.
-
-Words are runs of letters and digits of the lower-cased text.  Null and empty texts and texts without
-such words get that share.  Null ids or labels are never examples, repeated labels of one id count once
-(toxic if any says so), ties go to the smaller id.  Without examples of both classes every score is the
-share of the class there is (0 without labels).  An empty table gives an empty result.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine of passages with a block-max inverted index.
+
+Labelled rows are examples: of each class those with the smallest hash of their id, at most ``EXAMPLES`` rows
+and ``EXAMPLE_BYTES`` bytes of text (the only sample; classes weigh in the votes as often as they occur among
+all labels, and equal texts are one example, toxic if any is).  Examples and texts are cut into passages of
+three words, for a few words among thousands make a text toxic.  Every word of the examples counts, with its
+inverse document frequency over the whole corpus; words that no example has have no dimension.
+
+Passages share one, two or three words, and the index has a list of postings for each word, pair and triple,
+in blocks with the largest weights of this and all later blocks.  A block is read only if these weights
+can still reach the nearest examples so far, or ``RADIUS``, so the neighbours are those of a full search:
+the ``NEAREST`` examples (each by its best passage) of a cosine of at least RADIUS.  Among equal cosines those that
+come first in the index count.  Votes by cosine, drawn towards the share of toxic rows as by ``PULL``
+more votes, give each passage a value; the largest of a text, and how many passages it has, become its
+score by a logistic curve fitted on the examples themselves, each scored without its own passages.
+The nearest examples of that passage are the evidence.
+
+Words are runs of letters and digits of the lower-cased text (64-bit hashes).  Null and empty texts and texts without
+known words get the curve's value for the plain share.  Null ids or labels are never examples, repeated labels
+of one id count once (toxic if any says so), and so does an id that repeats in the table.  Without examples
+of both classes every score is the share of the class there is (0 without labels).  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
+import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,15 +34,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import PUNCT, lean, shingles, steps, stored, table, words
+from .common import PUNCT, fresh, lean, ready, steps, stored, table, words
 
-EXAMPLES, VOCABULARY = 4096, 4096
-#: Standard errors by which a word's share among toxic examples exceeds its share among others, and families of examples
-#: that have it at least.  Texts with the same smallest hash of a three-word shingle, as most near copies, are a family.
-SIGNIFICANT, SEEN = 6.0, 8
-NEAREST, BLOCK = 25, 64
-#: Similarity that pulls towards the share of texts without such words.
-PULL = 0.5
+#: Bounds of the sample of each class.
+EXAMPLES, EXAMPLE_BYTES = 2048, 4 << 20
+#: Words of a passage.
+PASSAGE = 3
+RADIUS, NEAREST, BLOCK = 0.4, 25, 32
+PULL = 5.0
+#: Passages that are searched at once.
+PASSAGES = 20_000
 EVIDENCE = ArrayType(StructType([StructField("doc_id", LongType()), StructField("similarity", DoubleType()), StructField("toxic", LongType())]))
 
 
@@ -42,161 +51,307 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def counts(texts: pa.Array, known: np.ndarray | None = None):
-    """(row, word hash, times) of each text's distinct words, or of those in the ascending ``known`` (then its place)."""
+def place_of(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys in the ascending ``known``, -1 for others."""
+    if not len(known):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, at, -1)
+
+
+def passages(texts: pa.Array, known: np.ndarray):
+    """(text of each passage, its words' places in ``known``, -1 for others) of passages with a known word."""
     h, row, _, _ = words(texts, PUNCT)
-    if known is not None:
-        if not len(known):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        hit = known[at] == h
-        both, times = np.unique(row[hit] * len(known) + at[hit], return_counts=True)
-        return both // len(known), both % len(known), times
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)])
-    return row[new], h[new], np.diff(np.r_[new, len(h)])
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros((0, PASSAGE), np.int64)
+    inside = np.arange(len(row)) - np.searchsorted(row, row)
+    new = np.flatnonzero(inside % PASSAGE == 0)
+    out = np.full((len(new), PASSAGE), -1, np.int64)
+    out[np.cumsum(inside % PASSAGE == 0) - 1, inside % PASSAGE] = place_of(known, h)
+    some = (out >= 0).any(1)
+    return row[new][some], out[some]
+
+
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first .. first + size - 1 of each, in a row."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 @dataclass
 class Model:
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # ascending hashes
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    ids: list[int] = field(default_factory=list)  # of examples with such words, ascending
-    toxic: list[int] = field(default_factory=list)
+    ids: list[int] = field(default_factory=list)  # of examples
+    toxic: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weights: tuple[float, float] = (1.0, 1.0)  # of a vote for 0 and for 1
     share: float = 0.0
-    postings: dict[int, list[tuple[int, float, np.ndarray, np.ndarray]]] = field(default_factory=dict)
-
-    def vector(self, at: np.ndarray, times: np.ndarray) -> np.ndarray:
-        v = (1 + np.log(times)) * self.idf[at]
-        norm = np.linalg.norm(v)
-        return v / norm if norm else v
-
-    def index(self, examples: list[tuple[int, int, list[int], list[int]]]) -> None:
-        """examples: id, label, word places and times, in ascending order of id."""
-        of: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for n, (i, label, at, times) in enumerate(examples):
-            self.ids.append(i)
-            self.toxic.append(label)
-            for t, w in zip(at, self.vector(np.array(at), np.array(times)).tolist(), strict=True):
-                of.setdefault((t, n // BLOCK), []).append((n % BLOCK, w))
-        for (t, block), rows in sorted(of.items()):
-            at, w = (np.array(x) for x in zip(*rows, strict=True))
-            self.postings.setdefault(t, []).append((block, float(w.max()), at, w))
-
-    def nearest(self, at: np.ndarray, weights: np.ndarray) -> list[tuple[float, int]]:
-        """(cosine, example) of the nearest, best first; exact, for skipped blocks can't hold any of them."""
-        most: dict[int, float] = {}
-        parts: dict[int, list[tuple[float, np.ndarray, np.ndarray]]] = {}
-        for t, q in zip(at.tolist(), weights.tolist(), strict=True):
-            for block, top, rows, w in self.postings.get(t, ()):
-                most[block] = most.get(block, 0.0) + q * top
-                parts.setdefault(block, []).append((q, rows, w))
-        best: list[tuple[float, int]] = []  # a heap of (cosine, -example)
-        for block in sorted(most, key=lambda b: (-most[b], b)):
-            if len(best) == NEAREST and most[block] < best[0][0] - 1e-9:
-                break
-            total = np.zeros(BLOCK)
-            for q, rows, w in parts[block]:
-                total[rows] += q * w
-            for r in np.flatnonzero(total > (best[0][0] - 1e-12 if len(best) == NEAREST else 0)).tolist():
-                found = (round(float(total[r]), 12), -(block * BLOCK + r))
-                if len(best) < NEAREST:
-                    heapq.heappush(best, found)
-                elif found > best[0]:
-                    heapq.heapreplace(best, found)
-        return [(c, -n) for c, n in sorted(best, reverse=True)]
-
-    def score(self, at: np.ndarray, times: np.ndarray) -> tuple[float, list[tuple[int, float, int]]]:
-        near = self.nearest(at, self.vector(at, times)) if len(at) else []
-        votes = [c * self.weights[self.toxic[n]] for c, n in near]
-        yes = sum(v for v, (_, n) in zip(votes, near, strict=True) if self.toxic[n])
-        score = (yes + PULL * self.share) / (sum(votes) + PULL)
-        return min(1.0, max(0.0, score)), [(self.ids[n], c, self.toxic[n]) for c, n in near[:3]]
+    curve: tuple[float, float, float] = (1.0, 0.0, 0.0)  # of the value's log-odds, of the logarithm of passages, constant
+    lists: list = field(default_factory=list)  # for one, two and three words: keys, first block of each, last weights, ..
+
+    def vectors(self, places: np.ndarray):
+        """Passages as ascending distinct words (-1 for none, last) and weights of a length of one."""
+        at = np.sort(np.where(places < 0, len(self.words), places), axis=1)
+        times = np.zeros(at.shape)
+        first = np.concatenate([np.ones((len(at), 1), bool), at[:, 1:] != at[:, :-1]], 1)
+        for j in range(PASSAGE):
+            times[:, j] = (at == at[:, j : j + 1]).sum(1)
+        used = first & (at < len(self.words))
+        weight = np.where(used, (1 + np.log(times)) * np.r_[self.idf, 0][at], 0)
+        at = np.where(used, at, len(self.words))
+        order = np.argsort(at, axis=1, kind="stable")
+        at, weight = np.take_along_axis(at, order, 1), np.take_along_axis(weight, order, 1)
+        norm = np.sqrt((weight**2).sum(1, keepdims=True))
+        return np.where(at < len(self.words), at, -1), (weight / np.where(norm > 0, norm, 1)).astype(np.float32)
+
+    def combinations(self, at: np.ndarray, weight: np.ndarray, size: int):
+        """(passage, key, weights) of the words, pairs or triples of passages; keys of pairs and triples build on smaller ones.
+
+        Those too light to reach the radius on their own are left out.
+        """
+        found = []
+        for some in itertools.combinations(range(PASSAGE), size):
+            w = weight[:, some]
+            use = np.flatnonzero((at[:, some] >= 0).all(1) & ((w**2).sum(1) >= (RADIUS - 1e-6) ** 2))
+            key = at[use, some[0]]
+            for depth, j in enumerate(some[1:]):
+                if depth:
+                    key = place_of(self.lists[depth][0], key)
+                    use, key = use[key >= 0], key[key >= 0]
+                key = key * (len(self.words) + 1) + at[use, j]
+            found.append((use, key, weight[use][:, some]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def index(self, of: np.ndarray, places: np.ndarray) -> None:
+        """Builds the lists from passages: the example of each, and its words."""
+        at, weight = self.vectors(places)
+        self.lists = []
+        for size in range(1, PASSAGE + 1):
+            which, key, w = self.combinations(at, weight, size)
+            heavy = (w.astype(np.float64) ** 2).sum(1)
+            order = np.lexsort((of[which], -heavy, key))
+            key, w, doc = key[order], w[order], of[which[order]].astype(np.int32)
+            keys, first = np.unique(key, return_index=True)
+            many = np.diff(np.r_[first, len(key)])
+            blocks = -(-many // BLOCK)
+            block_of = np.r_[0, np.cumsum(blocks)]
+            begin = np.repeat(first, blocks) + BLOCK * (np.arange(block_of[-1]) - np.repeat(block_of[:-1], blocks))
+            most = np.maximum.reduceat(w, begin) if len(begin) else w
+            most = self._suffix(most, block_of)
+            self.lists.append((keys, block_of, most, np.r_[begin, len(key)], doc, w))
+
+    @staticmethod
+    def _suffix(most: np.ndarray, block_of: np.ndarray) -> np.ndarray:
+        """For each block the maximum over it and the later blocks of its list."""
+        of = np.repeat(np.arange(len(block_of) - 1), np.diff(block_of))
+        step = 1
+        while step < len(most) and (np.diff(block_of) > step).any():
+            same = of[:-step] == of[step:]
+            most = most.copy()
+            most[:-step] = np.where(same[:, None], np.maximum(most[:-step], most[step:]), most[:-step])
+            step *= 2
+        return most
+
+    def nearest(self, at: np.ndarray, weight: np.ndarray, own: np.ndarray | None = None):
+        """(passage, example, cosine) of the nearest examples of each passage, best first."""
+        least = np.full(len(at), RADIUS, np.float32)
+        win, doc, cos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        for size in range(PASSAGE, 0, -1):
+            keys, block_of, most, begin, docs, w = self.lists[size - 1]
+            which, key, q = self.combinations(at, weight, size)
+            place = place_of(keys, key)
+            which, q, place = which[place >= 0], q[place >= 0], place[place >= 0]
+            block, end = block_of[place], block_of[place + 1]
+            while len(block):
+                bound = (q * most[block]).sum(1)
+                go = np.flatnonzero((block < end) & (bound > least[which] - 1e-6) & ((bound > least[which] + 1e-6) | (least[which] == np.float32(RADIUS))))
+                which, q, block, end = which[go], q[go], block[go], end[go]
+                if not len(go):
+                    break
+                many = begin[block + 1] - begin[block]
+                p = ranges(begin[block], many)
+                c = (np.repeat(q, many, 0) * w[p]).sum(1)
+                x, d = np.repeat(which, many), docs[p].astype(np.int64)
+                fine = c >= least[x] - 1e-6
+                if own is not None:
+                    fine &= d != own[x]
+                touched = np.unique(x[fine])
+                x, d, c = x[fine], d[fine], c[fine]
+                again = np.zeros(len(at), bool)
+                again[touched] = True
+                old = again[win]
+                x, d, c = np.r_[win[old], x], np.r_[doc[old], d], np.r_[cos[old], c]
+                order = np.lexsort((-c, d, x))
+                x, d, c = x[order], d[order], c[order]
+                head = np.r_[True, (x[1:] != x[:-1]) | (d[1:] != d[:-1])][: len(x)]
+                x, d, c = x[head], d[head], c[head]
+                order = np.lexsort((-c, x))
+                x, d, c = x[order], d[order], c[order]
+                rank = np.arange(len(x)) - np.searchsorted(x, x)
+                full = rank == NEAREST - 1
+                least[x[full]] = np.maximum(c[full], np.float32(RADIUS))
+                keep = rank < NEAREST
+                win, doc, cos = np.r_[win[~old], x[keep]], np.r_[doc[~old], d[keep]], np.r_[cos[~old], c[keep]]
+                block = np.minimum(block + 1, end)
+                more = block < end
+                which, q, block, end = which[more], q[more], block[more], end[more]
+        order = np.lexsort((doc, -cos, win))
+        return win[order], doc[order], np.minimum(cos[order], 1).astype(np.float64)
+
+    def values(self, texts: pa.Array, own: np.ndarray | None = None):
+        """Of each text the largest value of a passage, how many passages it has, and the (example, cosine) nearest to that one."""
+        n = len(texts)
+        row, places = passages(texts, self.words)
+        at, weight = self.vectors(places)
+        key = np.lexsort((at[:, 2], at[:, 1], at[:, 0], np.zeros(len(at)) if own is None else own[row]))
+        same = (at[key[1:]] == at[key[:-1]]).all(1) & (weight[key[1:]] == weight[key[:-1]]).all(1)
+        if own is not None:
+            same &= own[row[key[1:]]] == own[row[key[:-1]]]
+        head = np.r_[True, ~same][: len(key)]
+        of = np.empty(len(key), np.int64)
+        of[key] = np.cumsum(head) - 1
+        some = key[head]  # a passage of each kind
+        value = np.full(len(some), self.share)
+        parts = []
+        vote = np.array(self.weights)
+        for lo in range(0, len(some), PASSAGES):
+            part = some[lo : lo + PASSAGES]
+            win, doc, cos = self.nearest(at[part], weight[part], None if own is None else own[row[part]])
+            v = cos * vote[self.toxic[doc]]
+            every = np.bincount(win, v, len(part))
+            yes = np.bincount(win, v * self.toxic[doc], len(part))
+            value[lo : lo + len(part)] = (yes + PULL * self.share) / (every + PULL)
+            first = np.searchsorted(win, np.arange(len(part)))
+            parts.append((win, doc, cos, first, np.bincount(win, minlength=len(part))))
+        best = np.full(n, -1)
+        order = np.lexsort((np.arange(len(row)), -value[of], row))
+        lead = order[np.r_[True, row[order[1:]] != row[order[:-1]]][: len(order)]]
+        best[row[lead]] = of[lead]
+        found = []
+        for b in best.tolist():
+            if b < 0:
+                found.append([])
+                continue
+            win, doc, cos, first, many = parts[b // PASSAGES]
+            i = b % PASSAGES
+            found.append([(int(doc[j]), float(cos[j])) for j in range(first[i], first[i] + min(3, int(many[i])))])
+        top = np.where(best >= 0, value[best] if len(value) else self.share, self.share)
+        return top, np.bincount(row, minlength=n), found
+
+    def score(self, value: np.ndarray, many: np.ndarray) -> np.ndarray:
+        if not len(self.ids):
+            return np.full(len(value), self.share)
+        return 1 / (1 + np.exp(-(features(value, many) @ np.array(self.curve))))
+
+
+def features(value: np.ndarray, many: np.ndarray) -> np.ndarray:
+    value = np.clip(value, 1e-6, 1 - 1e-6)
+    return np.stack([np.log(value / (1 - value)), np.log1p(many), np.ones(len(value))], 1)
+
+
+def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Logistic regression by Newton's steps, held a little towards zero."""
+    b = np.zeros(x.shape[1])
+    keep = np.diag([0.1] * (x.shape[1] - 1) + [1e-6])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        move = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + keep, x.T @ (weight * (y - p)) - keep @ b)
+        b += move
+        if np.abs(move).max() < 1e-9:
+            break
+    return tuple(b.tolist())
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Examples from ``labels`` (only those rows), statistics from all of ``docs``."""
+    spark = ready(docs.sparkSession)
     said = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     said = stored(said, "labels")
     total = {r["label"]: r["count"] for r in said.groupBy("label").count().collect()}
+    share = total.get(1, 0) / max(1, sum(total.values()))
     chosen = functools.reduce(DataFrame.unionByName, [said.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(EXAMPLES) for c in (0, 1)])
     chosen = stored(chosen, "chosen")  # 2 * EXAMPLES rows at most
-
-    def spell(batches):
-        for batch in batches:
-            for lo, hi in steps(batch.column(2)):
-                row, h, times = counts(batch.column(2)[lo:hi])
-                every, at, _, _ = words(batch.column(2)[lo:hi], PUNCT)
-                s, at = shingles(every, at, 3)
-                family = np.full(hi - lo, np.iinfo(np.uint64).max)
-                np.minimum.at(family, at, s)
-                pick = pa.array(row + lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(h.view(np.int64)), pa.array(times, pa.int64()), pa.array(family[row].view(np.int64))], ["id", "label", "word", "times", "family"])
-
-    text = F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text).join(F.broadcast(chosen), "id").select("id", "label", "text")
-    spelled = stored(rows.mapInArrow(lean(spell), "id long, label int, word long, times long, family long"), "spelled")
-    size = {c: min(total.get(c, 0), EXAMPLES) for c in (0, 1)}
-    model = Model(weights=tuple(total.get(c, 0) / max(1, size[c]) for c in (0, 1)), share=total.get(1, 0) / max(1, sum(total.values())))
-    if not (size[0] and size[1]):
-        return model
-    of = spelled.groupBy("word").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"), F.count_distinct(F.when(F.col("label") == 1, F.col("family"))).alias("families"))
-    p = (F.col("n1") + F.col("n0")) / (size[0] + size[1])
-    z = (F.col("n1") / size[1] - F.col("n0") / size[0]) / F.sqrt(p * (1 - p) * (1 / size[0] + 1 / size[1]) + 1e-12)
-    picked = of.withColumn("z", z).where((F.col("z") >= SIGNIFICANT) & (F.col("families") >= SEEN)).orderBy(F.desc("z"), "word").limit(VOCABULARY)
-    model.words = np.sort(np.array([r["word"] for r in picked.select("word").collect()], np.int64).view(np.uint64))
-    known = docs.sparkSession.sparkContext.broadcast(model.words)
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).join(F.broadcast(chosen), "id")
+    rows = stored(rows.groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text")), "examples")
+    size = rows.groupBy("label", F.sha2("text", 256).alias("sha")).agg(F.min("id").alias("id"), F.first(F.octet_length("text")).alias("bytes")).orderBy(F.desc("label"), F.xxhash64("id"), "id").collect()
+    used, seen, spent = [], set(), {0: 0, 1: 0}
+    for r in size:  # a text that is toxic anywhere is so everywhere
+        if r["sha"] not in seen and spent[r["label"]] + r["bytes"] <= EXAMPLE_BYTES:
+            seen.add(r["sha"])
+            spent[r["label"]] += r["bytes"]
+            used.append((r["id"], r["label"]))
+    labels_used = [label for _, label in used]
+    if len(set(labels_used)) < 2:
+        return Model(share=share)
+    of = sorted(used)
+    number = {i: n for n, (i, _) in enumerate(of)}
+    model = Model(ids=[i for i, _ in of], toxic=np.array([label for _, label in of]), share=share)
+    weights = [total[c] / labels_used.count(c) for c in (0, 1)]
+    mean = sum(total.values()) / len(used)
+    model.weights = (weights[0] / mean, weights[1] / mean)
+    taken = rows.where(F.col("id").isin([i for i, _ in of])) if len(of) < 50 else rows.join(F.broadcast(spark.createDataFrame([(i,) for i, _ in of], "id long")), "id")
+    texts = taken.orderBy("id").select("id", "text").toArrow()  # 2 * EXAMPLE_BYTES at most
+    h = words(texts["text"].combine_chunks() if isinstance(texts["text"], pa.ChunkedArray) else texts["text"], PUNCT)[0]
+    model.words = np.unique(h)
+    known = spark.sparkContext.broadcast(model.words)
 
     def occur(batches):
         seen, n = np.zeros(len(known.value), np.int64), 0
         for batch in batches:
             for lo, hi in steps(batch.column(0)):
-                _, at, _ = counts(batch.column(0)[lo:hi], known.value)
-                seen += np.bincount(at, minlength=len(seen))
+                h, row, _, _ = words(batch.column(0)[lo:hi], PUNCT)
+                at = place_of(known.value, h)
+                both = np.unique((row * len(known.value) + at)[at >= 0])
+                seen += np.bincount(both % len(known.value), minlength=len(seen))
                 n += hi - lo
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, np.arange(len(seen))]), pa.array(np.r_[n, seen])], ["at", "n"])
-
-    had = {r["at"]: r["n"] for r in docs.select(text).mapInArrow(lean(occur), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
-    model.idf = np.log((1 + had.get(-1, 0)) / (1 + np.array([had.get(i, 0) for i in range(len(model.words))]))) + 1
-    place = {int(w): i for i, w in enumerate(model.words.view(np.int64).tolist())}
-    vocabulary = docs.sparkSession.createDataFrame([(w, i) for w, i in place.items()], "word long, at int")
-    examples = spelled.join(F.broadcast(vocabulary), "word").groupBy("id", "label").agg(F.sort_array(F.collect_list(F.struct("at", "times"))).alias("w")).orderBy("id").collect()
-    model.index([(r["id"], r["label"], [x["at"] for x in r["w"]], [x["times"] for x in r["w"]]) for r in examples])
-    silent = [(size[c] - model.toxic.count(c)) * model.weights[c] for c in (0, 1)]
-    model.share = silent[1] / max(1e-9, sum(silent))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, seen[at]])], ["at", "n"])
+
+    had = docs.select(text.alias("text")).mapInArrow(lean(occur), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    df, at, n = np.zeros(len(model.words)), had["at"].to_numpy(), had["n"].to_numpy()
+    df[at[at >= 0]] = n[at >= 0]
+    model.idf = np.maximum(np.log((1 + n[at < 0].sum()) / (1 + df)), 1e-6)
+    row, places = passages(texts["text"].combine_chunks(), model.words)
+    model.index(np.array([number[i] for i in texts["id"].to_pylist()])[row], places)
+
+    told = spark.sparkContext.broadcast(model)
+
+    def alone(batches):
+        for batch in batches:
+            for lo, hi in steps(batch.column(1)):
+                own = np.searchsorted(told.value.ids, batch.column(0)[lo:hi].to_numpy())
+                value, many, _ = told.value.values(batch.column(1)[lo:hi], own)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(value), pa.array(many, pa.int64())], ["id", "value", "many"])
+
+    tried = taken.select("id", "text").mapInArrow(lean(alone), "id long, value double, many long").orderBy("id").toArrow()
+    y = model.toxic[[number[i] for i in tried["id"].to_pylist()]]
+    model.curve = fitted(features(tried["value"].to_numpy(), tried["many"].to_numpy()), y, np.array(model.weights)[y])
+    told.unpersist()
     return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` of each row with score, predicted and evidence (the three nearest examples)."""
+    """Columns ``keep`` of each row with score, evidence (the three nearest examples) and predicted."""
+    spark = ready(docs.sparkSession)
     kept = docs.select(*keep)
+    low = fresh()
     schema = StructType([*kept.schema, StructField("score", DoubleType()), StructField("evidence", EVIDENCE)])
-    told = docs.sparkSession.sparkContext.broadcast(model)
+    told = spark.sparkContext.broadcast(model)
 
     def run(batches):
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int64())]))
         model = told.value
-        done: dict[bytes, tuple] = {}
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for lo, hi in steps(texts):
-                row, at, times = counts(texts[lo:hi], model.words)
-                edges = np.searchsorted(row, np.arange(hi - lo + 1))
-                scores, evidence = np.full(hi - lo, model.share), [[] for _ in range(hi - lo)]
-                for i in np.flatnonzero(np.diff(edges)).tolist():
-                    a, t = at[edges[i] : edges[i + 1]], times[edges[i] : edges[i + 1]]
-                    key = a.tobytes() + t.tobytes()
-                    if key not in done:
-                        if len(done) > 50_000:
-                            done.clear()
-                        done[key] = model.score(a, t)
-                    scores[i], evidence[i] = done[key]
-                evidence = [[dict(zip(("doc_id", "similarity", "toxic"), x, strict=True)) for x in e] for e in evidence]
-                yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[:-1]), pa.array(scores), pa.array(evidence, kind)], [*keep, "score", "evidence"])
-
-    out = docs.select(*keep, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")).mapInArrow(lean(run), schema)
+                if len(model.ids):
+                    value, many, near = model.values(texts[lo:hi])
+                else:
+                    value, many, near = np.full(hi - lo, model.share), np.zeros(hi - lo), [[]] * (hi - lo)
+                evidence = [[{"doc_id": model.ids[d], "similarity": c, "toxic": int(model.toxic[d])} for d, c in e] for e in near]
+                yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[:-1]), pa.array(model.score(value, many)), pa.array(evidence, kind)], [*keep, "score", "evidence"])
+
+    out = docs.select(*keep, F.lower(F.coalesce(F.col(text), F.lit(""))).alias(low)).mapInArrow(lean(run), schema)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
