@@ -63,12 +63,7 @@ def _plain(texts: DataFrame, handler: str, config: Config) -> DataFrame:
         raw = blocks.block("raw", F.concat(F.lit("```json\n"), F.col("j.text"), F.lit("\n```")))
         return _whole(t.withColumn("blocks", F.filter(F.array(raw), lambda b: b["text"].isNotNull())), encoding=F.col("encoding"), error=F.col("j.error"))
     if handler == "html":
-        t = t.withColumn("e", markup.html_events(F.col("text"))).select("doc_id", "encoding", F.posexplode_outer("e").alias("at", "e"))
-        rows = t.where("e IS NOT NULL AND e.kind <> 'cell'").select("doc_id", "at", F.lit(0).alias("within"), "e.kind", "e.text", "e.level", F.lit(None).cast(f"array<array<{blocks.CELL}>>").alias("rows"))
-        cells = t.where("e.kind = 'cell'").groupBy("doc_id", "e.table", "e.row").agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("e.col", F.struct("e.text", "e.col_span", "e.row_span").alias("c"))))["c"].alias("cells"))
-        tables = cells.groupBy("doc_id", "table").agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("row", "cells")))["cells"].alias("rows"))
-        every = rows.unionByName(tables.select("doc_id", "at", F.lit(0).alias("within"), F.lit("table").alias("kind"), F.lit("").alias("text"), F.lit(0).alias("level"), "rows"))
-        made = t.select("doc_id", "encoding").distinct().join(_gathered(every, "at"), "doc_id", "left")
+        made = t.select("doc_id", "encoding").join(_gathered(markup.html_blocks(t), "at"), "doc_id", "left")
         return _whole(made.withColumn("blocks", F.coalesce("blocks", F.array().cast(f"array<{blocks.BLOCK}>"))), encoding=F.col("encoding"))
     delimiter = F.when(F.col("ext") == ".tsv", markup.csv_rows(F.col("text"), "\t")).otherwise(markup.csv_rows(F.col("text")))
     lines = t.select("doc_id", "encoding", F.posexplode(delimiter).alias("row", "cells"))

@@ -284,25 +284,35 @@ def log_summaries(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", blocks.log_summary({"headings": F.when(odd, F.col("p_size")), "tables": F.when(odd, 1).otherwise(0)}).alias("summary"))
 
 
+def _pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+
+
 @query("""WITH a AS (SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS h FROM pages)
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(h, '**', ''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS heading FROM a WHERE trim(h) <> ''""")
 def html_headings(spark, sf_dir):
     """Headings of web pages."""
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(markup.html_events(F.col("html"))).alias("e"))
-    return rows.where("e.kind = 'heading'").select("page_id", F.col("e.text").alias("heading"))
+    return markup.html_blocks(_pages(spark, sf_dir)).where("kind = 'heading'").select(F.col("doc_id").alias("page_id"), F.col("text").alias("heading"))
 
 
 @query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS items FROM pages WHERE html LIKE '%<li>%'""")
 def html_items(spark, sf_dir):
     """List items of web pages."""
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(markup.html_events(F.col("html"))).alias("e"))
-    return rows.where("e.kind = 'para' AND e.text LIKE '- %'").groupBy("page_id").agg(F.count("*").alias("items"))
-
-
-@query()
+    return markup.html_blocks(_pages(spark, sf_dir)).where("kind = 'para' AND text LIKE '- %'").groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("items"))
+
+
+@query("""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<head>.*?</head>|<script>.*?</script>|<style>.*?</style>', '', 'gs'), '<!.*?>', '', 'gs') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '</li>', chr(3), 'g'), '</h1>', chr(4), 'g'), '</?(p|div|ul|li|h1|article|section)( [^>]*)?>', chr(2), 'g'), '<br>', ' ', 'g') AS h FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(replace(h, '<b>', '**'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&nbsp;', ' '), '&amp;', '&') || chr(2) AS h FROM b),
+d AS (SELECT page_id, regexp_extract_all(h, '[^\\x02\\x03\\x04]*[\\x02\\x03\\x04]') AS s FROM c),
+e AS (SELECT page_id, s, unnest(generate_series(1, len(s))) AS i FROM d),
+f AS (SELECT page_id, i, right(s[i], 1) AS mark, trim(regexp_replace(left(s[i], length(s[i]) - 1), '\\s+', ' ', 'g')) AS t FROM e),
+g AS (SELECT page_id, i, CASE mark WHEN chr(3) THEN '- ' || t WHEN chr(4) THEN '# ' || replace(t, '**', '') ELSE t END AS t FROM f WHERE t <> ''),
+h AS (SELECT *, lag(t) OVER (PARTITION BY page_id ORDER BY i) AS last FROM g)
+SELECT page_id, string_agg(CASE WHEN last IS NULL THEN '' WHEN regexp_matches(last, '^- ') AND regexp_matches(t, '^- ') THEN chr(10) ELSE chr(10) || chr(10) END || t, '' ORDER BY i) || chr(10) AS body FROM h GROUP BY page_id""")
 def html_blocks(spark, sf_dir):
     """All blocks of web pages, as Markdown."""
-    texts = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("html").alias("handler"), F.col("html").alias("text"), F.lit(None).cast("string").alias("encoding"))
+    texts = _pages(spark, sf_dir).withColumns({"handler": F.lit("html"), "encoding": F.lit(None).cast("string")})
     return engine._plain(texts, "html", engine.Config()).select(F.col("doc_id").alias("page_id"), blocks.body(F.col("blocks")).alias("body"))
 
 
@@ -311,7 +321,7 @@ def html_blocks(spark, sf_dir):
 _PAGES = """
 WITH raw AS (
   SELECT doc_id, CAST(i AS INTEGER) AS page_no, lines[i] AS body FROM (
-    SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE doc_id % 5 = 0))),
+    SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
 lines AS (
   SELECT doc_id, page_no, 0 AS line_no, 'Internal Report' AS line FROM raw
   UNION ALL SELECT doc_id, page_no, 1, trim(regexp_replace(body, '\\s+', ' ', 'g')) FROM raw WHERE trim(body) <> ''
@@ -326,10 +336,9 @@ kept AS (SELECT l.doc_id, l.page_no, l.line_no, l.line FROM lines l LEFT JOIN bo
 """
 
 
-def _page_lines(spark, sf_dir, every=False):
-    """Each line of a document as a page; those of one document in five, as in the SQL, or of ``every`` document."""
-    docs = table(spark, sf_dir, "documents")
-    docs = (docs if every else docs.where("doc_id % 5 = 0")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_no", "body")).withColumn("page_no", F.col("page_no") + 1)
+def _page_lines(spark, sf_dir):
+    """Each line of a document as a page."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_no", "body")).withColumn("page_no", F.col("page_no") + 1)
     text = F.concat(F.lit("Internal Report\n"), F.replace("body", F.lit("\n"), F.lit(" ")), F.lit("\n- "), F.col("page_no").cast("string"), F.lit(" -"))
     return pages.clean_lines(docs.select("doc_id", "page_no", text.alias("text")))
 
@@ -355,19 +364,19 @@ def page_text_size(spark, sf_dir):
 @query()
 def page_boilerplate_all(spark, sf_dir):
     """``page_boilerplate`` of every document."""
-    return pages.repeated_edges(_page_lines(spark, sf_dir, every=True))
+    return pages.repeated_edges(_page_lines(spark, sf_dir))
 
 
 @query()
 def page_body_all(spark, sf_dir):
     """``page_body`` of every document."""
-    return pages.body_lines(_page_lines(spark, sf_dir, every=True)).select("doc_id", "page_no", "line_no", "line")
+    return pages.body_lines(_page_lines(spark, sf_dir)).select("doc_id", "page_no", "line_no", "line")
 
 
 @query()
 def page_text_size_all(spark, sf_dir):
     """``page_text_size`` of every document."""
-    return pages.scanned(pages.body_lines(_page_lines(spark, sf_dir, every=True)))
+    return pages.scanned(pages.body_lines(_page_lines(spark, sf_dir)))
 
 
 _LINES = ("제3조 목적", "이 규정은", "적용한다.", "• 항목", "2.1 범위", "끝난다", "제 2 장 총칙", "1. 서론")
@@ -425,21 +434,26 @@ def sheet_values(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", T.serial_date(n).alias("day"), T.serial_date(n + 0.5).alias("noon"), T.clean_number(F.concat(F.col("l_suppkey").cast("string"), F.lit(".0"))).alias("whole"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey < 26 THEN chr(CAST(65 + p_partkey AS INTEGER)) ELSE chr(CAST(64 + p_partkey // 26 AS INTEGER)) || chr(CAST(65 + p_partkey % 26 AS INTEGER)) END AS letters, CAST(p_partkey AS INTEGER) AS idx FROM part WHERE p_partkey < 702""")
+def _letters(spark, sf_dir, kind):
+    spelled = lambda a, _: F.when(a["n"] > 0, F.struct(F.floor((a["n"] - 1) / 26).alias("n"), F.concat(F.char((a["n"] - 1) % 26 + 65), a["s"]).alias("s"))).otherwise(a)
+    start = F.struct((F.col("p_partkey") + 1).alias("n"), F.lit("").alias("s"))
+    letters = F.aggregate(F.sequence(F.lit(1), F.lit(13)), start, spelled, lambda a: a["s"])  # 13 letters number more than 2 ** 61 columns
+    return table(spark, sf_dir, "part").select("p_partkey", letters.alias("letters")).withColumn("idx", T.column_index("letters", kind))
+
+
+@query("""WITH RECURSIVE spelled AS (
+  SELECT p_partkey, CAST(p_partkey + 1 AS BIGINT) AS n, '' AS letters FROM part
+  UNION ALL SELECT p_partkey, (n - 1) // 26, chr(CAST(65 + (n - 1) % 26 AS INTEGER)) || letters FROM spelled WHERE n > 0)
+SELECT p_partkey, letters, CAST(p_partkey AS INTEGER) AS idx FROM spelled WHERE n = 0""")
 def column_letters(spark, sf_dir):
-    """Column letters to numbers."""
-    k = F.col("p_partkey")
-    letters = F.when(k < 26, F.char(k + 65)).otherwise(F.concat(F.char(F.floor(k / 26) + 64), F.char(k % 26 + 65)))
-    return table(spark, sf_dir, "part").where("p_partkey < 702").select("p_partkey", letters.alias("letters")).withColumn("idx", T.column_index("letters"))
+    """Column letters of any length to numbers, for every part."""
+    return _letters(spark, sf_dir, "int")
 
 
 @query()
 def column_letters_all(spark, sf_dir):
-    """Column letters of any length to numbers, for every part."""
-    spelled = lambda a, _: F.when(a["n"] > 0, F.struct(F.floor((a["n"] - 1) / 26).alias("n"), F.concat(F.char((a["n"] - 1) % 26 + 65), a["s"]).alias("s"))).otherwise(a)
-    start = F.struct((F.col("p_partkey") + 1).alias("n"), F.lit("").alias("s"))
-    letters = F.aggregate(F.sequence(F.lit(1), F.lit(13)), start, spelled, lambda a: a["s"])  # 13 letters number more than 2 ** 61 columns
-    return table(spark, sf_dir, "part").select("p_partkey", letters.alias("letters")).withColumn("idx", T.column_index("letters", "long"))
+    """The same as long numbers."""
+    return _letters(spark, sf_dir, "long")
 
 
 @query("""SELECT p_partkey, ['\\frac{a}{b}', '\\alpha \\times 2', '\\sqrt {x} \\leq \\infty'][p_partkey % 3 + 1] AS latex FROM part""")

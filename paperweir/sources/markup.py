@@ -11,10 +11,14 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, MapType, StringType, StructField, StructType
 
+from ..functions.text import squash
+from ..operators.blocks import CELL
+
 NODE = StructType([
     StructField("part", StringType()), StructField("ord", IntegerType()), StructField("last", IntegerType()), StructField("tag", StringType()),
     StructField("attrs", MapType(StringType(), StringType())), StructField("text", StringType()), StructField("tail", StringType()),
@@ -86,123 +90,115 @@ def members(content: Column, pattern: str) -> Column:
     return run(content)
 
 
-EVENT = StructType([StructField("kind", StringType()), StructField("level", IntegerType()), StructField("text", StringType()), StructField("row", IntegerType()), StructField("col", IntegerType()), StructField("col_span", IntegerType()), StructField("row_span", IntegerType()), StructField("table", IntegerType())])
-# Elements that end a block, and elements whose content isn't text.
-BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "aside", "blockquote", "pre", "dt", "dd", "figure", "figcaption", "address", "nav", "form", "fieldset"}
-SKIPPED = {"script", "style", "head", "noscript", "svg", "template"}
+TOKEN = StructType([StructField("kind", StringType()), StructField("tag", StringType()), StructField("text", StringType()), StructField("col_span", IntegerType()), StructField("row_span", IntegerType())])
+# Elements that begin and end a block, elements whose content isn't text, and the name of a picture without one.
+HTML_BLOCKS = ["p", "div", "section", "article", "blockquote", "pre", "figcaption", "dd", "dt"]
+HTML_SKIPPED = ["script", "style", "head", "noscript", "svg", "template"]
 PICTURE = "그림"
+# End of the fixed values.
+HTML_HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
+HTML_LISTS, HTML_BOLD, HTML_CELLS = ["ul", "ol"], ["b", "strong"], ["td", "th"]
 
 
-class _Reader(HTMLParser):
-    """Collects headings, paragraphs, list items and cells in the order in which they end."""
+class _Tokens(HTMLParser):
+    """Tags and text of a page as they come, without any meaning."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.events, self.held = [], []
-        self.skip = self.depth = self.level = self.tables = 0
-        self.item, self.cell = False, None
-
-    def put(self, text: str) -> None:
-        if not self.skip:
-            self.held.append(text)
-
-    def flush(self) -> None:
-        text = " ".join("".join(self.held).split())
-        self.held = []
-        if not text:
-            return
-        if self.cell is not None:
-            self.cell["text"].append(text)
-        elif self.level:
-            self.events.append(("heading", self.level, text.replace("**", ""), 0, 0, 1, 1, 0))
-        else:
-            lead = "  " * max(0, self.depth - 1) + "- " if self.item else ""
-            self.events.append(("para", 0, lead + text, 0, 0, 1, 1, 0))
+        self.found: list[tuple] = []
 
     def handle_data(self, data: str) -> None:
-        self.put(data)
+        self.found.append(("text", "", data, 1, 1))
 
     def handle_starttag(self, tag: str, attrs) -> None:
         have = dict(attrs)
-        if tag in SKIPPED:
-            self.skip += 1
-        elif self.skip:
-            return
-        elif re.fullmatch("h[1-6]", tag):
-            self.flush()
-            self.level = int(tag[1])
-        elif tag in ("ul", "ol"):
-            self.flush()
-            self.item = False
-            self.depth += 1
-        elif tag == "li":
-            self.flush()
-            self.item = True
-        elif tag in ("b", "strong"):
-            self.put("**")
-        elif tag == "br":
-            self.put(" ")
-        elif tag == "img":
-            self.put(f"![{have.get('alt') or PICTURE}]({have.get('src') or ''})")
-        elif tag == "table":
-            self.flush()
-            self.tables += 1
-            self.row, self.column = -1, 0
-        elif tag == "tr":
-            self.row, self.column = getattr(self, "row", -1) + 1, 0
-        elif tag in ("td", "th"):
-            self.flush()
-            span = lambda k: max(1, int(have[k])) if (have.get(k) or "").strip().isdigit() else 1
-            self.cell = {"text": [], "at": (getattr(self, "row", 0), getattr(self, "column", 0)), "span": (span("colspan"), span("rowspan"))}
-        elif tag in BLOCKS:
-            self.flush()
+        spans = [max(1, int(v)) if re.fullmatch(r"\s*[+-]?\d{1,9}\s*", v) else 1 for v in (have.get("colspan") or "", have.get("rowspan") or "")]
+        picture = f" ![{have.get('alt', PICTURE)}]({have['src']}) " if tag == "img" and have.get("src") else ""
+        self.found.append(("open", tag, picture, *spans))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        elif self.skip:
-            return
-        elif re.fullmatch("h[1-6]", tag):
-            self.flush()
-            self.level = 0
-        elif tag in ("ul", "ol"):
-            self.flush()
-            self.depth = max(0, self.depth - 1)
-            self.item = False
-        elif tag == "li":
-            self.flush()
-            self.item = False
-        elif tag in ("b", "strong"):
-            self.put("**")
-        elif tag in ("td", "th") and self.cell is not None:
-            self.flush()
-            (row, column), (wide, high) = self.cell["at"], self.cell["span"]
-            self.events.append(("cell", 0, " ".join(self.cell["text"]), row, column, wide, high, self.tables))
-            self.column, self.cell = column + 1, None
-        elif tag in BLOCKS or tag == "table":
-            self.flush()
-
-    def close(self) -> None:
-        super().close()
-        self.flush()
-
-
-def html_events(html: Column) -> Column:
-    """Headings, paragraphs and table cells of a page, in order.  Null gives none."""
-
-    @pandas_udf(ArrayType(EVENT))
+        self.found.append(("close", tag, "", 1, 1))
+
+
+def html_tokens(html: Column) -> Column:
+    """Tags and texts of a page in order, and a last token that ends it.  Null is an empty page."""
+
+    @pandas_udf(ArrayType(TOKEN))
     def run(column: pd.Series) -> pd.Series:
         def one(text):
-            reader = _Reader()
+            reader = _Tokens()
             reader.feed(text or "")
             reader.close()
-            return reader.events
+            return [*reader.found, ("end", "", "", 1, 1)]
 
         return pd.Series([one(x) for x in column])
 
     return run(html)
 
 
+def _depth(rows: DataFrame, into: str, up: Column, down: Column) -> DataFrame:
+    """Adds how many elements are open after each token; one that closes what isn't open counts for nothing."""
+    order = Window.partitionBy("doc_id").orderBy("at")
+    rows = rows.withColumn("_sum", F.sum(up.cast("int") - down.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    low = F.least(F.lit(0), F.min("_sum").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn(into, F.col("_sum") - low).drop("_sum")
+
+
+def html_blocks(pages: DataFrame) -> DataFrame:
+    """doc_id, at, kind, level, text and rows of the headings, paragraphs and tables of pages (doc_id, text), in order.
+
+    Each token gets what is open before it, as running values over the tokens of its page.  The text between
+    two tokens that end a block is one: a heading, a paragraph, an item of a list or a part of a cell.
+    """
+    tokens = pages.select("doc_id", F.posexplode(html_tokens(F.col("text"))).alias("at", "t")).select("doc_id", "at", "t.*")
+    opened, closed = F.col("kind") == "open", F.col("kind") == "close"
+    of = lambda *tags: F.col("tag").isin(*tags)
+    rows = _depth(tokens, "skipped", opened & of(*HTML_SKIPPED), closed & of(*HTML_SKIPPED))
+    rows = rows.where((F.col("skipped") == 0) & ~of(*HTML_SKIPPED) | (F.col("kind") == "end")).drop("skipped")
+
+    order = Window.partitionBy("doc_id").orderBy("at")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    last = lambda c: F.last(c, ignorenulls=True).over(before)
+    following = lambda c: F.first(c, ignorenulls=True).over(after)
+    rows = _depth(rows, "bold", opened & of(*HTML_BOLD), closed & of(*HTML_BOLD))
+    rows = _depth(rows, "lists", opened & of(*HTML_LISTS), closed & of(*HTML_LISTS))
+    in_table = F.coalesce(last(F.when(of("table"), opened)), F.lit(False))
+    rows = rows.withColumns({
+        "bold": F.coalesce(F.lag("bold").over(order), F.lit(0)),
+        "lists": F.coalesce(F.lag("lists").over(order), F.lit(0)),
+        "level": F.coalesce(last(F.when(of(*HTML_HEADINGS), F.when(opened, F.substring("tag", 2, 1).cast("int")).otherwise(0))), F.lit(0)),
+        "in_table": in_table,
+        "table_end": following(F.when(of("table"), F.when(closed, F.col("at")).otherwise(-1))),
+    })
+    row = of("tr") & (closed | F.col("in_table"))
+    rows = rows.withColumns({"in_row": F.coalesce(last(F.when(row, opened)), F.lit(False)), "row_end": following(F.when(row, F.when(closed, F.col("at")).otherwise(-1)))})
+    rows = rows.withColumn("cell", last(F.when(of(*HTML_CELLS) & opened & F.col("in_row"), F.struct("at", "col_span", "row_span")).when(of(*HTML_CELLS) & closed, F.struct(F.lit(-1).alias("at"), "col_span", "row_span"))))
+    in_cell = F.coalesce(F.col("cell.at") >= 0, F.lit(False))
+    ends_cell = closed & of(*HTML_CELLS) & in_cell
+    ends_block = (F.col("kind") == "end") | (opened | closed) & of(*HTML_BLOCKS, *HTML_HEADINGS, *HTML_LISTS, "li") | opened & of("table")
+    piece = (
+        F.when(F.col("kind") == "text", F.col("text")).when(opened & of("br"), " ").when(opened & of(*HTML_BOLD) | closed & of(*HTML_BOLD) & (F.col("bold") > 0), "**").when(opened & of("img"), F.col("text"))
+    )
+    rows = rows.withColumns({"piece": piece, "ends": ends_block | ends_cell, "take": ends_cell, "in_cell": in_cell, "item": closed & of("li")})
+    rows = rows.withColumn("part", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0)))
+    told = F.max(F.when(F.col("ends"), F.struct("at", "level", "lists", "item", "take", "in_cell", "cell", "in_table", "table_end", "row_end"))).alias("e")
+    parts = rows.groupBy("doc_id", "part").agg(squash(F.array_join(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece"))))["piece"], "")).alias("text"), told)
+
+    none = F.lit(None).cast(f"array<array<{CELL}>>")
+    said = parts.where("NOT e.in_cell AND text <> ''")
+    prefix = F.when(F.col("e.item"), F.concat(F.repeat(F.lit("  "), F.greatest(F.lit(0), F.col("e.lists") - 1)), F.lit("- "))).otherwise("")
+    heading = F.col("e.level") > 0
+    said = said.select("doc_id", "e.at", F.when(heading, "heading").otherwise("para").alias("kind"), "e.level", F.when(heading, F.replace("text", F.lit("**"), F.lit(""))).otherwise(F.concat(prefix, "text")).alias("text"), none.alias("rows"))
+    # a cell shows what stood last in it before its finished blocks
+    first = F.max(F.when(F.col("e.take"), F.col("text")))
+    inner = F.array_sort(F.collect_list(F.when(~F.col("e.take") & (F.col("text") != ""), F.struct("part", "text"))))["text"]
+    cells = parts.where("e.in_cell").groupBy("doc_id", "e.cell").agg(squash(F.concat_ws(" ", first, F.array_join(inner, " "))).alias("text"), F.max(F.when(F.col("e.take"), F.struct("e.at", "e.in_table", "e.table_end", "e.row_end"))).alias("e"))
+    cells = cells.where("e.table_end > e.row_end AND e.row_end >= 0 AND e.in_table").select("doc_id", "e.at", "e.table_end", "e.row_end", F.struct("text", "cell.col_span", "cell.row_span").cast(CELL).alias("c"))
+    lines = cells.groupBy("doc_id", "table_end", "row_end").agg(F.array_sort(F.collect_list(F.struct("at", "c")))["c"].alias("cells"))
+    tables = lines.groupBy("doc_id", "table_end").agg(F.array_sort(F.collect_list(F.struct("row_end", "cells")))["cells"].alias("rows"))
+    return said.unionByName(tables.select("doc_id", F.col("table_end").alias("at"), F.lit("table").alias("kind"), F.lit(0).alias("level"), F.lit("").alias("text"), F.col("rows").cast(f"array<array<{CELL}>>").alias("rows")))
+
+
 def csv_rows(text: Column, delimiter: str | None = None) -> Column:
     """Rows of cells; without a delimiter, the one of , ; tab | that the first twenty lines suggest."""
 

@@ -97,11 +97,30 @@ def test_encodings(spark):
     assert got[2]["encoding"] == "utf-8-sig" and got[3]["error"] == got[4]["error"] == files.EMPTY
 
 
-def test_html(spark):
-    page = "<head><title>z</title></head><h1>T <b>x</b></h1><p>a <b>b</b> c</p><ul><li>p<ul><li>q</li></ul></li></ul><table><tr><td colspan=2>m</td><td>n</td></tr></table><script>no</script>"
-    rows = spark.createDataFrame([(1, page), (2, None)], "i int, html string").select("i", F.explode(markup.html_events(F.col("html"))).alias("e")).select("i", "e.*").collect()
-    assert [(r["kind"], r["level"], r["text"]) for r in rows] == [("heading", 1, "T x"), ("para", 0, "a **b** c"), ("para", 0, "- p"), ("para", 0, "  - q"), ("cell", 0, "m"), ("cell", 0, "n")]
-    assert [(r["col_span"], r["col"]) for r in rows if r["kind"] == "cell"] == [(2, 0), (1, 1)]
+def html(spark, page):
+    rows = markup.html_blocks(spark.createDataFrame([(1, page)], "doc_id int, text string")).orderBy("at").collect()
+    cell = lambda c: c["text"] if (c["col_span"], c["row_span"]) == (1, 1) else tuple(c)
+    return [(r["kind"], r["level"], r["text"]) if r["kind"] != "table" else [[cell(c) for c in x] for x in r["rows"]] for r in rows]
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (None, []),
+    ("<head><title>z</title></head><h1>T <b>x</b></h1><p>a <b>b</b> c</p>", [("heading", 1, "T x"), ("para", 0, "a **b** c")]),
+    ("<ul><li>p<ul><li>q</li></ul></li></ul>", [("para", 0, "p"), ("para", 0, "  - q")]),  # a list inside ends the text of its item
+    ("<ol><li>a</li><li>b</ol>", [("para", 0, "- a"), ("para", 0, "b")]),
+    ("<nav>x</nav>y<main>z</main>", [("para", 0, "xyz")]),
+    ("a</b>b<b>c", [("para", 0, "ab**c")]),
+    ("x<img src=u alt=''>y<img src=v>z<img alt=no>", [("para", 0, "x ![](u) y ![그림](v) z")]),
+    ("<script>if (a<b) x</script>a<style>p{}</style> b<template><p>t</p></template>", [("para", 0, "a b")]),
+    ("<table><tr><td colspan=2>m</td><td rowspan=x>n</td></tr><tr></tr></table>", [[[("m", 2, 1), "n"]]]),
+    ("a<table><tr><td><p>p</p><p>q</p>r</td></tr></table>b", [("para", 0, "a"), [["r p q"]], ("para", 0, "b")]),
+    ("<table><tr><td>x<table><tr><td>y</td></tr></table></td></tr></table>", [[["y"]]]),  # the inner table takes over
+    ("<table><tr><td>never closed", []),
+    ("<h2>a<p>b</p></h2>c", [("heading", 2, "a"), ("heading", 2, "b"), ("para", 0, "c")]),
+    ("<td>a</td><tr>b</tr>", [("para", 0, "ab")]),
+])
+def test_html(spark, page, want):
+    assert html(spark, page) == want
 
 
 def test_csv_and_json(spark):
