@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def col(c: Column | str) -> Column:
@@ -63,7 +66,12 @@ def bold(c: Column | str) -> Column:
 
 
 # Words of equation scripts and what they become.
-EQUATION_WORDS = [(w, "\\" + w) for w in "over sqrt sum int times div leq geq neq".split()] + [("inf", "\\infty")] + [(w, "\\" + w) for w in "alpha beta gamma delta theta lambda pi sigma omega".split()]
+EQUATION_WORDS = [
+    ("over", "\\over"), ("sqrt", "\\sqrt"), ("sum", "\\sum"), ("int", "\\int"), ("times", "\\times"), ("div", "\\div"), ("leq", "\\leq"),
+    ("geq", "\\geq"), ("neq", "\\neq"), ("inf", "\\infty"), ("alpha", "\\alpha"), ("beta", "\\beta"), ("gamma", "\\gamma"), ("delta", "\\delta"),
+    ("theta", "\\theta"), ("lambda", "\\lambda"), ("pi", "\\pi"), ("sigma", "\\sigma"), ("omega", "\\omega"),
+]
+# End of the fixed values.
 
 
 def latex(script: Column | str) -> Column:
@@ -88,18 +96,19 @@ def serial_date(serial: Column | str) -> Column:
     return F.when((x > 0) & (x <= 2958465), text)
 
 
+@pandas_udf(StringType())
+def _ten_digits(x: pd.Series) -> pd.Series:
+    """Ten significant digits, rounded from the exact binary value, which no built-in function does."""
+    return pd.Series([None if v != v else f"{v:.10g}" for v in x], dtype=object)
+
+
 def clean_number(raw: Column | str) -> Column:
-    """Whole numbers without a fraction, others with at most ten digits; what isn't a number stays."""
+    """Whole numbers without a fraction, others with ten significant digits; what isn't a number stays."""
     raw = col(raw)
     x = raw.try_cast("double")
-    short = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", x), r"0+$", ""), r"\.$", "")
-    return F.when(x.isNull(), raw).when((x == F.floor(x)) & (F.abs(x) < 1e15), F.format_string("%d", x.cast("long"))).when((F.abs(x) >= 1e-4) & (F.abs(x) < 10), F.regexp_replace(F.regexp_replace(F.format_string("%.9f", x), r"0+$", ""), r"\.$", "")).when(F.abs(x) < 1e10, _significant(x)).otherwise(short)
-
-
-def _significant(x: Column) -> Column:
-    digits = F.greatest(F.lit(0), F.lit(9) - F.floor(F.log10(F.abs(x))).cast("int"))
-    rounded = F.round(x * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)
-    return rounded.cast("string")
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    whole = F.when(F.abs(x) < 1e18, x.cast("long").cast("string")).otherwise(F.format_string("%.0f", x))
+    return F.when(x.isNull() | ~finite, raw).when(x == F.rint(x), whole).otherwise(_ten_digits(F.when(finite & (x != F.rint(x)), x)))
 
 
 def date_format_code(code: Column | str) -> Column:

@@ -132,7 +132,8 @@ def convert(spark: SparkSession, folder: str, config: Config = Config(), convert
     docs = docs.withColumn("body", body)
     text = F.when(F.col("error").isNull(), F.concat(blocks.frontmatter(F.col("name"), F.col("body"), now, stats, F.col("encoding")), F.lit("\n"), F.col("body")))
     stem = safe_filename(F.regexp_replace("name", r"\.[^.]*$", ""))
-    named = inbox.suffixed(docs.withColumns({"stem": stem, "text": text}), "stem", "doc_id")
+    names = inbox.suffixed(found.select("doc_id", stem.alias("stem")), "stem", "doc_id").select("doc_id", "out_name")
+    named = docs.withColumn("text", text).join(names, "doc_id")
     return named.select("doc_id", F.col("name").alias("source"), F.col("ext").alias("format"), F.concat("out_name", F.lit(".md")).alias("out_name"), "text", "error")
 
 

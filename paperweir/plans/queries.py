@@ -441,6 +441,16 @@ def _letters(spark, sf_dir, kind):
     return table(spark, sf_dir, "part").select("p_partkey", letters.alias("letters")).withColumn("idx", T.column_index("letters", kind))
 
 
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_extendedprice AS DOUBLE) AS p, CAST(l_tax AS DOUBLE) AS t FROM lineitem),
+x AS (SELECT *, [p * 1000 / 7, t / 1000000, p * 12345.5, t / 3, -p / 1024, p * 10000000][l_partkey % 6 + 1] AS x FROM v)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE format('{:.10g}', x) END AS shown FROM x""")
+def sheet_numbers(spark, sf_dir):
+    """Numbers with fractions as sheets show them."""
+    p, t = F.col("l_extendedprice").cast("double"), F.col("l_tax").cast("double")
+    x = F.element_at(F.array(p * 1000 / 7, t / 1000000, p * 12345.5, t / 3, -p / 1024, p * 10000000), (F.col("l_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", T.clean_number(x.cast("string")).alias("shown"))
+
+
 @query("""WITH RECURSIVE spelled AS (
   SELECT p_partkey, CAST(p_partkey + 1 AS BIGINT) AS n, '' AS letters FROM part
   UNION ALL SELECT p_partkey, (n - 1) // 26, chr(CAST(65 + (n - 1) % 26 AS INTEGER)) || letters FROM spelled WHERE n > 0)
@@ -495,7 +505,7 @@ def listing_changes(spark, sf_dir):
     return inbox.reconciled(o.where("name % 3 <> 0"), o.where("name % 5 <> 0").withColumn("size", F.col("size") + F.col("name") % 2))
 
 
-@query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC LIMIT 300")
+@query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC, event_type DESC LIMIT 300")
 def newest_log(spark, sf_dir):
     """The newest 300 entries of a log."""
     return inbox.newest(table(spark, sf_dir, "events").select("event_id", "ts", "event_type"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
 POLL_SECONDS, STABLE_SECONDS = 2, 3
 READY = "name string, size long, since timestamp, ready timestamp"
@@ -67,11 +68,36 @@ def reconciled(before: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def suffixed(names: DataFrame, by: str = "name", order: str = "arrived") -> DataFrame:
-    """Output names that don't collide: later ones of a stem get _1, _2, ..."""
+    """Output names that don't collide: a stem that is taken gets _1, _2, .. in order of arrival.
+
+    A name is taken by what came before it, also where an earlier stem already got that number: of
+    a, a, a_1 the second is a_1 and the third a_1_1.  Stems that differ once such numbers are cut off can't
+    collide, so each family of them is settled apart: by a window where all its stems are equal, else in order.
+    """
+    family, schema = "_family", StructType([*names.schema, StructField("out_name", StringType())])
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, next_, out = set(), {}, []
+        for stem in rows[by]:
+            name = stem
+            if name in taken:
+                n = next_.get(stem, 1)
+                while f"{stem}_{n}" in taken:
+                    n += 1
+                next_[stem], name = n + 1, f"{stem}_{n}"
+            taken.add(name)
+            out.append(name)
+        return rows.assign(out_name=out)[[f.name for f in schema]]
+
+    marked = names.withColumn(family, F.regexp_replace(by, r"(_\d+)+$", ""))
+    stems = marked.groupBy(family, by).agg(F.lit(1)).groupBy(family).count()
     n = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    return names.withColumn("n", n).withColumn("out_name", F.when(F.col("n") == 0, F.col(by)).otherwise(F.concat(by, F.lit("_"), F.col("n").cast("string")))).drop("n")
+    alike = marked.join(stems.where("count = 1"), family, "left_semi").withColumn("_n", n)
+    alike = alike.withColumn("out_name", F.when(F.col("_n") == 0, F.col(by)).otherwise(F.concat(by, F.lit("_"), F.col("_n").cast("string")))).select(*(f.name for f in schema))
+    mixed = marked.join(stems.where("count > 1"), family, "left_semi").groupBy(family).applyInPandas(lambda rows: settle(rows.sort_values(order, kind="stable")), schema)
+    return alike.unionByName(mixed)
 
 
 def newest(log: DataFrame, limit: int = 300, by: str = "ts") -> DataFrame:
-    """The latest entries of a log."""
-    return log.orderBy(F.desc(by)).limit(limit)
+    """The latest entries of a log; of equal times those with the largest other columns."""
+    return log.orderBy(F.desc(by), *(F.desc(c) for c in log.columns if c != by)).limit(limit)

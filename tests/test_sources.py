@@ -192,3 +192,22 @@ def test_settled_stream(spark, tmp_path):
     query = inbox.settled_stream(stream).writeStream.format("memory").queryName(sink).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r["name"], r["size"], r["ready"].second) for r in spark.table(sink).collect()) == [("a", 20, 6), ("a", 20, 12)]
+
+
+def test_numbers_have_ten_digits(spark):
+    raw = ["12345678.5", "1e-5", "0.1", "1.0", "-3.25", "123456789012.5", "0.00012345678901234", "1e20", "abc", "9999999999.5", "99999999995.5", "1e-4", "-0.0", "1E5", "123456.789012345", "nan", None]
+    got = {r["x"]: r["y"] for r in spark.createDataFrame([(x,) for x in raw], "x string").select("x", T.clean_number("x").alias("y")).collect()}
+    for x in raw[:-2]:
+        try:
+            n = float(x)
+            assert got[x] == (str(int(n)) if n.is_integer() else f"{n:.10g}")
+        except ValueError:
+            assert got[x] == x
+    assert got["nan"] == "nan" and got[None] is None
+
+
+def test_output_names_are_free(spark):
+    rows = [(1, "a"), (2, "a"), (3, "a_1"), (4, "b"), (5, "b"), (6, "c_2"), (7, "a"), (8, "a_1")]
+    got = inbox.suffixed(spark.createDataFrame(rows, "arrived int, n string"), "n", "arrived").orderBy("arrived").collect()
+    assert [r["out_name"] for r in got] == ["a", "a_1", "a_1_1", "b", "b_1", "c_2", "a_2", "a_1_2"]
+    assert inbox.suffixed(spark.createDataFrame([], "arrived int, n string"), "n", "arrived").count() == 0
