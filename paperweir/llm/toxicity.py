@@ -135,9 +135,12 @@ class Model:
             blocks = -(-many // BLOCK)
             block_of = np.r_[0, np.cumsum(blocks)]
             begin = np.repeat(first, blocks) + BLOCK * (np.arange(block_of[-1]) - np.repeat(block_of[:-1], blocks))
-            most = np.maximum.reduceat(w, begin) if len(begin) else w
-            most = self._suffix(most, block_of)
-            self.lists.append((keys, block_of, most, np.r_[begin, len(key)], doc, w))
+            most = self._suffix(np.maximum.reduceat(w, begin), block_of) if len(begin) else w
+            # the length that passages of toxic examples have in each list, each example's best
+            once = np.unique(np.repeat(np.arange(len(keys)), many) * np.int64(len(self.ids)) + doc, return_index=True)[1]
+            length = np.sqrt((w[once].astype(np.float64) ** 2).sum(1)) * self.toxic[doc[once]]
+            mass = np.bincount(np.repeat(np.arange(len(keys)), many)[once], length, len(keys)).astype(np.float32)
+            self.lists.append((keys, block_of, most, np.r_[begin, len(key)], doc, w, mass))
 
     @staticmethod
     def _suffix(most: np.ndarray, block_of: np.ndarray) -> np.ndarray:
@@ -151,91 +154,124 @@ class Model:
             step *= 2
         return most
 
-    def nearest(self, at: np.ndarray, weight: np.ndarray, own: np.ndarray | None = None):
-        """(passage, example, cosine) of the nearest examples of each passage, best first."""
-        least = np.full(len(at), RADIUS, np.float32)
-        win, doc, cos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    def found(self, at: np.ndarray, weight: np.ndarray):
+        """For triples, pairs and words: (passage, its weights, list) of the lists that passages have, and the most that toxic votes can be."""
+        out, most = [], np.zeros(len(at))
         for size in range(PASSAGE, 0, -1):
-            keys, block_of, most, begin, docs, w = self.lists[size - 1]
             which, key, q = self.combinations(at, weight, size)
-            place = place_of(keys, key)
+            place = place_of(self.lists[size - 1][0], key)
             which, q, place = which[place >= 0], q[place >= 0], place[place >= 0]
+            out.append((which, q, place))
+            most += np.bincount(which, np.sqrt((q * q).sum(1)) * self.lists[size - 1][6][place], len(at))
+        return out, np.minimum(most, NEAREST) * self.weights[1]
+
+    def nearest(self, lists, n: int, own: np.ndarray | None = None):
+        """(passage, example, cosine) of the nearest examples of n passages, best first, from their ``lists``.
+
+        A found example is one number of its passage, itself and its cosine, so that sorting is of plain numbers.
+        """
+        bits = max(1, (len(self.ids) - 1).bit_length())
+        least = np.full(n, RADIUS, np.float32)
+        held = np.zeros(0, np.int64)  # passage, 31 bits of cosine (largest first), example
+        low = np.int64((1 << bits) - 1)
+        for size, (which, q, place) in zip(range(PASSAGE, 0, -1), lists, strict=True):
+            _, block_of, most, begin, docs, w, _ = self.lists[size - 1]
             block, end = block_of[place], block_of[place + 1]
             while len(block):
                 bound = (q * most[block]).sum(1)
-                go = np.flatnonzero((block < end) & (bound > least[which] - 1e-6) & ((bound > least[which] + 1e-6) | (least[which] == np.float32(RADIUS))))
+                edge = least[which]
+                go = np.flatnonzero((bound > edge + 1e-6) | ((edge == np.float32(RADIUS)) & (bound > edge - 1e-6)))
                 which, q, block, end = which[go], q[go], block[go], end[go]
                 if not len(go):
                     break
                 many = begin[block + 1] - begin[block]
                 p = ranges(begin[block], many)
-                c = (np.repeat(q, many, 0) * w[p]).sum(1)
-                x, d = np.repeat(which, many), docs[p].astype(np.int64)
+                of = np.repeat(np.arange(len(many)), many)
+                c = q[of, 0] * w[p, 0]
+                for j in range(1, size):
+                    c += q[of, j] * w[p, j]
+                x = which[of]
+                d = docs[p]
                 fine = c >= least[x] - 1e-6
                 if own is not None:
                     fine &= d != own[x]
-                touched = np.unique(x[fine])
-                x, d, c = x[fine], d[fine], c[fine]
-                again = np.zeros(len(at), bool)
-                again[touched] = True
-                old = again[win]
-                x, d, c = np.r_[win[old], x], np.r_[doc[old], d], np.r_[cos[old], c]
-                order = np.lexsort((-c, d, x))
-                x, d, c = x[order], d[order], c[order]
-                head = np.r_[True, (x[1:] != x[:-1]) | (d[1:] != d[:-1])][: len(x)]
-                x, d, c = x[head], d[head], c[head]
-                order = np.lexsort((-c, x))
-                x, d, c = x[order], d[order], c[order]
-                rank = np.arange(len(x)) - np.searchsorted(x, x)
+                x, d, c = x[fine], d[fine].astype(np.int64), c[fine]
+                cosine = np.int64(0x7FFFFFFF) - np.minimum(c, np.float32(1)).view(np.int32).astype(np.int64)
+                new = ((x << bits) | d) << 31 | cosine
+                again = np.zeros(n, bool)
+                again[x] = True
+                passage = held >> (31 + bits)
+                old = again[passage]
+                mine = held[old]
+                mine = ((mine >> (31 + bits) << bits) | (mine & low)) << 31 | (mine >> bits & 0x7FFFFFFF)
+                every = np.sort(np.r_[mine, new])  # by passage, example, cosine: the best of each example is its first
+                head = np.r_[True, every[1:] >> 31 != every[:-1] >> 31][: len(every)]
+                every = every[head]
+                every = np.sort((every >> (31 + bits)) << (31 + bits) | (every & 0x7FFFFFFF) << bits | (every >> 31 & low))
+                x = every >> (31 + bits)
+                rank = np.arange(len(x)) - np.repeat(f := np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)]), np.diff(np.r_[f, len(x)]))
                 full = rank == NEAREST - 1
-                least[x[full]] = np.maximum(c[full], np.float32(RADIUS))
-                keep = rank < NEAREST
-                win, doc, cos = np.r_[win[~old], x[keep]], np.r_[doc[~old], d[keep]], np.r_[cos[~old], c[keep]]
-                block = np.minimum(block + 1, end)
+                least[x[full]] = np.maximum((0x7FFFFFFF - (every[full] >> bits & 0x7FFFFFFF)).astype(np.int32).view(np.float32), np.float32(RADIUS))
+                held = np.r_[held[~old], every[rank < NEAREST]]
+                block = block + 1
                 more = block < end
                 which, q, block, end = which[more], q[more], block[more], end[more]
-        order = np.lexsort((doc, -cos, win))
-        return win[order], doc[order], np.minimum(cos[order], 1).astype(np.float64)
+        held.sort()
+        cos = (0x7FFFFFFF - (held >> bits & 0x7FFFFFFF)).astype(np.int32).view(np.float32)
+        return held >> (31 + bits), held & low, cos.astype(np.float64)
 
     def values(self, texts: pa.Array, own: np.ndarray | None = None):
-        """Of each text the largest value of a passage, how many passages it has, and the (example, cosine) nearest to that one."""
+        """Of each text the largest value of a passage, how many passages it has, and the (example, cosine) nearest to that one.
+
+        Passages whose toxic votes can't lift them over what their texts have already are not searched.
+        """
         n = len(texts)
         row, places = passages(texts, self.words)
         at, weight = self.vectors(places)
-        key = np.lexsort((at[:, 2], at[:, 1], at[:, 0], np.zeros(len(at)) if own is None else own[row]))
-        same = (at[key[1:]] == at[key[:-1]]).all(1) & (weight[key[1:]] == weight[key[:-1]]).all(1)
-        if own is not None:
-            same &= own[row[key[1:]]] == own[row[key[:-1]]]
+        mine = np.zeros(len(at), np.int64) if own is None else own[row]
+        key = np.lexsort((weight[:, 0], at[:, 2], at[:, 1], at[:, 0], mine))
+        same = (at[key[1:]] == at[key[:-1]]).all(1) & (weight[key[1:], 0] == weight[key[:-1], 0]) & (mine[key[1:]] == mine[key[:-1]])
         head = np.r_[True, ~same][: len(key)]
         of = np.empty(len(key), np.int64)
         of[key] = np.cumsum(head) - 1
         some = key[head]  # a passage of each kind
-        value = np.full(len(some), self.share)
-        parts = []
-        vote = np.array(self.weights)
-        for lo in range(0, len(some), PASSAGES):
-            part = some[lo : lo + PASSAGES]
-            win, doc, cos = self.nearest(at[part], weight[part], None if own is None else own[row[part]])
-            v = cos * vote[self.toxic[doc]]
-            every = np.bincount(win, v, len(part))
-            yes = np.bincount(win, v * self.toxic[doc], len(part))
-            value[lo : lo + len(part)] = (yes + PULL * self.share) / (every + PULL)
-            first = np.searchsorted(win, np.arange(len(part)))
-            parts.append((win, doc, cos, first, np.bincount(win, minlength=len(part))))
-        best = np.full(n, -1)
+        at, weight, mine = at[some], weight[some], mine[some]
+        vote, base = np.array(self.weights), PULL * self.share
+        lists, most = self.found(at, weight)
+        listed = np.zeros(len(some), bool)
+        for which, _, _ in lists:
+            listed[which] = True
+        bound = (most + base) / (most + PULL) + 1e-6
+        value = np.where(listed, -1.0, self.share)
+        near, alike = np.full((len(some), 3), -1), np.zeros((len(some), 3))
+        best = np.full(n, -1.0)
+        np.maximum.at(best, row, value[of])
+        due = np.zeros(len(some), bool)
+        order = np.lexsort((-bound[of], row))
+        due[of[order[np.r_[True, row[order[1:]] != row[order[:-1]]][: len(order)]]]] = True  # first the most promising one of each text
+        done = ~listed
+        while (now := np.flatnonzero(due & ~done)).size:
+            for lo in range(0, len(now), PASSAGES):
+                part = now[lo : lo + PASSAGES]
+                number = np.full(len(some), -1)
+                number[part] = np.arange(len(part))
+                mine_of = [(number[w[k]], q[k], p[k]) for w, q, p in lists for k in [np.flatnonzero(number[w] >= 0)]]
+                win, doc, cos = self.nearest(mine_of, len(part), None if own is None else mine[part])
+                v = cos * vote[self.toxic[doc]]
+                value[part] = (np.bincount(win, v * self.toxic[doc], len(part)) + base) / (np.bincount(win, v, len(part)) + PULL)
+                rank = np.arange(len(win)) - np.searchsorted(win, win)
+                top = rank < 3
+                near[part[win[top]], rank[top]], alike[part[win[top]], rank[top]] = doc[top], cos[top]
+            done[now] = True
+            np.maximum.at(best, row, value[of])
+            due = np.zeros(len(some), bool)
+            due[of[bound[of] > best[row]]] = True
         order = np.lexsort((np.arange(len(row)), -value[of], row))
         lead = order[np.r_[True, row[order[1:]] != row[order[:-1]]][: len(order)]]
-        best[row[lead]] = of[lead]
-        found = []
-        for b in best.tolist():
-            if b < 0:
-                found.append([])
-                continue
-            win, doc, cos, first, many = parts[b // PASSAGES]
-            i = b % PASSAGES
-            found.append([(int(doc[j]), float(cos[j])) for j in range(first[i], first[i] + min(3, int(many[i])))])
-        top = np.where(best >= 0, value[best] if len(value) else self.share, self.share)
-        return top, np.bincount(row, minlength=n), found
+        found = [[] for _ in range(n)]
+        for r, k in zip(row[lead].tolist(), of[lead].tolist(), strict=True):
+            found[r] = [(d, c) for d, c in zip(near[k].tolist(), alike[k].tolist(), strict=True) if d >= 0]
+        return np.where(best < 0, self.share, best), np.bincount(row, minlength=n), found
 
     def score(self, value: np.ndarray, many: np.ndarray) -> np.ndarray:
         if not len(self.ids):
