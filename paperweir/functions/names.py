@@ -46,6 +46,8 @@ HANGUL = "가-힣"
 _COMPOUND = "|".join(COMPOUND_SURNAMES)
 #: A whole string that has the shape of a name: a two-syllable surname and two given syllables, or one and one or two.
 NAME_SHAPE = f"^(?:(?:{_COMPOUND})[{GIVEN_SYLLABLES}]{{2}}|(?!{_COMPOUND})[{SURNAMES}][{GIVEN_SYLLABLES}]{{1,2}})$"
+#: How a bare name of three or four syllables begins.
+NAME_START = f"(?:{_COMPOUND})[{GIVEN_SYLLABLES}]{{2}}|(?!{_COMPOUND})[{SURNAMES}][{GIVEN_SYLLABLES}]{{2}}"
 STARTS_WITH_SURNAME = f"^(?:{_COMPOUND}|[{SURNAMES}])"
 
 

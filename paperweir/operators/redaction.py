@@ -1,8 +1,9 @@
 """Detection and replacement of personal identifiers, as joins and windows over a table of pattern matches.
 
-One Arrow function finds where the patterns match, with a little text around each match; everything from
-there on is DataFrame work: names are read off their matches, rejected by context, found again in the same
-document, freed of overlaps, numbered and put in place.
+One Arrow function finds where the patterns match, with a little text around each match, and where the names
+that labels and titles may confirm stand again; everything from there on is DataFrame work: names are read off
+their matches, rejected by context, echoes of names that weren't confirmed dropped, overlaps settled, values
+numbered and put in place.  A text is read once, and only matches are dealt out.
 """
 
 from __future__ import annotations
@@ -62,33 +63,74 @@ PREFIXES = {
 NAME_PREFIX, OTHER_PREFIX = "자연인", "비식별"
 # End of the fixed values.
 ANCHORS = ["NAME_LABELED", "NAME_TITLED", "NAME_MASKED", "NAME_USER"]
-USER, ECHO, RUN, SPAN = 0, 20, 100, 200
+USER, ECHO, SPAN = 0, 20, 200
+#: Names of a user that go to the tasks; a longer list is refused.
+USER_NAMES = 1_000_000
+_NAMED = [i + 1 for i, r in enumerate(RULES) if r[0] in ("NAME_LABELED", "NAME_TITLED")]
+_MASKED = [i + 1 for i, r in enumerate(RULES) if r[0] == "NAME_MASKED"]
+_DIGITS = [i + 1 for i, r in enumerate(RULES) if not r[0].startswith("NAME_") and r[0] != "ADDRESS"]
 
 MATCH = ArrayType(StructType([StructField(n, t) for n, t in (("ord", IntegerType()), ("start", IntegerType()), ("value", StringType()), ("left", StringType()), ("right", StringType()), ("line", IntegerType()))]))
 
 
+def listed(words) -> list[str]:
+    """A user's words from a list or from the first column of a DataFrame, of which up to USER_NAMES are taken in."""
+    if not isinstance(words, DataFrame):
+        return list(words or ())
+    words = words.select(F.col(words.columns[0]).alias("w")).where("w IS NOT NULL").distinct()
+    if (n := words.count()) > USER_NAMES:
+        raise ValueError(f"{n} user words; at most {USER_NAMES} go to the tasks.")
+    return [r["w"] for r in words.collect()]
+
+
 def matches(text: Column, user_names: list[str] = ()) -> Column:
-    """Where each rule, protected span and run of Hangul matches: offsets in code points, the text around, the line.
+    """Where each rule and protected span matches: offsets in code points, the text around, the line.
 
-    User names come under ord 0, rule i under i + 1, runs and spans under RUN and SPAN.  Null gives none.
+    User names come under ord 0, rule i under i + 1, spans under SPAN.  Under ECHO come further places of
+    every name that an anchor may confirm, with a particle after it or none; which ones are confirmed is for later steps to say.  Null gives none.
     """
-    patterns = [(i + 1, p, g) for i, (_, _, p, _, g) in enumerate(RULES)]
-    patterns += [(USER, f"(?<![가-힣]){re.escape(n)}(?![가-힣])", 0) for n in sorted({*user_names}, key=lambda n: (-len(n), n)) if len(n) >= 2]
-    patterns += [(RUN, "(?<![가-힣])[가-힣]{2,}", 0), *((SPAN, p, 0) for p in PROTECTED)]
+    # a bare name begins with a name's shape, so other runs of Hangul needn't be told
+    bare = next(i + 1 for i, r in enumerate(RULES) if r[0] == "NAME_BARE")
+    patterns = [(i + 1, f"(?<![가-힣])(?={N.NAME_START})([가-힣]{{3,12}})(?![가-힣])" if i + 1 == bare else p, g) for i, (_, _, p, _, g) in enumerate(RULES)]
+    patterns += [(SPAN, p, 0) for p in PROTECTED]
+    by_length: dict[int, set[str]] = {}
+    for n in user_names:
+        if len(n) >= 2:
+            by_length.setdefault(len(n), set()).add(n)
+    particles, surname = frozenset(N.PARTICLES), N.STARTS_WITH_SURNAME
 
     @pandas_udf(MATCH)
     def find(texts: pd.Series) -> pd.Series:
         made = [(o, re.compile(p), g) for o, p, g in patterns]
-        hangul = re.compile("[가-힣]")
-        plain = [(o, p, g) for o, p, g in made if o in (1, 2, 3, 4, 5, 6, 7, 8, 9, 16, 17, USER, SPAN)]
+        hangul, first = re.compile("[가-힣]"), re.compile(surname)
+        plain = [x for x in made if x[0] in (*_DIGITS, SPAN)]
         out = []
         for t in texts:
-            rows = []
-            for o, p, g in (made if t and hangul.search(t) else plain) if t else ():
-                for m in p.finditer(t):
-                    a, b = m.span(g)
-                    if b > a:
-                        rows.append((o, a, t[a:b], t[max(0, a - AROUND) : a], t[b : b + AROUND], t.count("\n", 0, a) + 1))
+            rows, names = [], set()
+
+            def add(o, a, b, t=t, rows=rows):
+                rows.append((o, a, t[a:b], t[max(0, a - AROUND) : a], t[b : b + AROUND], t.count("\n", 0, a) + 1))
+
+            if t:
+                for o, p, g in made if hangul.search(t) else plain:
+                    for m in p.finditer(t):
+                        a, b = m.span(g)
+                        if b > a:
+                            add(o, a, b)
+                            if o in _NAMED:
+                                names |= {t[a : a + n] for n in (2, 3, 4) if a + n <= b and t[a + n : b] in particles and first.match(t[a:b])}
+                            elif o in _MASKED:
+                                names.add(t[a:b])
+                for n, known in by_length.items():
+                    for a in range(len(t) - n + 1):
+                        if t[a : a + n] in known and not (a and hangul.match(t[a - 1])):
+                            names.add(t[a : a + n])
+                            if not hangul.match(t[a + n : a + n + 1]):
+                                add(USER, a, a + n)
+                for n in sorted(names):
+                    for m in re.finditer(f"(?<![가-힣]){re.escape(n)}([가-힣]*)", t):
+                        if m[1] in particles:
+                            add(ECHO, m.start(), m.start() + len(n))
             out.append(rows)
         return pd.Series(out)
 
@@ -107,14 +149,14 @@ def context(left: Column, right: Column) -> Column:
 
 
 def candidates(docs: DataFrame, user_names: list[str] = (), user_stopwords: list[str] = (), single: bool = True) -> DataFrame:
-    """Values that the rules find, before echoes and before overlaps are settled: docs has doc_id and text."""
+    """Values that the rules find, and possible echoes, before overlaps are settled: docs has doc_id and text."""
     stop = F.array(*(F.lit(w) for w in user_stopwords)) if user_stopwords else None
-    found = docs.select("doc_id", matches(F.col("text"), list(user_names)).alias("m"))
+    found = docs.select("doc_id", matches(F.col("text"), user_names).alias("m"))
     spans = F.filter("m", lambda x: x["ord"] == SPAN)
     free = F.filter("m", lambda x: (x["ord"] != SPAN) & ~F.exists("spans", lambda s: (s["start"] <= x["start"]) & (x["start"] < s["start"] + F.length(s["value"]))))
     rows = found.withColumn("spans", spans).withColumn("m", free).select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
-    table = rows.sparkSession.createDataFrame([(USER, "NAME_USER", "성명(사용자 사전)", AUTO), (RUN, "RUN", "", AUTO), *((i + 1, k, label, grade) for i, (k, label, _, grade, _) in enumerate(RULES))], "ord int, kind string, label string, confidence string")
-    rows = rows.join(F.broadcast(table), "ord")
+    told = [(USER, "NAME_USER", "성명(사용자 사전)", AUTO), (ECHO, "NAME_ECHO", "성명(같은 문서 재등장)", AUTO), *((i + 1, k, label, grade) for i, (k, label, _, grade, _) in enumerate(RULES))]
+    rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(told, "ord int, kind string, label string, confidence string")), "ord")
     kind, raw = F.col("kind"), F.col("value")
     name = (
         F.when(kind == "NAME_BARE", N.bare_name(raw, stop))
@@ -124,30 +166,23 @@ def candidates(docs: DataFrame, user_names: list[str] = (), user_stopwords: list
     rows = rows.withColumn("name", name).where("name IS NOT NULL")
     rows = rows.withColumn("right", F.concat(F.substring(raw, F.length("name") + 1, F.lit(100)), F.col("right"))).withColumn("value", F.col("name")).drop("name")
     judged = kind.startswith("NAME_") & (kind != "NAME_USER")
-    fine = (kind == "NAME_SURNAME") | N.plausible(F.col("value"), kind == "NAME_BARE", stop)
+    fine = kind.isin("NAME_SURNAME", "NAME_ECHO") | N.plausible(F.col("value"), kind == "NAME_BARE", stop)
     kept = rows.where(~judged | (fine & ~N.in_organisation(F.col("left"), F.col("value"), F.col("right"), single)))
     return kept.where((kind != "NAME_BARE") | ~N.in_address(F.col("left")))
 
 
-def with_echoes(rows: DataFrame, single: bool = True) -> DataFrame:
-    """Adds every further place of a name that an anchor confirmed in the same document, with or without a particle.
+def with_echoes(rows: DataFrame) -> DataFrame:
+    """Leaves, of the echoes, those of names that an anchor confirmed in the same document, at places that no automatic value takes.
 
-    All that is known of a document meets in one window, so the matches are dealt out once.
+    All that was found in a document meets in one window, so the matches are dealt out once.
     """
-    real = F.col("kind") != "RUN"
-    auto = real & (F.col("confidence") == AUTO)
+    echo = F.col("kind") == "NAME_ECHO"
+    auto = ~echo & (F.col("confidence") == AUTO)
     sure = auto & F.col("kind").isin(*ANCHORS) & (F.length("value") >= 2)
-    whole = Window.partitionBy("doc_id")
-    rows = rows.withColumns({"names": F.collect_set(F.when(sure, F.col("value"))).over(whole), "taken": F.collect_set(F.when(auto, F.col("start"))).over(whole)})
-    own = F.filter("names", lambda n: F.startswith(F.col("value"), n) & N.one_of(F.substring(F.col("value"), F.length(n) + 1, F.lit(100)), N.PARTICLES))
-    again = F.when(real, F.array(F.lit(None).cast("string"))).when(F.array_contains("taken", F.col("start")), F.array().cast("array<string>")).otherwise(own)
-    rows = rows.withColumn("name", F.explode(again)).drop("names", "taken")
-    echo = F.col("name").isNotNull()
-    tail = F.substring("value", F.length("name") + 1, F.lit(100))
-    rows = rows.withColumn("right", F.when(echo, F.concat(tail, F.col("right"))).otherwise(F.col("right"))).withColumn("value", F.coalesce("name", "value"))
-    rows = rows.where(~echo | ~N.in_organisation(F.col("left"), F.col("value"), F.col("right"), single))
-    told = {"ord": F.lit(ECHO), "kind": F.lit("NAME_ECHO"), "label": F.lit("성명(같은 문서 재등장)")}
-    return rows.withColumns({c: F.when(echo, v).otherwise(F.col(c)) for c, v in told.items()}).drop("name")
+    whole, place = Window.partitionBy("doc_id", "value"), Window.partitionBy("doc_id", "start")
+    # both windows need the rows of a document together, nothing more
+    rows = rows.repartition("doc_id").withColumns({"sure": F.max(sure).over(whole), "taken": F.max(auto).over(place)})
+    return rows.where(~echo | (F.col("sure") & ~F.col("taken"))).drop("sure", "taken")
 
 
 def without_overlaps(rows: DataFrame) -> DataFrame:
@@ -181,9 +216,12 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("placeholder", F.format_string("〔%s-%02d〕", F.col("prefix"), number))
 
 
-def detect(docs: DataFrame, user_names: list[str] = (), user_stopwords: list[str] = (), include_review: bool = False, single: bool = True) -> DataFrame:
-    """Findings of each document: doc_id, seq, kind, label, original, placeholder, confidence, line, start, end, applied, context."""
-    rows = numbered(without_overlaps(with_echoes(candidates(docs, user_names, user_stopwords, single), single)))
+def detect(docs: DataFrame, user_names=(), user_stopwords=(), include_review: bool = False, single: bool = True) -> DataFrame:
+    """Findings of each document: doc_id, seq, kind, label, original, placeholder, confidence, line, start, end, applied, context.
+
+    user_names and user_stopwords are lists, or DataFrames of one column.
+    """
+    rows = numbered(without_overlaps(with_echoes(candidates(docs, listed(user_names), listed(user_stopwords), single))))
     applied = (F.col("confidence") == AUTO) | F.lit(include_review)
     return rows.select(
         "doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")).alias("seq"), "kind", "label", F.col("value").alias("original"), "placeholder",
@@ -195,8 +233,8 @@ def apply(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """doc_id and masked_text: the text with the applied findings replaced."""
     order = Window.partitionBy("doc_id").orderBy("start")
     cuts = findings.where("applied").select("doc_id", "start", "end", "placeholder", F.coalesce(F.lag("end").over(order), F.lit(0)).alias("before"))
-    listed = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "before", "end", "placeholder"))).alias("c"))
-    rows = docs.select("doc_id", "text").join(listed, "doc_id", "left")
+    listed_ = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "before", "end", "placeholder"))).alias("c"))
+    rows = docs.select("doc_id", "text").join(listed_, "doc_id", "left")
     parts = F.transform("c", lambda x: F.concat(F.substring("text", x["before"] + 1, x["start"] - x["before"]), x["placeholder"]))
     rest = F.substring("text", F.element_at("c", -1)["end"] + 1, F.length("text"))
     return rows.select("doc_id", F.when(F.col("c").isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), rest)).alias("masked_text"))
@@ -207,13 +245,13 @@ def public(findings: DataFrame, with_context: bool = False) -> DataFrame:
     return findings.drop("original") if with_context else findings.drop("original", "context")
 
 
+def _counts() -> list[Column]:
+    tests = {"auto": F.col("confidence") == AUTO, "review": F.col("confidence") == REVIEW, "applied": F.col("applied"), "names": F.col("kind").startswith("NAME_")}
+    return [F.count_if(test).alias(name) for name, test in tests.items()]
+
+
 def summary(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("doc_id").agg(
-        F.count_if(F.col("confidence") == AUTO).alias("auto"),
-        F.count_if(F.col("confidence") == REVIEW).alias("review"),
-        F.count_if("applied").alias("applied"),
-        F.count_if(F.col("kind").startswith("NAME_")).alias("names"),
-    )
+    return findings.groupBy("doc_id").agg(*_counts())
 
 
 def mapping(findings: DataFrame) -> DataFrame:
@@ -224,9 +262,9 @@ def mapping(findings: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, findings: DataFrame, include_review: bool = False, source: str = "doc_id") -> DataFrame:
     """A JSON report of each document without originals and contexts."""
-    listed = public(findings).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "label", "placeholder", "confidence", "line", "start", "end", "applied"))).alias("findings"))
+    told = F.array_sort(F.collect_list(F.struct("seq", "kind", "label", "placeholder", "confidence", "line", "start", "end", "applied")))
     rows = docs.select("doc_id", F.col(source).cast("string").alias("source"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("source_sha256"))
-    rows = rows.join(summary(findings), "doc_id", "left").join(listed, "doc_id", "left")
+    rows = rows.join(findings.groupBy("doc_id").agg(*_counts(), told.alias("findings")), "doc_id", "left")
     zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("auto", "review", "applied", "names")}
     body = F.struct("source", F.lit(VERSION).alias("engine_version"), "source_sha256", F.lit(include_review).alias("include_review"), F.struct(*zero.values()).alias("summary"), F.coalesce("findings", F.array()).alias("findings"))
     return rows.select("doc_id", F.to_json(body).alias("report"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +15,7 @@ from ..functions.text import safe_filename, squash
 from ..operators import blocks, pages, redaction
 from ..ship import ship
 from ..sources import files, formats, markup, office
+from ..storage import stored
 from ..streaming import inbox
 
 # Fixed values.
@@ -32,8 +33,9 @@ class Config:
     redact_include_review: bool = False
     #: Texts of a PDF's pages from its bytes; none is bundled.
     page_texts: Callable[[bytes], list[str]] | None = None
-    user_names: tuple[str, ...] = field(default_factory=tuple)
-    user_stopwords: tuple[str, ...] = field(default_factory=tuple)
+    #: Words of the user, or DataFrames of one column.
+    user_names: tuple[str, ...] | DataFrame = ()
+    user_stopwords: tuple[str, ...] | DataFrame = ()
 
 
 def _whole(made: DataFrame, /, **more: Column) -> DataFrame:
@@ -141,7 +143,7 @@ def redact(docs: DataFrame, config: Config = Config()) -> dict[str, DataFrame]:
     """findings, masked, report and mapping of documents (doc_id, text); names ending in .masked.md are left out."""
     if "source" in docs.columns:
         docs = docs.where(~F.coalesce(F.col("source").endswith(".masked.md"), F.lit(False)))
-    found = redaction.detect(docs, list(config.user_names), list(config.user_stopwords), config.redact_include_review)
+    found = stored(redaction.detect(docs, config.user_names, config.user_stopwords, config.redact_include_review), "findings")
     return {"findings": found, "masked": redaction.apply(docs, found), "report": redaction.report(docs, found, config.redact_include_review), "mapping": redaction.mapping(found)}
 
 

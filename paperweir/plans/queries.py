@@ -149,6 +149,58 @@ def redact_letters(spark, sf_dir):
     return redaction.apply(docs, redaction.detect(docs))
 
 
+# A line for every rule: its kind, what stands before, the value as an expression of the key k that both engines read, and what stands after.
+def _digits(of: str, n: int) -> str:
+    return f"lpad(CAST({of} % {10**n} AS {{T}}), {n}, '0')"
+
+
+def _one(words: str, by: str) -> str:
+    return f"split_part('{words}', ',', CAST({by} % {words.count(',') + 1} + 1 AS INT))"
+
+
+_SURNAME, _GIVEN = "김,박,최,정,강,조,윤", "하나,도현,서연,민준,지호"
+_NAME = [f"{_one(_SURNAME, 'k')} || {_one(_GIVEN, f'(k + {i})')}" for i in range(3)]
+_LINES_BY_RULE = [
+    ("RRN", "주민번호", "주민 ", f"{_digits('k', 6)} || '-1' || {_digits('k * 7', 6)}", " 끝"),
+    ("FOREIGNER", "외국인번호", "등록 ", f"{_digits('k * 3', 6)} || '-5' || {_digits('k * 7', 6)}", ""),
+    ("PASSPORT", "여권번호", "여권 ", f"{_one('M,S,R,O', 'k')} || {_digits('k', 8)}", "."),
+    ("DRIVER", "면허번호", "", f"'11-' || {_digits('k', 2)} || '-' || {_digits('k * 11', 6)} || '-33'", ""),
+    ("MOBILE", "연락처", "전화 ", f"'010-' || {_digits('k * 13', 4)} || '-' || {_digits('k * 17', 4)}", ", 또는"),
+    ("PHONE", "연락처", "", f"'02-' || {_digits('k * 19', 3)} || '-' || {_digits('k', 4)}", " 번"),
+    ("EMAIL", "이메일", "메일 ", "'u.' || CAST(k AS {T}) || '@mail.example.org'", ""),
+    ("CARD", "카드번호", "", f"{_digits('k * 23', 4)} || '-1234-5678-' || {_digits('k', 4)}", ""),
+    ("ACCOUNT", "계좌번호", "", f"'123-45-' || {_digits('k * 29', 6)}", ""),
+    ("NAME_LABELED", "자연인", "성명: ", _NAME[0], ""),
+    ("NAME_TITLED", "자연인", "대표이사 ", _NAME[1], "은 떠났다"),
+    ("NAME_TITLED", "자연인", "", _NAME[2], " 변호사"),
+    ("NAME_SURNAME", "자연인", "", f"{_one('한,오,신', 'k')} || ' 씨'", "는"),
+    ("NAME_MASKED", "자연인", "", f"{_one('한,오,신', 'k')} || '○○'", ""),
+    ("NAME_MASKED", "자연인", "", f"{_one('한,오,신', 'k')} || '민○'", "은"),
+    ("NAME_INITIAL", "자연인", "", "chr(CAST(65 + k % 26 AS INT)) || ' 대표'", ""),
+    ("BIRTH", "생년월일", "", "'19' || lpad(CAST(k % 90 + 10 AS {T}), 2, '0') || '.' || CAST(k % 12 + 1 AS {T}) || '. ' || CAST(k % 28 + 1 AS {T}) || '일생'", ""),
+    ("NAME_BARE", "자연인", "", f"{_one(_SURNAME, 'k')} || {_one('성민,수빈,예은,우진,태영', 'k')}", ""),
+    ("ADDRESS", "주소", "", "'부산시 중구 남포동 ' || CAST(k AS {T}) || '번지'", " 앞"),
+    ("NAME_ECHO", "자연인", "", _NAME[0], "에게 알림"),
+]
+_EVERY_RULE = f"""
+WITH l AS (SELECT c_custkey AS k FROM customer),
+p AS ({" UNION ALL ".join(f"SELECT k, {i} AS i, '{kind}' AS kind, '{prefix}' AS prefix, '# {before}' AS before, {value} AS original, '{after}' AS after FROM l" for i, (kind, prefix, before, value, after) in enumerate(_LINES_BY_RULE)).replace("{T}", "VARCHAR")}),
+q AS (SELECT *, length(before) + coalesce(sum(length(before) + length(original) + length(after) + 1) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p),
+r AS (SELECT *, min(start) OVER (PARTITION BY k, prefix, original) AS first FROM q)
+SELECT k AS doc_id, kind, original, CAST(start AS BIGINT) AS start, CAST(i + 1 AS BIGINT) AS line, '〔' || prefix || '-' || printf('%02d', dense_rank() OVER (PARTITION BY k, prefix ORDER BY first)) || '〕' AS placeholder,
+       kind NOT IN ('NAME_BARE', 'ADDRESS') AS applied
+FROM r"""
+
+
+@query(_EVERY_RULE)
+def redact_rules(spark, sf_dir):
+    """A letter for each customer in which every rule finds one value."""
+    k = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    lines = [F.concat(F.lit(f"# {before}"), F.expr(value.replace("{T}", "STRING")), F.lit(after)) for _, _, before, value, after in _LINES_BY_RULE]
+    found = redaction.detect(k.select(F.col("k").alias("doc_id"), F.concat_ws("\n", *lines).alias("text")))
+    return found.select("doc_id", "kind", "original", F.col("start").cast("long").alias("start"), F.col("line").cast("long").alias("line"), "placeholder", "applied")
+
+
 @query("""
 WITH k AS (SELECT p_partkey, ['김하은', '이유로', '홍길동은', '남궁민수에게', '서명하였다', '이용자', '김포시', '박민준이라고', '제갈'][p_partkey % 9 + 1] AS run FROM part)
 SELECT p_partkey, run, [ '김하은', '이유로', '홍길동', '남궁민수', NULL, NULL, NULL, '박민준', NULL][p_partkey % 9 + 1] AS bare,

@@ -57,6 +57,20 @@ def test_user_words(spark):
     assert R.detect(rows(spark, ["성명: 홍길동"]), user_stopwords=["홍길동"]).count() == 0
 
 
+def test_echoes_of_names_that_are_not_all_hangul(spark):
+    masked = lambda text, **more: R.apply(d := rows(spark, [text]), R.detect(d, **more)).first()["masked_text"]
+    assert masked("홍*동. 홍*동이 갔다", user_names=["홍*동"]) == "〔자연인-01〕. 〔자연인-01〕이 갔다"
+    assert masked("홍길○ 씨가 왔다. 홍길○님은 갔다") == "〔자연인-01〕 씨가 왔다. 〔자연인-01〕님은 갔다"
+    assert masked("성명: 김철수. 김철수는 `김철수` 김철수역") == "성명: 〔자연인-01〕. 〔자연인-01〕는 `김철수` 김철수역"
+
+
+def test_user_names_as_a_table(spark):
+    names = spark.createDataFrame([("홍동",), (None,), ("가",), ("Ann Lee",)], "word string")
+    stop = spark.createDataFrame([("김철수",)], "word string")
+    found = R.detect(rows(spark, ["홍동, Ann Lee 성명: 김철수"]), names, stop).orderBy("seq").collect()
+    assert [(r["kind"], r["original"]) for r in found] == [("NAME_USER", "홍동"), ("NAME_USER", "Ann Lee")]
+
+
 def test_one_syllable_organisations_are_optional(spark):
     found = R.detect(rows(spark, ["대표이사 이승원"]), single=False).collect()
     assert [(r["kind"], r["original"]) for r in found] == [("NAME_TITLED", "이승원")]
