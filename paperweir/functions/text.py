@@ -116,9 +116,23 @@ def date_format_code(code: Column | str) -> Column:
     return F.lower(F.regexp_replace(col(code), r'\[[^\]]*\]|"[^"]*"', "")).rlike("[dmyh]")
 
 
+def joined_path(folder: Column | str, target: Column | str) -> Column:
+    """A path from a folder, without empty, ``.`` and ``..`` steps; one that begins with / is from the top."""
+    whole = F.when(col(target).startswith("/"), col(target)).otherwise(F.concat_ws("/", col(folder), col(target)))
+    none = F.array().cast("array<string>")
+    step = lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1))).otherwise(F.concat(acc, F.array(x)))
+    return F.array_join(F.aggregate(F.split(whole, "/"), none, step), "/")
+
+
+# Names of styles that are titles and subtitles.
+TITLES, SUBTITLES = ["title", "제목", "표제"], ["subtitle", "부제", "부제목"]
+# End of the fixed values.
+
+
 def style_level(style: Column | str) -> Column:
-    """Heading level of a style's name: titles 1, subtitles 2, numbered headings 1 to 6, others null."""
+    """Heading level of a style by how its name begins: titles 1, subtitles 2, headings their number from 1 to 6, others null."""
     s = strip(style)
-    numbered = F.regexp_extract(s, r"(?iU)^(?:제목|개요|heading|outline)\s*(\d*)$", 1)
-    level = F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce(numbered.try_cast("int"), F.lit(1))))
-    return F.when(F.lower(s) == "title", 1).when(F.lower(s) == "subtitle", 2).when(s.rlike(r"(?iU)^(?:제목|개요|heading|outline)\s*\d*$"), level)
+    bare = F.replace(F.lower(s), F.lit(" "), F.lit(""))
+    number = F.nullif(F.regexp_extract(s, r"(?iU)^(?:제목|개요|heading|outline)\s*(\d+)", 1), F.lit("")).try_cast("int")
+    numbered = F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce(number, F.lit(1))))
+    return F.when(bare.isin(*TITLES), 1).when(bare.isin(*SUBTITLES), 2).when(s.rlike(r"(?iU)^(?:제목|개요|heading|outline)"), numbered)

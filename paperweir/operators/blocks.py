@@ -16,7 +16,7 @@ BLOCK = f"struct<kind:string,text:string,level:int,rows:array<array<{CELL}>>>"
 # Fixed value: what an item of a list starts with.
 LIST_ITEM = r"(?U)^\s*(?:-|\d+\.)\s+\S"
 # The statistics of the frontmatter, in order.
-STATS = ["pages", "slides", "headings", "paragraphs", "tables", "images", "footnotes", "sheets", "rows"]
+STATS = ["headings", "paragraphs", "tables", "images", "footnotes", "pages", "slides", "sheets", "rows"]
 
 
 def block(kind: str, text: Column, level: Column | None = None, rows: Column | None = None) -> Column:
@@ -90,14 +90,14 @@ def table(rows: Column) -> Column:
     return F.when(F.size(rows) <= 0, "").when(simple(rows), pipe_table(rows)).otherwise(html_table(rows))
 
 
-def body(blocks: Column, footnotes: Column | None = None, assets: str = ".") -> Column:
+def body(blocks: Column, footnotes: Column | None = None, assets: Column | str = ".") -> Column:
     """Markdown of blocks and footnotes (num, text); items of a list that follow each other stay together."""
     shown = F.transform(
         F.filter(blocks, lambda b: b["kind"] != "blank"),
         lambda b: F.struct(
             b["kind"].alias("kind"),
             F.when(b["kind"] == "heading", F.concat(F.repeat(F.lit("#"), b["level"]), F.lit(" "), b["text"]))
-            .when(b["kind"] == "para", F.replace(b["text"], F.lit("{ASSETS}"), F.lit(assets)))
+            .when(b["kind"] == "para", F.replace(b["text"], F.lit("{ASSETS}"), F.lit(assets) if isinstance(assets, str) else assets))
             .when(b["kind"] == "table", table(b["rows"]))
             .otherwise(b["text"])
             .alias("text"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +20,21 @@ from ..sources import files, formats, markup, office
 from ..storage import stored
 from ..streaming import inbox
 
-# Fixed values.
+# What is said where nothing could be read.
 NO_CONTENT = "내용이 없습니다."
 TRUNCATED = "> 행이 많아 위 {}행까지만 옮겼습니다."
-COLUMNS = ["doc_id", "blocks", "encoding", "pages", "slides", "sheets", "rows", "error"]
+EMPTY = {"html": "본문을 찾지 못했습니다.", "txt": NO_CONTENT, "md": NO_CONTENT, "csv": NO_CONTENT}
+NOTHING = "추출된 본문이 없습니다. 지원하지 않는 구조일 수 있습니다."
+BROKEN = "파일이 손상되었거나 .{} 형식이 아닙니다."
+NOT_A = {
+    "docx": ("word/document.xml", "Word 문서 구조가 아닙니다. 97-2003 형식(.doc)이면 .docx로 저장한 뒤 넣어주세요."),
+    "pptx": ("ppt/presentation.xml", "PowerPoint 구조가 아닙니다. 97-2003 형식(.ppt)이면 .pptx로 저장한 뒤 넣어주세요."),
+    "xlsx": ("xl/workbook.xml", "Excel 구조가 아닙니다. 97-2003 형식(.xls)이면 .xlsx로 저장한 뒤 넣어주세요."),
+}
+# End of the fixed values.
+TEXTS, CONTAINERS = ("txt", "md", "csv", "html", "json"), ("docx", "xlsx", "pptx", "hwpx")
+NOTES, PICTURES = "array<struct<num:int,text:string>>", "array<struct<label:string,member:string>>"
+COLUMNS = ["doc_id", "blocks", "footnotes", "images", "encoding", "pages", "slides", "sheets", "rows", "error"]
 
 
 @dataclass(frozen=True)
@@ -31,8 +44,12 @@ class Config:
     pdf_headings: bool = True
     pdf_page_marks: bool = False
     redact_include_review: bool = False
+    #: Whether texts point to the pictures that ``pictures`` gives, or to no folder.
+    extract_images: bool = True
     #: Texts of a PDF's pages from its bytes; none is bundled.
     page_texts: Callable[[bytes], list[str]] | None = None
+    #: Readers of further handlers: files (doc_id, name, ext, handler, content) to (doc_id, blocks), see ``blocks.BLOCK``; one of a known handler takes its place.
+    parsers: dict[str, Callable[[DataFrame], DataFrame]] | None = None
     #: Words of the user, or DataFrames of one column.
     user_names: tuple[str, ...] | DataFrame = ()
     user_stopwords: tuple[str, ...] | DataFrame = ()
@@ -40,7 +57,7 @@ class Config:
 
 def _whole(made: DataFrame, /, **more: Column) -> DataFrame:
     """Fills the columns that a parser leaves open."""
-    kinds = {"encoding": "string", "pages": "int", "slides": "int", "sheets": "int", "rows": "int", "error": "string"}
+    kinds = {"footnotes": NOTES, "images": PICTURES, "encoding": "string", "pages": "int", "slides": "int", "sheets": "int", "rows": "int", "error": "string"}
     return made.select("doc_id", "blocks", *(more.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
 
 
@@ -92,51 +109,108 @@ def _pdf(rows: DataFrame, config: Config) -> DataFrame:
     return _whole(_gathered(made, "page_no", "seq").join(size, "doc_id"), pages=F.col("n"), error=F.col("error"))
 
 
+def _office(n: DataFrame, handler: str, config: Config) -> DataFrame:
+    """Documents of one container format from their nodes (doc_id, part, ord, ..)."""
+    count = {}
+    if handler == "xlsx":
+        sheets = office.sheet_tables(office.sheet_cells(n), config.sheet_max_rows or 2000)
+        none = F.lit(None).cast(sheets.schema["rows"].dataType)
+        heads = sheets.select("doc_id", "sheet_no", F.lit(0).alias("at"), F.lit("heading").alias("kind"), F.col("sheet").alias("text"), F.lit(2).alias("level"), none.alias("rows"))
+        bodies = sheets.select("doc_id", "sheet_no", F.lit(1).alias("at"), F.lit("table").alias("kind"), F.lit("").alias("text"), F.lit(0).alias("level"), "rows")
+        cut = sheets.where("truncated").select("doc_id", "sheet_no", F.lit(2).alias("at"), F.lit("para").alias("kind"), F.lit(TRUNCATED.format(config.sheet_max_rows or 2000)).alias("text"), F.lit(0).alias("level"), none.alias("rows"))
+        made = {"blocks": heads.unionByName(bodies).unionByName(cut)}
+        order, count = ("sheet_no", "at"), {"sheets": "sheet_no"}
+    elif handler == "pptx":
+        made, order, count = office.slide_blocks(n, config.include_speaker_notes), ("slide_no", "at"), {"slides": "slide_no"}
+    elif handler == "docx":
+        made, order = office.word_blocks(n), ("at",)
+    else:
+        made, order = office.hwpx_blocks(n), ("section", "part", "at")
+    b = F.struct("kind", "text", F.col("level").cast("int").alias("level"), F.col("rows").cast(f"array<array<{blocks.CELL}>>").alias("rows"))
+    out = made["blocks"].groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*order, b.alias("b"))))["b"].alias("blocks"), *(F.count_distinct(c).alias(k) for k, c in count.items()))
+    for name, fields, kind in (("notes", ("num", "text"), NOTES), ("images", ("label", "member"), PICTURES)):
+        into = {"notes": "footnotes"}.get(name, name)
+        if name in made:
+            # a picture's number counts, not the letters of its label
+            key = F.col("num") if name == "notes" else F.regexp_extract("label", r"(\d+)$", 1).cast("int")
+            listed = made[name].groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(key.alias("key"), F.struct(*fields).alias("x"))))["x"].cast(kind).alias(into))
+            out = out.join(listed, "doc_id", "left")
+    told = n.where("part IN ('#members', '#error')").groupBy("doc_id").agg(F.max(F.col("part") == "#error").alias("broken"), F.max(office.attr("name") == NOT_A.get(handler, ("", ""))[0]).alias("whole"))
+    error = F.when(F.col("broken"), BROKEN.format(handler))
+    if handler in NOT_A:
+        slides = n.where(F.col("part").rlike("/slides/slide")).select("doc_id").distinct() if handler == "pptx" else n.limit(0).select("doc_id")
+        told = told.join(slides.withColumn("some", F.lit(True)), "doc_id", "left")
+        error = error.when(~F.col("whole") & F.col("some").isNull(), NOT_A[handler][1])
+    out = told.select("doc_id", error.alias("error")).join(out, "doc_id", "left").withColumn("blocks", F.coalesce("blocks", F.array().cast(f"array<{blocks.BLOCK}>")))
+    more = {c: F.col(c) for c in ("footnotes", "images", *count) if c in out.columns}
+    return _whole(out, error=F.col("error"), **more)
+
+
 def parse(found: DataFrame, config: Config = Config()) -> DataFrame:
-    """doc_id, blocks, encoding, counts and error of files (doc_id, name, ext, handler, error, content).
+    """doc_id, blocks, notes, pictures, encoding, counts and error of files (doc_id, name, ext, handler, error, content).
 
-    Each format is one branch; a branch without files costs a filter.
+    The content of a file is read once: texts are decoded and containers become rows of nodes, stored in the
+    shared folder in a part for each handler.  Only formats that are there are then put together, from
+    what is stored, and so is the result: what is done with it later doesn't parse again.
     """
     fine = found.where("error IS NULL")
-    text = fine.where(F.col("handler").isin("txt", "md", "csv", "html", "json")).withColumn("d", files.decoded(F.col("content"))).select("doc_id", "name", "ext", "handler", "d.*")
-    parsed = [_plain(text.where("error IS NULL"), h, config) for h in ("txt", "md", "csv", "html", "json")]
-    of = lambda h: fine.where(F.col("handler") == h)
-    parsed.append(_whole(_gathered(office.word_blocks(of("docx")), "at")))
-    sheets = office.sheet_tables(office.sheet_cells(of("xlsx")), config.sheet_max_rows or 2000)
-    none = F.lit(None).cast(sheets.schema["rows"].dataType)
-    heads = sheets.select("doc_id", "sheet_no", F.lit(0).alias("at"), F.lit("heading").alias("kind"), F.col("sheet").alias("text"), F.lit(2).alias("level"), none.alias("rows"))
-    bodies = sheets.select("doc_id", "sheet_no", F.lit(1).alias("at"), F.lit("table").alias("kind"), F.lit("").alias("text"), F.lit(0).alias("level"), "rows")
-    cut = sheets.where("truncated").select("doc_id", "sheet_no", F.lit(2).alias("at"), F.lit("para").alias("kind"), F.lit(TRUNCATED.format(config.sheet_max_rows or 2000)).alias("text"), F.lit(0).alias("level"), none.alias("rows"))
-    workbook = _gathered(heads.unionByName(bodies).unionByName(cut), "sheet_no", "at").join(sheets.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")
-    parsed.append(_whole(workbook, sheets=F.col("n")))
-    slides = office.slide_blocks(of("pptx"), config.include_speaker_notes)
-    parsed.append(_whole(_gathered(slides, "slide_no", "at").join(slides.groupBy("doc_id").agg(F.max("slide_no").alias("n")), "doc_id"), slides=F.col("n")))
-    parsed.append(_whole(_gathered(office.hwpx_blocks(of("hwpx")), "section", "at")))
-    if config.page_texts:
-        parsed.append(_pdf(of("pdf"), config))
-    out = parsed[0]
-    for p in parsed[1:]:
+    present = {r["handler"] for r in fine.select("handler").distinct().collect()}  # names of formats
+    special = config.parsers or {}
+    parsed = [_whole(special[h](fine.where(F.col("handler") == h))) for h in sorted(present & set(special))]
+    present -= set(special)
+    bad = found.where("error IS NOT NULL").select("doc_id", "error")
+    if present & set(TEXTS):
+        text = fine.where(F.col("handler").isin(*TEXTS) & ~F.col("handler").isin(*special)).withColumn("d", files.decoded(F.col("content")))
+        text = stored(text.select("doc_id", "name", "ext", "d.*", "handler"), "texts", "handler")
+        parsed += [_plain(text.where("error IS NULL"), h, config) for h in TEXTS if h in present]
+        bad = bad.unionByName(text.where("error IS NOT NULL").select("doc_id", "error"))
+    if present & set(CONTAINERS):
+        boxes = fine.where(F.col("handler").isin(*CONTAINERS) & ~F.col("handler").isin(*special))
+        nodes = markup.nodes(F.col("content"), F.col("handler"), office.PARTS)
+        n = stored(boxes.select("doc_id", "handler", F.explode(nodes).alias("n")).select("doc_id", "n.*", "handler"), "nodes", "handler")
+        parsed += [_office(n.where(F.col("handler") == h).drop("handler"), h, config) for h in CONTAINERS if h in present]
+    if config.page_texts and "pdf" in present:
+        parsed.append(_pdf(fine.where("handler = 'pdf'"), config))
+    out = _whole(bad.withColumn("blocks", F.array().cast(f"array<{blocks.BLOCK}>")), error=F.col("error"))
+    for p in parsed:
         out = out.unionByName(p)
-    bad = text.where("error IS NOT NULL").select("doc_id", "error").unionByName(found.where("error IS NOT NULL").select("doc_id", "error"))
-    bad = bad.withColumn("blocks", F.array().cast(f"array<{blocks.BLOCK}>"))
-    out = out.unionByName(_whole(bad, error=F.col("error"))).withColumn("blocks", blocks.tidied(F.col("blocks")))
-    out = found.select("doc_id").join(out, "doc_id", "left").withColumn("blocks", F.coalesce("blocks", F.array().cast(f"array<{blocks.BLOCK}>")))
-    return out.withColumn("error", F.coalesce("error", F.when(F.size("blocks") == 0, NO_CONTENT))).select(*COLUMNS)
+    out = out.withColumn("blocks", blocks.tidied(F.col("blocks")))
+    out = found.select("doc_id", "handler").join(out, "doc_id", "left").withColumn("blocks", F.coalesce("blocks", F.array().cast(f"array<{blocks.BLOCK}>")))
+    out = out.withColumns({c: F.coalesce(c, F.array().cast(k)) for c, k in (("footnotes", NOTES), ("images", PICTURES))})
+    empty = F.coalesce(F.create_map(*(F.lit(x) for kv in EMPTY.items() for x in kv))[F.col("handler")], F.lit(NOTHING))
+    return stored(out.withColumn("error", F.coalesce("error", F.when(F.size("blocks") == 0, empty))).select(*COLUMNS), "parsed")
 
 
 def convert(spark: SparkSession, folder: str, config: Config = Config(), converted_at: str | None = None) -> DataFrame:
-    """doc_id, source, format, out_name, text (Markdown with its head) and error of every known file in a folder."""
+    """doc_id, source, format, out_name, text (Markdown with its head), error, images and counts of every known file in a folder."""
     found = files.read_files(ship(spark), folder)
-    docs = parse(found, config).join(found.select("doc_id", "name", "ext"), "doc_id")
+    return rendered(parse(found, config), found.select("doc_id", "name", "ext"), config, converted_at)
+
+
+def rendered(parsed: DataFrame, names: DataFrame, config: Config = Config(), converted_at: str | None = None) -> DataFrame:
+    """Markdown of parsed documents; names has doc_id, name and ext."""
+    docs = parsed.join(names, "doc_id")
     now = F.lit(converted_at) if converted_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
-    body = blocks.body(F.col("blocks"))
-    stats = blocks.counts(F.col("blocks")) | {c: F.col(c) for c in ("pages", "slides", "sheets", "rows")}
-    docs = docs.withColumn("body", body)
-    text = F.when(F.col("error").isNull(), F.concat(blocks.frontmatter(F.col("name"), F.col("body"), now, stats, F.col("encoding")), F.lit("\n"), F.col("body")))
     stem = safe_filename(F.regexp_replace("name", r"\.[^.]*$", ""))
-    names = inbox.suffixed(found.select("doc_id", stem.alias("stem")), "stem", "doc_id").select("doc_id", "out_name")
-    named = docs.withColumn("text", text).join(names, "doc_id")
-    return named.select("doc_id", F.col("name").alias("source"), F.col("ext").alias("format"), F.concat("out_name", F.lit(".md")).alias("out_name"), "text", "error")
+    taken = inbox.suffixed(names.select("doc_id", stem.alias("stem")), "stem", "doc_id").select("doc_id", "out_name")
+    docs = docs.join(taken, "doc_id")
+    assets = F.when((F.size("images") > 0) & F.lit(config.extract_images), F.concat(F.lit("assets/"), "out_name")).otherwise(".")
+    raw = F.filter("blocks", lambda b: b["kind"] == "raw")["text"]
+    passed = blocks.markdown_stats(F.array_join(raw, "\n"))
+    own = blocks.counts(F.col("blocks")) | {"images": F.size("images"), "footnotes": F.size("footnotes")}
+    is_md = F.col("ext").isin(".md", ".markdown")
+    stats = {c: F.when(is_md, passed[c]).otherwise(x) if c in passed else x for c, x in own.items()} | {c: F.col(c) for c in ("pages", "slides", "sheets", "rows")}
+    docs = docs.withColumn("body", blocks.body(F.col("blocks"), F.col("footnotes"), assets))
+    text = F.when(F.col("error").isNull(), F.concat(blocks.frontmatter(F.col("name"), F.col("body"), now, stats, F.col("encoding")), F.lit("\n"), F.col("body")))
+    return docs.select("doc_id", F.col("name").alias("source"), F.col("ext").alias("format"), F.concat("out_name", F.lit(".md")).alias("out_name"), text.alias("text"), "error", "images", blocks.log_summary(stats).alias("summary"))
+
+
+def pictures(found: DataFrame, converted: DataFrame) -> DataFrame:
+    """doc_id, label, member, path (in the folder of results) and content of the pictures that converted texts point to."""
+    wanted = converted.where("error IS NULL").select("doc_id", F.regexp_replace("out_name", r"\.md$", "").alias("stem"), F.explode("images").alias("i")).select("doc_id", "stem", "i.*")
+    held = found.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode(markup.members(F.col("content"), r"(?i)^(word|ppt)/|^BinData/")).alias("m")).select("doc_id", "m.*")
+    ending = F.when(F.lower("member").startswith("bindata/"), office.member_extension(F.col("member"))).otherwise(F.lower(office.member_extension(F.col("member"))))
+    return wanted.join(held, ["doc_id", "member"]).select("doc_id", "label", "member", F.concat(F.lit("assets/"), "stem", F.lit("/"), "label", ending).alias("path"), "content")
 
 
 def redact(docs: DataFrame, config: Config = Config()) -> dict[str, DataFrame]:
@@ -147,12 +221,6 @@ def redact(docs: DataFrame, config: Config = Config()) -> dict[str, DataFrame]:
     return {"findings": found, "masked": redaction.apply(docs, found), "report": redaction.report(docs, found, config.redact_include_review), "mapping": redaction.mapping(found)}
 
 
-def images(found: DataFrame) -> DataFrame:
-    """doc_id, label, member and content of the pictures in containers."""
-    rows = found.select("doc_id", F.posexplode(markup.members(F.col("content"), r"(?i)^(word|ppt)/media/|^BinData/")).alias("n", "m"))
-    return rows.select("doc_id", F.concat(F.lit("img"), (F.col("n") + 1).cast("string")).alias("label"), "m.member", "m.content")
-
-
 def catalog(spark: SparkSession) -> DataFrame:
     return formats.catalog(spark)
 
@@ -162,12 +230,39 @@ def validate(names: DataFrame, name: str = "name") -> DataFrame:
     return formats.with_format(names.withColumn("safe_name", safe_filename(squash(name))), name)
 
 
-def stream(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str, config: Config = Config(), archive: str | None = None, once: bool = False):
-    """Converts new files of a folder as they come; ``sink`` gets (doc_id, blocks, ..) of each batch and its number."""
+def poll(gate: inbox.Gate, sink: Callable[[DataFrame, int], None], config: Config, at, number: int) -> None:
+    """One poll: what has settled is parsed and handed to ``sink``, file by file state kept.
+
+    Where the sink fails, its files are blocked until they are gone; files that can't be parsed are ``failed``.
+    """
+    state = gate.write(gate.polled(at), number * 2)
+    ready = state.where("state = 'ready'")
+    if ready.isEmpty():
+        return
+    paths = [r["path"] for r in ready.select("path").toLocalIterator()]  # names of one poll's files
+    rows = gate.spark.read.format("binaryFile").load(paths).withColumns({"doc_id": F.sha2("path", 256), "name": F.regexp_extract("path", "([^/]*)$", 1)})
+    parsed = parse(formats.with_format(rows).where("handler IS NOT NULL"), config)
+    failed = parsed.where("error IS NOT NULL").select(F.col("doc_id").alias("bad"))
+    of = state.withColumn("doc_id", F.sha2("path", 256)).join(failed, F.col("doc_id") == F.col("bad"), "left")
+    try:
+        sink(parsed, number)
+        after = F.when(F.col("bad").isNotNull(), "failed").otherwise("done")
+    except Exception as error:  # noqa: BLE001 - what a sink raises is its own; its files wait for somebody
+        logging.getLogger(__name__).error("The sink failed in poll %d: %s", number, error)
+        after = F.lit("blocked")
+    gate.write(of.withColumn("state", F.when(F.col("state") == "ready", after).otherwise(F.col("state"))), number * 2 + 1)
+
+
+def stream(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str, config: Config = Config(), stable: float = inbox.STABLE_SECONDS):
+    """Watches a folder: every few seconds files that have stopped growing are converted; ``sink`` gets (doc_id, blocks, ..) and the number of the poll.
+
+    The ticks are a stream, whose checkpoint numbers the polls; a poll that was cut off is made again from the last whole state.
+    """
+    gate = inbox.Gate(ship(spark), folder, f"{checkpoint}/gate", stable)
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumns({"doc_id": F.sha2("path", 256), "name": F.regexp_extract("path", "([^/]*)$", 1)})
-        sink(parse(formats.with_format(rows).where("handler IS NOT NULL"), config), number)
+        poll(gate, sink, config, datetime.now(), number)
 
-    writer = inbox.incoming(ship(spark), folder, archive).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{inbox.POLL_SECONDS} seconds")).start()
+    writer = ticks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=f"{inbox.POLL_SECONDS} seconds").start()

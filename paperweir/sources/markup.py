@@ -20,7 +20,7 @@ from ..functions.text import squash
 from ..operators.blocks import CELL
 
 NODE = StructType([
-    StructField("part", StringType()), StructField("ord", IntegerType()), StructField("last", IntegerType()), StructField("tag", StringType()),
+    StructField("part", StringType()), StructField("ord", IntegerType()), StructField("last", IntegerType()), StructField("tag", StringType()), StructField("path", StringType()),
     StructField("attrs", MapType(StringType(), StringType())), StructField("text", StringType()), StructField("tail", StringType()),
     StructField("up", MapType(StringType(), IntegerType())),
 ])
@@ -30,45 +30,59 @@ def _local(name: str) -> str:
     return name.rsplit("}", 1)[-1].rsplit(":", 1)[-1]
 
 
-def nodes(content: Column, parts: str) -> Column:
-    """Elements of the XML parts of a container whose names match ``parts``, in document order.
+def _attributes(element) -> dict[str, str]:
+    """Attributes by local name, a plain one before one of a namespace; those of relations also under r:"""
+    found = {}
+    for k, v in element.attrib.items():
+        if "}" in k:
+            found.setdefault(_local(k), v)
+            if "relationships" in k:
+                found["r:" + _local(k)] = v
+    return found | {k: v for k, v in element.attrib.items() if "}" not in k}
 
-    ``ord`` numbers the elements of a part, ``last`` is the number of its last descendant, ``up`` has the
-    number of the nearest ancestor of each name.  What isn't a container or isn't XML gives no nodes.
-    """
 
-    @pandas_udf(ArrayType(NODE))
-    def run(column: pd.Series) -> pd.Series:
-        wanted = re.compile(parts)
+def nodes(content: Column, handler: Column, parts: dict[str, str]) -> Column:
+    """Elements of the XML parts of a container whose names match the handler's pattern, in document order.
 
-        def walk(part, element, up, rows):
-            at = len(rows)
-            tag = _local(element.tag)
-            rows.append(None)
-            inner = {**up, tag: at}
-            for child in element:
-                walk(part, child, inner, rows)
-            rows[at] = (part, at, len(rows) - 1, tag, {_local(k): v for k, v in element.attrib.items()}, element.text or "", element.tail or "", up)
+    ``ord`` numbers the elements of a part, ``last`` is the number of its last descendant, ``path`` has the names down to it, ``up`` the
+    number of the nearest ancestor of each name.  The members of the container are elements of a part ``#members``.  A part that
+    isn't XML gives no nodes; what isn't a container gives one of a part ``#error``.
+    """
 
-        def one(data):
+    @pandas_udf(ArrayType(NODE))
+    def run(column: pd.Series, handlers: pd.Series) -> pd.Series:
+        def flat(part, root):
+            rows, parent, stack = [], [], [(root, -1, "", {})]
+            while stack:
+                element, above, path, up = stack.pop()
+                at, tag = len(rows), _local(element.tag) if isinstance(element.tag, str) else ""
+                path = f"{path}/{tag}" if path else tag
+                parent.append(above)
+                rows.append([part, at, at, tag, path, _attributes(element), element.text or "", element.tail or "", up])
+                inner = {**up, tag: at}
+                stack += [(child, at, path, inner) for child in reversed(element)]
+            for at in range(len(rows) - 1, 0, -1):
+                rows[parent[at]][2] = max(rows[parent[at]][2], rows[at][2])
+            return [tuple(r) for r in rows]
+
+        def one(data, handler):
             out = []
             try:
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for part in sorted(n for n in z.namelist() if wanted.search(n)):
+                    names = z.namelist()
+                    out += [("#members", i, i, "member", "member", {"name": name}, "", "", {}) for i, name in enumerate(names)]
+                    for part in sorted(n for n in set(names) if re.search(parts.get(handler, "$^"), n)):
                         try:
-                            root = ElementTree.fromstring(z.read(part))
+                            out += flat(part, ElementTree.fromstring(z.read(part)))
                         except ElementTree.ParseError:
                             continue
-                        rows = []
-                        walk(part, root, {}, rows)
-                        out += rows
             except (zipfile.BadZipFile, TypeError):
-                pass
+                out.append(("#error", 0, 0, "zip", "zip", {}, "", "", {}))
             return out
 
-        return pd.Series([one(x) for x in column])
+        return pd.Series([one(x, h) for x, h in zip(column, handlers, strict=True)])
 
-    return run(content)
+    return run(content, handler)
 
 
 def members(content: Column, pattern: str) -> Column:

@@ -17,7 +17,9 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         app = spark.sparkContext.applicationId
-        root = _own.setdefault(app, "") or _own.update({app: "file://" + tempfile.mkdtemp(prefix="spark-paperweir-")}) or _own[app]
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-paperweir-")
+        root = _own[app]
     return f"{root.rstrip('/')}/paperweir/{uuid.uuid4().hex}/{label}"
 
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.text import extension
+from ..sources import formats
+
 POLL_SECONDS, STABLE_SECONDS = 2, 3
 READY = "name string, size long, since timestamp, ready timestamp"
 
@@ -60,6 +64,58 @@ def settled(polls: DataFrame, stable: float = STABLE_SECONDS) -> DataFrame:
     return late.groupBy("name", "run", "size", "since").agg(F.min("ts").alias("ready")).drop("run").select("name", "size", "since", "ready")
 
 
+STATE = "path string, name string, size long, since timestamp, state string"
+
+
+class Gate:
+    """What a watched folder holds from poll to poll: waiting, done, failed and blocked files.
+
+    A listing is reconciled with the state by joins; the new state is written beside the old ones, so a poll that
+    dies is made again from the last whole state.  A file that is gone is forgotten, and one that comes again is new.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, state: str, stable: float = STABLE_SECONDS) -> None:
+        self.spark, self.folder, self.states, self.stable = spark, folder, state, stable
+        self.log = f"{state}/states"
+        self.held: DataFrame | None = None
+
+    def read(self) -> DataFrame:
+        """The last whole state."""
+        if self.held is None:
+            try:
+                last = self.spark.read.parquet(self.log).agg(F.max("poll")).first()[0]
+            except AnalysisException:
+                last = None
+            self.held = self.spark.createDataFrame([], STATE) if last is None else self._of(last)
+        return self.held
+
+    def _of(self, poll: int) -> DataFrame:
+        return self.spark.read.schema(STATE).parquet(f"{self.log}/poll={poll}")
+
+    def write(self, state: DataFrame, poll: int) -> DataFrame:
+        state.select("path", "name", "size", "since", "state").write.mode("overwrite").parquet(f"{self.log}/poll={poll}")
+        self.held = self._of(poll)
+        return self.held
+
+    def polled(self, at) -> DataFrame:
+        """The state after a listing at a time; files that have kept their size for long enough are ``ready``."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.folder)
+        now = formats.with_format(files.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("length").alias("size")))
+        now = now.where("handler IS NOT NULL").select("path", "name", "size")
+        old = self.read().select("path", F.col("size").alias("old"), "since", "state")
+        rows = now.join(old, "path", "left")
+        time = F.lit(at).cast("timestamp")
+        same = F.col("size") == F.col("old")
+        kept = F.col("state").isin("blocked", "done", "failed")
+        waited = time.cast("double") - F.col("since").cast("double") >= self.stable
+        state = F.when((F.col("state") == "blocked") | kept & same, F.col("state")).when(F.coalesce(same & waited, F.lit(self.stable <= 0)), "ready").otherwise("waiting")
+        return rows.select("path", "name", "size", F.when(F.coalesce(same, F.lit(False)), F.col("since")).otherwise(time).alias("since"), state.alias("state"))
+
+    def progress(self) -> DataFrame:
+        """Files by state and format."""
+        return self.read().groupBy("state", F.regexp_replace(extension("name"), r"^\.", "").alias("format")).agg(F.count("*").alias("files"))
+
+
 def reconciled(before: DataFrame, now: DataFrame) -> DataFrame:
     """name and state of two listings (name, size): new, gone, changed or same."""
     rows = before.select("name", F.col("size").alias("old")).join(now.select("name", F.col("size").alias("new")), "name", "full_outer")

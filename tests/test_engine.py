@@ -1,8 +1,15 @@
 """Folders to Markdown and on to redacted copies, in batch and as a stream."""
 
+import json
+import time
+from datetime import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
 from paperweir.plans import engine
+from paperweir.sources import sinks
+from paperweir.streaming import inbox
 from test_sources import container
 
 
@@ -15,6 +22,10 @@ def fill(folder):
     (folder / "f.doc").write_bytes(b"old")
     (folder / "g.txt").write_bytes(b"  \n")
     (folder / "h.pdf").write_bytes(b"Report\x0cReport\nsecond page of some length.")
+    (folder / "j.docx").write_bytes(b"no zip")
+    (folder / "k.xlsx").write_bytes(bytes(container({"a": "b"})))
+    (folder / "l.html").write_text("<script>x</script>", encoding="utf-8")
+    (folder / "m.hwpx").write_bytes(bytes(container({"Contents/section0.xml": "<sec><p><run><t>a</t><footNote><p><run><t>n</t></run></p></footNote><pic><img binaryItemIDRef='x'/></pic></run></p></sec>", "BinData/x.png": "PNG"})))
     (folder / "i.docx").write_bytes(bytes(container({"word/document.xml": "<d><body><p><r><t>word text</t></r></p></body></d>"})))
 
 
@@ -22,9 +33,9 @@ def test_convert(spark, tmp_path):
     fill(tmp_path)
     config = engine.Config(page_texts=lambda data: data.decode().split("\x0c"))
     got = {r["source"]: r for r in engine.convert(spark, str(tmp_path), config, "2024-01-01T00:00:00").collect()}
-    assert set(got) == {"a.txt", "b.md", "c.csv", "d.html", "e.json", "f.doc", "g.txt", "h.pdf", "i.docx"}
+    assert set(got) == {"a.txt", "b.md", "c.csv", "d.html", "e.json", "f.doc", "g.txt", "h.pdf", "i.docx", "j.docx", "k.xlsx", "l.html", "m.hwpx"}
     head = lambda f, stats, n, enc="encoding: utf-8-sig\n": f'---\nsource: "{f}"\nformat: {f[2:]}\nconverted_at: 2024-01-01T00:00:00\n{stats}{enc}chars: {n}\n---\n\n'
-    assert got["a.txt"]["text"] == head("a.txt", "headings: 0\nparagraphs: 2\ntables: 0\n", 13) + "one\n\n성명: 홍길동\n"
+    assert got["a.txt"]["text"] == head("a.txt", "headings: 0\nparagraphs: 2\ntables: 0\nimages: 0\nfootnotes: 0\n", 13) + "one\n\n성명: 홍길동\n"
     assert got["b.md"]["text"].endswith("---\n\n# H\n\nbody\n")
     assert got["c.csv"]["text"].endswith("| k | v |\n| --- | --- |\n| 1 | 2 |\n") and "rows: 2" in got["c.csv"]["text"]
     assert got["d.html"]["text"].endswith("# T\n\np\n\n| a | b |\n| --- | --- |\n")
@@ -32,22 +43,88 @@ def test_convert(spark, tmp_path):
     assert got["f.doc"]["text"] is None and ".docx" in got["f.doc"]["error"] and got["g.txt"]["error"]
     assert "second page of some length." in got["h.pdf"]["text"] and "pages: 2" in got["h.pdf"]["text"]
     assert got["i.docx"]["text"].endswith("word text\n")
+    assert got["j.docx"]["error"] == engine.BROKEN.format("docx") and got["k.xlsx"]["error"] == engine.NOT_A["xlsx"][1] and got["l.html"]["error"] == engine.EMPTY["html"]
+    assert got["m.hwpx"]["text"].endswith("images: 1\nfootnotes: 1\nchars: 47\n---\n\na[^1]\n![img1](assets/m/img1.png)\n\n---\n\n[^1]: n\n")
+    plain = {r["source"]: r["text"] for r in engine.convert(spark, str(tmp_path), engine.Config(extract_images=False)).collect()}
+    assert "![img1](./img1.png)" in plain["m.hwpx"]
     made = engine.redact(spark.createDataFrame([(r["doc_id"], r["text"]) for r in got.values() if r["text"]], "doc_id string, text string"))
     assert made["masked"].where(F.col("masked_text").contains("〔자연인-01〕")).count() == 1 and made["mapping"].count() == 1
 
 
+def test_content_is_read_once(spark, tmp_path, monkeypatch):
+    fill(tmp_path)
+    reads = []
+    for module, name in ((engine.markup, "nodes"), (engine.files, "decoded")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *args, real=real, name=name: (reads.append(name), real(*args))[1])
+    made = engine.convert(spark, str(tmp_path))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(reads) == ["decoded", "nodes"]
+    assert "content#" not in plan and "ArrowEvalPython" not in plan and plan.count("Exchange") <= 16, plan.count("Exchange")
+
+
+def test_results_are_written_and_mapping_apart(spark, tmp_path):
+    source, out, secret = tmp_path / "in", tmp_path / "out", tmp_path / "secret"
+    source.mkdir()
+    fill(source)
+    found = engine.files.read_files(spark, str(source))
+    made = engine.convert(spark, str(source))
+    sinks.write_markdown(made, str(out))
+    sinks.write_pictures(engine.pictures(found, made), str(out))
+    assert (out / "a.md").read_text(encoding="utf-8").endswith("성명: 홍길동\n") and (out / "assets/m/img1.png").read_text() == "PNG"
+    assert not (out / "f.md").exists()
+    named = made.where("text IS NOT NULL").select("doc_id", "out_name", "text")
+    sinks.write_redacted(named, engine.redact(named.select("doc_id", "text")), str(out), str(out), str(secret))
+    assert "〔자연인-01〕" in (out / "a.masked.md").read_text(encoding="utf-8")
+    assert "홍길동" not in (out / "a.redact.json").read_text(encoding="utf-8")
+    assert json.loads((secret / "a.mapping.json").read_text(encoding="utf-8"))["map"] == {"〔자연인-01〕": "홍길동"}
+    with pytest.raises(ValueError):
+        sinks.write_redacted(named, {}, str(out), str(out), str(out))
+
+
+def test_stream_waits_for_files_to_settle(spark, tmp_path):
+    source, state = tmp_path / "in", tmp_path / "state"
+    source.mkdir()
+    (source / "a.txt").write_text("hello", encoding="utf-8")
+    (source / "b.txt").write_text("half", encoding="utf-8")
+    seen = []
+
+    def sink(df, number):
+        rows = df.collect()
+        if any(r["blocks"][0]["text"] == "trouble" for r in rows):
+            raise OSError("in use")
+        seen.extend(r["blocks"][0]["text"] for r in rows)
+
+    gate = inbox.Gate(spark, str(source), str(state))
+    for second, change in ((0, None), (2, ("b.txt", "half and whole")), (4, None), (6, ("c.txt", "trouble")), (10, None), (12, ("c.txt", "longer")), (16, None), (18, ("c.txt", None)), (20, ("c.txt", "again")), (24, None)):
+        if change:
+            name, text = change
+            (source / name).unlink() if text is None else (source / name).write_text(text, encoding="utf-8")
+        engine.poll(gate, sink, engine.Config(), at=datetime(2024, 1, 1, 0, 0, second), number=second)
+        if second in (4, 6):
+            assert sorted(seen) == {4: ["hello"], 6: ["half and whole", "hello"]}[second]
+        if second in (10, 16):
+            assert {r["name"]: r["state"] for r in gate.read().collect()}["c.txt"] == "blocked"
+    assert sorted(seen) == ["again", "half and whole", "hello"]
+    state = {r["name"]: r["state"] for r in gate.read().collect()}
+    assert state == {"a.txt": "done", "b.txt": "done", "c.txt": "done"}
+    assert {(r["state"], r["format"], r["files"]) for r in gate.progress().collect()} == {("done", "txt", 3)}
+
+
 def test_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
     (source / "a.txt").write_text("hello", encoding="utf-8")
     seen = []
-    query = engine.stream(spark, str(source), lambda df, n: seen.extend(r["blocks"][0]["text"] for r in df.collect()), str(tmp_path / "cp"), once=True)
-    query.awaitTermination(120)
+    query = engine.stream(spark, str(source), lambda df, n: seen.extend(r["blocks"][0]["text"] for r in df.collect()), str(tmp_path / "cp"), stable=0.0)
+    for _ in range(120):
+        if seen:
+            break
+        time.sleep(1)
+    query.stop()
     assert seen == ["hello"]
 
 
 def test_validate_and_images(spark):
     got = {r["name"]: r["error"] for r in engine.validate(spark.createDataFrame([("a.docx",), ("b.xls",), ("c",)], "name string")).collect()}
     assert got["a.docx"] is None and got["b.xls"] and got["c"]
-    data = container({"word/media/p.png": "x", "word/document.xml": "<d/>"})
-    assert [(r["label"], r["member"]) for r in engine.images(spark.createDataFrame([("d", data)], "doc_id string, content binary")).collect()] == [("img1", "word/media/p.png")]

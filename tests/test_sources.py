@@ -23,71 +23,139 @@ def container(parts):
     return bytearray(out.getvalue())
 
 
-def doc(spark, content):
-    return spark.createDataFrame([("d", content)], "doc_id string, content binary")
+def doc(spark, content, handler):
+    return office.node_table(spark.createDataFrame([("d", content)], "doc_id string, content binary"), handler)
 
 
-def test_word_document(spark):
-    p = lambda inner, props="": f"<w:p><w:pPr>{props}</w:pPr>{inner}</w:p>"
-    r = lambda t, b="": f"<w:r><w:rPr>{b}</w:rPr><w:t>{t}</w:t></w:r>"
-    cell = lambda t, props="": f"<w:tc><w:tcPr>{props}</w:tcPr>{p(r(t))}</w:tc>"
+def shown(rows):
+    cell = lambda c: c["text"] if (c["col_span"], c["row_span"]) == (1, 1) else tuple(c)
+    return [(r["kind"], r["level"], r["text"]) if r["kind"] != "table" else [[cell(c) for c in x] for x in r["rows"]] for r in rows]
+
+
+def word(spark, body, **parts):
+    parts = {"word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>", **{f"word/{k}": v for k, v in parts.items()}}
+    made = office.word_blocks(doc(spark, container(parts), "docx"))
+    return shown(made["blocks"].orderBy("at").collect()), [tuple(r) for r in made["notes"].select("num", "text").orderBy("num").collect()], [tuple(r) for r in made["images"].select("label", "member").orderBy("label").collect()]
+
+
+def p(inner, props=""):
+    return f"<w:p><w:pPr>{props}</w:pPr>{inner}</w:p>"
+
+
+def r(text, props=""):
+    return f"<w:r><w:rPr>{props}</w:rPr><w:t>{text}</w:t></w:r>"
+
+
+STYLES = f"""<w:styles {W}><w:style w:styleId="T"><w:name w:val="Title"/></w:style><w:style w:styleId="H2"><w:name w:val="heading 2 Char"/></w:style>
+<w:style w:styleId="O"><w:name w:val="own"/><w:pPr><w:outlineLvl w:val="2"/></w:pPr></w:style><w:style w:styleId="L"><w:name w:val="List Bullet"/></w:style><w:style w:styleId="N"><w:name w:val="x"/><w:pPr><w:numPr/></w:pPr></w:style></w:styles>"""
+
+
+def test_word_paragraphs(spark):
     body = (
-        p(r("Head"), '<w:pStyle w:val="T"/>') + p(r("Sub"), '<w:pStyle w:val="H2"/>') + p(r("low"), '<w:outlineLvl w:val="9"/>')
-        + p(r("a ") + r("bold", "<w:b/>") + r(" c", '<w:b w:val="0"/>') + "<w:del><w:r><w:delText>x</w:delText></w:r></w:del>")
-        + p(r("item"), '<w:numPr><w:ilvl w:val="1"/></w:numPr>') + p("")
-        + f'<w:tbl><w:tr>{cell("A", "<w:gridSpan w:val=&quot;2&quot;/>".replace("&quot;", chr(34)))}{cell("B", "<w:vMerge w:val=" + chr(34) + "restart" + chr(34) + "/>")}</w:tr><w:tr>{cell("C")}{cell("D")}{cell("", "<w:vMerge/>")}</w:tr></w:tbl>'
-        + p(r("note") + '<w:r><w:footnoteReference w:id="7"/></w:r>')
-    )
-    content = container({
-        "word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>",
-        "word/styles.xml": f'<w:styles {W}><w:style w:styleId="T"><w:name w:val="Title"/></w:style><w:style w:styleId="H2"><w:name w:val="heading 2"/></w:style></w:styles>',
-        "word/footnotes.xml": f'<w:footnotes {W}><w:footnote w:id="0" w:type="separator"/><w:footnote w:id="7"><w:p><w:r><w:t>said  so</w:t></w:r></w:p></w:footnote></w:footnotes>',
-    })
-    got = office.word_blocks(doc(spark, content)).orderBy("at").collect()
-    assert [(b["kind"], b["level"], b["text"]) for b in got] == [("heading", 1, "Head"), ("heading", 2, "Sub"), ("heading", 6, "low"), ("para", 0, "a **bold** c"), ("para", 0, "  - item"), ("blank", 0, ""), ("table", 0, ""), ("para", 0, "note[^f7]")]
-    rows = [[(c["text"], c["col_span"], c["row_span"]) for c in row] for row in got[6]["rows"]]
-    assert rows == [[("A", 2, 1), ("B", 1, 2)], [("C", 1, 1), ("D", 1, 1)]]
-    assert [(n["num"], n["text"]) for n in office.word_notes(doc(spark, content)).collect()] == [(1, "said so")]
-    assert office.word_blocks(doc(spark, bytearray(b"no zip"))).count() == 0
+        p(r("Head"), '<w:pStyle w:val="T"/>') + p(r("Sub", "<w:b/>"), '<w:pStyle w:val="H2"/>') + p(r("low"), '<w:outlineLvl w:val="9"/>') + p(r("third"), '<w:pStyle w:val="O"/>')
+        + p(r(" a ") + r("bold ", "<w:b/>") + r("c", '<w:b w:val="0"/>') + "<w:del><w:r><w:t>x</w:t></w:r></w:del><w:ins>" + r("  new") + "</w:ins>")
+        + p(r("item"), '<w:numPr><w:ilvl w:val="7"/></w:numPr>') + p(r("by style"), '<w:pStyle w:val="L"/>') + p(r("by number"), '<w:pStyle w:val="N"/>') + p("")
+        + "<w:sdt><w:sdtContent>" + p(r("held") + "<w:hyperlink>" + r("link") + "</w:hyperlink><w:r><w:tab/><w:t>t</w:t><w:br/><w:t>u</w:t><w:noBreakHyphen/></w:r>") + "</w:sdtContent></w:sdt>"
+    )
+    got, _, _ = word(spark, body, **{"styles.xml": STYLES})
+    assert got == [
+        ("heading", 1, "Head"), ("heading", 2, "Sub"), ("heading", 6, "low"), ("heading", 3, "third"), ("para", 0, "a **bold** c new"), ("para", 0, "          - item"), ("para", 0, "- by style"),
+        ("para", 0, "- by number"), ("blank", 0, ""), ("para", 0, "heldlink t\nu-"),
+    ]
+
+
+def test_word_tables(spark):
+    cell = lambda t, props="": f"<w:tc><w:tcPr>{props}</w:tcPr>{t}</w:tc>"
+    inner = f"<w:tbl><w:tr>{cell(p(r('x')))}{cell(p(r('')))}{cell(p(r('y')) + p(r('z')))}</w:tr><w:tr>{cell(p(r('w')))}</w:tr></w:tbl>"
+    restart, goes_on = '<w:vMerge w:val="restart"/>', "<w:vMerge/>"
+    body = f"""<w:tbl><w:tr>{cell(p(r('A')), '<w:gridSpan w:val="2"/>')}{cell(p(r('B')), restart)}</w:tr><w:tr>{cell(p(r('C')) + inner + p(r('D')))}{cell(p(r('E')))}{cell(p(r('lost')), goes_on)}</w:tr>
+<w:tr>{cell(p(r('F')))}{cell(p(r('G')), goes_on)}{cell('', goes_on)}</w:tr></w:tbl>"""
+    got, _, _ = word(spark, body)
+    assert got == [[[("A", 2, 1), ("B", 1, 3)], ["C\nx / y\nz\nw\nD", "E"], ["F", "G"]]]
+
+
+def test_word_notes_and_pictures(spark):
+    ref = lambda kind, i: f'<w:r><w:{kind}Reference w:id="{i}"/></w:r>'
+    picture = '<w:r><w:drawing><a:blip r:embed="{}"/></w:drawing></w:r>'
+    body = p(r("one") + ref("endnote", 2) + ref("footnote", 7) + picture.format("i1")) + p(r("two") + ref("footnote", 7) + ref("footnote", 9) + picture.format("gone") + '<w:r><w:pict><w:imagedata r:id="i2"/></w:pict></w:r>')
+    parts = {
+        "footnotes.xml": f'<w:f {W}><w:footnote w:id="0" w:type="separator"><w:p><w:r><w:t>s</w:t></w:r></w:p></w:footnote><w:footnote w:id="7"><w:p><w:r><w:t>said  so</w:t></w:r><w:r><w:t>twice</w:t></w:r></w:p></w:footnote></w:f>',
+        "endnotes.xml": f'<w:f {W}><w:endnote w:id="2"><w:p><w:r><w:t>end</w:t></w:r></w:p></w:endnote></w:f>',
+        "_rels/document.xml.rels": '<R><Relationship Id="i1" Target="media/a.PNG"/><Relationship Id="i2" Target="../word/./media/b"/><Relationship Id="gone" Target="http://x/y.png" TargetMode="External"/></R>',
+    }
+    got, notes, images = word(spark, body, **parts)
+    assert got == [("para", 0, "one[^1][^2]\n![img1]({ASSETS}/img1.png)"), ("para", 0, "two[^2]\n![img2]({ASSETS}/img2.bin)")]
+    assert notes == [(1, "end"), (2, "said so twice")] and images == [("img1", "word/media/a.PNG"), ("img2", "word/media/b")]
+    assert office.word_blocks(doc(spark, bytearray(b"no zip"), "docx"))["blocks"].count() == 0
 
 
 def test_workbook(spark):
     content = container({
         "xl/workbook.xml": f'<workbook {W}><sheets><sheet name="One" sheetId="1" r:id="r1"/><sheet name="No" state="hidden" r:id="r2"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": '<R><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></R>',
+        "xl/_rels/workbook.xml.rels": '<R><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></R>',
         "xl/sharedStrings.xml": "<sst><si><t>na</t><t>me</t></si><si><t>x</t></si></sst>",
         "xl/styles.xml": '<s><numFmts><numFmt numFmtId="165" formatCode="yyyy&quot;x&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="165"/></cellXfs></s>',
         "xl/worksheets/sheet1.xml": '<w><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>in</t></is></c><c r="A2" s="1"><v>44927</v></c><c r="B2" s="2"><v>44927.5</v></c><c r="C2"><v>3.0</v></c><c r="D2"/>'
         '<c r="A4" t="b"><v>1</v></c><c r="B4" t="e"><v>#N/A</v></c><c r="C4" t="str"><v>00123</v></c><c r="D5"><v></v></c></w>',
         "xl/worksheets/sheet2.xml": '<w><c r="A1"><v>9</v></c></w>',
     })
-    tables = office.sheet_tables(office.sheet_cells(doc(spark, content))).collect()
+    tables = office.sheet_tables(office.sheet_cells(doc(spark, content, "xlsx"))).collect()
     assert len(tables) == 1 and tables[0]["sheet"] == "One" and not tables[0]["truncated"]
     assert [[c["text"] for c in row] for row in tables[0]["rows"]] == [["name", "", "in"], ["2023-01-01", "2023-01-01 12:00", "3"], ["TRUE", "#N/A", "123"]]
 
 
 def test_slides(spark):
-    sp = lambda t, ph="", lvl=0: f'<p:sp><p:nvPr>{ph}</p:nvPr><a:p><a:pPr lvl="{lvl}"/><a:r><a:t>{t}</a:t></a:r></a:p></p:sp>'
+    para = lambda t, lvl=0: f'<a:p><a:pPr lvl="{lvl}"/><a:r><a:t>{t}</a:t></a:r></a:p>'
+    sp = lambda inner, ph="": f'<p:sp><p:nvPr>{ph and f"<p:ph type={chr(34)}{ph}{chr(34)}/>"}</p:nvPr><p:txBody>{inner}</p:txBody></p:sp>'
+    tree = lambda *shapes: f"<p:s {REL}><p:cSld><p:spTree>{''.join(shapes)}</p:spTree></p:cSld></p:s>"
+    tc = lambda t, more="": f"<a:tc {more}><a:txBody>{para(t)}</a:txBody></a:tc>"
+    table = f"""<p:graphicFrame><a:tbl><a:tr>{tc('a', 'rowSpan="2"')}{tc('b', 'gridSpan="2"')}{tc('no', 'hMerge="1"')}</a:tr><a:tr>{tc('no', 'vMerge="1"')}{tc('c')}{tc('d')}</a:tr></a:tbl></p:graphicFrame>"""
+    picture = '<p:pic><p:cNvPr descr="{}"/><a:blip r:embed="{}"/></p:pic>'
     content = container({
-        "ppt/presentation.xml": f'<p:x {W}><p:sldId id="256" r:id="rId2"/><p:sldId id="257" r:id="rId1"/></p:x>',
+        "ppt/presentation.xml": f'<p:x {REL}><p:sldIdLst><p:sldId id="256" r:id="rId2"/><p:sldId id="257" r:id="rId1"/></p:sldIdLst></p:x>',
         "ppt/_rels/presentation.xml.rels": '<R><Relationship Id="rId1" Target="slides/slide1.xml"/><Relationship Id="rId2" Target="slides/slide2.xml"/></R>',
-        "ppt/slides/slide1.xml": f"<p:s {W}>{sp('plain', lvl=1)}</p:s>",
-        "ppt/slides/slide2.xml": f"<p:s {W}>{sp('Top', '<p:ph type=' + chr(34) + 'title' + chr(34) + '/>')}{sp('body')}</p:s>",
-        "ppt/slides/_rels/slide2.xml.rels": '<R><Relationship Id="n" Target="../notesSlides/notesSlide1.xml"/></R>',
-        "ppt/notesSlides/notesSlide1.xml": f"<p:n {W}>{sp('say this')}{sp('12')}</p:n>",
+        "ppt/slides/slide1.xml": tree(sp(para("plain", 1)), table, "<p:grpSp>" + sp('<a:p><a:r><a:t>x </a:t></a:r><a:r><a:rPr b="1"/><a:t> strong </a:t></a:r><a:br/><a:fld><a:t>9</a:t></a:fld></a:p>') + "</p:grpSp>", picture.format("", "p")),
+        "ppt/slides/_rels/slide1.xml.rels": '<R><Relationship Id="p" Target="../media/x.JPG"/></R>',
+        "ppt/slides/slide2.xml": tree(sp(para("body")), sp(para("Top"), "title"), sp(para("second"), "ctrTitle"), picture.format("a  view", "q")),
+        "ppt/slides/_rels/slide2.xml.rels": '<R><Relationship Id="n" Target="../notesSlides/notesSlide1.xml"/><Relationship Id="q" Target="../media/y.png"/></R>',
+        "ppt/notesSlides/notesSlide1.xml": f"<p:n {REL}><p:txBody>{para('say this')}{para('12')}{para('and that')}</p:txBody></p:n>",
     })
-    got = office.slide_blocks(doc(spark, content)).orderBy("slide_no", "at").collect()
-    assert [(b["slide_no"], b["kind"], b["text"]) for b in got] == [(1, "heading", "1. Top"), (1, "para", "- body"), (1, "para", "> say this"), (2, "heading", "슬라이드 2"), (2, "para", "  - plain")]
+    made = office.slide_blocks(doc(spark, content, "pptx"))
+    got = shown(made["blocks"].where("kind <> 'blank'").orderBy("slide_no", "at").collect())
+    assert got == [
+        ("heading", 2, "1. Top"), ("para", 0, "- body"), ("para", 0, "- second"), ("para", 0, "![a view]({ASSETS}/img1.png)"), ("para", 0, "> **발표자 노트** — say this and that"),
+        ("heading", 2, "슬라이드 2"), ("para", 0, "  - plain"), [[("a", 1, 3), ("b", 2, 1)], ["c", "d"]], ("para", 0, "- x **strong** 9"), ("para", 0, "![img2]({ASSETS}/img2.jpg)"),
+    ]
+    assert [tuple(x) for x in made["images"].select("label", "member").orderBy("label").collect()] == [("img1", "ppt/media/y.png"), ("img2", "ppt/media/x.JPG")]
+
+
+REL = 'xmlns:p="http://p" xmlns:a="http://a" xmlns:r="http://x/relationships"'
 
 
 def test_hangul_document(spark):
+    cell = lambda t, span="": f"<tc><subList><p><run><t>{t}</t></run></p></subList>{span}</tc>"
     content = container({
-        "Contents/header.xml": '<h><style id="0" name="바탕글"/><style id="1" name="개요 2"/></h>',
-        "Contents/section0.xml": '<s><p styleIDRef="1"><run><t>Head</t></run></p><p styleIDRef="0"><run><t>one</t></run><ctrl><header><p><t>no</t></p></header></ctrl></p></s>',
-        "Contents/section10.xml": '<s><p styleIDRef="0"><run><t>last</t></run></p></s>',
+        "BinData/image1.png": "x",
+        "BinData/IMAGE2.BMP": "y",
+        "Contents/header.xml": '<h><charPr id="0"/><charPr id="1"><bold/></charPr><paraPr id="0"/><paraPr id="5"><heading type="OUTLINE" level="1"/></paraPr>'
+        '<style id="0" name="바탕글"/><style id="1" name="개요 3"/><style id="2" name="my own"/></h>',
+        "Contents/section0.xml": '<sec><p styleIDRef="1"><run charPrIDRef="1"><t>Head</t></run></p><p styleIDRef="0" paraPrIDRef="5"><run charPrIDRef="0"><t>one<tab/>t<x>in</x>tail</t></run>'
+        '<run charPrIDRef="1"><t> bold</t><lineBreak/></run><run><ctrl><header><t>no</t></header></ctrl><ctrl><other><t>ctl</t></other></ctrl></run></p>'
+        '<p styleIDRef="2" paraPrIDRef="5"><run><t>outline</t></run></p>'
+        f'<p><run><t>before</t><tbl><tr>{cell("cell  one")}{cell("wide", "<cellSpan colSpan=" + chr(34) + "2" + chr(34) + " rowSpan=" + chr(34) + "1" + chr(34) + "/>")}</tr><tr/></tbl></run></p><p><run/></p>'
+        '<p><run><t>x</t><footNote><subList><p><run><t>foot</t></run><run><t>text</t></run></p></subList></footNote><equation><script>{a} over  {b}</script></equation></run></p>'
+        '<p><run><pic><img binaryItemIDRef="image2"/></pic><container><img binaryItemIDRef="none"/></container><pic/></run></p></sec>',
+        "Contents/section10.xml": '<sec><p><run><t>last</t><pic><img binaryItemIDRef="image1"/></pic></run></p></sec>',
+        "Contents/section2.xml": '<sec><p><run><t>middle</t></run></p></sec>',
     })
-    got = office.hwpx_blocks(doc(spark, content)).orderBy("section", "at").collect()
-    assert [(b["kind"], b["level"], b["text"]) for b in got] == [("heading", 2, "Head"), ("para", 0, "one"), ("para", 0, "last")]
+    made = office.hwpx_blocks(doc(spark, content, "hwpx"))
+    got = shown(made["blocks"].orderBy("section", "at").collect())
+    assert got == [
+        ("heading", 3, "Head"), ("para", 0, "one tintail **bold**\nctl"), ("heading", 2, "outline"), ("para", 0, "before"), [["cell one", ("wide", 2, 1)]], ("blank", 0, ""),
+        ("para", 0, "x[^1] $\\frac{a}{b}$"), ("para", 0, "![img1]({ASSETS}/img1.BMP)\n\n![img2]({ASSETS}/img2.BMP)"), ("para", 0, "middle"), ("para", 0, "last\n![img3]({ASSETS}/img3.png)"),
+    ]
+    assert [tuple(x) for x in made["notes"].select("num", "text").collect()] == [(1, "foot text")]
+    assert [tuple(x) for x in made["images"].select("label", "member").orderBy("label").collect()] == [("img1", "BinData/IMAGE2.BMP"), ("img2", "BinData/IMAGE2.BMP"), ("img3", "BinData/image1.png")]
 
 
 def test_encodings(spark):
