@@ -46,7 +46,10 @@ def fold(maps: np.ndarray) -> np.ndarray:
 
 
 class Maps:
-    """Bitmaps of several widths; two sets are compared at the smaller width of the two."""
+    """Bitmaps of several widths; two sets are compared at the smaller width of the two.
+
+    Sets that can be similar differ in width by one power of two at most, which takes a similarity of a half.
+    """
 
     def __init__(self, packed: list[bytes]) -> None:
         self.words = np.fromiter((len(b) // 8 for b in packed), np.int64, len(packed))
@@ -80,8 +83,8 @@ class Maps:
         for w in np.unique(self.words[lo:hi]).tolist():
             maps, index = self.rows[w]
             at = lo + np.flatnonzero((self.words[lo:hi] == w) | ((self.words[lo:hi] == 2 * w) & (percent * n[lo:hi] <= 100 * 32 * w)))
-            wide = (self.words[at] > w).tolist()  # two such sets are compared at their own width
-            found = linked(n[at], maps[index[at]], percent, lambda i, j, wide=wide: not (wide[i] and wide[j]))
+            wide = self.words[at] > w  # two such sets are compared at their own width
+            found = linked(n[at], maps[index[at]], percent, lambda i, j, wide=wide: ~(wide[i] & wide[j]))
             for x in range(len(at)):
                 links.join(int(at[x]) - lo, int(at[found.root(x)]) - lo)
         return links
@@ -124,8 +127,12 @@ class Links:
         return r if all(self.root(i) == r for i in range(lo + 1, hi)) else -1
 
 
-def linked(sizes: np.ndarray, maps: np.ndarray, percent: int, verify: Callable[[int, int], bool] | None = None) -> Links:
-    """Components of sets in ascending order of size; verify(i, j) decides on what signatures can't exclude."""
+def linked(sizes: np.ndarray, maps: np.ndarray, percent: int, verify: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, every_pair: bool = False) -> Links:
+    """Components of sets in ascending order of size.
+
+    verify(i, j) tells which pairs i < j are linked, of those that signatures can't exclude; without it all of these are.
+    With ``every_pair`` it is asked about each such pair once, else nodes that are connected already aren't compared.
+    """
     n, links = len(sizes), Links(len(sizes))
     levels = [(np.arange(0, n, LEAF), np.minimum(np.arange(0, n, LEAF) + LEAF, n))]
     while len(levels[-1][0]) > 1:
@@ -137,13 +144,17 @@ def linked(sizes: np.ndarray, maps: np.ndarray, percent: int, verify: Callable[[
     def leaves(a: slice, b: slice) -> None:
         ok = possible(sizes[a, None], sizes[None, b], maps[a, None], maps[None, b], percent)
         ok &= 100 * sizes[a, None] >= percent * sizes[None, b]
-        for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
-            i, j = i + a.start, j + b.start
-            if i < j and links.root(i) != links.root(j) and (verify is None or verify(i, j)):
-                links.join(i, j)
+        i, j = np.nonzero(ok)
+        i, j = i + a.start, j + b.start
+        i, j = i[i < j], j[i < j]
+        if verify is not None:
+            sure = verify(i, j)
+            i, j = i[sure], j[sure]
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            links.join(x, y)
 
     stack = [(len(levels) - 1, 0, 0)]
-    while stack and links.parts > 1:
+    while stack and (every_pair or links.parts > 1):
         level, u, v = stack.pop()
         some, every, low, high, lo, hi = nodes[level]
         if 100 * high[u] < percent * low[v]:
@@ -152,7 +163,7 @@ def linked(sizes: np.ndarray, maps: np.ndarray, percent: int, verify: Callable[[
         if most * (100 + percent) < percent * (low[u] + low[v]):
             continue
         if level == 0:
-            if (r := links.one(lo[u], hi[u])) < 0 or (u != v and links.one(lo[v], hi[v]) != r):
+            if every_pair or (r := links.one(lo[u], hi[u])) < 0 or (u != v and links.one(lo[v], hi[v]) != r):
                 leaves(slice(int(lo[u]), int(hi[u])), slice(int(lo[v]), int(hi[v])))
             continue
         below = len(nodes[level - 1][4])

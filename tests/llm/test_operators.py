@@ -130,7 +130,9 @@ def brute_components(rows, k, percent):
     groups = collections.defaultdict(list)
     for i, (d, _) in enumerate(rows):
         groups[find(i)].append(d)
-    return [(d, len(sets[i]), min((x for x in groups[find(i)] if x is not None), default=None)) for i, (d, _) in enumerate(rows)]
+    like = lambda i, j: 100 * (both := len(sets[i] & sets[j])) >= percent * (len(sets[i]) + len(sets[j]) - both)
+    links = [sum(1 for j in range(len(rows)) if j != i and sets[i] & sets[j] and like(i, j)) for i in range(len(rows))]
+    return [(d, len(sets[i]), min((x for x in groups[find(i)] if x is not None), default=None), links[i]) for i, (d, _) in enumerate(rows)]
 
 
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
@@ -146,7 +148,7 @@ def test_jaccard_components(spark, k, percent):
                 w[int(rng.integers(len(w)))] = f"e{rng.integers(10**6)}"
             rows.append((g * 10 + c, " ".join(w)))
     rows += [(None, rows[10][1]), (rows[11][0], rows[11][1])]
-    got = jaccard_join.jaccard_components(docs(spark, rows), k=k, percent=percent).select("doc_id", "n_shingles", "component_id").collect()
+    got = jaccard_join.jaccard_components(docs(spark, rows), k=k, percent=percent).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     key = lambda r: tuple((x is None, x or 0) for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(brute_components(rows, k, percent), key=key)
 
@@ -159,11 +161,23 @@ def test_jaccard_group_in_blocks(spark, monkeypatch):
         w = list(base)
         w[int(rng.integers(100))] = f"e{i}"
         rows.append((i, " ".join(w)))
-    got = jaccard_join.jaccard_components(docs(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    got = jaccard_join.jaccard_components(docs(spark, rows)).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert sorted(map(tuple, got)) == sorted(brute_components(rows, 4, 85))
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
 
 
+def test_jaccard_pairs_of_a_chain(spark):
+    w = words_of(120)
+    rows = [(i, " ".join(w[5 * i : 5 * i + 60])) for i in range(13)] + [(40, " ".join(w[:60])), (41, None)]
+    pairs, members = jaccard_join.jaccard_pairs(docs(spark, rows), k=4, percent=60)
+    sets = sets_of(rows, 4)
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(13) for b in range(a + 1, 13)}
+    assert {(r["left_id"], r["right_id"]): round(r["similarity"], 9) for r in pairs.collect()} == {k: round(v, 9) for k, v in want.items() if v >= 0.6}
+    assert {r["doc_id"]: r["set_id"] for r in members.collect()} == {i: i for i in range(13)} | {40: 0}
+    with pytest.raises(ValueError):
+        jaccard_join.jaccard_components(docs(spark, rows), percent=40)
+
+
 def test_line_dedup(spark):
     long = [" ".join(words_of(20, s)) for s in range(8)]
     one = " ".join(words_of(60, 77))
