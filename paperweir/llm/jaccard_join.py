@@ -34,7 +34,7 @@ WIDTH, PERCENT = 4, 85
 #: Rows of a batch that share a shingle before it may count as frequent, and rows in all; how many are told to the tasks.
 OFTEN_HERE, OFTEN, OFTEN_MOST = 3, 64, 200_000
 #: Sets and shingles that meet in one task.
-GROUP_SETS, GROUP_TOKENS = 30_000, 8_000_000
+GROUP_SETS, GROUP_TOKENS = 30_000, 2_000_000
 #: Rows that are joined by broadcast.
 BROADCAST_ROWS = 500_000
 SMALL = 16
@@ -43,7 +43,7 @@ ROWS = 3000
 #: Tasks that the sets of a frequent shingle are dealt to.
 SALTS = 64
 #: Bytes of exact bitmaps of a group; larger groups compare lists.
-EXACT_BYTES = 64 << 20
+EXACT_BYTES = 32 << 20
 #: Rows of sorted groups that are handled at once, besides a larger group.
 GROUPED = 8000
 _MASK = np.uint64((1 << 48) - 1)
@@ -393,8 +393,8 @@ class Found:
         return ok
 
 
-def keyed(docs: DataFrame, k: int, text_col: str = "text") -> DataFrame:
-    """``docs`` with the set of each text: its key ``_set`` and its size ``_n``."""
+def keyed(docs: DataFrame, k: int, text_col: str = "text", into: tuple[str, str] = ("_set", "_n")) -> DataFrame:
+    """``docs`` with the set of each text: its key and its size, in two more columns."""
     ready(docs.sparkSession)
     names = docs.columns
 
@@ -402,9 +402,9 @@ def keyed(docs: DataFrame, k: int, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for at, key, n, _, _ in sets_of([pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(len(names))], ["id", "text"])], k):
                 part = batch.slice(at[0].as_py(), len(at))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(key), pa.array(n, pa.int32())], [*names, "_set", "_n"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(key), pa.array(n, pa.int32())], [*names, *into])
 
-    schema = StructType([*docs.schema, StructField("_set", LongType()), StructField("_n", IntegerType())])
+    schema = StructType([*docs.schema, StructField(into[0], LongType()), StructField(into[1], IntegerType())])
     return docs.select(*names, F.col(text_col).alias(fresh())).mapInArrow(lean(run), schema)
 
 

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import lean, steps, table
+from .common import fresh, lean, ready, steps, table
 
 DIM = 1024
 SEED = 20240229
@@ -27,6 +28,8 @@ UNKNOWN = "und"
 STEP = 256 << 10
 #: Sequences whose vectors a Python worker remembers.
 REMEMBERED = 24_000
+#: Sequences that are multiplied at once.
+PART = 1024
 #: The mark for what isn't a letter.
 EDGE = 0
 
@@ -43,13 +46,14 @@ def letter_vector(code: int) -> np.ndarray:
 
 
 class Profiles:
-    """Vectors of three-letter sequences, made when first met."""
+    """Vectors of three-letter sequences, made when first met, in one table that never grows."""
 
     def __init__(self) -> None:
-        self.codes, self.vectors = np.zeros(0, np.int64), np.zeros((0, DIM), np.int8)
+        self.table = np.empty((REMEMBERED, DIM), np.int8)
+        self.codes, self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def of(self, codes: np.ndarray) -> np.ndarray:
-        """Vectors (float32) of ascending distinct codes."""
+    def rows_of(self, codes: np.ndarray) -> np.ndarray:
+        """Rows of the table for ascending distinct codes, REMEMBERED at most."""
         place = np.searchsorted(self.codes, codes)
         known = np.zeros(len(codes), bool)
         inside = place < len(self.codes)
@@ -57,17 +61,23 @@ class Profiles:
         new = codes[~known]
         if len(new):
             if len(self.codes) + len(new) > REMEMBERED:
-                self.__init__()
-                new = codes
-            mask = (1 << 21) - 1
-            made = np.empty((len(new), DIM), np.int8)
-            for j, c in enumerate(new.tolist()):
-                made[j] = np.roll(letter_vector(c >> 42), 2) * np.roll(letter_vector(c >> 21 & mask), 1) * letter_vector(c & mask)
+                self.codes, self.rows, new = self.codes[:0], self.rows[:0], codes
+            first, mask = len(self.codes), (1 << 21) - 1
+            for j, c in enumerate(new.tolist(), first):
+                self.table[j] = np.roll(letter_vector(c >> 42), 2) * np.roll(letter_vector(c >> 21 & mask), 1) * letter_vector(c & mask)
             every = np.r_[self.codes, new]
             order = np.argsort(every)
-            self.codes, self.vectors = every[order], np.concatenate([self.vectors, made])[order]
+            self.codes, self.rows = every[order], np.r_[self.rows, np.arange(first, first + len(new))][order]
             place = np.searchsorted(self.codes, codes)
-        return self.vectors[place].astype(np.float32)
+        return self.rows[place]
+
+    def sum(self, codes: np.ndarray, counts: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """``counts`` (one column for each code) times the vectors, a part of the table at a time; ``rows`` of the codes if they are known."""
+        out = np.zeros((len(counts), DIM), np.float32)
+        for lo in range(0, len(codes), PART):
+            rows_ = self.rows_of(codes[lo : lo + PART]) if rows is None else rows[lo : lo + PART]
+            out += counts[:, lo : lo + PART].astype(np.float32) @ self.table[rows_].astype(np.float32)
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -103,13 +113,13 @@ def sequences(texts: pa.Array):
 def bundles(texts: pa.Array) -> np.ndarray:
     """A vector for each text: rows of zeros for those without letters."""
     codes, index, row = sequences(texts)
-    vectors = profiles().of(codes)
     out = np.zeros((len(texts), DIM), np.float32)
     edges = np.searchsorted(row, np.arange(len(texts) + 1))
+    rows = profiles().rows_of(codes) if len(codes) <= REMEMBERED else None
     for i in np.flatnonzero(np.diff(edges)):
         count = np.bincount(index[edges[i] : edges[i + 1]])
         at = np.flatnonzero(count)
-        out[i] = count[at].astype(np.float32) @ vectors[at]
+        out[i] = profiles().sum(codes[at], count[at][None], None if rows is None else rows[at])[0]
     return out
 
 
@@ -125,11 +135,12 @@ def sums(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, n
                 if not len(index):
                     continue
                 counts = np.bincount(of[row].astype(np.int64) * len(codes) + index, minlength=len(langs) * len(codes)).reshape(len(langs), -1)
-                for name, v in zip(langs.tolist(), counts.astype(np.float32) @ profiles().of(codes), strict=True):
+                for name, v in zip(langs.tolist(), profiles().sum(codes, counts), strict=True):
                     total[name] = total.get(name, 0) + v.astype(np.float64)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["lang", "vector"])
 
+    ready(docs.sparkSession)
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.lower(text).alias("text"), F.col(lang).alias("lang"))
     parts = known.mapInArrow(lean(run), "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("at", "x"))
     rows = parts.groupBy("lang", "at").agg(F.sum("x").alias("x")).orderBy("lang", "at").collect()  # DIM numbers for each language
@@ -150,10 +161,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
 
 def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str], text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Columns ``keep`` of each row with the language and the score, in two more columns ``into``."""
+    ready(docs.sparkSession)
     names = sorted(model)
     matrix = np.array([model[k] for k in names], np.float32).reshape(len(names), DIM)
     kept = docs.select(*keep)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, `{into[0]}` string, `{into[1]}` double"
+    schema = StructType([*kept.schema, StructField(into[0], StringType()), StructField(into[1], DoubleType())])
 
     def run(batches):
         for batch in batches:
@@ -172,7 +184,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str], text
                 columns = [c[lo:hi] for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(said, pa.string()), pa.array(score)], [*keep, *into])
 
-    return docs.select(*keep, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")).mapInArrow(lean(run), schema)
+    return docs.select(*keep, F.lower(F.coalesce(F.col(text), F.lit(""))).alias(fresh())).mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -248,6 +248,41 @@ def test_multi_index_finds_all_within_the_radius():
         assert dict(index.near(key, x)) == {int(i): int(distance[i]) for i in np.flatnonzero(distance <= decontaminate.RADIUS)}
 
 
+def variants(rng, item, share):
+    """``item`` with about a ``share`` of its shingles changed, one word here and there."""
+    w = list(item)
+    for i in rng.choice(len(w), max(0, round(len(w) * share / 5)), replace=False):
+        w[i] = f"z{rng.integers(10**6)}"
+    return w
+
+
+@pytest.mark.parametrize("size", [12, 25, 60, 150])
+def test_recall_of_fingerprints(size):
+    """All windows whose exact similarity is enough, against those within the radius; a pair counts once."""
+    rng = np.random.default_rng(size)
+    items = [words_of(size, 1000 + i) for i in range(40)]
+    hashed = lambda w: decontaminate.words(decontaminate.pa.array([" ".join(w)]), decontaminate.PUNCT)[0]
+    index = decontaminate.Index([(i, hashed(w)) for i, w in enumerate(items)])
+    texts = [words_of(20, 5000 + t) + variants(rng, items[t % 40], 0.01 + 0.11 * rng.random()) + words_of(20, 9000 + t) for t in range(240)]
+    found = {(t, x[0]) for t, w in enumerate(texts) for x in index.leaks(hashed(w))}
+    every = lambda key, print_: ((i, int(np.bitwise_count(g[2] ^ print_).sum())) for i, g in enumerate(index.groups[key]))
+    index.near = every
+    exact = {(t, x[0]) for t, w in enumerate(texts) for x in index.leaks(hashed(w))}
+    assert found <= exact and len(exact) > 100
+    assert len(found) / len(exact) >= 0.97, (size, len(found), len(exact))
+
+
+def test_decontaminate_in_passes_and_with_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 300)
+    monkeypatch.setattr(decontaminate, "PASSES", 2)
+    items = spark.createDataFrame([(i, " ".join(words_of(12, 50 + i))) for i in range(20)], "item_id long, text string")
+    rows = [(i, " ".join(words_of(30, 900 + i) + words_of(12, 50 + i) + words_of(30, 700 + i))) for i in range(25)]
+    d = docs(spark, rows).withColumns({"_low": F.lit(1), "_more": F.lit(2), "Leaks": F.lit(3)})
+    got = decontaminate.mark(d, items)
+    assert "Leaks" not in got.columns and {"_low", "_more"} <= set(got.columns)
+    assert {(r["doc_id"], x["item_id"]) for r in got.collect() for x in r["leaks"]} == {(i, i) for i in range(20)}
+
+
 def test_language(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.learn(rows.where("doc_id % 2 = 0").select("text", "lang"))
