@@ -11,8 +11,10 @@ Where there are none, the quantiles are of all trusted rows.
 A model of up to ``MODEL_ROWS`` n-grams (its size is counted first) goes to every task as sorted arrays;
 beyond it, the n-grams of each text are joined with the model in shards instead, with the same scores.
 
-A run of white space is one symbol, every other character is its own, and an edge mark stands before and
-after.  A null or empty text scores as the two edges alone.  Short texts say little: a text's perplexity is
+A run of white space is one symbol, every other character of the trusted texts is its own, whatever its script, one symbol stands
+for all characters that they don't have, and an edge mark stands before and after.  The characters are counted first: n-grams are
+as long as ``ORDER`` symbols of that alphabet fit one 64-bit number, five of up to 4,092 characters, four of up to 32,764 (syllables or ideographs, which say more each), else three.
+A null or empty text scores as the two edges alone.  Short texts say little: a text's perplexity is
 drawn towards the median of its language as if it had ``PULL`` more symbols of that perplexity.
 A null language is its own group; a language without trusted rows uses all trusted rows' threshold.
 Without any trusted row nothing is known: perplexity is null and every row is kept.
@@ -26,9 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import lean, ready, steps, stored, table
+from .common import fresh, lean, ready, steps, stored, table
 
+#: Symbols of an n-gram at most.
 ORDER = 5
 #: Share of the trusted texts of a language that its threshold keeps.
 QUANTILE = 0.998
@@ -38,39 +42,72 @@ ACCURACY = 10_000
 MODEL_ROWS = 2_000_000
 #: Trusted ids that are joined by broadcast.
 BROADCAST_ROWS = 1_000_000
-#: Symbols are numbers below 2**12, so that ORDER of them fit one 64-bit number; the first are the marks.
-SYMBOLS = 1 << 12
-SHIFT = 12
-EDGE, BLANK = 1, 2
+#: Symbols below the first character's: the marks; no symbol is 0.
+EDGE, BLANK, UNSEEN, FIRST = 1, 2, 3, 4
 STEP = 512 << 10
 
 
-def symbol_table() -> np.ndarray:
-    """Symbol of each code point: its own below about 4,000, by hash beyond; white space is one."""
-    if not hasattr(symbol_table, "made"):
-        c = np.arange(0x110000)
-        out = np.where(c < SYMBOLS - 3, 3 + c, 3 + (c * 2654435761 >> 7) % (SYMBOLS - 3))
-        out[[i for i in range(0x3001) if chr(i).isspace()]] = BLANK
-        symbol_table.made = out.astype(np.int32)
-    return symbol_table.made
+class Alphabet:
+    """Numbers of the characters of the trusted texts, and how many of them one n-gram holds."""
 
+    def __init__(self, codes: np.ndarray, order: int = ORDER) -> None:
+        self.codes = np.sort(codes)
+        self.bits = max(1, int(len(codes) + FIRST - 1).bit_length())
+        self.order = max(1, min(order, 63 // self.bits))
 
-def symbols(texts: pa.Array):
-    """(symbols, row of each) of texts, each between edges."""
+    def numbers(self, code: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.where(_space(code), BLANK, UNSEEN).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(_space(code), BLANK, np.where(self.codes[at] == code, FIRST + at, UNSEEN))
+
+    def last(self, m: int) -> int:
+        """The mask of an n-gram's last m symbols."""
+        return (1 << (self.bits * m)) - 1
+
+
+def _space(code: np.ndarray) -> np.ndarray:
+    if not hasattr(_space, "table"):
+        _space.table = np.array([chr(i).isspace() for i in range(0x3001)])
+    return _space.table[np.minimum(code, 0x3000)] & (code <= 0x3000)
+
+
+def code_points(texts: pa.Array):
+    """(code points, characters of each text) of texts, each between two zeros."""
     listed = [t or "" for t in texts.to_pylist()]
     n = np.fromiter(map(len, listed), np.int64, len(listed))
-    code = np.frombuffer("".join(f"\x00{t}\x00" for t in listed).encode("utf-32-le", "replace"), "<u4")
-    s = symbol_table()[code].astype(np.int64)
+    return np.frombuffer("".join(f"\x00{t}\x00" for t in listed).encode("utf-32-le", "replace"), "<u4"), n
+
+
+def alphabet(trusted: DataFrame, order: int = ORDER) -> Alphabet:
+    """The characters of texts: a number for each character of Unicode at most."""
+
+    def run(batches):
+        seen = np.zeros(0x110000, bool)
+        for batch in batches:
+            for lo, hi in steps(batch.column(0), STEP):
+                code, _ = code_points(batch.column(0)[lo:hi])
+                seen[code] = True
+        code = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(code[~_space(code) & (code > 0)], pa.int32())], ["code"])
+
+    return Alphabet(trusted.mapInArrow(lean(run), "code int").distinct().toArrow()["code"].to_numpy().astype(np.int64), order)
+
+
+def symbols(texts: pa.Array, letters: Alphabet):
+    """(symbols, row of each) of texts, each between edges."""
+    code, n = code_points(texts)
+    s = letters.numbers(code)
     ends = np.cumsum(n + 2)
     s[ends - 1] = EDGE
     s[ends - n - 2] = EDGE
-    row = np.repeat(np.arange(len(listed)), n + 2)
+    row = np.repeat(np.arange(len(n)), n + 2)
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != BLANK) | (s[:-1] != BLANK)
     return s[keep], row[keep]
 
 
-def grams(s: np.ndarray, row: np.ndarray, order: int):
+def grams(s: np.ndarray, row: np.ndarray, letters: Alphabet):
     """The n-gram that ends at each symbol but a first edge, as one number; near the start of a text it is shorter.
 
     Yields for each position: number, length, row.  The number of an n-gram has its last symbol lowest.
@@ -79,24 +116,25 @@ def grams(s: np.ndarray, row: np.ndarray, order: int):
         none = np.zeros(0, np.int64)
         return none, none, none
     place = np.arange(len(s)) - np.searchsorted(row, row)
+    order = letters.order
     size = np.minimum(place + 1, order)
     number = np.zeros(len(s), np.int64)
     for back in range(order - 1, -1, -1):
         part = np.zeros(len(s), np.int64)
         part[back:] = s[: len(s) - back]
-        number = (number << SHIFT) | np.where(back < size, part, 0)
+        number = (number << letters.bits) | np.where(back < size, part, 0)
     use = place > 0
     return number[use], size[use], row[use]
 
 
-def count(trusted: DataFrame, order: int) -> DataFrame:
+def count(trusted: DataFrame, letters: Alphabet) -> DataFrame:
     """(g, n) of full-length n-grams, and of the shorter ones at the start of texts, over all trusted texts."""
 
     def run(batches):
         total_k, total_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for lo, hi in steps(batch.column(0), STEP):
-                number, _, _ = grams(*symbols(batch.column(0)[lo:hi]), order)
+                number, _, _ = grams(*symbols(batch.column(0)[lo:hi], letters), letters)
                 k, n = np.unique(number, return_counts=True)
                 every = np.concatenate([total_k, k])
                 total_k, inverse = np.unique(every, return_inverse=True)
@@ -110,24 +148,25 @@ def count(trusted: DataFrame, order: int) -> DataFrame:
     return trusted.mapInArrow(lean(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
-def length(g):
+def length(g, letters: Alphabet):
     """Symbols of an n-gram number: no symbol is 0."""
     size = F.lit(0)
-    for j in range(ORDER):
-        size = size + (F.shiftrightunsigned(g, SHIFT * j) > 0).cast("int")
+    for j in range(letters.order):
+        size = size + (F.shiftrightunsigned(g, letters.bits * j) > 0).cast("int")
     return size
 
 
-def model(trusted: DataFrame, order: int = ORDER) -> DataFrame:
+def model(trusted: DataFrame, letters: Alphabet) -> DataFrame:
     """(g, size, p, back): probability of each n-gram seen, interpolated with its shorter ones, and back-off weight of it as a context.
 
     Level by level from the longest: counts of the longest are those of the text, shorter ones count the
     different symbols before them (those that begin a text, which nothing can stand before, keep their own).
     """
-    top = stored(count(trusted, order).withColumn("size", length(F.col("g"))), "counts")
+    order = letters.order
+    top = stored(count(trusted, letters).withColumn("size", length(F.col("g"), letters)), "counts")
     levels = {order: top.where(F.col("size") == order).select("g", "n")}
     for m in range(order - 1, 0, -1):
-        mask = (1 << (SHIFT * m)) - 1
+        mask = letters.last(m)
         after = levels[m + 1].groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count("*").alias("n"))
         begins = top.where(F.col("size") == m).select("g", "n")
         levels[m] = stored(after.unionByName(begins).groupBy("g").agg(F.sum("n").alias("n")), f"level{m}")
@@ -142,14 +181,14 @@ def model(trusted: DataFrame, order: int = ORDER) -> DataFrame:
         d2 = min(max(2 - 3 * y * n3 / n2, 0.05), 1.95) if n2 else 0.75
         d3 = min(max(3 - 4 * y * n4 / n3, 0.05), 2.95) if n3 else 0.9
         less = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        rows = levels[m].withColumn("context", F.shiftrightunsigned("g", SHIFT))
+        rows = levels[m].withColumn("context", F.shiftrightunsigned("g", letters.bits))
         sums = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum(less).alias("taken")).withColumn("back", F.col("taken") / F.col("total"))
         rows = rows.join(sums, "context")
         own = (F.col("n") - less) / F.col("total")
         if m == 1:
             rows = rows.withColumn("p", own + F.col("back") / (kinds + 1))
         else:
-            mask = (1 << (SHIFT * (m - 1))) - 1
+            mask = letters.last(m - 1)
             lower = below.select(F.col("g").alias("short"), F.col("p").alias("shorter"))
             rows = rows.withColumn("short", F.col("g").bitwiseAND(F.lit(mask))).join(lower, "short").withColumn("p", own + F.col("back") * F.col("shorter"))
         below = stored(rows.select("g", F.lit(m).alias("size"), "p"), f"p{m}")
@@ -163,8 +202,8 @@ def model(trusted: DataFrame, order: int = ORDER) -> DataFrame:
 class Scorer:
     """A model as sorted arrays by length."""
 
-    def __init__(self, rows: pa.Table, order: int) -> None:
-        self.order = order
+    def __init__(self, rows: pa.Table, letters: Alphabet) -> None:
+        self.letters, order = letters, letters.order
         g, of = rows["g"].to_numpy(), rows["size"].to_numpy()
         p, back = rows["p"].to_numpy(), rows["back"].to_numpy()
         self.p, self.back = [], []
@@ -179,8 +218,8 @@ class Scorer:
     def logs(self, number: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Log probability of the last symbol of each n-gram after the others."""
         out, open_, weight = np.zeros(len(number)), np.ones(len(number), bool), np.zeros(len(number))
-        for m in range(self.order, 0, -1):
-            g = number & ((1 << (SHIFT * m)) - 1)
+        for m in range(self.letters.order, 0, -1):
+            g = number & self.letters.last(m)
             keys, logs = self.p[m]
             at = np.flatnonzero(open_ & (size >= m))
             place = np.minimum(np.searchsorted(keys, g[at]), max(0, len(keys) - 1))
@@ -189,7 +228,7 @@ class Scorer:
             open_[at[hit]] = False
             miss = at[~hit]
             keys, logs = self.back[m - 1]
-            context = g[miss] >> SHIFT
+            context = g[miss] >> self.letters.bits
             place = np.minimum(np.searchsorted(keys, context), max(0, len(keys) - 1))
             known = keys[place] == context if len(keys) else np.zeros(len(miss), bool)
             weight[miss[known]] += logs[place[known]]
@@ -198,21 +237,20 @@ class Scorer:
         return out
 
 
-def perplexities(docs: DataFrame, keep: list[str], rows: DataFrame | None, text: str, order: int, most: int) -> DataFrame:
+def perplexities(docs: DataFrame, keep: list[str], rows: DataFrame | None, text: str, letters: Alphabet, most: int) -> DataFrame:
     """Columns ``keep`` with n_symbols and perplexity."""
     kept = docs.select(*keep)
-    low = F.coalesce(F.col(text), F.lit("")).alias("_text")
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    low = F.coalesce(F.col(text), F.lit("")).alias(fresh())
     if rows is None or rows.isEmpty():
         return kept.withColumns({"n_symbols": F.lit(0).cast("long"), "perplexity": F.lit(None).cast("double")})
     if rows.count() <= most:
-        scorer = docs.sparkSession.sparkContext.broadcast(Scorer(rows.toArrow(), order))
+        scorer = docs.sparkSession.sparkContext.broadcast(Scorer(rows.toArrow(), letters))
 
         def run(batches):
             for batch in batches:
                 texts = batch.column(len(keep))
                 for lo, hi in steps(texts, STEP):
-                    number, size, row = grams(*symbols(texts[lo:hi]), order)
+                    number, size, row = grams(*symbols(texts[lo:hi], letters), letters)
                     some, inverse = np.unique(number, return_inverse=True)
                     first = np.zeros(len(some), np.int64)
                     first[inverse] = size
@@ -221,18 +259,18 @@ def perplexities(docs: DataFrame, keep: list[str], rows: DataFrame | None, text:
                     mean = np.bincount(row, logs, hi - lo) / np.maximum(n, 1)
                     yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[:-1]), pa.array(n, pa.int64()), pa.array(np.exp(-mean))], [*keep, "n_symbols", "perplexity"])
 
-        return docs.select(*keep, low).mapInArrow(lean(run), f"{names}, n_symbols long, perplexity double")
-    return joined_perplexities(docs, keep, rows, low, order)
+        return docs.select(*keep, low).mapInArrow(lean(run), StructType([*kept.schema, StructField("n_symbols", LongType()), StructField("perplexity", DoubleType())]))
+    return joined_perplexities(docs, keep, rows, low, letters)
 
 
-def joined_perplexities(docs: DataFrame, keep: list[str], rows: DataFrame, low, order: int) -> DataFrame:
+def joined_perplexities(docs: DataFrame, keep: list[str], rows: DataFrame, low, letters: Alphabet) -> DataFrame:
     """The same by joins: distinct n-grams of each text meet the model level by level, in shards of the n-gram."""
-    texts = stored(docs.select(F.monotonically_increasing_id().alias("_uid"), *keep, low), "texts")
+    texts = stored(docs.select(F.monotonically_increasing_id().alias("_uid"), *keep, low.alias("_text")), "texts")
 
     def run(batches):
         for batch in batches:
             for lo, hi in steps(batch.column(1), STEP):
-                number, size, row = grams(*symbols(batch.column(1)[lo:hi]), order)
+                number, size, row = grams(*symbols(batch.column(1)[lo:hi], letters), letters)
                 both, n = np.unique(np.stack([row, number, size]), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].take(pa.array(both[0])), pa.array(both[1]), pa.array(both[2], pa.int32()), pa.array(n, pa.int64())], ["_uid", "number", "long", "n"])
 
@@ -240,11 +278,11 @@ def joined_perplexities(docs: DataFrame, keep: list[str], rows: DataFrame, low,
     distinct = counts.select("number", "long").distinct().withColumns({"log": F.lit(None).cast("double"), "weight": F.lit(0.0)})
     kinds = rows.where("size = 1 AND p IS NOT NULL").count()
     floor = rows.where("size = 0").agg(F.first("back")).first()[0]
-    for m in range(order, 0, -1):
-        g = F.col("number").bitwiseAND(F.lit((1 << (SHIFT * m)) - 1))
+    for m in range(letters.order, 0, -1):
+        g = F.col("number").bitwiseAND(F.lit(letters.last(m)))
         p = rows.where((F.col("size") == m) & F.col("p").isNotNull()).select(F.col("g").alias("_g"), F.col("p").alias("_p"))
         b = rows.where((F.col("size") == m - 1) & F.col("back").isNotNull()).select(F.col("g").alias("_c"), F.col("back").alias("_b"))
-        step = distinct.withColumns({"_g": g, "_c": F.shiftrightunsigned(g, SHIFT)}).join(p, "_g", "left").join(b, "_c", "left")
+        step = distinct.withColumns({"_g": g, "_c": F.shiftrightunsigned(g, letters.bits)}).join(p, "_g", "left").join(b, "_c", "left")
         due = F.col("log").isNull() & (F.col("long") >= m)
         step = step.withColumn("log2", F.when(due, F.col("weight") + F.log("_p")).otherwise(F.col("log")))
         distinct = step.select("number", "long", F.col("log2").alias("log"), F.when(due & F.col("log2").isNull() & F.col("_b").isNotNull(), F.col("weight") + F.log("_b")).otherwise(F.col("weight")).alias("weight"))
@@ -263,8 +301,9 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     ids = F.broadcast(ids) if few else ids
     held = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % HELD == 0
     texts = marked.join(ids.where(~held("_id")), marked[id_col] == F.col("_id"), "left_semi").select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = model(texts, order)
-    scored = stored(perplexities(marked, [id_col, "lang"], rows, text_col, order, most), "perplexities")
+    letters = alphabet(texts, order)
+    rows = model(texts, letters)
+    scored = stored(perplexities(marked, [id_col, "lang"], rows, text_col, letters, most), "perplexities")
     scored = scored.join(ids.withColumn("_trusted", F.lit(True)), scored[id_col] == F.col("_id"), "left").select(*scored.columns, F.coalesce("_trusted", F.lit(False)).alias("trusted"))
     same = lambda rows: scored["lang"].eqNullSafe(rows["_lang"])
     tested = F.col("trusted") & held(id_col)
