@@ -192,6 +192,50 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
+def brute_line_dedup(rows, min_words):
+    """Lines of later copies of maximal repeated runs: every pair of places is extended as far as its lines agree."""
+    spots = []
+    for i, t in sorted(rows):
+        lines = (t or "").split("\n")
+        spots += [(i, n, x) for n, x in enumerate(lines) if x.split()]
+    gone = set()
+    for a in range(len(spots)):
+        for b in range(a + 1, len(spots)):
+            same = lambda x, y: spots[x][2] == spots[y][2] and spots[x][0] == spots[a][0] and spots[y][0] == spots[b][0]
+            if not same(a, b) or (a and same(a - 1, b - 1)):
+                continue  # maximal to the left
+            n = 0
+            while b + n < len(spots) and same(a + n, b + n):
+                n += 1
+            if sum(len(spots[b + k][2].split()) for k in range(n)) >= min_words:
+                gone |= {spots[b + k][:2] for k in range(n)}
+    return gone
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_dedup_against_all_maximal_runs(spark, seed):
+    rng = np.random.default_rng(seed)
+    pool = [" ".join(words_of(int(rng.integers(1, 9)), 100 * seed + i)) for i in range(7)]
+    rows = []
+    for i in range(30):
+        lines = []
+        while len(lines) < rng.integers(0, 30):
+            at = int(rng.integers(len(pool)))
+            lines += pool[at : at + int(rng.integers(1, 5))] if rng.random() < 0.7 else [f"own {i} {len(lines)}"]
+            lines += [""] * int(rng.integers(0, 2) * rng.integers(0, 2))
+        rows.append((i, "\n".join(lines)))
+    got = {r["doc_id"]: r["runs"] for r in line_dedup.line_dedup(docs(spark, rows), min_words=12).collect()}
+    gone = {(i, n) for i, runs in got.items() for r in runs for n in range(r["first_line"], r["last_line"] + 1) if dict(rows)[i].split("\n")[n].split()}
+    assert gone == brute_line_dedup(rows, 12)
+
+
+def test_line_dedup_of_a_very_long_text_and_ties(spark):
+    long = "\n".join(f"line {i} of many" for i in range(20_000))
+    rows = [(2, long), (1, long), (2, long), (None, "x " * 60), (3, "x " * 60)]
+    got = sorted((r["doc_id"] or 0, r["deleted_lines"]) for r in line_dedup.line_dedup(docs(spark, rows)).collect())
+    assert got == [(0, 0), (1, 0), (2, 20_000), (2, 20_000), (3, 1)]
+
+
 def test_chat_rotation(spark):
     turns = spark.createDataFrame([(1, 0, "system", "be kind"), (1, 2, "ann", "hi"), (1, 1, "bob", None), (1, 2, "ann", "hi"), (2, None, None, "alone"), (None, 0, "system", "only")], "conv_id long, turn long, role string, text string")
     rows = chat.rotations(turns).orderBy("conv_id", "perspective", "position").collect()
