@@ -5,8 +5,12 @@ For every participant of a conversation the whole dialogue is rendered once: tha
 of segments, one row each, with their place in it in characters; only what the chosen speaker says and
 its end mark are to be trained on.
 
-Everything is joins, groupings and windows.  Places are running sums in two levels, over stretches of
-turns and inside a stretch, so that a very long conversation isn't one task's work.
+Nothing that is said can look like a mark: of ``<|im_`` in texts and names a space parts the first two signs from the rest,
+and white space within names becomes one space each, so no turn or name opens another turn.
+
+Everything is joins, groupings and windows.  Turns are put in order once for each conversation; what differs between
+its renderings are lengths of heads alone, so places are running sums over rows without texts, in two levels, over stretches of
+turns and inside a stretch, so that a very long conversation isn't one task's work.  Texts join at the end.
 
 Turns are ordered by number (null first), then speaker, then text; repeated rows are repeated turns.  A
 null speaker is called ``unknown``, a null text is empty, a null conversation is one conversation.  Where
@@ -18,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ready, stored, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 SYSTEM, UNKNOWN = "system", "unknown"
+#: How marks begin, and what stands for that where it is said.
+MARK, PLAIN = "<|im_", "<| im_"
 #: Turn numbers in a stretch.
 STRETCH = 1024
 
@@ -32,35 +38,40 @@ def rotations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speak
     conv_id, perspective, position (from 0), turn, speaker, role, name (of users), segment, train,
     start and stop (characters of the rendering), train_start and train_stop (an empty span at start where not trained).
     """
+    ready(turns.sparkSession)
+    plain = lambda c: F.replace(c, F.lit(MARK), F.lit(PLAIN))
     said = turns.select(
         F.col(conv).alias("conv_id"),
         F.col(turn).cast("long").alias("turn"),
-        F.coalesce(F.col(speaker), F.lit(UNKNOWN)).alias("speaker"),
-        F.coalesce(F.col(text), F.lit("")).alias("said"),
+        plain(F.regexp_replace(F.coalesce(F.col(speaker), F.lit(UNKNOWN)), r"[\t\n\x0B\f\r]", " ")).alias("speaker"),
+        plain(F.coalesce(F.col(text), F.lit(""))).alias("said"),
     ).withColumn("stretch", F.floor(F.col("turn") / STRETCH))
-    views = said.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("conv"), F.col("speaker").alias("perspective")).distinct()
+    order = Window.partitionBy("conv_id", "stretch").orderBy(F.col("turn").asc_nulls_first(), "speaker", "said")
+    said = stored(said.withColumn("inside", F.row_number().over(order) - 1), "turns")
+    light = said.select("conv_id", "stretch", "inside", "turn", "speaker", F.length("said").alias("length"))
+    views = light.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("conv"), F.col("speaker").alias("perspective")).distinct()
     own = F.col("speaker") == F.col("perspective")
-    rows = said.join(views, F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv")
-    rows = rows.withColumns({
-        "train": own,
-        "role": F.when(own, "assistant").when(F.col("speaker") == SYSTEM, SYSTEM).otherwise("user"),
-    })
+    rows = light.join(views, F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv").withColumns({"train": own, "role": F.when(own, "assistant").when(F.col("speaker") == SYSTEM, SYSTEM).otherwise("user")})
     rows = rows.withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
-    rows = rows.withColumn("head", F.concat(F.lit(OPEN), "role", F.when(F.col("name").isNotNull(), F.concat(F.lit(" name="), "name")).otherwise(""), F.lit("\n")))
-    rows = rows.withColumn("segment", F.concat("head", "said", F.lit(CLOSE))).withColumn("size", F.length("segment").cast("long"))
+    head = F.concat(F.lit(OPEN), "role", F.when(F.col("name").isNotNull(), F.concat(F.lit(" name="), "name")).otherwise(""), F.lit("\n"))
+    rows = rows.withColumn("opens", F.length(head)).withColumn("size", (F.col("opens") + F.col("length") + len(CLOSE)).cast("long"))
 
     key = ["conv_id", "perspective"]
     totals = rows.groupBy(*key, "stretch").agg(F.sum("size").alias("chars"), F.count("*").alias("many"))
     earlier = Window.partitionBy(*key).orderBy(F.col("stretch").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(*(F.col(c).alias(f"_{c}") for c in (*key, "stretch")), F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("chars"), F.coalesce(F.sum("many").over(earlier), F.lit(0)).alias("many"))
-    order = Window.partitionBy(*key, "stretch").orderBy(F.col("turn").asc_nulls_first(), "speaker", "said")
-    inner = rows.withColumns({"inside": F.row_number().over(order) - 1, "before": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
+    sofar = Window.partitionBy(*key, "stretch").orderBy("inside").rowsBetween(Window.unboundedPreceding, 0)
+    inner = rows.withColumn("before", F.sum("size").over(sofar) - F.col("size"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*key, "stretch")]
-    placed = inner.join(base, same[0] & same[1] & same[2]).withColumns({"position": F.col("many") + F.col("inside"), "start": F.col("chars") + F.col("before")})
-    return placed.select(
-        "conv_id", "perspective", "position", "turn", "speaker", "role", "name", "segment", "train", "start",
+    placed = inner.join(base, same[0] & same[1] & same[2]).select(
+        *key, "stretch", "inside", (F.col("many") + F.col("inside")).alias("position"), "turn", "speaker", "role", "name", "train", (F.col("chars") + F.col("before")).alias("start"), "opens", "size",
+    )
+    texts = said.select(F.col("conv_id").alias("_conv_id"), F.col("stretch").alias("_stretch"), F.col("inside").alias("_inside"), "said")
+    whole = placed.join(texts, F.col("conv_id").eqNullSafe(F.col("_conv_id")) & F.col("stretch").eqNullSafe(F.col("_stretch")) & (F.col("inside") == F.col("_inside")))
+    return whole.select(
+        "conv_id", "perspective", "position", "turn", "speaker", "role", "name", F.concat(head, "said", F.lit(CLOSE)).alias("segment"), "train", "start",
         (F.col("start") + F.col("size")).alias("stop"),
-        F.when(F.col("train"), F.col("start") + F.length("head")).otherwise(F.col("start")).alias("train_start"),
+        F.when(F.col("train"), F.col("start") + F.col("opens")).otherwise(F.col("start")).alias("train_start"),
         F.when(F.col("train"), F.col("start") + F.col("size") - 1).otherwise(F.col("start")).alias("train_stop"),
     )
 
@@ -79,7 +90,8 @@ def op3_chat(spark, sf_dir):
 
 OP3_SQL = """
 WITH said AS (
-  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS said
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, replace(regexp_replace(coalesce(role, 'unknown'), '[\\t\\n\\x0B\\f\\r]', ' ', 'g'), '<|im_', '<| im_') AS speaker,
+         replace(coalesce(text, ''), '<|im_', '<| im_') AS said
   FROM conversations),
 views AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
 named AS (

@@ -9,8 +9,8 @@ A run of lines counts from ``min_words`` words on.  A run that stood earlier (by
 is deleted, and of longer repeats every part is.  A maximal repeated run is the union of its shortest
 long-enough parts, and a line is in a later copy of a maximal run just if it is in a later copy of such a part.  So the
 intervals are looked at only at the lengths of the shortest long-enough run from each line on and up to each line, and
-the doubling ends with the longest of them: of 256,000 documents 7 levels instead of the 15 that whole
-documents take, with the same lines deleted, which the tests hold to all maximal runs.
+the doubling ends with the longest of them: on 51,282 test documents, of up to 897 lines, at runs of 26 lines, 5 levels instead
+of 10, with the same lines deleted, which the tests hold to all maximal runs.
 
 Of neighbouring deleted runs the lines without words between them go too.  A null text is empty.  Documents that
 repeat both id and text get one answer.  Null ids come first.  An empty table gives an empty result.
