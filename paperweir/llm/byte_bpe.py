@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import lean, steps, table
+from .common import lean, ready, steps, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of a chunk of a long text.
@@ -78,9 +78,10 @@ def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``docs`` with ``ids`` (array<int>) of its text column, in place of a column of that name."""
+    """``docs`` with ``ids`` (array<int>) of its text column, in place of a column of that name, in any case."""
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
-    kept = [c for c in docs.columns if c != "ids"]
+    ready(docs.sparkSession)
+    kept = [c for c in docs.columns if c.lower() != "ids"]
     schema = StructType([*(docs.schema[c] for c in kept), StructField("ids", ArrayType(IntegerType()))])
     at = kept.index(text)
 
@@ -99,7 +100,8 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
 def decode(docs: DataFrame, ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``docs`` with ``decoded`` (binary), the bytes that ids stand for; null gives null, an unknown id is an error."""
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
-    kept = [c for c in docs.columns if c != "decoded"]
+    ready(docs.sparkSession)
+    kept = [c for c in docs.columns if c.lower() != "decoded"]
     schema = StructType([*(docs.schema[c] for c in kept), StructField("decoded", BinaryType())])
     at = kept.index(ids)
 
@@ -115,9 +117,10 @@ def decode(docs: DataFrame, ids: str = "ids", path: str | None = None, pattern:
 
 
 def byte_bpe(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``docs`` with ``ids`` (array<int>) and ``decoded`` (binary), replacing columns of these names, in one pass."""
+    """``docs`` with ``ids`` (array<int>) and ``decoded`` (binary), replacing columns of these names, in any case, in one pass."""
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
-    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    ready(docs.sparkSession)
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
     schema = StructType([*(docs.schema[c] for c in kept), StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())])
     at = kept.index(text)
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,21 +13,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
+from ..storage import shared_dir, stored
 
 #: Bytes of text that one vectorised step handles; a longer text is one step of its own.
 STEP_BYTES = 512 << 10
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1000
+#: Rows of an Arrow batch, and of a batch that is read from Parquet.
+BATCH_ROWS, READ_ROWS = 500, 512
 
 #: The characters [\x20\x09-\x0D].
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Ships the package, and keeps Arrow batches of whole texts small where the session hasn't said how large they are."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Ships the package, and keeps batches of whole texts small, in Parquet and in Arrow, where the session hasn't said how large they are."""
+    for key, usual, rows in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", "4096", READ_ROWS)):
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, str(rows))
     return ship(spark)
 
 
@@ -36,30 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset, and all runs in one process, a folder of one's own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-paperweir-")
-        root = _own_dirs[app]
-    return f"{root.rstrip('/')}/paperweir/{uuid.uuid4().hex}/{label}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: a cut in the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.option("compression", "zstd").parquet(path)  # its buffers lie in the heap, those of the default don't
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(label: str = "c") -> str:
     """A column name that no table has."""
     return f"_{label}_{uuid.uuid4().hex}"

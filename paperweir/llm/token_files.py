@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import lean, shared_dir, steps, stored, table, words
+from .common import lean, ready, shared_dir, steps, stored, table, words
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -126,6 +126,7 @@ def encoder(path: str) -> WordEncoder:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int | None = END_ID) -> DataFrame:
     """(doc_id, n_tokens, ids) of each row, in the order of the rows."""
+    ready(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
@@ -164,6 +165,7 @@ def with_starts(rows: DataFrame) -> DataFrame:
 
 def with_crc32(rows: DataFrame, ids: str = "ids") -> DataFrame:
     """Replaces the list of ids by n_tokens and ids_crc32, the unsigned crc32 of its little-endian 32-bit integers."""
+    ready(rows.sparkSession)
     kept = [c for c in rows.columns if c not in (ids, "n_tokens")]
     schema = StructType([*(rows.schema[c] for c in kept), StructField("n_tokens", LongType()), StructField("ids_crc32", LongType())])
 

@@ -15,6 +15,7 @@ from paperweir.llm import byte_bpe, chat, decontaminate, exact_dedup, jaccard_jo
 from paperweir.llm.common import shared_dir, table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+DOCS_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def docs(spark, texts, lang="en"):
@@ -42,6 +43,14 @@ def test_byte_bpe_is_the_library(spark):
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
 
 
+def test_columns_that_differ_in_case_only_are_replaced(spark):
+    d = docs(spark, [(1, "a b")]).withColumns({"IDS": F.lit(1), "Decoded": F.lit(2), "_text": F.lit(3), "_said": F.lit(4)})
+    assert byte_bpe.byte_bpe(d).columns == [*DOCS_COLUMNS, "_text", "_said", "ids", "decoded"]
+    assert byte_bpe.decode(byte_bpe.encode(d)).first()["decoded"] == b"a b"
+    model = language.learn(d.withColumn("lang", F.lit("en")))
+    assert language.predict(d, model, d.columns).first()["lang_pred"] == "en"
+
+
 @pytest.mark.parametrize("text", [" " * 1000, "a" + " " * 1000, "\n" * 700 + "b", " " * 600 + "\n" * 600 + " c", "x y" * 50_000, "ab　" * 400, " " * 500 + "1"])
 def test_cuts_lie_between_matches(text):
     enc = byte_bpe.encoding(public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN)
