@@ -413,19 +413,19 @@ def page_text_size(spark, sf_dir):
     return pages.scanned(pages.body_lines(_page_lines(spark, sf_dir)))
 
 
-@query()
+@query(_PAGES + "SELECT doc_id, line FROM boiler")
 def page_boilerplate_all(spark, sf_dir):
     """``page_boilerplate`` of every document."""
     return pages.repeated_edges(_page_lines(spark, sf_dir))
 
 
-@query()
+@query(_PAGES + "SELECT doc_id, page_no, line_no, line FROM kept")
 def page_body_all(spark, sf_dir):
     """``page_body`` of every document."""
     return pages.body_lines(_page_lines(spark, sf_dir)).select("doc_id", "page_no", "line_no", "line")
 
 
-@query()
+@query(_PAGES + "SELECT doc_id, CAST(sum(length(line)) AS BIGINT) AS chars, CASE WHEN sum(length(line)) < 20 THEN 'OCR' END AS error FROM kept GROUP BY doc_id")
 def page_text_size_all(spark, sf_dir):
     """``page_text_size`` of every document."""
     return pages.scanned(pages.body_lines(_page_lines(spark, sf_dir)))
@@ -503,16 +503,19 @@ def sheet_numbers(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", T.clean_number(x.cast("string")).alias("shown"))
 
 
-@query("""WITH RECURSIVE spelled AS (
+_SPELLED = """WITH RECURSIVE spelled AS (
   SELECT p_partkey, CAST(p_partkey + 1 AS BIGINT) AS n, '' AS letters FROM part
   UNION ALL SELECT p_partkey, (n - 1) // 26, chr(CAST(65 + (n - 1) % 26 AS INTEGER)) || letters FROM spelled WHERE n > 0)
-SELECT p_partkey, letters, CAST(p_partkey AS INTEGER) AS idx FROM spelled WHERE n = 0""")
+"""
+
+
+@query(_SPELLED + "SELECT p_partkey, letters, CAST(p_partkey AS INTEGER) AS idx FROM spelled WHERE n = 0")
 def column_letters(spark, sf_dir):
     """Column letters of any length to numbers, for every part."""
     return _letters(spark, sf_dir, "int")
 
 
-@query()
+@query(_SPELLED + "SELECT p_partkey, letters, p_partkey AS idx FROM spelled WHERE n = 0")
 def column_letters_all(spark, sf_dir):
     """The same as long numbers."""
     return _letters(spark, sf_dir, "long")
