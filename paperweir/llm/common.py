@@ -19,6 +19,7 @@ from ..storage import shared_dir, stored
 STEP_BYTES = 512 << 10
 #: Rows of an Arrow batch, and of a batch that is read from Parquet.
 BATCH_ROWS, READ_ROWS = 500, 512
+BATCH_BYTES = 8 << 20
 
 #: The characters [\x20\x09-\x0D].
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -26,9 +27,14 @@ BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 def ready(spark: SparkSession) -> SparkSession:
     """Ships the package, and keeps batches of whole texts small, in Parquet and in Arrow, where the session hasn't said how large they are."""
-    for key, usual, rows in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", "4096", READ_ROWS)):
+    sizes = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", BATCH_ROWS),
+        "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", BATCH_BYTES),
+        "spark.sql.parquet.columnarReaderBatchSize": ("4096", READ_ROWS),
+    }
+    for key, (usual, size) in sizes.items():
         if spark.conf.get(key) == usual:
-            spark.conf.set(key, str(rows))
+            spark.conf.set(key, str(size))
     return ship(spark)
 
 
