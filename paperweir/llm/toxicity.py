@@ -227,15 +227,24 @@ class Model:
         """
         n = len(texts)
         row, places = passages(texts, self.words)
-        at, weight = self.vectors(places)
-        mine = np.zeros(len(at), np.int64) if own is None else own[row]
-        key = np.lexsort((weight[:, 0], at[:, 2], at[:, 1], at[:, 0], mine))
-        same = (at[key[1:]] == at[key[:-1]]).all(1) & (weight[key[1:], 0] == weight[key[:-1], 0]) & (mine[key[1:]] == mine[key[:-1]])
-        head = np.r_[True, ~same][: len(key)]
-        of = np.empty(len(key), np.int64)
-        of[key] = np.cumsum(head) - 1
-        some = key[head]  # a passage of each kind
-        at, weight, mine = at[some], weight[some], mine[some]
+        # a passage of each kind: the same words as often, and for examples the same own one
+        sorted_, many = np.sort(places, axis=1) + 1, len(self.words) + 1
+        _, of = np.unique(sorted_[:, 0] * many + sorted_[:, 1], return_inverse=True)
+        _, some, of = np.unique(of * many + sorted_[:, 2], return_index=True, return_inverse=True)
+        if own is not None:
+            _, some, of = np.unique(of * (len(self.ids) + 1) + own[row], return_index=True, return_inverse=True)
+            own = own[row][some]
+        at, weight = self.vectors(places[some])
+        heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])  # the first passage of each text
+
+        def leading(x: np.ndarray) -> np.ndarray:
+            """The first passage of the largest ``x`` of each text."""
+            if not len(heads):
+                return heads
+            most = np.repeat(np.maximum.reduceat(x, heads), np.diff(np.r_[heads, len(x)]))
+            top = np.flatnonzero(x == most)
+            return top[np.r_[True, row[top[1:]] != row[top[:-1]]]]
+
         vote, base = np.array(self.weights), PULL * self.share
         lists, most = self.found(at, weight)
         listed = np.zeros(len(some), bool)
@@ -247,8 +256,7 @@ class Model:
         best = np.full(n, -1.0)
         np.maximum.at(best, row, value[of])
         due = np.zeros(len(some), bool)
-        order = np.lexsort((-bound[of], row))
-        due[of[order[np.r_[True, row[order[1:]] != row[order[:-1]]][: len(order)]]]] = True  # first the most promising one of each text
+        due[of[leading(bound[of])]] = True  # first the most promising one of each text
         done = ~listed
         while (now := np.flatnonzero(due & ~done)).size:
             for lo in range(0, len(now), PASSAGES):
@@ -256,7 +264,7 @@ class Model:
                 number = np.full(len(some), -1)
                 number[part] = np.arange(len(part))
                 mine_of = [(number[w[k]], q[k], p[k]) for w, q, p in lists for k in [np.flatnonzero(number[w] >= 0)]]
-                win, doc, cos = self.nearest(mine_of, len(part), None if own is None else mine[part])
+                win, doc, cos = self.nearest(mine_of, len(part), None if own is None else own[part])
                 v = cos * vote[self.toxic[doc]]
                 value[part] = (np.bincount(win, v * self.toxic[doc], len(part)) + base) / (np.bincount(win, v, len(part)) + PULL)
                 rank = np.arange(len(win)) - np.searchsorted(win, win)
@@ -266,8 +274,7 @@ class Model:
             np.maximum.at(best, row, value[of])
             due = np.zeros(len(some), bool)
             due[of[bound[of] > best[row]]] = True
-        order = np.lexsort((np.arange(len(row)), -value[of], row))
-        lead = order[np.r_[True, row[order[1:]] != row[order[:-1]]][: len(order)]]
+        lead = leading(value[of])
         found = [[] for _ in range(n)]
         for r, k in zip(row[lead].tolist(), of[lead].tolist(), strict=True):
             found[r] = [(d, c) for d, c in zip(near[k].tolist(), alike[k].tolist(), strict=True) if d >= 0]
