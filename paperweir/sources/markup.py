@@ -171,9 +171,10 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     rows = rows.where((F.col("skipped") == 0) & ~of(*HTML_SKIPPED) | (F.col("kind") == "end")).drop("skipped")
 
     order = Window.partitionBy("doc_id").orderBy("at")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("doc_id").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)  # running values from the end: linear in a page
     last = lambda c: F.last(c, ignorenulls=True).over(before)
-    following = lambda c: F.first(c, ignorenulls=True).over(after)
+    following = lambda c: F.last(c, ignorenulls=True).over(after)
     rows = _depth(rows, "bold", opened & of(*HTML_BOLD), closed & of(*HTML_BOLD))
     rows = _depth(rows, "lists", opened & of(*HTML_LISTS), closed & of(*HTML_LISTS))
     in_table = F.coalesce(last(F.when(of("table"), opened)), F.lit(False))
@@ -198,19 +199,29 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     told = F.max(F.when(F.col("ends"), F.struct("at", "level", "lists", "item", "take", "in_cell", "cell", "in_table", "table_end", "row_end"))).alias("e")
     parts = rows.groupBy("doc_id", "part").agg(squash(F.array_join(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece"))))["piece"], "")).alias("text"), told)
 
-    none = F.lit(None).cast(f"array<array<{CELL}>>")
-    said = parts.where("NOT e.in_cell AND text <> ''")
-    prefix = F.when(F.col("e.item"), F.concat(F.repeat(F.lit("  "), F.greatest(F.lit(0), F.col("e.lists") - 1)), F.lit("- "))).otherwise("")
-    heading = F.col("e.level") > 0
-    said = said.select("doc_id", "e.at", F.when(heading, "heading").otherwise("para").alias("kind"), "e.level", F.when(heading, F.replace("text", F.lit("**"), F.lit(""))).otherwise(F.concat(prefix, "text")).alias("text"), none.alias("rows"))
+    # texts outside cells stay apart, those of a cell, cells of a row and rows of a table come together: three
+    # groupings of what already lies together by page
+    plain = F.when(~F.col("e.in_cell") & (F.col("text") != ""), F.struct("e.at", "e.level", "e.item", "e.lists", "text"))
     # a cell shows what stood last in it before its finished blocks
-    first = F.max(F.when(F.col("e.take"), F.col("text")))
-    inner = F.array_sort(F.collect_list(F.when(~F.col("e.take") & (F.col("text") != ""), F.struct("part", "text"))))["text"]
-    cells = parts.where("e.in_cell").groupBy("doc_id", "e.cell").agg(squash(F.concat_ws(" ", first, F.array_join(inner, " "))).alias("text"), F.max(F.when(F.col("e.take"), F.struct("e.at", "e.in_table", "e.table_end", "e.row_end"))).alias("e"))
-    cells = cells.where("e.table_end > e.row_end AND e.row_end >= 0 AND e.in_table").select("doc_id", "e.at", "e.table_end", "e.row_end", F.struct("text", "cell.col_span", "cell.row_span").cast(CELL).alias("c"))
-    lines = cells.groupBy("doc_id", "table_end", "row_end").agg(F.array_sort(F.collect_list(F.struct("at", "c")))["c"].alias("cells"))
-    tables = lines.groupBy("doc_id", "table_end").agg(F.array_sort(F.collect_list(F.struct("row_end", "cells")))["cells"].alias("rows"))
-    return said.unionByName(tables.select("doc_id", F.col("table_end").alias("at"), F.lit("table").alias("kind"), F.lit(0).alias("level"), F.lit("").alias("text"), F.col("rows").cast(f"array<array<{CELL}>>").alias("rows")))
+    last_text = F.max(F.when(F.col("e.take"), F.col("text")))
+    inner = F.array_sort(F.collect_list(F.when(F.col("e.in_cell") & ~F.col("e.take") & (F.col("text") != ""), F.struct("part", "text"))))["text"]
+    units = parts.groupBy("doc_id", F.when(F.col("e.in_cell"), F.col("e.cell.at")).otherwise(-1 - F.col("part")).alias("unit")).agg(
+        F.max(plain).alias("plain"), squash(F.concat_ws(" ", last_text, F.array_join(inner, " "))).alias("text"), F.max("e.cell").alias("cell"),
+        F.max(F.when(F.col("e.take"), F.struct("e.at", "e.in_table", "e.table_end", "e.row_end"))).alias("e"),
+    )
+    whole = F.coalesce(F.col("e.in_table") & (F.col("e.row_end") >= 0) & (F.col("e.table_end") > F.col("e.row_end")), F.lit(False))
+    units = units.withColumn("whole", whole & F.col("plain").isNull()).where("whole OR plain IS NOT NULL")
+    apart = -1 - F.col("plain.at")
+    cell = F.when(F.col("whole"), F.struct("e.at", F.struct("text", "cell.col_span", "cell.row_span").cast(CELL).alias("c")))
+    lines = units.groupBy("doc_id", F.coalesce(apart, F.col("e.table_end")).alias("table"), F.coalesce(apart, F.col("e.row_end")).alias("row")).agg(F.max("plain").alias("plain"), F.array_sort(F.collect_list(cell))["c"].alias("cells"))
+    made = lines.groupBy("doc_id", "table").agg(F.max("plain").alias("plain"), F.array_sort(F.collect_list(F.when(F.col("plain").isNull(), F.struct("row", "cells"))))["cells"].alias("rows"))
+    table, heading = F.col("plain").isNull(), F.col("plain.level") > 0
+    prefix = F.when(F.col("plain.item"), F.concat(F.repeat(F.lit("  "), F.greatest(F.lit(0), F.col("plain.lists") - 1)), F.lit("- "))).otherwise("")
+    return made.select(
+        "doc_id", F.coalesce("plain.at", "table").alias("at"), F.when(table, "table").when(heading, "heading").otherwise("para").alias("kind"), F.coalesce("plain.level", F.lit(0)).alias("level"),
+        F.when(table, "").when(heading, F.replace("plain.text", F.lit("**"), F.lit(""))).otherwise(F.concat(prefix, "plain.text")).alias("text"),
+        F.when(table, F.col("rows")).cast(f"array<array<{CELL}>>").alias("rows"),
+    )
 
 
 def csv_rows(text: Column, delimiter: str | None = None) -> Column:

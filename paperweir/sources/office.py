@@ -117,10 +117,11 @@ def word_blocks(n: DataFrame) -> dict[str, DataFrame]:
     are groupings over that.
     """
     order = Window.partitionBy("doc_id").orderBy("ord")
-    upto, onward = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    onward = Window.partitionBy("doc_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)  # running values from the end
     d = n.where("part = 'word/document.xml'")
     latest = lambda test: F.last(F.when(test, F.struct("ord", "last")), ignorenulls=True).over(upto)
-    ahead = lambda test, rid: F.first(F.when(test, F.struct("ord", rid.alias("rid"))), ignorenulls=True).over(onward)
+    ahead = lambda test, rid: F.last(F.when(test, F.struct("ord", rid.alias("rid"))), ignorenulls=True).over(onward)
     blip, data = ahead(F.col("tag") == "blip", F.coalesce(attr("embed"), attr("link"))), ahead(F.col("tag") == "imagedata", F.coalesce(attr("r:id"), attr("id")))
     d = d.withColumns({"p": latest(F.col("path").rlike(_PARAGRAPH + "$")), "r": latest(F.col("path").rlike(_RUN + "$")), "blip": blip, "data": data})
     in_run = F.coalesce((F.col("r.ord") < F.col("ord")) & (F.col("ord") <= F.col("r.last")), F.lit(False))
@@ -245,9 +246,9 @@ def slide_blocks(n: DataFrame, notes: bool = True) -> dict[str, DataFrame]:
     on = n.join(slides.drop("ord"), ["doc_id", "part"])
 
     order = Window.partitionBy("doc_id", "slide_no").orderBy("ord")
-    upto, onward = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
     latest = lambda test: F.last(F.when(test, F.struct("ord", "last", "tag")), ignorenulls=True).over(upto)
-    on = on.withColumns({"shape": latest(F.col("path").rlike(_SHAPE + "$")), "body": F.first(F.when(F.col("tag") == "txBody", F.col("ord")), ignorenulls=True).over(onward)})
+    on = on.withColumn("shape", latest(F.col("path").rlike(_SHAPE + "$")))
     on = on.where((F.col("ord") >= F.col("shape.ord")) & (F.col("ord") <= F.col("shape.last")))
     of = Window.partitionBy("doc_id", "slide_no", "shape.ord")
     titled = (F.col("tag") == "ph") & F.lower(F.coalesce(attr("type"), F.lit(""))).isin("title", "ctrtitle") & F.col("path").rlike("/spTree/sp/")
