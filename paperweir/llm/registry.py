@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_alignment
 from .byte_bpe import op10_byte_bpe
 from .chat import OP3_SQL, op3_chat
 from .decontaminate import op4_decontaminate
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_divergence": op11_divergence,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_alignment": op13_alignment,
 }
 ORACLE_SQL = {"op3_chat": OP3_SQL, "op2_exact_dedup": OP2_SQL, "op11_divergence": OP11_SQL, "op12_substring_dedup": OP12_SQL}
