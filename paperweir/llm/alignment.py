@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 
 import numpy as np
@@ -44,6 +45,8 @@ STRETCH, STEP = 256 << 10, 2 << 20
 REMEMBERED = 1_000_000
 #: Tokens that one vectorised step of the sweep takes, and tokens of a block of documents.
 TOGETHER, BLOCK = 1_000_000, 4_000_000
+#: Pieces that are encoded as one text.
+ALONG = 500
 #: Links of a group from which on its different ids are counted first.
 WIDE = 4096
 EVENTS = "doc long, mark long, at long, side int, ids binary"
@@ -63,9 +66,36 @@ class ByteLevel:
         letters = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         tokens = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
         self.bytes = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in tokens]
-
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(pieces, add_special_tokens=False)]
+        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and how many each has.
+
+        Pieces that may stand in one text are encoded together; a token ends where each of them ends, by the bytes of the tokens.
+        """
+        alone = np.fromiter((p[-1] == " " or p[1:2].isspace() or p[:1] != " " for p in pieces), bool, len(pieces))
+        size = np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces))
+        order, flat, count = [], [], []
+        for some in np.array_split(np.flatnonzero(~alone), max(1, (~alone).sum() // ALONG)):
+            text = "".join([pieces[i] for i in some])
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64) if text else np.zeros(0, np.int64)
+            ends, want = np.cumsum(self.lengths[ids]), np.cumsum(size[some])
+            at = np.searchsorted(ends, want)
+            if len(some) and (not len(ends) or ends[-1] != want[-1] or (ends[at] != want).any()):
+                alone[some] = True
+                continue
+            order.append(some), flat.append(ids), count.append(np.diff(at, prepend=-1))
+        rest = np.flatnonzero(alone)
+        found = [e.ids for e in self.library.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)]
+        return ordered(np.concatenate([*order, rest]), [*flat, np.fromiter(itertools.chain.from_iterable(found), np.int64)], [*count, np.fromiter(map(len, found), np.int64, len(found))])
+
+
+def ordered(order: np.ndarray, flat: list[np.ndarray], count: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists that lie one after the other in some order, in the order of their numbers."""
+    every, n = np.concatenate(flat), np.concatenate(count)
+    first, back = np.cumsum(n) - n, np.argsort(order)
+    first, n = first[back], n[back]
+    return every[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
 class Pieces:
@@ -80,8 +110,9 @@ class Pieces:
             raise ValueError("The vocabulary has pieces over more than one word.")
         self.bytes = [bytes([int(n[3:5], 16)]) if self.library.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return self.library.encode([p[1:] for p in pieces], num_threads=1)
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.library.encode([p[1:] for p in pieces], num_threads=1)
+        return np.fromiter(itertools.chain.from_iterable(found), np.int64), np.fromiter(map(len, found), np.int64, len(found))
 
 
 KINDS = {"byte": ByteLevel, "piece": Pieces}
@@ -92,7 +123,7 @@ class Encoder:
 
     def __init__(self, kind: str, path: str) -> None:
         self.library = KINDS[kind](path)
-        self.lengths = np.array([len(b) for b in self.library.bytes], np.int64)
+        self.lengths, self.spelled = np.array([len(b) for b in self.library.bytes], np.int64), pa.array(self.library.bytes, pa.large_binary())
         self.kind = np.min_scalar_type(max(1, len(self.lengths) - 1))
         self.forget()
 
@@ -102,7 +133,7 @@ class Encoder:
 
     def places(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where in ``flat`` the ids of different pieces begin, and how many they are; -1 where the bytes differ."""
-        texts = pieces.to_pylist()
+        texts = pieces.to_numpy(zero_copy_only=False).tolist()  # quicker than to_pylist
         keys = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), np.uint64, len(texts))
         at, known = self._find(keys)
         if not known.all():
@@ -110,15 +141,19 @@ class Encoder:
                 self.forget()
                 known[:] = False
             new = [texts[i] for i in np.flatnonzero(~known)]
-            found, spelled = self.library.encode(new), self.library.bytes
-            fits = [b"".join([spelled[i] for i in ids]) == t.encode() for ids, t in zip(found, new, strict=True)]
-            count = np.array([len(ids) if ok else -1 for ids, ok in zip(found, fits, strict=True)], np.int64)
-            kept = np.maximum(count, 0)
-            first = len(self.flat) + np.cumsum(kept) - kept
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids, ok in zip(found, fits, strict=True) if ok for i in ids), self.kind, int(kept.sum()))])
-            every, first, count = np.r_[self.keys, keys[~known]], np.r_[self.first, first], np.r_[self.count, count]
-            order = np.argsort(every, kind="stable")
-            self.keys, self.first, self.count = every[order], first[order], count[order]
+            ids, size = self.library.encode(new)
+            ends, want = np.cumsum(size), np.cumsum([len(t.encode()) for t in new])
+            spelled = self.spelled.take(pa.array(ids))
+            at = np.frombuffer(spelled.buffers()[1], np.int64)[: len(ids) + 1]
+            count = size.copy()
+            if (at[ends] != want).any() or spelled.buffers()[2].to_pybytes()[: at[-1]] != "".join(new).encode():
+                bytes_ = spelled.buffers()[2].to_pybytes()
+                count[[bytes_[a:b] != t.encode() for a, b, t in zip(at[ends - size], at[ends], new, strict=True)]] = -1
+            first = len(self.flat) + ends - size
+            self.flat = np.concatenate([self.flat, ids.astype(self.kind)])
+            order = np.argsort(keys[~known])
+            place = np.searchsorted(self.keys, keys[~known][order])
+            self.keys, self.first, self.count = (np.insert(x, place, y[order]) for x, y in ((self.keys, keys[~known]), (self.first, first), (self.count, count)))
             at, _ = self._find(keys)
         return self.first[at], self.count[at]
 
@@ -142,7 +177,7 @@ def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     split = pc.split_pattern(texts, " ")
     parts = pc.dictionary_encode(split.flatten())
     code = np.asarray(parts.indices, np.int64)
-    names = parts.dictionary.to_pylist()
+    names = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
     opens = np.fromiter((bool(n) and not n[0].isspace() for n in names), bool, len(names))
     some = np.fromiter((bool(n) for n in names), bool, len(names))
     ends = np.asarray(split.offsets, np.int64) - split.offsets[0].as_py()
