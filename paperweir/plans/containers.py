@@ -90,17 +90,53 @@ def _table(*cells: str) -> str:
     return f"'| ' || {a} || ' | ' || {b} || ' |' || n || '| --- | --- |' || n || '| ' || {c} || ' | ' || {d} || ' |'"
 
 
-@query(f"""WITH c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS s, c_name AS name, c_mktsegment AS word, chr(10) AS n FROM customer)
-SELECT k AS doc_id, CASE k % 4
+#: What the container of a customer reads as.
+_READS = f"""CASE k % 4
   WHEN 0 THEN '### ' || name || n || n || '**' || word || '** is ' || s || '[^1]' || n || n || '  - item ' || s || n || n || {_table('name', 's', 'word', "'x y / ' || s")} || n || n || '![img1](./img1.png)' || n || n || '---' || n || n || '[^1]: note ' || s || n
   WHEN 1 THEN '## S' || s || n || n || {_table('name', "s || '.5'", 'word', "strftime(DATE '2023-01-01' + CAST(k % 1000 AS INTEGER), '%Y-%m-%d')")} || n
   WHEN 2 THEN '## 1. ' || name || n || n || '- **' || word || ' ' || s || '**' || n || n || {_table('name', 'word', 's', "'z'")} || n || n || '> **발표자 노트** — note ' || s || n
   ELSE '## ' || name || n || n || '**' || word || '** is ' || s || '[^1] $\\frac{{a}}{{' || s || '}}$' || n || n || {_table('name', 's', 'word', "'w'")} || n || n || '---' || n || n || '[^1]: note ' || s || n
-END AS body FROM c""")
-def office_documents(spark, sf_dir):
-    """A container for each customer, read back as Markdown."""
+END"""
+_CUSTOMERS = "WITH c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS s, c_name AS name, c_mktsegment AS word, chr(10) AS n FROM customer)"
+
+
+def _files(spark, sf_dir):
     k: Column = F.col("c_custkey")
     ending = F.element_at(F.array(*(F.lit(x) for x in (".docx", ".xlsx", ".pptx", ".hwpx"))), (k % 4 + 1).cast("int"))
-    files = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.concat("c_name", ending).alias("name"), _packed(k, F.col("c_name"), F.col("c_mktsegment")).alias("content"))
-    parsed = engine.parse(formats.with_format(files))
+    return table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.concat("c_name", ending).alias("name"), _packed(k, F.col("c_name"), F.col("c_mktsegment")).alias("content"))
+
+
+@query(f"{_CUSTOMERS} SELECT k AS doc_id, {_READS} AS body FROM c")
+def office_documents(spark, sf_dir):
+    """A container for each customer, read back as Markdown."""
+    parsed = engine.parse(formats.with_format(_files(spark, sf_dir)))
     return parsed.select("doc_id", blocks.body(F.col("blocks"), F.col("footnotes")).alias("body"))
+
+
+@pandas_udf(BinaryType())
+def _encrypted(content: pd.Series) -> pd.Series:
+    """The containers with every member marked as encrypted, in both of its headers."""
+
+    def one(data):
+        out = bytearray(data)
+        for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+            place = out.find(mark)
+            while place >= 0:
+                out[place + at] |= 1
+                place = out.find(mark, place + 1)
+        return bytes(out)
+
+    return pd.Series([one(x) for x in content])
+
+
+@query(f"""{_CUSTOMERS}
+SELECT k AS doc_id, CASE k // 4 % 3 WHEN 0 THEN '파일이 손상되었거나 .' || ['docx', 'xlsx', 'pptx', 'hwpx'][k % 4 + 1] || ' 형식이 아닙니다.'
+  WHEN 1 THEN 'File ''' || ['word/_rels/document.xml.rels', 'xl/_rels/workbook.xml.rels', 'ppt/_rels/presentation.xml.rels', 'Contents/header.xml'][k % 4 + 1] || ''' is encrypted, password required for extraction' END AS error,
+  CASE WHEN k // 4 % 3 = 2 THEN {_READS} ELSE chr(10) END AS body FROM c""")
+def damaged_files(spark, sf_dir):
+    """Of the containers a third is cut off, a third encrypted; these give errors, and the others are read."""
+    damage = F.floor(F.col("doc_id") / 4) % 3
+    cut = F.expr("substring(content, 1, CAST(length(content) / 2 AS INT))")
+    files = _files(spark, sf_dir).withColumn("content", F.when(damage == 0, cut).when(damage == 1, _encrypted("content")).otherwise(F.col("content")))
+    parsed = engine.parse(formats.with_format(files))
+    return parsed.select("doc_id", "error", blocks.body(F.col("blocks"), F.col("footnotes")).alias("body"))

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +14,9 @@ from pyspark.sql.types import ArrayType, StringType
 from ..functions.text import safe_filename, squash
 from ..operators import blocks, pages, redaction
 from ..ship import ship
-from ..sources import files, formats, markup, office
+from ..sources import commit, files, formats, markup, office
 from ..storage import stored
-from ..streaming import inbox
+from ..streaming import inbox, source
 
 # What is said where nothing could be read.
 NO_CONTENT = "내용이 없습니다."
@@ -82,14 +80,18 @@ def _plain(texts: DataFrame, handler: str, config: Config) -> DataFrame:
         raw = blocks.block("raw", F.concat(F.lit("```json\n"), F.col("j.text"), F.lit("\n```")))
         return _whole(t.withColumn("blocks", F.filter(F.array(raw), lambda b: b["text"].isNotNull())), encoding=F.col("encoding"), error=F.col("j.error"))
     if handler == "html":
-        made = t.select("doc_id", "encoding").join(_gathered(markup.html_blocks(t), "at"), "doc_id", "left")
-        return _whole(made.withColumn("blocks", F.coalesce("blocks", F.array().cast(f"array<{blocks.BLOCK}>"))), encoding=F.col("encoding"))
+        found = _gathered(markup.html_blocks(t), "at")
+        bad = F.get(F.filter("blocks", lambda b: b["kind"] == "error"), F.lit(0))["text"]
+        made = t.select("doc_id", "encoding").join(found.withColumns({"error": bad, "blocks": F.filter("blocks", lambda b: b["kind"] != "error")}), "doc_id", "left")
+        return _whole(made.withColumn("blocks", F.coalesce("blocks", F.array().cast(f"array<{blocks.BLOCK}>"))), encoding=F.col("encoding"), error=F.col("error"))
     delimiter = F.when(F.col("ext") == ".tsv", markup.csv_rows(F.col("text"), "\t")).otherwise(markup.csv_rows(F.col("text")))
-    lines = t.select("doc_id", "encoding", F.posexplode(delimiter).alias("row", "cells"))
-    grid = blocks.grid(lines, ["doc_id"], "cells", config.sheet_max_rows or 2000).join(t.select("doc_id", "encoding"), "doc_id")
+    t = stored(t.select("doc_id", "encoding", delimiter.alias("c")), "csv")
+    lines = t.select("doc_id", F.posexplode("c.rows").alias("row", "cells"))
+    grid = t.select("doc_id", "encoding", "c.error").join(blocks.grid(lines, ["doc_id"], "cells", config.sheet_max_rows or 2000), "doc_id", "left").where("error IS NOT NULL OR rows IS NOT NULL")
     note = F.when(F.col("truncated"), F.array(blocks.block("para", F.lit(TRUNCATED.format(config.sheet_max_rows or 2000))))).otherwise(F.array().cast(f"array<{blocks.BLOCK}>"))
     made = F.concat(F.array(blocks.block("table", F.lit(""), rows=F.col("rows"))).cast(f"array<{blocks.BLOCK}>"), note)
-    return _whole(grid.withColumn("blocks", made).withColumn("n", F.size("rows")), encoding=F.col("encoding"), rows=F.col("n"))
+    made = F.when(F.col("rows").isNull(), F.array().cast(f"array<{blocks.BLOCK}>")).otherwise(made)
+    return _whole(grid.withColumn("blocks", made).withColumn("n", F.size("rows")), encoding=F.col("encoding"), rows=F.col("n"), error=F.col("error"))
 
 
 def _pdf(rows: DataFrame, config: Config) -> DataFrame:
@@ -135,8 +137,8 @@ def _office(n: DataFrame, handler: str, config: Config) -> DataFrame:
             key = F.col("num") if name == "notes" else F.regexp_extract("label", r"(\d+)$", 1).cast("int")
             listed = made[name].groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(key.alias("key"), F.struct(*fields).alias("x"))))["x"].cast(kind).alias(into))
             out = out.join(listed, "doc_id", "left")
-    told = n.where("part IN ('#members', '#error')").groupBy("doc_id").agg(F.max(F.col("part") == "#error").alias("broken"), F.max(office.attr("name") == NOT_A.get(handler, ("", ""))[0]).alias("whole"))
-    error = F.when(F.col("broken"), BROKEN.format(handler))
+    told = n.where("part IN ('#members', '#error')").groupBy("doc_id").agg(F.max(F.when(F.col("part") == "#error", F.col("text"))).alias("broken"), F.max(office.attr("name") == NOT_A.get(handler, ("", ""))[0]).alias("whole"))
+    error = F.when(F.col("broken") == "", BROKEN.format(handler)).when(F.col("broken").isNotNull(), F.col("broken"))
     if handler in NOT_A:
         slides = n.where(F.col("part").rlike("/slides/slide")).select("doc_id").distinct() if handler == "pptx" else n.limit(0).select("doc_id")
         told = told.join(slides.withColumn("some", F.lit(True)), "doc_id", "left")
@@ -230,39 +232,71 @@ def validate(names: DataFrame, name: str = "name") -> DataFrame:
     return formats.with_format(names.withColumn("safe_name", safe_filename(squash(name))), name)
 
 
-def poll(gate: inbox.Gate, sink: Callable[[DataFrame, int], None], config: Config, at, number: int) -> None:
-    """One poll: what has settled is parsed and handed to ``sink``, file by file state kept.
+def converted_files(parsed: DataFrame, names: DataFrame, config: Config = Config(), converted_at: str | None = None) -> DataFrame:
+    """Rows for the committing sink: each document's source with its Markdown file, or with what went wrong and none.
 
-    Where the sink fails, its files are blocked until they are gone; files that can't be parsed are ``failed``.
+    names has doc_id, name, ext, path, inner and content; output names don't collide with each other in these rows.
     """
-    state = gate.write(gate.polled(at), number * 2)
-    ready = state.where("state = 'ready'")
-    if ready.isEmpty():
+    made = stored(rendered(parsed, names.select("doc_id", "name", "ext"), config, converted_at), "rendered")
+    text = F.when(F.col("text").isNotNull(), F.array(F.struct(F.col("out_name").alias("name"), F.col("text").cast("binary").alias("content"))))
+    rows = made.select("doc_id", F.regexp_replace("format", r"^\.", "").alias("format"), "error", text.alias("files"))
+    if config.extract_images:
+        found = pictures(names.select("doc_id", "content"), made)
+        listed = found.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("path").alias("name"), "content")).alias("more"))
+        rows = rows.join(listed, "doc_id", "left").withColumn("files", F.when(F.col("more").isNull(), F.col("files")).otherwise(F.concat("files", "more"))).drop("more")
+    return rows.join(names.select("doc_id", F.col("path").alias("source"), "inner"), "doc_id")
+
+
+def committed(spark: SparkSession, batch: DataFrame, number: int, folders: dict[str, str], config: Config) -> None:
+    """One batch of settled files (path, name) to Markdown files; a batch that is made again writes nothing twice.
+
+    The name of an output that an earlier batch has taken gets the number of this batch.
+    """
+    rows = stored(batch.select("path", "name", "inner"), "settled")
+    if rows.isEmpty():
         return
-    paths = [r["path"] for r in ready.select("path").toLocalIterator()]  # names of one poll's files
-    rows = gate.spark.read.format("binaryFile").load(paths).withColumns({"doc_id": F.sha2("path", 256), "name": F.regexp_extract("path", "([^/]*)$", 1)})
-    parsed = parse(formats.with_format(rows).where("handler IS NOT NULL"), config)
-    failed = parsed.where("error IS NOT NULL").select(F.col("doc_id").alias("bad"))
-    of = state.withColumn("doc_id", F.sha2("path", 256)).join(failed, F.col("doc_id") == F.col("bad"), "left")
-    try:
-        sink(parsed, number)
-        after = F.when(F.col("bad").isNotNull(), "failed").otherwise("done")
-    except Exception as error:  # noqa: BLE001 - what a sink raises is its own; its files wait for somebody
-        logging.getLogger(__name__).error("The sink failed in poll %d: %s", number, error)
-        after = F.lit("blocked")
-    gate.write(of.withColumn("state", F.when(F.col("state") == "ready", after).otherwise(F.col("state"))), number * 2 + 1)
-
-
-def stream(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str, config: Config = Config(), stable: float = inbox.STABLE_SECONDS):
-    """Watches a folder: every few seconds files that have stopped growing are converted; ``sink`` gets (doc_id, blocks, ..) and the number of the poll.
-
-    The ticks are a stream, whose checkpoint numbers the polls; a poll that was cut off is made again from the last whole state.
+    held = formats.with_format(files.with_content(rows.withColumn("doc_id", F.sha2("path", 256)))).where("handler IS NOT NULL")
+    held = stored(held.withColumn("error", F.coalesce("error", "lost")).drop("lost"), "contents")
+    parsed = parse(held, config)
+    out = converted_files(parsed, held, config)
+    taken = commit.history(spark, folders["ledger"]).where(F.col("batch") != number).select(F.explode("names").alias("name")).where("name NOT LIKE 'assets/%'").distinct()
+    first = F.get("files", F.lit(0))["name"]
+    out = out.withColumn("first", first).join(taken.withColumn("known", F.lit(True)), F.col("first") == F.col("name"), "left")
+    other = F.regexp_replace("first", r"\.md$", f"_b{number}.md")
+    renamed = F.transform("files", lambda f: F.struct(F.when(f["name"] == F.col("first"), other).otherwise(f["name"]).alias("name"), f["content"].alias("content")))
+    out = out.withColumn("files", F.when(F.col("known") & F.col("files").isNotNull(), renamed).otherwise(F.col("files")))
+    commit.write(out, folders["out"], folders["ledger"], number, **{k: folders.get(k) for k in ("done", "failed", "blocked")})
+
+
+def settled_files(spark: SparkSession, folder: str, stable: float = inbox.STABLE_SECONDS, every: float = 0.0, blocked: str | None = None, forget: float = inbox.FORGET_SECONDS) -> DataFrame:
+    """The stream of files of a folder that have stopped growing: path, name, size, modified, since, ready and inner, the path in the folder."""
+    source.register(ship(spark))
+    reader = spark.readStream.format("paperweir_inbox").option("path", folder).option("everySeconds", str(every))
+    polls = (reader.option("blocked", blocked) if blocked else reader).load()
+    known = formats.with_format(polls).where("handler IS NOT NULL").select(polls.columns)
+    root = folder.rstrip("/") + "/"
+    return inbox.settled_stream(known, stable, forget).withColumn("inner", F.when(F.col("path").startswith(root), F.expr(f"substring(path, {len(root) + 1})")).otherwise(F.col("name")))
+
+
+def stream(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None] | dict[str, str], checkpoint: str, config: Config = Config(), stable: float = inbox.STABLE_SECONDS):
+    """Watches a folder: files that have stopped growing are converted, and their state is kept by Spark in ``checkpoint``.
+
+    ``sink`` gets (doc_id, blocks, ..) and the number of the batch, or it is folders for ready files: out, ledger and, to move the sources
+    to, done and failed, with blocked for those that can't be moved.  A batch that fails is made again when the stream is started again.
     """
-    gate = inbox.Gate(ship(spark), folder, f"{checkpoint}/gate", stable)
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    blocked = sink.get("blocked") if isinstance(sink, dict) else None
 
     def each(batch: DataFrame, number: int) -> None:
-        poll(gate, sink, config, datetime.now(), number)
-
-    writer = ticks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+        if isinstance(sink, dict):
+            committed(spark, batch, number, sink, config)
+            return
+        rows = stored(batch.select("path", "name").withColumn("doc_id", F.sha2("path", 256)), "settled")
+        if not rows.isEmpty():
+            held = formats.with_format(files.with_content(rows)).where("handler IS NOT NULL")
+            sink(parse(held.withColumn("error", F.coalesce("error", "lost")).drop("lost"), config), number)
+
+    if isinstance(sink, dict):
+        commit.register(ship(spark))  # before the stream takes its copy of the session
+        commit.finish(sink["ledger"])
+    writer = settled_files(spark, folder, stable, blocked=blocked).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(processingTime=f"{inbox.POLL_SECONDS} seconds").start()

@@ -232,18 +232,25 @@ def files_per_format(spark, sf_dir):
     return table(spark, sf_dir, "part").select(T.extension(name).alias("ext")).groupBy("ext").agg(F.count("*").alias("files")).orderBy(F.desc("files"))
 
 
-@query("""SELECT * FROM (VALUES (0,'한글','한글 HWPX','.hwpx'),(1,'한글','한글 HWP','.hwp'),(2,'오피스','워드','.docx'),(3,'오피스','파워포인트','.pptx'),(4,'오피스','엑셀','.xlsx'),(5,'PDF','PDF','.pdf'),
+@query("""WITH t AS (SELECT * FROM (VALUES (0,'한글','한글 HWPX','.hwpx'),(1,'한글','한글 HWP','.hwp'),(2,'오피스','워드','.docx'),(3,'오피스','파워포인트','.pptx'),(4,'오피스','엑셀','.xlsx'),(5,'PDF','PDF','.pdf'),
  (6,'텍스트','텍스트','.txt'),(7,'텍스트','마크다운','.md,.markdown'),(9,'텍스트','CSV 표','.csv'),(10,'텍스트','TSV 표','.tsv'),(11,'텍스트','HTML','.html,.htm'),(13,'텍스트','JSON','.json'),
- (14,'옛 형식','워드 97-2003','.doc'),(15,'옛 형식','파워포인트 97-2003','.ppt'),(16,'옛 형식','엑셀 97-2003','.xls')) AS t(ord, grp, label, exts)""")
+ (14,'옛 형식','워드 97-2003','.doc'),(15,'옛 형식','파워포인트 97-2003','.ppt'),(16,'옛 형식','엑셀 97-2003','.xls')) AS t(ord, grp, label, exts)),
+f AS (SELECT ['.docx', '.XLSX', '.doc', '.html', '.md', ''][p_partkey % 6 + 1] AS ext FROM part)
+SELECT ord, grp, label, exts, count(f.ext) AS files FROM t LEFT JOIN f ON list_contains(string_split(exts, ','), lower(f.ext)) GROUP BY ALL""")
 def format_catalog(spark, sf_dir):
-    """The catalogue of formats."""
-    return formats.catalog(spark).select("ord", "grp", "label", "exts")
+    """The catalogue of formats, and how many of the parts' files are of each."""
+    name = F.concat("p_name", _pick([".docx", ".XLSX", ".doc", ".html", ".md", ""], F.col("p_partkey")))
+    files = table(spark, sf_dir, "part").groupBy(T.extension(name).alias("ext")).agg(F.count("*").alias("n"))
+    known = formats.catalog(spark).select("ord", "grp", "label", "exts", F.explode(F.split("exts", ",")).alias("ext"))
+    return known.join(files, "ext", "left").groupBy("ord", "grp", "label", "exts").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"))
 
 
-@query("SELECT '.csv,.docx,.htm,.html,.hwp,.hwpx,.json,.markdown,.md,.pdf,.pptx,.tsv,.txt,.xlsx' AS accept")
+@query("""SELECT p_partkey, list_contains(string_split('.csv,.docx,.htm,.html,.hwp,.hwpx,.json,.markdown,.md,.pdf,.pptx,.tsv,.txt,.xlsx', ','), ['.docx', '.xlsx', '.doc', '.htm', '.csv', '.zip'][p_partkey % 6 + 1]) AS accepted FROM part""")
 def accepted_extensions(spark, sf_dir):
-    """Extensions with a parser."""
-    return formats.accepted(spark)
+    """Which of the parts' files have an extension with a parser."""
+    name = F.concat("p_name", _pick([".docx", ".xlsx", ".doc", ".htm", ".CSV", ".zip"], F.col("p_partkey")))
+    files = table(spark, sf_dir, "part").select("p_partkey", T.extension(name).alias("ext"))
+    return files.crossJoin(F.broadcast(formats.accepted(spark))).select("p_partkey", F.array_contains(F.split("accept", ","), F.col("ext")).alias("accepted"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'a_b_c' WHEN 1 THEN '제목없음' ELSE o_orderpriority || '.txt' END AS name FROM orders""")
@@ -344,13 +351,13 @@ def _pages(spark, sf_dir):
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(h, '**', ''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS heading FROM a WHERE trim(h) <> ''""")
 def html_headings(spark, sf_dir):
     """Headings of web pages."""
-    return markup.html_blocks(_pages(spark, sf_dir)).where("kind = 'heading'").select(F.col("doc_id").alias("page_id"), F.col("text").alias("heading"))
+    return markup.html_blocks(_pages(spark, sf_dir), tables=False).where("kind = 'heading'").select(F.col("doc_id").alias("page_id"), F.col("text").alias("heading"))
 
 
 @query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS items FROM pages WHERE html LIKE '%<li>%'""")
 def html_items(spark, sf_dir):
     """List items of web pages."""
-    return markup.html_blocks(_pages(spark, sf_dir)).where("kind = 'para' AND text LIKE '- %'").groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("items"))
+    return markup.html_blocks(_pages(spark, sf_dir), tables=False).where("kind = 'para' AND text LIKE '- %'").groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("items"))
 
 
 @query("""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<head>.*?</head>|<script>.*?</script>|<style>.*?</style>', '', 'gs'), '<!.*?>', '', 'gs') AS h FROM pages),
@@ -413,24 +420,6 @@ def page_text_size(spark, sf_dir):
     return pages.scanned(pages.body_lines(_page_lines(spark, sf_dir)))
 
 
-@query(_PAGES + "SELECT doc_id, line FROM boiler")
-def page_boilerplate_all(spark, sf_dir):
-    """``page_boilerplate`` of every document."""
-    return pages.repeated_edges(_page_lines(spark, sf_dir))
-
-
-@query(_PAGES + "SELECT doc_id, page_no, line_no, line FROM kept")
-def page_body_all(spark, sf_dir):
-    """``page_body`` of every document."""
-    return pages.body_lines(_page_lines(spark, sf_dir)).select("doc_id", "page_no", "line_no", "line")
-
-
-@query(_PAGES + "SELECT doc_id, CAST(sum(length(line)) AS BIGINT) AS chars, CASE WHEN sum(length(line)) < 20 THEN 'OCR' END AS error FROM kept GROUP BY doc_id")
-def page_text_size_all(spark, sf_dir):
-    """``page_text_size`` of every document."""
-    return pages.scanned(pages.body_lines(_page_lines(spark, sf_dir)))
-
-
 _LINES = ("제3조 목적", "이 규정은", "적용한다.", "• 항목", "2.1 범위", "끝난다", "제 2 장 총칙", "1. 서론")
 
 
@@ -509,15 +498,9 @@ _SPELLED = """WITH RECURSIVE spelled AS (
 """
 
 
-@query(_SPELLED + "SELECT p_partkey, letters, CAST(p_partkey AS INTEGER) AS idx FROM spelled WHERE n = 0")
+@query(_SPELLED + "SELECT p_partkey, letters, p_partkey AS idx FROM spelled WHERE n = 0")
 def column_letters(spark, sf_dir):
     """Column letters of any length to numbers, for every part."""
-    return _letters(spark, sf_dir, "int")
-
-
-@query(_SPELLED + "SELECT p_partkey, letters, p_partkey AS idx FROM spelled WHERE n = 0")
-def column_letters_all(spark, sf_dir):
-    """The same as long numbers."""
     return _letters(spark, sf_dir, "long")
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from .formats import with_format
+from .remote import system_of
 
 # Fixed values.
 ENCODINGS = ["utf-8-sig", "utf-8", "cp949", "euc-kr", "utf-16"]
@@ -23,6 +25,32 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return with_format(files).where("handler IS NOT NULL")
 
 
+# Fixed value: what is said of a file that was gone when it was to be read.
+GONE = "파일을 읽지 못했습니다: "
+# End of the fixed value.
+
+
+def with_content(rows: DataFrame, path: str = "path") -> DataFrame:
+    """``rows`` with ``content``, read by the tasks that hold them, and ``lost``, why a file couldn't be read."""
+    kept = [c for c in rows.columns if c.lower() not in ("content", "lost")]
+    schema = StructType([*(rows.schema[c] for c in kept), StructField("content", BinaryType()), StructField("lost", StringType())])
+    at = kept.index(path)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data, lost = None, None
+                try:
+                    system, place = system_of(batch.column(at)[i].as_py())
+                    with system.open_input_stream(place) as f:
+                        data = f.read()
+                except OSError as e:
+                    lost = GONE + type(e).__name__
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([data], pa.binary()), pa.array([lost], pa.string())], [*kept, "content", "lost"])
+
+    return rows.select(*kept).mapInArrow(run, schema)
+
+
 def listing(spark: SparkSession, folder: str, limit: int = 200) -> DataFrame:
     """The newest files; their content isn't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")

@@ -6,15 +6,17 @@ import csv
 import io
 import json
 import re
+import sys
 import zipfile
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, MapType, StringType, StructField, StructType
 
 from ..functions.text import squash
 from ..operators.blocks import CELL
@@ -26,6 +28,35 @@ NODE = StructType([
 ])
 
 
+# Fixed value: what is said of a file whose reader broke off without a sentence of its own.
+UNREADABLE = "파일을 읽지 못했습니다: "
+# End of the fixed value.
+#: Bytes that the parts of one container may have unpacked.
+MOST_UNPACKED = 1 << 30
+
+
+class TooLargeError(Exception):
+    """A container that unpacks to more than is taken in."""
+
+
+def reason(error: Exception) -> str:
+    """What went wrong with one file, as a sentence: an error's own words, or that it couldn't be read."""
+    told = str(error).strip()
+    return told if told and type(error).__name__.endswith("Error") else UNREADABLE + (told or type(error).__name__)
+
+
+def _unpacked(z: zipfile.ZipFile, names: list[str], most: int):
+    """(name, bytes) of members; what their headers say isn't trusted."""
+    left = most
+    for name in names:
+        with z.open(name) as member:
+            data = member.read(left + 1)
+        left -= len(data)
+        if left < 0:
+            raise TooLargeError(f"압축을 풀면 {most >> 20}MB를 넘습니다.")
+        yield name, data
+
+
 def _local(name: str) -> str:
     return name.rsplit("}", 1)[-1].rsplit(":", 1)[-1]
 
@@ -41,12 +72,13 @@ def _attributes(element) -> dict[str, str]:
     return found | {k: v for k, v in element.attrib.items() if "}" not in k}
 
 
-def nodes(content: Column, handler: Column, parts: dict[str, str]) -> Column:
+def nodes(content: Column, handler: Column, parts: dict[str, str], most: int = MOST_UNPACKED) -> Column:
     """Elements of the XML parts of a container whose names match the handler's pattern, in document order.
 
     ``ord`` numbers the elements of a part, ``last`` is the number of its last descendant, ``path`` has the names down to it, ``up`` the
     number of the nearest ancestor of each name.  The members of the container are elements of a part ``#members``.  A part that
-    isn't XML gives no nodes; what isn't a container gives one of a part ``#error``.
+    isn't XML gives no nodes.  What isn't a container, is encrypted or damaged, or unpacks to more than ``most`` bytes gives
+    one node of a part ``#error`` with the reason, '' for the first.
     """
 
     @pandas_udf(ArrayType(NODE))
@@ -71,13 +103,14 @@ def nodes(content: Column, handler: Column, parts: dict[str, str]) -> Column:
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
                     names = z.namelist()
                     out += [("#members", i, i, "member", "member", {"name": name}, "", "", {}) for i, name in enumerate(names)]
-                    for part in sorted(n for n in set(names) if re.search(parts.get(handler, "$^"), n)):
+                    for part, text in _unpacked(z, sorted(n for n in set(names) if re.search(parts.get(handler, "$^"), n)), most):
                         try:
-                            out += flat(part, ElementTree.fromstring(z.read(part)))
+                            out += flat(part, ElementTree.fromstring(text))
                         except ElementTree.ParseError:
                             continue
-            except (zipfile.BadZipFile, TypeError):
-                out.append(("#error", 0, 0, "zip", "zip", {}, "", "", {}))
+            except Exception as e:  # noqa: BLE001 - whatever a file holds, it fails alone
+                plain = data is None or isinstance(e, zipfile.BadZipFile) and not out
+                return [*(x for x in out if x[0] == "#members"), ("#error", 0, 0, "zip", "zip", {}, "" if plain else reason(e), "", {})]
             return out
 
         return pd.Series([one(x, h) for x, h in zip(column, handlers, strict=True)])
@@ -85,8 +118,8 @@ def nodes(content: Column, handler: Column, parts: dict[str, str]) -> Column:
     return run(content, handler)
 
 
-def members(content: Column, pattern: str) -> Column:
-    """Members of a container whose names match, with their bytes."""
+def members(content: Column, pattern: str, most: int = MOST_UNPACKED) -> Column:
+    """Members of a container whose names match, with their bytes; none of one that can't be read."""
 
     @pandas_udf(ArrayType(StructType([StructField("member", StringType()), StructField("content", BinaryType())])))
     def run(column: pd.Series) -> pd.Series:
@@ -95,8 +128,8 @@ def members(content: Column, pattern: str) -> Column:
         def one(data):
             try:
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    return [(n, z.read(n)) for n in sorted(z.namelist()) if wanted.search(n)]
-            except (zipfile.BadZipFile, TypeError):
+                    return list(_unpacked(z, sorted(n for n in z.namelist() if wanted.search(n)), most))
+            except Exception:  # noqa: BLE001 - whatever a file holds, it fails alone
                 return []
 
         return pd.Series([one(x) for x in column])
@@ -104,7 +137,10 @@ def members(content: Column, pattern: str) -> Column:
     return run(content)
 
 
-TOKEN = StructType([StructField("kind", StringType()), StructField("tag", StringType()), StructField("text", StringType()), StructField("col_span", IntegerType()), StructField("row_span", IntegerType())])
+PIECE = StructType([
+    *(StructField(n, IntegerType()) for n in ("at", "level", "lists", "cell", "col_span", "row_span", "table_end", "row_end")), StructField("item", BooleanType()), StructField("take", BooleanType()),
+    StructField("in_table", BooleanType()), StructField("text", StringType()), StructField("error", StringType()),
+])
 # Elements that begin and end a block, elements whose content isn't text, and the name of a picture without one.
 HTML_BLOCKS = ["p", "div", "section", "article", "blockquote", "pre", "figcaption", "dd", "dt"]
 HTML_SKIPPED = ["script", "style", "head", "noscript", "svg", "template"]
@@ -134,122 +170,186 @@ class _Tokens(HTMLParser):
         self.found.append(("close", tag, "", 1, 1))
 
 
-def html_tokens(html: Column) -> Column:
-    """Tags and texts of a page in order, and a last token that ends it.  Null is an empty page."""
+def _tokens(text: str) -> list[tuple]:
+    reader = _Tokens()
+    reader.feed(text)
+    reader.close()
+    return [*reader.found, ("end", "", "", 1, 1)]
 
-    @pandas_udf(ArrayType(TOKEN))
-    def run(column: pd.Series) -> pd.Series:
-        def one(text):
-            reader = _Tokens()
-            reader.feed(text or "")
-            reader.close()
-            return [*reader.found, ("end", "", "", 1, 1)]
 
-        return pd.Series([one(x) for x in column])
+class _Running:
+    """Running values over the tokens of many pages that stand one after the other."""
 
-    return run(html)
+    def __init__(self, page: np.ndarray) -> None:
+        self.n, self.page = len(page), page
+        begins = np.r_[True, page[1:] != page[:-1]] if self.n else np.zeros(0, bool)
+        self.start = np.maximum.accumulate(np.where(begins, np.arange(self.n), 0))
+        self.stop = np.r_[np.flatnonzero(begins)[1:], self.n][np.cumsum(begins) - 1] if self.n else self.start
+
+    def depth(self, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+        """How many are open after each token; what closes without being open counts for nothing."""
+        total = np.cumsum(up.astype(np.int64) - down)
+        total = total - np.where(self.start > 0, total[self.start - 1], 0)
+        # pages lie far apart, so that the lowest value up to a token is one of its own page
+        far = self.page * (4 * self.n + 4)
+        return total - np.minimum(0, np.minimum.accumulate(total - far) + far)
+
+    def last(self, said: np.ndarray) -> np.ndarray:
+        """The place of the last token before each that says so, or -1."""
+        at = np.r_[-1, np.maximum.accumulate(np.where(said, np.arange(self.n), -1))[:-1]]
+        return np.where(at >= self.start, at, -1)
 
+    def next(self, said: np.ndarray) -> np.ndarray:
+        """The place of the first token after each that says so, or -1."""
+        at = np.r_[np.minimum.accumulate(np.where(said, np.arange(self.n), self.n)[::-1])[::-1][1:], self.n]
+        return np.where(at < self.stop, at, -1)
 
-def _depth(rows: DataFrame, into: str, up: Column, down: Column) -> DataFrame:
-    """Adds how many elements are open after each token; one that closes what isn't open counts for nothing."""
-    order = Window.partitionBy("doc_id").orderBy("at")
-    rows = rows.withColumn("_sum", F.sum(up.cast("int") - down.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    low = F.least(F.lit(0), F.min("_sum").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn(into, F.col("_sum") - low).drop("_sum")
+    def before(self, values: np.ndarray) -> np.ndarray:
+        moved = np.r_[0, values[:-1]]
+        moved[self.start == np.arange(self.n)] = 0
+        return moved
 
 
-def html_blocks(pages: DataFrame) -> DataFrame:
+def html_pieces(html: Column) -> Column:
+    """The texts of a page between tokens that end a block, each with what is open there.  Null is an empty page.
+
+    ``at`` is the place of the ending token; ``cell`` that of the open cell or -1, and ``take`` says that the cell ends; ``table_end``
+    and ``row_end`` are the places of the next ends of a table and a row, or -1.  A page that can't be read is one piece with an error.
+    """
+    groups = [HTML_SKIPPED, HTML_BOLD, HTML_LISTS, HTML_HEADINGS, HTML_CELLS, [*HTML_BLOCKS, *HTML_HEADINGS, *HTML_LISTS, "li"], ["table"], ["tr"], ["br"], ["img"], ["li"]]
+    kinds = {"text": 0, "open": 1, "close": 2, "end": 3}
+
+    @pandas_udf(ArrayType(PIECE))
+    def run(column: pd.Series) -> pd.Series:
+        tags = {t: i for i, t in enumerate(sorted({t for g in groups for t in g}), 1)}
+        lut = np.zeros((len(groups), len(tags) + 1), bool)
+        for i, g in enumerate(groups):
+            lut[i, [tags[t] for t in g]] = True
+        level = np.array([0, *(int(t[1]) if t in HTML_HEADINGS else 0 for t in sorted(tags))])
+        out: list[list] = [[] for _ in column]
+        page, tokens = [], []
+        for i, text in enumerate(column):
+            try:
+                found = _tokens(text or "")
+            except Exception as e:  # noqa: BLE001 - whatever a page holds, it fails alone
+                out[i].append((*[0] * 8, False, False, False, "", reason(e)))
+                continue
+            page += [i] * len(found)
+            tokens += found
+        if not tokens:
+            return pd.Series(out)
+        kind = np.fromiter((kinds[t[0]] for t in tokens), np.int8, len(tokens))
+        tag = np.fromiter((tags.get(t[1], 0) for t in tokens), np.int64, len(tokens))
+        place = np.arange(len(tokens))
+        every = page = np.array(page)
+        opened, closed, end = kind == 1, kind == 2, kind == 3
+        skips = lut[0][tag]
+        used = (_Running(page).depth(opened & skips, closed & skips) == 0) & ~skips | end
+        place, kind, tag, page, opened, closed, end = (x[used] for x in (place, kind, tag, page, opened, closed, end))
+        skip, bold, lists, heading, cells, block, table, tr, br, img, li = (g[tag] for g in lut)
+        here = _Running(page)
+        first = np.searchsorted(every, np.arange(len(column)))  # places are counted in their page
+        bolds, open_lists = (here.before(here.depth(opened & x, closed & x)) for x in (bold, lists))
+        of = lambda x, at, none: np.where(at >= 0, x[at], none)
+        levels = of(np.where(opened, level[tag], 0), here.last(heading), 0)
+        in_table = of(opened, here.last(table), False)
+        row = tr & (closed | in_table)
+        in_row = of(opened, here.last(row), False)
+        ends_at = lambda x: (lambda at: np.where((at >= 0) & closed[at], place[at] - first[page], -1))(here.next(x))
+        table_end, row_end = ends_at(table), ends_at(row)
+        cell = here.last(cells & (opened & in_row | closed))
+        in_cell = (cell >= 0) & opened[cell]
+        take = closed & cells & in_cell
+        ends = end | (opened | closed) & block | opened & table | take
+        said = (kind == 0) | opened & (br | bold | img) | closed & bold & (bolds > 0)
+        part = np.cumsum(ends) - ends
+        texts: list[list[str]] = [[] for _ in range(int(ends.sum()))]
+        for k in np.flatnonzero(said):
+            token = tokens[place[k]]
+            texts[part[k]].append(token[2] if kind[k] == 0 or img[k] else " " if br[k] else "**")
+        for n, k in enumerate(np.flatnonzero(ends)):
+            spans = tokens[place[cell[k]]][3:] if in_cell[k] else (1, 1)
+            own = int(place[cell[k]] - first[page[k]]) if in_cell[k] else -1
+            numbers = (place[k] - first[page[k]], levels[k], open_lists[k], own, *spans, table_end[k], row_end[k])
+            out[page[k]].append((*map(int, numbers), bool(closed[k] and li[k]), bool(take[k]), bool(in_table[k]), "".join(texts[n]), None))
+        return pd.Series(out)
+
+    return run(html)
+
+
+def html_blocks(pages: DataFrame, tables: bool = True) -> DataFrame:
     """doc_id, at, kind, level, text and rows of the headings, paragraphs and tables of pages (doc_id, text), in order.
 
-    Each token gets what is open before it, as running values over the tokens of its page.  The text between
-    two tokens that end a block is one: a heading, a paragraph, an item of a list or a part of a cell.
+    Texts outside cells are blocks as they come.  Only what stands in cells is dealt out, once, by page: texts of a cell,
+    cells of a row and rows of a table come together in three groupings.  A page that can't be read gives one row of kind ``error``.
     """
-    tokens = pages.select("doc_id", F.posexplode(html_tokens(F.col("text"))).alias("at", "t")).select("doc_id", "at", "t.*")
-    opened, closed = F.col("kind") == "open", F.col("kind") == "close"
-    of = lambda *tags: F.col("tag").isin(*tags)
-    rows = _depth(tokens, "skipped", opened & of(*HTML_SKIPPED), closed & of(*HTML_SKIPPED))
-    rows = rows.where((F.col("skipped") == 0) & ~of(*HTML_SKIPPED) | (F.col("kind") == "end")).drop("skipped")
-
-    order = Window.partitionBy("doc_id").orderBy("at")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("doc_id").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)  # running values from the end: linear in a page
-    last = lambda c: F.last(c, ignorenulls=True).over(before)
-    following = lambda c: F.last(c, ignorenulls=True).over(after)
-    rows = _depth(rows, "bold", opened & of(*HTML_BOLD), closed & of(*HTML_BOLD))
-    rows = _depth(rows, "lists", opened & of(*HTML_LISTS), closed & of(*HTML_LISTS))
-    in_table = F.coalesce(last(F.when(of("table"), opened)), F.lit(False))
-    rows = rows.withColumns({
-        "bold": F.coalesce(F.lag("bold").over(order), F.lit(0)),
-        "lists": F.coalesce(F.lag("lists").over(order), F.lit(0)),
-        "level": F.coalesce(last(F.when(of(*HTML_HEADINGS), F.when(opened, F.substring("tag", 2, 1).cast("int")).otherwise(0))), F.lit(0)),
-        "in_table": in_table,
-        "table_end": following(F.when(of("table"), F.when(closed, F.col("at")).otherwise(-1))),
-    })
-    row = of("tr") & (closed | F.col("in_table"))
-    rows = rows.withColumns({"in_row": F.coalesce(last(F.when(row, opened)), F.lit(False)), "row_end": following(F.when(row, F.when(closed, F.col("at")).otherwise(-1)))})
-    rows = rows.withColumn("cell", last(F.when(of(*HTML_CELLS) & opened & F.col("in_row"), F.struct("at", "col_span", "row_span")).when(of(*HTML_CELLS) & closed, F.struct(F.lit(-1).alias("at"), "col_span", "row_span"))))
-    in_cell = F.coalesce(F.col("cell.at") >= 0, F.lit(False))
-    ends_cell = closed & of(*HTML_CELLS) & in_cell
-    ends_block = (F.col("kind") == "end") | (opened | closed) & of(*HTML_BLOCKS, *HTML_HEADINGS, *HTML_LISTS, "li") | opened & of("table")
-    piece = (
-        F.when(F.col("kind") == "text", F.col("text")).when(opened & of("br"), " ").when(opened & of(*HTML_BOLD) | closed & of(*HTML_BOLD) & (F.col("bold") > 0), "**").when(opened & of("img"), F.col("text"))
-    )
-    rows = rows.withColumns({"piece": piece, "ends": ends_block | ends_cell, "take": ends_cell, "in_cell": in_cell, "item": closed & of("li")})
-    rows = rows.withColumn("part", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0)))
-    told = F.max(F.when(F.col("ends"), F.struct("at", "level", "lists", "item", "take", "in_cell", "cell", "in_table", "table_end", "row_end"))).alias("e")
-    parts = rows.groupBy("doc_id", "part").agg(squash(F.array_join(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece"))))["piece"], "")).alias("text"), told)
-
-    # texts outside cells stay apart, those of a cell, cells of a row and rows of a table come together: three
-    # groupings of what already lies together by page
-    plain = F.when(~F.col("e.in_cell") & (F.col("text") != ""), F.struct("e.at", "e.level", "e.item", "e.lists", "text"))
+    pieces = pages.select("doc_id", F.explode(html_pieces(F.col("text"))).alias("p")).select("doc_id", "p.*").withColumn("text", squash(F.col("text")))
+    none = F.lit(None).cast(f"array<array<{CELL}>>").alias("rows")
+    heading = F.col("level") > 0
+    prefix = F.when(F.col("item"), F.concat(F.repeat(F.lit("  "), F.greatest(F.lit(0), F.col("lists") - 1)), F.lit("- "))).otherwise("")
+    kind = F.when(F.col("error").isNotNull(), "error").when(heading, "heading").otherwise("para")
+    text = F.coalesce("error", F.when(heading, F.replace("text", F.lit("**"), F.lit(""))).otherwise(F.concat(prefix, "text")))
+    plain = pieces.where("cell < 0 AND text <> '' OR error IS NOT NULL").select("doc_id", "at", kind.alias("kind"), "level", text.alias("text"), none)
+    if not tables:
+        return plain
     # a cell shows what stood last in it before its finished blocks
-    last_text = F.max(F.when(F.col("e.take"), F.col("text")))
-    inner = F.array_sort(F.collect_list(F.when(F.col("e.in_cell") & ~F.col("e.take") & (F.col("text") != ""), F.struct("part", "text"))))["text"]
-    units = parts.groupBy("doc_id", F.when(F.col("e.in_cell"), F.col("e.cell.at")).otherwise(-1 - F.col("part")).alias("unit")).agg(
-        F.max(plain).alias("plain"), squash(F.concat_ws(" ", last_text, F.array_join(inner, " "))).alias("text"), F.max("e.cell").alias("cell"),
-        F.max(F.when(F.col("e.take"), F.struct("e.at", "e.in_table", "e.table_end", "e.row_end"))).alias("e"),
-    )
-    whole = F.coalesce(F.col("e.in_table") & (F.col("e.row_end") >= 0) & (F.col("e.table_end") > F.col("e.row_end")), F.lit(False))
-    units = units.withColumn("whole", whole & F.col("plain").isNull()).where("whole OR plain IS NOT NULL")
-    apart = -1 - F.col("plain.at")
-    cell = F.when(F.col("whole"), F.struct("e.at", F.struct("text", "cell.col_span", "cell.row_span").cast(CELL).alias("c")))
-    lines = units.groupBy("doc_id", F.coalesce(apart, F.col("e.table_end")).alias("table"), F.coalesce(apart, F.col("e.row_end")).alias("row")).agg(F.max("plain").alias("plain"), F.array_sort(F.collect_list(cell))["c"].alias("cells"))
-    made = lines.groupBy("doc_id", "table").agg(F.max("plain").alias("plain"), F.array_sort(F.collect_list(F.when(F.col("plain").isNull(), F.struct("row", "cells"))))["cells"].alias("rows"))
-    table, heading = F.col("plain").isNull(), F.col("plain.level") > 0
-    prefix = F.when(F.col("plain.item"), F.concat(F.repeat(F.lit("  "), F.greatest(F.lit(0), F.col("plain.lists") - 1)), F.lit("- "))).otherwise("")
-    return made.select(
-        "doc_id", F.coalesce("plain.at", "table").alias("at"), F.when(table, "table").when(heading, "heading").otherwise("para").alias("kind"), F.coalesce("plain.level", F.lit(0)).alias("level"),
-        F.when(table, "").when(heading, F.replace("plain.text", F.lit("**"), F.lit(""))).otherwise(F.concat(prefix, "plain.text")).alias("text"),
-        F.when(table, F.col("rows")).cast(f"array<array<{CELL}>>").alias("rows"),
+    inner = F.array_sort(F.collect_list(F.when(~F.col("take") & (F.col("text") != ""), F.struct("at", "text"))))["text"]
+    held = pieces.where("cell >= 0 AND error IS NULL").repartition("doc_id").groupBy("doc_id", "cell").agg(
+        squash(F.concat_ws(" ", F.max(F.when(F.col("take"), F.col("text"))), F.array_join(inner, " "))).alias("text"), F.max("col_span").alias("col_span"), F.max("row_span").alias("row_span"),
+        F.max(F.when(F.col("take"), F.struct("at", "in_table", "table_end", "row_end"))).alias("e"),
     )
+    held = held.where("e.in_table AND e.row_end >= 0 AND e.table_end > e.row_end").select("doc_id", "e.*", F.struct("text", "col_span", "row_span").cast(CELL).alias("c"))
+    lines = held.groupBy("doc_id", "table_end", "row_end").agg(F.array_sort(F.collect_list(F.struct("at", "c")))["c"].alias("cells"))
+    made = lines.groupBy("doc_id", "table_end").agg(F.array_sort(F.collect_list(F.struct("row_end", "cells")))["cells"].alias("rows"))
+    return plain.unionByName(made.select("doc_id", F.col("table_end").alias("at"), F.lit("table").alias("kind"), F.lit(0).alias("level"), F.lit("").alias("text"), F.col("rows").cast(f"array<array<{CELL}>>").alias("rows")))
 
 
 def csv_rows(text: Column, delimiter: str | None = None) -> Column:
-    """Rows of cells; without a delimiter, the one of , ; tab | that the first twenty lines suggest."""
+    """rows (arrays of cells) and error; without a delimiter, the one of , ; tab | that the first twenty lines suggest.
+
+    A cell may be as long as the text.  What can't be read gives an error and no rows.
+    """
+
+    @pandas_udf(StructType([StructField("rows", ArrayType(ArrayType(StringType()))), StructField("error", StringType())]))
+    def run(column: pd.Series) -> pd.DataFrame:
+        csv.field_size_limit(1 << 31)
 
-    @pandas_udf(ArrayType(ArrayType(StringType())))
-    def run(column: pd.Series) -> pd.Series:
         def sniff(text):
             try:
                 return csv.Sniffer().sniff("\n".join(text.splitlines()[:20]), delimiters=",;\t|").delimiter
             except csv.Error:
                 return ","
 
-        return pd.Series([[r for r in csv.reader(io.StringIO(t), delimiter=delimiter or sniff(t)) if any(c.strip() for c in r)] if t else [] for t in column])
+        def one(text):
+            try:
+                return [r for r in csv.reader(io.StringIO(text or ""), delimiter=delimiter or sniff(text or "")) if any(c.strip() for c in r)], None
+            except Exception as e:  # noqa: BLE001 - whatever a file holds, it fails alone
+                return [], reason(e)
+
+        return pd.DataFrame([one(x) for x in column], columns=["rows", "error"])
 
     return run(text)
 
 
+# Fixed value.
+NOT_JSON = "JSON 형식이 아닙니다 ({}행): {}"
+# End of the fixed value.
+
+
 def pretty_json(text: Column) -> Column:
     """Indented JSON with its keys in their order, or what is wrong with it."""
 
     @pandas_udf(StructType([StructField("text", StringType()), StructField("error", StringType())]))
     def run(column: pd.Series) -> pd.DataFrame:
+        sys.set_int_max_str_digits(0)
+
         def one(text):
             try:
                 return json.dumps(json.loads(text or ""), ensure_ascii=False, indent=2), None
             except json.JSONDecodeError as e:
-                return None, f"JSON 형식이 아닙니다 ({e.lineno}행): {e.msg}"
+                return None, NOT_JSON.format(e.lineno, e.msg)
+            except Exception as e:  # noqa: BLE001 - such as nesting beyond the stack
+                return None, reason(e)
 
         return pd.DataFrame([one(x) for x in column], columns=["text", "error"])
 

@@ -5,52 +5,78 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.text import extension
-from ..sources import formats
+from ..sources.remote import by_value
 
 POLL_SECONDS, STABLE_SECONDS = 2, 3
-READY = "name string, size long, since timestamp, ready timestamp"
-
-
-def incoming(spark: SparkSession, folder: str, archive: str | None = None) -> DataFrame:
-    """New files of a folder as a stream; read ones can be moved to an archive."""
-    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-    if archive:
-        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return reader.load(folder)
-
-
-def settle(key: tuple, polls: Iterator[pd.DataFrame], state: GroupState, stable: float) -> Iterator[pd.DataFrame]:
-    """Rows of one name in order of time: emits it once its size has not changed for long enough, and again after it was gone."""
-    size, since, done = state.get if state.exists else (None, None, False)
-    out = []
-    for row in pd.concat(list(polls)).sort_values("ts").itertuples():
-        if pd.isna(row.size_):
-            size, since, done = None, None, False
-        elif size != row.size_:
-            size, since, done = int(row.size_), row.ts, False
-        elif not done and (row.ts - pd.Timestamp(since)).total_seconds() >= stable:
-            done = True
-            out.append((key[0], size, since, row.ts))
-    if size is None:
-        state.remove()
-    else:
-        state.update((size, since, done))
-    yield pd.DataFrame(out, columns=["name", "size", "since", "ready"])
-
-
-def settled_stream(polls: DataFrame, stable: float = STABLE_SECONDS) -> DataFrame:
-    """Settled files of a stream of polls (name, ts, size; a null size says that the file is gone)."""
+#: A file that hasn't been seen for so long is gone.
+FORGET_SECONDS = 3600
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+READY = "path string, name string, size long, modified timestamp, since timestamp, ready timestamp"
+SEEN = "size long, modified timestamp, since timestamp, done boolean"
+
+
+class Settling(StatefulProcessor):
+    """Keeps, for each path, what was last seen of it, and hands it out once size and time have stayed for ``stable`` seconds.
+
+    A file that comes again under a path is another one as soon as its size or time differ, seen gone or not.  Rows in which the
+    size is null say that a file is gone.  One that has not been seen for ``forget`` seconds is gone as well: a timer
+    drops what is kept.  A path that is ``blocked`` isn't handed out while it is there; that is kept apart, for as long as it is seen.
+    """
+
+    def __init__(self, stable: float, forget: float) -> None:
+        self.stable, self.forget = stable, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", SEEN)
+        self.blocked = handle.getValueState("blocked", "since timestamp", int(self.forget * 1000))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        size, modified, since, done = self.seen.get() if self.seen.exists() else (None, None, None, False)
+        blocked, out = self.blocked.exists(), []
+        for row in pd.concat(list(rows)).sort_values("at", kind="stable").itertuples():
+            if pd.isna(row.size_):
+                size, blocked = None, False
+                continue
+            blocked = blocked or row.blocked is True or row.blocked == True  # noqa: E712 - null is no
+            at, stamp = row.at.to_pydatetime(), None if pd.isna(row.modified) else row.modified.to_pydatetime()
+            if size != row.size_ or modified != stamp:
+                size, modified, since, done = int(row.size_), stamp, at, False
+            if not (done or blocked) and (at - since).total_seconds() >= self.stable:
+                done = True
+                out.append((key[0], row.name, size, modified, since, at))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if size is None:
+            self.seen.clear()
+            self.blocked.clear()
+        else:
+            self.seen.update((size, modified, since, done))
+            if blocked:
+                self.blocked.update((since,))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.forget * 1000))
+        yield pd.DataFrame(out, columns=["path", "name", "size", "modified", "since", "ready"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        self.blocked.clear()
+        yield pd.DataFrame([], columns=["path", "name", "size", "modified", "since", "ready"])
+
+    def close(self) -> None:
+        pass
+
+
+def settled_stream(polls: DataFrame, stable: float = STABLE_SECONDS, forget: float = FORGET_SECONDS) -> DataFrame:
+    """Settled files of a stream of polls (path, name, size, modified, at, blocked).  The session keeps state in RocksDB."""
+    by_value(__name__)
+    polls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = polls.withColumnRenamed("size", "size_")
-    return rows.groupBy("name").applyInPandasWithState(
-        lambda key, parts, state: settle(key, parts, state, stable), READY, "size long, since timestamp, done boolean", "append", GroupStateTimeout.NoTimeout
-    )
+    return rows.groupBy("path").transformWithStateInPandas(Settling(stable, forget), READY, "Append", "ProcessingTime")
 
 
 def settled(polls: DataFrame, stable: float = STABLE_SECONDS) -> DataFrame:
@@ -64,58 +90,6 @@ def settled(polls: DataFrame, stable: float = STABLE_SECONDS) -> DataFrame:
     return late.groupBy("name", "run", "size", "since").agg(F.min("ts").alias("ready")).drop("run").select("name", "size", "since", "ready")
 
 
-STATE = "path string, name string, size long, since timestamp, state string"
-
-
-class Gate:
-    """What a watched folder holds from poll to poll: waiting, done, failed and blocked files.
-
-    A listing is reconciled with the state by joins; the new state is written beside the old ones, so a poll that
-    dies is made again from the last whole state.  A file that is gone is forgotten, and one that comes again is new.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, state: str, stable: float = STABLE_SECONDS) -> None:
-        self.spark, self.folder, self.states, self.stable = spark, folder, state, stable
-        self.log = f"{state}/states"
-        self.held: DataFrame | None = None
-
-    def read(self) -> DataFrame:
-        """The last whole state."""
-        if self.held is None:
-            try:
-                last = self.spark.read.parquet(self.log).agg(F.max("poll")).first()[0]
-            except AnalysisException:
-                last = None
-            self.held = self.spark.createDataFrame([], STATE) if last is None else self._of(last)
-        return self.held
-
-    def _of(self, poll: int) -> DataFrame:
-        return self.spark.read.schema(STATE).parquet(f"{self.log}/poll={poll}")
-
-    def write(self, state: DataFrame, poll: int) -> DataFrame:
-        state.select("path", "name", "size", "since", "state").write.mode("overwrite").parquet(f"{self.log}/poll={poll}")
-        self.held = self._of(poll)
-        return self.held
-
-    def polled(self, at) -> DataFrame:
-        """The state after a listing at a time; files that have kept their size for long enough are ``ready``."""
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.folder)
-        now = formats.with_format(files.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("length").alias("size")))
-        now = now.where("handler IS NOT NULL").select("path", "name", "size")
-        old = self.read().select("path", F.col("size").alias("old"), "since", "state")
-        rows = now.join(old, "path", "left")
-        time = F.lit(at).cast("timestamp")
-        same = F.col("size") == F.col("old")
-        kept = F.col("state").isin("blocked", "done", "failed")
-        waited = time.cast("double") - F.col("since").cast("double") >= self.stable
-        state = F.when((F.col("state") == "blocked") | kept & same, F.col("state")).when(F.coalesce(same & waited, F.lit(self.stable <= 0)), "ready").otherwise("waiting")
-        return rows.select("path", "name", "size", F.when(F.coalesce(same, F.lit(False)), F.col("since")).otherwise(time).alias("since"), state.alias("state"))
-
-    def progress(self) -> DataFrame:
-        """Files by state and format."""
-        return self.read().groupBy("state", F.regexp_replace(extension("name"), r"^\.", "").alias("format")).agg(F.count("*").alias("files"))
-
-
 def reconciled(before: DataFrame, now: DataFrame) -> DataFrame:
     """name and state of two listings (name, size): new, gone, changed or same."""
     rows = before.select("name", F.col("size").alias("old")).join(now.select("name", F.col("size").alias("new")), "name", "full_outer")

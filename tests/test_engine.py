@@ -1,15 +1,12 @@
 """Folders to Markdown and on to redacted copies, in batch and as a stream."""
 
 import json
-import time
-from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from paperweir.plans import engine
 from paperweir.sources import sinks
-from paperweir.streaming import inbox
 from test_sources import container
 
 
@@ -82,49 +79,42 @@ def test_results_are_written_and_mapping_apart(spark, tmp_path):
         sinks.write_redacted(named, {}, str(out), str(out), str(out))
 
 
-def test_stream_waits_for_files_to_settle(spark, tmp_path):
-    source, state = tmp_path / "in", tmp_path / "state"
-    source.mkdir()
-    (source / "a.txt").write_text("hello", encoding="utf-8")
-    (source / "b.txt").write_text("half", encoding="utf-8")
-    seen = []
-
-    def sink(df, number):
-        rows = df.collect()
-        if any(r["blocks"][0]["text"] == "trouble" for r in rows):
-            raise OSError("in use")
-        seen.extend(r["blocks"][0]["text"] for r in rows)
-
-    gate = inbox.Gate(spark, str(source), str(state))
-    for second, change in ((0, None), (2, ("b.txt", "half and whole")), (4, None), (6, ("c.txt", "trouble")), (10, None), (12, ("c.txt", "longer")), (16, None), (18, ("c.txt", None)), (20, ("c.txt", "again")), (24, None)):
-        if change:
-            name, text = change
-            (source / name).unlink() if text is None else (source / name).write_text(text, encoding="utf-8")
-        engine.poll(gate, sink, engine.Config(), at=datetime(2024, 1, 1, 0, 0, second), number=second)
-        if second in (4, 6):
-            assert sorted(seen) == {4: ["hello"], 6: ["half and whole", "hello"]}[second]
-        if second in (10, 16):
-            assert {r["name"]: r["state"] for r in gate.read().collect()}["c.txt"] == "blocked"
-    assert sorted(seen) == ["again", "half and whole", "hello"]
-    state = {r["name"]: r["state"] for r in gate.read().collect()}
-    assert state == {"a.txt": "done", "b.txt": "done", "c.txt": "done"}
-    assert {(r["state"], r["format"], r["files"]) for r in gate.progress().collect()} == {("done", "txt", 3)}
-
-
-def test_stream(spark, tmp_path):
-    source = tmp_path / "in"
-    source.mkdir()
-    (source / "a.txt").write_text("hello", encoding="utf-8")
-    seen = []
-    query = engine.stream(spark, str(source), lambda df, n: seen.extend(r["blocks"][0]["text"] for r in df.collect()), str(tmp_path / "cp"), stable=0.0)
-    for _ in range(120):
-        if seen:
-            break
-        time.sleep(1)
-    query.stop()
-    assert seen == ["hello"]
-
-
 def test_validate_and_images(spark):
     got = {r["name"]: r["error"] for r in engine.validate(spark.createDataFrame([("a.docx",), ("b.xls",), ("c",)], "name string")).collect()}
     assert got["a.docx"] is None and got["b.xls"] and got["c"]
+
+
+def test_one_bad_file_fails_alone(spark, tmp_path):
+    import io
+    import zipfile
+
+    good = {"word/document.xml": "<d><body><p><r><t>good</t></r></p></body></d>"}
+    whole = bytes(container(good))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", good["word/document.xml"] * 50)
+    spoilt = bytearray(out.getvalue())
+    spoilt[60:90] = b"\xff" * 30
+    bomb = io.BytesIO()
+    with zipfile.ZipFile(bomb, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", b" " * (8 << 20))
+    files = {
+        "good.docx": whole, "spoilt.docx": bytes(spoilt), "cut.docx": whole[:40], "bomb.docx": bomb.getvalue(), "good.html": b"<p>fine</p>", "odd.html": b"<p>a</p><![foo[ x ]]>", "good.json": b'{"a": [1]}',
+        "deep.json": b"[" * 200_000, "long.json": b"1" * 6000, "good.csv": b"a,b\n1,2\n", "wide.csv": b'a,"' + b"x" * 300_000 + b'"\n', "nul.tsv": b"a\tb\r\rc\td\n",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    most = engine.markup.MOST_UNPACKED
+    try:
+        engine.markup.nodes.__defaults__ = (4 << 20,)
+        got = {r["source"]: r for r in engine.convert(spark, str(tmp_path)).collect()}
+    finally:
+        engine.markup.nodes.__defaults__ = (most,)
+    assert set(got) == set(files)
+    for name in ("good.docx", "good.html", "good.json", "good.csv", "wide.csv", "long.json"):
+        assert got[name]["error"] is None and got[name]["text"], name
+    for name in ("spoilt.docx", "cut.docx", "bomb.docx", "deep.json"):
+        assert got[name]["text"] is None and got[name]["error"], name
+    assert got["spoilt.docx"]["error"].startswith(engine.markup.UNREADABLE) and "4MB" in got["bomb.docx"]["error"]
+    assert got["odd.html"]["error"] or "a" in got["odd.html"]["text"]
+    assert "x" * 300_000 in got["wide.csv"]["text"]

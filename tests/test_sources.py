@@ -192,7 +192,7 @@ def test_html(spark, page, want):
 
 
 def test_csv_and_json(spark):
-    rows = spark.createDataFrame([(1, "a;b\n1;2\n;\n"), (2, None)], "i int, t string").select("i", markup.csv_rows(F.col("t")).alias("r")).orderBy("i").collect()
+    rows = spark.createDataFrame([(1, "a;b\n1;2\n;\n"), (2, None)], "i int, t string").select("i", markup.csv_rows(F.col("t"))["rows"].alias("r")).orderBy("i").collect()
     assert rows[0]["r"] == [["a", "b"], ["1", "2"]] and rows[1]["r"] == []
     rows = spark.createDataFrame([(1, '{"b":1.50,"a":"가"}'), (2, "{")], "i int, t string").select("i", markup.pretty_json(F.col("t")).alias("r")).orderBy("i").collect()
     assert rows[0]["r"]["text"] == '{\n  "b": 1.5,\n  "a": "가"\n}' and "1행" in rows[1]["r"]["error"]

@@ -28,18 +28,18 @@ def brute_pages(docs):
 def test_pages_of_every_document(spark, tmp_path):
     docs = [(i, "\n".join(["head line"] * (i % 5) + [f"text  of document {i} page {n}" for n in range(i % 4)] + ["x"])) for i in range(1, 23)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    run = {name: entry.queries()[name](spark, str(tmp_path)).collect() for name in ("page_boilerplate_all", "page_body_all", "page_text_size_all")}
+    run = {name: entry.queries()[name](spark, str(tmp_path)).collect() for name in ("page_boilerplate", "page_body", "page_text_size")}
     boiler, body, size = brute_pages(docs)
     assert {i for i, _ in boiler} - set(range(0, 23, 5)) and any(e for _, e in size.values())
-    assert sorted((r["doc_id"], r["line"]) for r in run["page_boilerplate_all"]) == sorted(boiler)
-    assert sorted((r["doc_id"], r["page_no"], r["line"]) for r in run["page_body_all"]) == sorted(body)
-    assert {r["doc_id"]: (r["chars"], r["error"]) for r in run["page_text_size_all"]} == size
+    assert sorted((r["doc_id"], r["line"]) for r in run["page_boilerplate"]) == sorted(boiler)
+    assert sorted((r["doc_id"], r["page_no"], r["line"]) for r in run["page_body"]) == sorted(body)
+    assert {r["doc_id"]: (r["chars"], r["error"]) for r in run["page_text_size"]} == size
 
 
 def test_column_letters_of_any_length(spark, tmp_path):
     known = {0: "A", 25: "Z", 26: "AA", 701: "ZZ", 702: "AAA", 16_383: "XFD", 18_277: "ZZZ", 18_278: "AAAA", 2_147_483_646: "FXSHRXW", 26**8: "YYYYYYZA"}
     spark.createDataFrame([(k,) for k in known], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
-    rows = entry.queries()["column_letters_all"](spark, str(tmp_path)).collect()
+    rows = entry.queries()["column_letters"](spark, str(tmp_path)).collect()
     assert {r["p_partkey"]: (r["letters"], r["idx"]) for r in rows} == {k: (v, k) for k, v in known.items()}
 
 
