@@ -29,6 +29,8 @@ MIN_WORDS = 50
 #: Runs, and documents that have any, that are joined by broadcast; more are joined by shuffle.
 BROADCAST_RUNS = 400_000
 DOC = ["doc", "mark"]
+#: What stands for a null id.
+NO_ID = -(1 << 63)
 LINE = "doc long, mark long, line int, no int, h long, g long, ahead int, ahead_no int, back int, back_no int"
 
 
@@ -74,7 +76,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
 
 def _doc(id_col: str):
     """Ids as numbers that are never null: null comes first."""
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
 
 
 def ranked(rows: DataFrame, pair: list[str], label: str) -> DataFrame:
@@ -123,7 +125,7 @@ def merged_runs(found: DataFrame) -> DataFrame:
     ends = F.max(F.col("line") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     joined = found.withColumn("new", F.coalesce(F.col("line") > ends, F.lit(True)).cast("int"))
     joined = joined.withColumn("run", F.sum("new").over(order))
-    runs = joined.groupBy(*DOC, "run").agg(F.min("no").alias("first_line"), F.max("last_no").alias("last_line"), F.min("first.doc").alias("copy_of"))
+    runs = joined.groupBy(*DOC, "run").agg(F.min("no").alias("first_line"), F.max("last_no").alias("last_line"), F.nullif(F.min("first.doc"), F.lit(NO_ID)).alias("copy_of"))
     return runs.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("first_line", "last_line", "copy_of"))).alias("runs"))
 
 

@@ -158,7 +158,9 @@ def with_starts(rows: DataFrame) -> DataFrame:
     ``rows`` has file, row and n_tokens.  The totals are a row for each file, so their running sum is small.
     """
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
+    # Spark pads the numbers of its files to five digits, so names of more don't sort as their numbers do
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).try_cast("long")
+    before = totals.select("file", (F.sum("total").over(Window.orderBy(number, "file")) - F.col("total")).alias("before"))
     inner = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row")) - F.col("n_tokens")
     return rows.withColumn("inner", inner).join(before, "file").withColumn("start", F.col("before") + F.col("inner")).drop("before", "inner")
 

@@ -65,7 +65,7 @@ def test_white_space_that_overflows_the_library():
 
 def test_exact_dedup(spark):
     rows = [(1, "a b"), (2, "ab"), (3, "a  b"), (4, "a\tb\n"), (5, "A b"), (6, None), (7, ""), (8, " "), (None, "ab"), (2, "ab")]
-    got = collections.Counter(tuple(r) for r in exact_dedup.dedup(docs(spark, rows).repartition(5), fan=2).collect())
+    got = collections.Counter(tuple(r) for r in exact_dedup.dedup(docs(spark, rows).repartition(5), fan=2).drop("stays").collect())
     sha = lambda t: hashlib.sha256(re.sub("[\x20\x09-\x0d]", "", t or "").encode()).hexdigest()
     groups = collections.defaultdict(list)
     for i, t in rows:
