@@ -8,6 +8,8 @@ numbered and put in place.  A text is read once, and only matches are dealt out.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 import pandas as pd
@@ -63,7 +65,9 @@ PREFIXES = {
 NAME_PREFIX, OTHER_PREFIX = "자연인", "비식별"
 # End of the fixed values.
 ANCHORS = ["NAME_LABELED", "NAME_TITLED", "NAME_MASKED", "NAME_USER"]
-USER, ECHO, SPAN = 0, 20, 200
+USER, ECHO = 0, 20
+#: Overlapping matches from which on an island is long.
+LONG_ISLAND = 64
 #: Names of a user that go to the tasks; a longer list is refused.
 USER_NAMES = 1_000_000
 _NAMED = [i + 1 for i, r in enumerate(RULES) if r[0] in ("NAME_LABELED", "NAME_TITLED")]
@@ -83,35 +87,51 @@ def listed(words) -> list[str]:
     return [r["w"] for r in words.collect()]
 
 
+class Spans:
+    """Spans of one text, asked for places in them: sorted by start, with the furthest end up to each."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        spans = sorted(spans)
+        self.starts, self.ends = [a for a, _ in spans], list(itertools.accumulate((b for _, b in spans), max))
+
+    def holds(self, place: int) -> bool:
+        k = bisect.bisect_right(self.starts, place)
+        return k > 0 and place < self.ends[k - 1]
+
+
 def matches(text: Column, user_names: list[str] = ()) -> Column:
-    """Where each rule and protected span matches: offsets in code points, the text around, the line.
+    """Where each rule matches outside the protected spans: offsets in code points, the text around, the line.
+
+    User names come under ord 0, rule i under i + 1.  Under ECHO come further places of every name that an anchor may
+    confirm, with a particle after it or none; which ones are confirmed is for later steps to say.  Null gives none.
 
-    User names come under ord 0, rule i under i + 1, spans under SPAN.  Under ECHO come further places of
-    every name that an anchor may confirm, with a particle after it or none; which ones are confirmed is for later steps to say.  Null gives none.
+    The work grows with the text and its matches: lines and spans are found by bisection, names by looking up the
+    characters at each place where one may begin.
     """
     # a bare name begins with a name's shape, so other runs of Hangul needn't be told
     bare = next(i + 1 for i, r in enumerate(RULES) if r[0] == "NAME_BARE")
     patterns = [(i + 1, f"(?<![가-힣])(?={N.NAME_START})([가-힣]{{3,12}})(?![가-힣])" if i + 1 == bare else p, g) for i, (_, _, p, _, g) in enumerate(RULES)]
-    patterns += [(SPAN, p, 0) for p in PROTECTED]
-    by_length: dict[int, set[str]] = {}
-    for n in user_names:
-        if len(n) >= 2:
-            by_length.setdefault(len(n), set()).add(n)
+    known = frozenset(n for n in user_names if len(n) >= 2)
     particles, surname = frozenset(N.PARTICLES), N.STARTS_WITH_SURNAME
 
     @pandas_udf(MATCH)
     def find(texts: pd.Series) -> pd.Series:
         made = [(o, re.compile(p), g) for o, p, g in patterns]
-        hangul, first = re.compile("[가-힣]"), re.compile(surname)
-        plain = [x for x in made if x[0] in (*_DIGITS, SPAN)]
+        protected = [re.compile(p) for p in PROTECTED]
+        hangul, first, run = re.compile("[가-힣]"), re.compile(surname), re.compile("[가-힣]*")
+        plain = [x for x in made if x[0] in _DIGITS]
+        lengths = sorted({len(n) for n in known})
         out = []
         for t in texts:
             rows, names = [], set()
+            if t:
+                breaks = [m.start() for m in re.finditer("\n", t)]
+                spans = Spans([m.span() for p in protected for m in p.finditer(t)])
 
-            def add(o, a, b, t=t, rows=rows):
-                rows.append((o, a, t[a:b], t[max(0, a - AROUND) : a], t[b : b + AROUND], t.count("\n", 0, a) + 1))
+                def add(o, a, b, t=t, rows=rows, breaks=breaks, spans=spans):
+                    if not spans.holds(a):
+                        rows.append((o, a, t[a:b], t[max(0, a - AROUND) : a], t[b : b + AROUND], bisect.bisect_left(breaks, a) + 1))
 
-            if t:
                 for o, p, g in made if hangul.search(t) else plain:
                     for m in p.finditer(t):
                         a, b = m.span(g)
@@ -121,16 +141,20 @@ def matches(text: Column, user_names: list[str] = ()) -> Column:
                                 names |= {t[a : a + n] for n in (2, 3, 4) if a + n <= b and t[a + n : b] in particles and first.match(t[a:b])}
                             elif o in _MASKED:
                                 names.add(t[a:b])
-                for n, known in by_length.items():
+                for n in lengths:
                     for a in range(len(t) - n + 1):
                         if t[a : a + n] in known and not (a and hangul.match(t[a - 1])):
                             names.add(t[a : a + n])
                             if not hangul.match(t[a + n : a + n + 1]):
                                 add(USER, a, a + n)
-                for n in sorted(names):
-                    for m in re.finditer(f"(?<![가-힣]){re.escape(n)}([가-힣]*)", t):
-                        if m[1] in particles:
-                            add(ECHO, m.start(), m.start() + len(n))
+                if names:
+                    sizes = sorted({len(n) for n in names})
+                    begins = re.compile("(?<![가-힣])[" + "".join(re.escape(c) for c in sorted({n[0] for n in names})) + "]")
+                    for m in begins.finditer(t):
+                        a = m.start()
+                        for n in sizes:
+                            if t[a : a + n] in names and run.match(t, a + n)[0] in particles:
+                                add(ECHO, a, a + n)
             out.append(rows)
         return pd.Series(out)
 
@@ -151,10 +175,7 @@ def context(left: Column, right: Column) -> Column:
 def candidates(docs: DataFrame, user_names: list[str] = (), user_stopwords: list[str] = (), single: bool = True) -> DataFrame:
     """Values that the rules find, and possible echoes, before overlaps are settled: docs has doc_id and text."""
     stop = F.array(*(F.lit(w) for w in user_stopwords)) if user_stopwords else None
-    found = docs.select("doc_id", matches(F.col("text"), user_names).alias("m"))
-    spans = F.filter("m", lambda x: x["ord"] == SPAN)
-    free = F.filter("m", lambda x: (x["ord"] != SPAN) & ~F.exists("spans", lambda s: (s["start"] <= x["start"]) & (x["start"] < s["start"] + F.length(s["value"]))))
-    rows = found.withColumn("spans", spans).withColumn("m", free).select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
+    rows = docs.select("doc_id", F.explode(matches(F.col("text"), user_names)).alias("m")).select("doc_id", "m.*")
     told = [(USER, "NAME_USER", "성명(사용자 사전)", AUTO), (ECHO, "NAME_ECHO", "성명(같은 문서 재등장)", AUTO), *((i + 1, k, label, grade) for i, (k, label, _, grade, _) in enumerate(RULES))]
     rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(told, "ord int, kind string, label string, confidence string")), "ord")
     kind, raw = F.col("kind"), F.col("value")
@@ -163,7 +184,8 @@ def candidates(docs: DataFrame, user_names: list[str] = (), user_stopwords: list
         .when(kind.isin("NAME_LABELED", "NAME_TITLED"), N.anchored_name(raw))
         .otherwise(raw)
     )
-    rows = rows.withColumn("name", name).where("name IS NOT NULL")
+    # given out by explode, a name is resolved once for each match and not wherever it is used
+    rows = rows.select("*", F.explode(F.array(name)).alias("name")).where("name IS NOT NULL")
     rows = rows.withColumn("right", F.concat(F.substring(raw, F.length("name") + 1, F.lit(100)), F.col("right"))).withColumn("value", F.col("name")).drop("name")
     judged = kind.startswith("NAME_") & (kind != "NAME_USER")
     fine = kind.isin("NAME_SURNAME", "NAME_ECHO") | N.plausible(F.col("value"), kind == "NAME_BARE", stop)
@@ -199,15 +221,37 @@ def without_overlaps(rows: DataFrame) -> DataFrame:
     fields = F.struct("start", (-F.col("end")).alias("back"), "grade", "ord", "kind", "label", "confidence", "value", "left", "right", "line", "end")
     islands = rows.groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(fields)).alias("m"))
     none = F.filter("m", lambda x: F.lit(False))
-    keep = F.aggregate(
+    fold = F.aggregate(
         "m",
         F.struct(F.lit(-1).alias("end"), none.alias("kept")),
         lambda a, x: F.when(x["start"] < a["end"], a).otherwise(F.struct(x["end"].alias("end"), F.concat(a["kept"], F.array(x)).alias("kept"))),
         lambda a: a["kept"],
     )
+    # the fold copies what it has kept at each step, so long islands are walked along instead
+    long = F.size("m") > LONG_ISLAND
+    keep = F.when(long, leftmost(F.when(long, F.col("m")))).otherwise(fold)
     return islands.select("doc_id", F.explode(keep).alias("x")).select("doc_id", "x.*").drop("back", "grade")
 
 
+_INTS, _TEXTS = ("start", "back", "grade", "ord"), ("kind", "label", "confidence", "value", "left", "right")
+_FOUND = StructType([*(StructField(n, IntegerType()) for n in _INTS), *(StructField(n, StringType()) for n in _TEXTS), StructField("line", IntegerType()), StructField("end", IntegerType())])
+
+
+@pandas_udf(ArrayType(_FOUND))
+def leftmost(islands: pd.Series) -> pd.Series:
+    """Of sorted matches the first, then each that begins where the last taken one has ended, or later."""
+
+    def one(found):
+        out, end = [], -1
+        for x in found:
+            if x["start"] >= end:
+                out.append(x)
+                end = x["end"]
+        return out
+
+    return pd.Series([None if x is None else one(x) for x in islands])
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """Placeholders: values of a prefix are numbered in a document by their first place; equal values share a number."""
     rows = rows.withColumn("prefix", prefix(F.col("kind")))
@@ -229,15 +273,27 @@ def detect(docs: DataFrame, user_names=(), user_stopwords=(), include_review: bo
     )
 
 
+@pandas_udf(StringType())
+def spliced(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+    """Texts with the parts (start, end, placeholder) replaced, each text cut once from the left."""
+
+    def one(text, parts):
+        if text is None or parts is None:
+            return text
+        out, at = [], 0
+        for part in parts:
+            out += [text[at : part["start"]], part["placeholder"]]
+            at = part["end"]
+        return "".join([*out, text[at:]])
+
+    return pd.Series([one(*x) for x in zip(texts, cuts, strict=True)])
+
+
 def apply(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """doc_id and masked_text: the text with the applied findings replaced."""
-    order = Window.partitionBy("doc_id").orderBy("start")
-    cuts = findings.where("applied").select("doc_id", "start", "end", "placeholder", F.coalesce(F.lag("end").over(order), F.lit(0)).alias("before"))
-    listed_ = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "before", "end", "placeholder"))).alias("c"))
-    rows = docs.select("doc_id", "text").join(listed_, "doc_id", "left")
-    parts = F.transform("c", lambda x: F.concat(F.substring("text", x["before"] + 1, x["start"] - x["before"]), x["placeholder"]))
-    rest = F.substring("text", F.element_at("c", -1)["end"] + 1, F.length("text"))
-    return rows.select("doc_id", F.when(F.col("c").isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), rest)).alias("masked_text"))
+    cuts = findings.where("applied").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("c"))
+    rows = docs.select("doc_id", "text").join(cuts, "doc_id", "left")
+    return rows.select("doc_id", F.when(F.col("c").isNull(), F.col("text")).otherwise(spliced("text", "c")).alias("masked_text"))
 
 
 def public(findings: DataFrame, with_context: bool = False) -> DataFrame:

@@ -88,3 +88,45 @@ def test_apply_report_and_mapping(spark):
     everything = R.detect(docs, include_review=True)
     assert R.apply(docs, everything).where("doc_id = 0").first()["masked_text"] == "성명: 〔자연인-01〕, 〔자연인-02〕 〔이메일-01〕"
     assert R.detect(docs).where(F.col("kind") == "NAME_LABELED").first()["context"] == "성명: ⟦…⟧, 이유로 a@b.co"
+
+
+def test_spans_hold_places():
+    import random
+
+    random.seed(4)
+    for _ in range(200):
+        spans = [(a := random.randrange(60), a + random.randrange(9)) for _ in range(random.randrange(12))]
+        held = R.Spans(spans)
+        assert [held.holds(p) for p in range(80)] == [any(a <= p < b for a, b in spans) for p in range(80)]
+
+
+def test_long_islands_and_protected_places(spark):
+    """Chains of overlapping matches beyond the length from which they are walked along, and matches in code, links and brackets."""
+    chain = "".join(f"{i % 10}" for i in range(6)) + "-1234567-" + "-".join("123456" for _ in range(200))
+    text = "`010-1234-5678` 「010-1111-2222」 [x](010-3333-4444) ```\n010-5555-6666\n``` 010-7777-8888\n" + "\n" * 3 + "a@b.co\n"
+    rows = R.detect(spark.createDataFrame([(1, text), (2, chain)], "doc_id int, text string")).collect()
+    assert [(r["original"], r["line"]) for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] == 1] == [("010-7777-8888", 3), ("a@b.co", 7)]
+    want = R.LONG_ISLAND
+    try:
+        R.LONG_ISLAND = 0
+        walked = R.detect(spark.createDataFrame([(1, text), (2, chain)], "doc_id int, text string")).collect()
+    finally:
+        R.LONG_ISLAND = want
+    assert sorted(map(tuple, walked)) == sorted(map(tuple, rows))
+
+
+def test_work_grows_with_the_findings(spark):
+    """One text with twice the findings takes about twice the time."""
+    import time
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "\n".join(f"mail user{i}@example.com now" for i in range(n)))], "doc_id int, text string")
+        found = R.detect(docs)
+        begin = time.time()
+        masked = R.apply(docs, found).first()["masked_text"]
+        assert masked.count("〔이메일-") == n and "@" not in masked
+        return time.time() - begin
+
+    seconds(200)
+    small, large = seconds(8_000), seconds(32_000)
+    assert large < 6 * small + 5, (small, large)
