@@ -47,20 +47,30 @@ def clean_lines(pages: DataFrame) -> DataFrame:
     return lines.select("doc_id", "page_no", "line_no", squash(F.replace("raw", F.lit(" "), F.lit(" "))).alias("line")).where("line <> ''")
 
 
+def marked(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``edge``, whether a line is among the first or last two of its page, and ``same``, whether it is such a line on most pages.
+
+    Lines are dealt out once, by document; all windows are within it.
+    """
+    over = lambda *c: Window.partitionBy("doc_id", *c)
+    rows = lines.repartition("doc_id").withColumns({"top": F.row_number().over(over("page_no").orderBy("line_no")), "n": F.count("*").over(over("page_no"))})
+    edge = ((F.col("top") <= 2) | (F.col("top") > F.col("n") - 2)) & (F.length("line") <= LONGEST_EDGE) & level(F.col("line")).isNull() & ~F.col("line").rlike(BULLET)
+    rows = rows.withColumn("edge", edge)
+    first = F.col("edge") & (F.row_number().over(over("page_no", "line", "edge").orderBy("line_no")) == 1)
+    rows = rows.withColumns({"first": first.cast("int"), "pages": F.sum((F.col("top") == 1).cast("int")).over(over())})
+    enough = F.greatest(F.lit(LEAST_PAGES), F.floor(F.col("pages") * F.lit(SHARE)))
+    same = (F.col("pages") >= LEAST_PAGES) & (F.sum("first").over(over("line")) >= enough)
+    return rows.withColumn("same", same).select(*lines.columns, "edge", "same")
+
+
 def repeated_edges(lines: DataFrame) -> DataFrame:
     """doc_id and line of what stands among the first or last two lines of most pages."""
-    page = Window.partitionBy("doc_id", "page_no")
-    edge = lines.withColumns({"top": F.row_number().over(page.orderBy("line_no")), "bottom": F.row_number().over(page.orderBy(F.desc("line_no")))})
-    edge = edge.where("top <= 2 OR bottom <= 2").where((F.length("line") <= LONGEST_EDGE) & level(F.col("line")).isNull() & ~F.col("line").rlike(BULLET))
-    times = edge.select("doc_id", "page_no", "line").distinct().groupBy("doc_id", "line").agg(F.count("*").alias("times"))
-    pages = lines.groupBy("doc_id").agg(F.count_distinct("page_no").alias("pages"))
-    enough = F.greatest(F.lit(LEAST_PAGES), F.floor(F.col("pages") * F.lit(SHARE)))
-    return times.join(pages, "doc_id").where((F.col("pages") >= LEAST_PAGES) & (F.col("times") >= enough)).select("doc_id", "line")
+    return marked(lines).where("edge AND same").select("doc_id", "line").distinct()
 
 
 def body_lines(lines: DataFrame) -> DataFrame:
     """Lines without repeated edges, wherever they stand, and without page numbers."""
-    return lines.join(repeated_edges(lines), ["doc_id", "line"], "left_anti").where(~F.col("line").rlike(PAGE_NUMBER))
+    return marked(lines).where(~F.col("same") & ~F.col("line").rlike(PAGE_NUMBER)).select(*lines.columns)
 
 
 def scanned(lines: DataFrame) -> DataFrame:

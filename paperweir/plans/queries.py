@@ -201,6 +201,34 @@ def redact_rules(spark, sf_dir):
     return found.select("doc_id", "kind", "original", F.col("start").cast("long").alias("start"), F.col("line").cast("long").alias("line"), "placeholder", "applied")
 
 
+_PHONE = "'010-' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') || '-' || lpad(CAST(p_partkey * 7 % 10000 AS VARCHAR), 4, '0')"
+
+
+@query(f"""SELECT p_partkey AS doc_id, {_PHONE} AS original, CAST([18, 18, 21, 24][p_partkey % 4 + 1] AS BIGINT) AS start, CAST(CASE WHEN p_partkey % 4 = 3 THEN 3 ELSE 1 END AS BIGINT) AS line,
+  '〔연락처-01〕' AS placeholder FROM part""")
+def redact_protected(spark, sf_dir):
+    """A number in code, brackets, a link or a fence stays, the one after it is found."""
+    phone = F.expr(_PHONE.replace("VARCHAR", "STRING"))
+    around = [("`", "`"), ("「", "」"), ("[a](", ")"), ("```\n", "\n```")]
+    text = F.element_at(F.array(*(F.concat(F.lit(a), "phone", F.lit(f"{b} x "), "phone") for a, b in around)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    docs = table(spark, sf_dir, "part").withColumn("phone", phone).select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    return redaction.detect(docs).select("doc_id", "original", F.col("start").cast("long").alias("start"), F.col("line").cast("long").alias("line"), "placeholder")
+
+
+_CARD = "'1234-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || '-9012-' || lpad(CAST(c_custkey * 3 % 10000 AS VARCHAR), 4, '0')"
+
+
+@query(f"""WITH k AS (SELECT c_custkey AS doc_id, {_CARD} AS card FROM customer)
+SELECT doc_id, 'CARD' AS kind, card AS original, 3::BIGINT AS start, '〔카드번호-01〕' AS placeholder FROM k
+UNION ALL SELECT doc_id, 'NAME_USER', '마르코폴로', 27, '〔자연인-01〕' FROM k WHERE doc_id % 2 = 0""")
+def redact_overlaps(spark, sf_dir):
+    """Of matches that begin together the longest stays; names of the user's list are found."""
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("no "), F.expr(_CARD.replace("VARCHAR", "STRING")), F.when(k % 2 == 0, " and 마르코폴로 x").otherwise(" and nobody"))
+    docs = table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text"))
+    return redaction.detect(docs, user_names=["마르코폴로", "나폴레옹"]).select("doc_id", "kind", "original", F.col("start").cast("long").alias("start"), "placeholder")
+
+
 @query("""
 WITH k AS (SELECT p_partkey, ['김하은', '이유로', '홍길동은', '남궁민수에게', '서명하였다', '이용자', '김포시', '박민준이라고', '제갈'][p_partkey % 9 + 1] AS run FROM part)
 SELECT p_partkey, run, [ '김하은', '이유로', '홍길동', '남궁민수', NULL, NULL, NULL, '박민준', NULL][p_partkey % 9 + 1] AS bare,
