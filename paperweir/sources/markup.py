@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, M
 
 from ..functions.text import squash
 from ..operators.blocks import CELL
+from ..storage import stored
 
 NODE = StructType([
     StructField("part", StringType()), StructField("ord", IntegerType()), StructField("last", IntegerType()), StructField("tag", StringType()), StructField("path", StringType()),
@@ -280,10 +281,11 @@ def html_pieces(html: Column) -> Column:
 def html_blocks(pages: DataFrame, tables: bool = True) -> DataFrame:
     """doc_id, at, kind, level, text and rows of the headings, paragraphs and tables of pages (doc_id, text), in order.
 
-    Texts outside cells are blocks as they come.  Only what stands in cells is dealt out, once, by page: texts of a cell,
+    Pages are read once: their pieces are stored where tables are asked for.  Texts outside cells are blocks as they come.  Only what stands in cells is dealt out, once, by page: texts of a cell,
     cells of a row and rows of a table come together in three groupings.  A page that can't be read gives one row of kind ``error``.
     """
     pieces = pages.select("doc_id", F.explode(html_pieces(F.col("text"))).alias("p")).select("doc_id", "p.*").withColumn("text", squash(F.col("text")))
+    pieces = stored(pieces, "pieces") if tables else pieces
     none = F.lit(None).cast(f"array<array<{CELL}>>").alias("rows")
     heading = F.col("level") > 0
     prefix = F.when(F.col("item"), F.concat(F.repeat(F.lit("  "), F.greatest(F.lit(0), F.col("lists") - 1)), F.lit("- "))).otherwise("")
