@@ -9,7 +9,8 @@ cannot reach the similarity and get no fingerprint; that loses nothing.  What is
 ``RADIUS`` is lost: the tests measure that against an exact search.
 
 Words are runs of letters and digits of the lower-cased text; items and windows of fewer words than a
-shingle count as one shingle.  Null and empty texts and items without words match nothing; repeated rows
+shingle count as one shingle.  Null and empty texts and items without words match nothing, and an item
+without an id isn't looked for, since nothing could name it; of windows alike to an item the first of the highest similarity is told; repeated rows
 each get their answer; an empty table gives an empty result.  The items are searched in blocks of bounded
 size, so no broadcast grows with the benchmark; each block of 8 MB is one more pass over the texts.
 """

@@ -1,4 +1,4 @@
-"""The pipeline's rows against the brute-force version of each stage, on planted cases."""
+"""The pipeline on planted cases; test_pipeline_plain.py holds its exact stages to plain versions."""
 
 import collections
 
