@@ -6,7 +6,7 @@ cells (text, col_span, row_span).  All of this is array expressions, so a docume
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_escape, html_escape, squash, strip, yaml_escape
@@ -140,8 +140,10 @@ def grid(rows: DataFrame, row_cols: list[str], cells: str, limit: int = 2000) ->
     rows: row_cols (the group), row (its order), cells (array of strings).  Adds truncated.
     """
     kept = rows.where(F.exists(cells, lambda c: strip(c) != ""))
-    listed = kept.groupBy(*row_cols).agg(F.array_sort(F.collect_list(F.struct("row", F.col(cells).alias("c")))).alias("r"), F.count("*").alias("n"))
-    used = F.slice("r", 1, limit)
-    wide = F.array_max(F.transform(used, lambda x: F.size(x["c"])))
+    # one row more than are shown says that there are more; no further ones are put together
+    kept = kept.withColumn("n", F.row_number().over(Window.partitionBy(*row_cols).orderBy("row"))).where(F.col("n") <= limit + 1)
+    used = F.array_sort(F.collect_list(F.when(F.col("n") <= limit, F.struct("n", F.col(cells).alias("c")))))
+    listed = kept.groupBy(*row_cols).agg(used.alias("u"), (F.max("n") > limit).alias("truncated"))
+    wide = F.array_max(F.transform("u", lambda x: F.size(x["c"])))
     made = F.transform("u", lambda x: F.transform(F.concat(x["c"], F.array_repeat(F.lit(""), (F.col("wide") - F.size(x["c"])).cast("int"))), lambda t: F.struct(squash(t).alias("text"), F.lit(1).alias("col_span"), F.lit(1).alias("row_span"))))
-    return listed.withColumns({"u": used, "wide": wide}).select(*row_cols, made.alias("rows"), (F.col("n") > limit).alias("truncated"))
+    return listed.withColumn("wide", wide).select(*row_cols, made.alias("rows"), "truncated")

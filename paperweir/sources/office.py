@@ -97,9 +97,12 @@ def sheet_tables(cells: DataFrame, limit: int = 2000) -> DataFrame:
     used = cells.where("text <> ''")
     wide = used.groupBy("doc_id", "sheet_no").agg((F.max("col_idx") + 1).alias("wide"))
     lines = used.groupBy("doc_id", "sheet_no", "sheet", "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "text"))).alias("m"))
+    # one row more than are shown says that there are more; no further ones are put together
+    n = F.row_number().over(Window.partitionBy("doc_id", "sheet_no").orderBy("row_idx"))
+    lines = lines.withColumn("n", n).where(F.col("n") <= limit + 1)
     dense = lines.join(wide, ["doc_id", "sheet_no"]).withColumn("cells", F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda i: F.struct(F.coalesce(F.try_element_at("m", i), F.lit("")).alias("text"), F.lit(1).alias("col_span"), F.lit(1).alias("row_span"))))
-    listed = dense.groupBy("doc_id", "sheet_no", "sheet").agg(F.array_sort(F.collect_list(F.struct("row_idx", "cells"))).alias("r"))
-    return listed.select("doc_id", "sheet_no", "sheet", F.slice("r", 1, limit)["cells"].alias("rows"), (F.size("r") > limit).alias("truncated"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("n") <= limit, F.struct("n", "cells"))))["cells"]
+    return dense.groupBy("doc_id", "sheet_no", "sheet").agg(listed.alias("rows"), (F.max("n") > limit).alias("truncated"))
 
 
 # ---- word documents

@@ -279,3 +279,15 @@ def test_output_names_are_free(spark):
     got = inbox.suffixed(spark.createDataFrame(rows, "arrived int, n string"), "n", "arrived").orderBy("arrived").collect()
     assert [r["out_name"] for r in got] == ["a", "a_1", "a_1_1", "b", "b_1", "c_2", "a_2", "a_1_2"]
     assert inbox.suffixed(spark.createDataFrame([], "arrived int, n string"), "n", "arrived").count() == 0
+
+
+def test_no_more_rows_than_the_limit_are_put_together(spark):
+    rows = [(d, k, [f"{d}{k}", " x "] if k % 3 else ["", " "]) for d in (1, 2, 3) for k in range(5 * d)]
+    lines = spark.createDataFrame(rows, "doc_id int, row int, cells array<string>")
+    got = {r["doc_id"]: ([[c["text"] for c in x] for x in r["rows"]], r["truncated"]) for r in blocks.grid(lines, ["doc_id"], "cells", 6).collect()}
+    want = {d: [[f"{d}{k}", "x"] for k in range(5 * d) if k % 3] for d in (1, 2, 3)}
+    assert got == {d: (w[:6], len(w) > 6) for d, w in want.items()} and [len(w) for w in want.values()] == [3, 6, 10]
+    cells = spark.createDataFrame([(d, 1, "S", k * 2, c, f"{k}{c}") for d in (1, 2) for k in range(3 + d) for c in range(1 + k % 2)], "doc_id int, sheet_no int, sheet string, row_idx int, col_idx int, text string")
+    got = {r["doc_id"]: ([[c["text"] for c in x] for x in r["rows"]], r["truncated"]) for r in office.sheet_tables(cells, 4).collect()}
+    whole = [[f"{k}0", f"{k}1" if k % 2 else ""] for k in range(4)]
+    assert got == {1: (whole, False), 2: (whole, True)}
