@@ -295,6 +295,15 @@ def output_names(spark, sf_dir):
     return inbox.suffixed(table(spark, sf_dir, "part"), "p_name", "p_partkey").select("p_partkey", "out_name")
 
 
+@query("""WITH k AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'scan_' || p_partkey WHEN 1 THEN 'index' ELSE 'p_' || (p_partkey % 7) || 'x' END AS stem FROM part)
+SELECT p_partkey, CASE WHEN n = 0 THEN stem ELSE stem || '_' || n END AS out_name FROM (SELECT p_partkey, stem, row_number() OVER (PARTITION BY stem ORDER BY p_partkey) - 1 AS n FROM k)""")
+def output_names_numbered(spark, sf_dir):
+    """Names that have numbers already beside names that are repeated."""
+    k = F.col("p_partkey")
+    stem = F.when(k % 3 == 0, F.concat(F.lit("scan_"), k.cast("string"))).when(k % 3 == 1, "index").otherwise(F.concat(F.lit("p_"), (k % 7).cast("string"), F.lit("x")))
+    return inbox.suffixed(table(spark, sf_dir, "part").select("p_partkey", stem.alias("stem")), "stem", "p_partkey").select("p_partkey", "out_name")
+
+
 @query("""SELECT DISTINCT trim(split_part(x, '#', 1)) AS word FROM (SELECT c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN ' # remark' ELSE '' END AS x FROM customer) WHERE trim(split_part(x, '#', 1)) <> ''""")
 def dictionary_words(spark, sf_dir):
     """A word list with remarks."""

@@ -102,7 +102,8 @@ def suffixed(names: DataFrame, by: str = "name", order: str = "arrived") -> Data
 
     A name is taken by what came before it, also where an earlier stem already got that number: of
     a, a, a_1 the second is a_1 and the third a_1_1.  Stems that differ once such numbers are cut off can't
-    collide, so each family of them is settled apart: by a window where all its stems are equal, else in order.
+    collide, so each family of them is settled apart: by a window where all its stems are equal or none is repeated (as in
+    scan_1, scan_2, ..), else in order.
     """
     family, schema = "_family", StructType([*names.schema, StructField("out_name", StringType())])
 
@@ -120,11 +121,12 @@ def suffixed(names: DataFrame, by: str = "name", order: str = "arrived") -> Data
         return rows.assign(out_name=out)[[f.name for f in schema]]
 
     marked = names.withColumn(family, F.regexp_replace(by, r"(_\d+)+$", ""))
-    stems = marked.groupBy(family, by).agg(F.lit(1)).groupBy(family).count()
+    told = marked.groupBy(family, by).agg(F.count("*").alias("_c")).groupBy(family).agg(F.count("*").alias("_stems"), F.max("_c").alias("_most"))
+    marked = marked.join(told, family)
     n = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    alike = marked.join(stems.where("count = 1"), family, "left_semi").withColumn("_n", n)
+    alike = marked.where("_stems = 1 OR _most = 1").withColumn("_n", n)
     alike = alike.withColumn("out_name", F.when(F.col("_n") == 0, F.col(by)).otherwise(F.concat(by, F.lit("_"), F.col("_n").cast("string")))).select(*(f.name for f in schema))
-    mixed = marked.join(stems.where("count > 1"), family, "left_semi").groupBy(family).applyInPandas(lambda rows: settle(rows.sort_values(order, kind="stable")), schema)
+    mixed = marked.where("_stems > 1 AND _most > 1").drop("_stems", "_most").groupBy(family).applyInPandas(lambda rows: settle(rows.sort_values(order, kind="stable")), schema)
     return alike.unionByName(mixed)
 
 
