@@ -136,7 +136,7 @@ STAGES = [
     ("decontamination", decontamination),
     ("byte_bpe", tokens),
 ]
-#: SQL can't express the learned and the fuzzy stages; tests hold each stage to a plain version of it.
+#: SQL can't express the learned and the fuzzy stages; tests hold all but the first to plain versions over all rows, and the first to planted cases.
 ORACLE_SQL = None
 
 
