@@ -291,3 +291,10 @@ def test_no_more_rows_than_the_limit_are_put_together(spark):
     got = {r["doc_id"]: ([[c["text"] for c in x] for x in r["rows"]], r["truncated"]) for r in office.sheet_tables(cells, 4).collect()}
     whole = [[f"{k}0", f"{k}1" if k % 2 else ""] for k in range(4)]
     assert got == {1: (whole, False), 2: (whole, True)}
+
+
+def test_content_is_read_by_tasks_and_a_lost_file_says_so(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"abc")
+    rows = spark.createDataFrame([(1, str(tmp_path / "a.txt"), "x"), (2, f"file:{tmp_path}/a.txt", "y"), (3, str(tmp_path / "gone.txt"), "z")], "doc_id int, path string, Content string")
+    got = {r["doc_id"]: (r["content"] and bytes(r["content"]), r["lost"]) for r in files.with_content(rows).collect()}
+    assert got[1] == got[2] == (b"abc", None) and got[3][0] is None and got[3][1].startswith(files.GONE)
