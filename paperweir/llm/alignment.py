@@ -43,8 +43,8 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 STRETCH, STEP = 256 << 10, 2 << 20
 #: Pieces that a worker remembers for a tokenizer; beyond it, it forgets all.
 REMEMBERED = 1_000_000
-#: Tokens that one vectorised step of the sweep takes, and tokens of a block of documents.
-TOGETHER, BLOCK = 1_000_000, 4_000_000
+#: Tokens that one vectorised step of the sweep takes, and tokens of a block of documents; what a document counts besides its tokens.
+TOGETHER, BLOCK, DOCUMENT = 1_000_000, 4_000_000, 16
 #: Pieces that are encoded as one text.
 ALONG = 500
 #: Links of a group from which on its different ids are counted first.
@@ -365,6 +365,7 @@ def sweep(rows: DataFrame, a: tuple[str, str], b: tuple[str, str], with_groups:
                     current = state["doc"] = Document(key, 0, with_groups)
                     state["none"], state["first"] = at < 0, None
                     ready_.append(current)
+                    swept += DOCUMENT
                 # each copy of the row brings its stretches again, one after the other
                 if side == 1 and state["first"] in (None, at):
                     state["first"] = at

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import lean, mix, ready, stored, table
 
 WINDOW, SEED = 13, 4
-#: Bytes of text in a block, and of packed words in a bucket.
-BLOCK, BUCKET = 4 << 20, 8 << 20
+#: Bytes of text in a block, and of packed words in a bucket; what a document counts besides its text.
+BLOCK, BUCKET, ROW = 4 << 20, 8 << 20, 16
 #: Words that a bucket gets for each word of the texts, about.
 SPREAD = 3.5
 LAST = (1 << 63) - 1
@@ -56,11 +56,11 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             texts, lo = batch.column(1).cast(pa.binary()).to_pylist(), 0
             for i, t in enumerate(texts):
-                if total and total + len(t) > BLOCK:
+                if total and total + len(t) + ROW > BLOCK:
                     held.append((batch.column(0)[lo:i], texts[lo:i]))
                     yield block()
                     made, held, total, lo = made + 1, [], 0, i
-                total += len(t)
+                total += len(t) + ROW
             held.append((batch.column(0)[lo:], texts[lo:]))
         if sum(len(i) for i, _ in held):
             yield block()

@@ -84,3 +84,9 @@ def test_equal_hashes_are_told_apart(monkeypatch):
     monkeypatch.setattr(sd, "mix", lambda h: h * np.uint64(0))
     have = sd.earliest(low, strings, 3)
     assert have[0].tolist() == want[0].tolist() == [3, 2, 2, 2, 1, 1, 3]
+
+
+def test_documents_without_text_fill_blocks_too(spark):
+    docs = spark.range(0, 600_000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    sizes = sd.blocks(docs, "doc_id", "text").select(F.size("ids").alias("n")).collect()
+    assert sum(r["n"] for r in sizes) == 600_000 and max(r["n"] for r in sizes) <= sd.BLOCK // sd.ROW
