@@ -464,10 +464,27 @@ def test_quality_against_the_definition(spark, texts):
 def test_quality_alphabets_do_not_fold(spark):
     hangul = spark.createDataFrame([("".join(map(chr, range(0xAC00, 0xD7A4))),), ("abc \n",), (None,)], "t string")
     letters = quality.alphabet(hangul)
-    assert len(letters.codes) == 11_172 + 3 and letters.order == 4
+    assert len(letters.codes) == 11_172 + 3 and letters.order == quality.ORDER
     code = np.arange(0xAC00, 0xD7A4)
     assert len(set(letters.numbers(code).tolist())) == len(code) and letters.numbers(np.array([0x4E00]))[0] == quality.UNSEEN
-    assert quality.Alphabet(np.arange(33, 4000)).order == 5
+    assert all(quality.Alphabet(np.arange(33, n)).order == quality.ORDER for n in (34, 4000, 40_000, 0x110000))
+
+
+@pytest.mark.parametrize("alphabet", [range(0x4E00, 0x4E00 + 5_000), range(0x10000, 0x10000 + 40_000)])
+def test_quality_order_of_large_alphabets(spark, alphabet):
+    """Texts of a large alphabet among the trusted ones: five symbols still, two numbers an n-gram, both paths; English to within the added counts."""
+    english = ["the cat sat. on a mat", "the dog,  the cat", "a dog sat", "the mat", "that cat"]
+    texts = [*english, "".join(map(chr, alphabet))]
+    asked = [*range(len(english)), 100, 101]
+    rows = [*enumerate(texts), (100, "the cat and " + chr(alphabet[7]) + chr(alphabet[8])), (101, None)]
+    trusted = spark.createDataFrame([(i,) for i in range(len(texts))], "doc_id long")
+    held = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % quality.HELD]
+    assert texts[-1] in held
+    known = {c for t in held for c in t if not c.isspace()}
+    a, b = ({r["doc_id"]: r["perplexity"] for r in quality.classify(docs(spark, rows), trusted, most=m).collect()} for m in (10**7, 0))
+    for i in asked:
+        want = kneser_ney(held, dict(rows)[i] or "", quality.ORDER, known)
+        assert abs(a[i] / want - 1) < 1e-6 and abs(b[i] / want - 1) < 1e-6, i
 
 
 def toxic_rows():
