@@ -19,6 +19,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import names as N
+from ..storage import stored
+from . import words
 
 AUTO, REVIEW = "AUTO", "REVIEW"
 VERSION = "redact/0.2"
@@ -66,10 +68,12 @@ NAME_PREFIX, OTHER_PREFIX = "자연인", "비식별"
 # End of the fixed values.
 ANCHORS = ["NAME_LABELED", "NAME_TITLED", "NAME_MASKED", "NAME_USER"]
 USER, ECHO = 0, 20
+#: The same for places that only may hold a name of a large list.
+ASKED_USER, ASKED_ECHO = -2, -1
 #: Overlapping matches from which on an island is long.
 LONG_ISLAND = 64
-#: Names of a user that go to the tasks; a longer list is refused.
-USER_NAMES = 1_000_000
+#: Stop words that stand in an expression; more are joined.
+STOP_WORDS = 1_000
 _NAMED = [i + 1 for i, r in enumerate(RULES) if r[0] in ("NAME_LABELED", "NAME_TITLED")]
 _MASKED = [i + 1 for i, r in enumerate(RULES) if r[0] == "NAME_MASKED"]
 _DIGITS = [i + 1 for i, r in enumerate(RULES) if not r[0].startswith("NAME_") and r[0] != "ADDRESS"]
@@ -77,16 +81,6 @@ _DIGITS = [i + 1 for i, r in enumerate(RULES) if not r[0].startswith("NAME_") an
 MATCH = ArrayType(StructType([StructField(n, t) for n, t in (("ord", IntegerType()), ("start", IntegerType()), ("value", StringType()), ("left", StringType()), ("right", StringType()), ("line", IntegerType()))]))
 
 
-def listed(words) -> list[str]:
-    """A user's words from a list or from the first column of a DataFrame, of which up to USER_NAMES are taken in."""
-    if not isinstance(words, DataFrame):
-        return list(words or ())
-    words = words.select(F.col(words.columns[0]).alias("w")).where("w IS NOT NULL").distinct()
-    if (n := words.count()) > USER_NAMES:
-        raise ValueError(f"{n} user words; at most {USER_NAMES} go to the tasks.")
-    return [r["w"] for r in words.collect()]
-
-
 class Spans:
     """Spans of one text, asked for places in them: sorted by start, with the furthest end up to each."""
 
@@ -99,10 +93,11 @@ class Spans:
         return k > 0 and place < self.ends[k - 1]
 
 
-def matches(text: Column, user_names: list[str] = ()) -> Column:
+def matches(text: Column, user_names: list[str] = (), asked=None) -> Column:
     """Where each rule matches outside the protected spans: offsets in code points, the text around, the line.
 
-    User names come under ord 0, rule i under i + 1.  Under ECHO come further places of every name that an anchor may
+    User names come under ord 0, rule i under i + 1; ``asked``, a broadcast filter of a large list, gives places that may hold
+    one of its names, under ords of their own.  Under ECHO come further places of every name that an anchor may
     confirm, with a particle after it or none; which ones are confirmed is for later steps to say.  Null gives none.
 
     The work grows with the text and its matches: lines and spans are found by bisection, names by looking up the
@@ -147,6 +142,12 @@ def matches(text: Column, user_names: list[str] = ()) -> Column:
                             names.add(t[a : a + n])
                             if not hangul.match(t[a + n : a + n + 1]):
                                 add(USER, a, a + n)
+                for a, n in asked.value.places(t, words.starts(t, "가힣")) if asked else ():
+                    after = run.match(t, a + n)[0]
+                    if not after:
+                        add(ASKED_USER, a, a + n)
+                    if after in particles:
+                        add(ASKED_ECHO, a, a + n)
                 if names:
                     sizes = sorted({len(n) for n in names})
                     begins = re.compile("(?<![가-힣])[" + "".join(re.escape(c) for c in sorted({n[0] for n in names})) + "]")
@@ -172,10 +173,23 @@ def context(left: Column, right: Column) -> Column:
     return F.regexp_replace(joined, r"(?U)^\s+|\s+$", "")
 
 
-def candidates(docs: DataFrame, user_names: list[str] = (), user_stopwords: list[str] = (), single: bool = True) -> DataFrame:
-    """Values that the rules find, and possible echoes, before overlaps are settled: docs has doc_id and text."""
-    stop = F.array(*(F.lit(w) for w in user_stopwords)) if user_stopwords else None
-    rows = docs.select("doc_id", F.explode(matches(F.col("text"), user_names)).alias("m")).select("doc_id", "m.*")
+def verified(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Matches with those that only may be names of a large list told apart: those that are become user names and possible echoes."""
+    rows = stored(rows, "matches")
+    sure = words.among(rows.where("ord < 0"), "value", names)
+    return rows.where("ord >= 0").unionByName(sure.withColumn("ord", F.when(F.col("ord") == ASKED_USER, USER).otherwise(ECHO)))
+
+
+def candidates(docs: DataFrame, user_names: list[str] | DataFrame = (), user_stopwords: list[str] | DataFrame = (), single: bool = True) -> DataFrame:
+    """Values that the rules find, and possible echoes, before overlaps are settled: docs has doc_id and text.
+
+    Names and stop words are lists, or tables of a column w where they are too many for that.
+    """
+    many, barred = isinstance(user_names, DataFrame), isinstance(user_stopwords, DataFrame)
+    stop = F.array(*(F.lit(w) for w in user_stopwords)) if not barred and user_stopwords else None
+    asked = docs.sparkSession.sparkContext.broadcast(words.told(user_names)) if many else None
+    rows = docs.select("doc_id", F.explode(matches(F.col("text"), () if many else user_names, asked)).alias("m")).select("doc_id", "m.*")
+    rows = verified(rows, user_names) if many else rows
     told = [(USER, "NAME_USER", "성명(사용자 사전)", AUTO), (ECHO, "NAME_ECHO", "성명(같은 문서 재등장)", AUTO), *((i + 1, k, label, grade) for i, (k, label, _, grade, _) in enumerate(RULES))]
     rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(told, "ord int, kind string, label string, confidence string")), "ord")
     kind, raw = F.col("kind"), F.col("value")
@@ -190,7 +204,11 @@ def candidates(docs: DataFrame, user_names: list[str] = (), user_stopwords: list
     judged = kind.startswith("NAME_") & (kind != "NAME_USER")
     fine = kind.isin("NAME_SURNAME", "NAME_ECHO") | N.plausible(F.col("value"), kind == "NAME_BARE", stop)
     kept = rows.where(~judged | (fine & ~N.in_organisation(F.col("left"), F.col("value"), F.col("right"), single)))
-    return kept.where((kind != "NAME_BARE") | ~N.in_address(F.col("left")))
+    kept = kept.where((kind != "NAME_BARE") | ~N.in_address(F.col("left")))
+    if not barred:
+        return kept
+    kept, spared = stored(kept, "candidates"), ~kind.startswith("NAME_") | kind.isin("NAME_SURNAME", "NAME_ECHO", "NAME_USER")
+    return kept.where(spared).unionByName(words.among(kept.where(~spared), "value", user_stopwords, "left_anti"))
 
 
 def with_echoes(rows: DataFrame) -> DataFrame:
@@ -260,12 +278,15 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("placeholder", F.format_string("〔%s-%02d〕", F.col("prefix"), number))
 
 
-def detect(docs: DataFrame, user_names=(), user_stopwords=(), include_review: bool = False, single: bool = True) -> DataFrame:
+def detect(docs: DataFrame, user_names=(), user_stopwords=(), include_review: bool = False, single: bool = True, most: int = words.TASK_WORDS) -> DataFrame:
     """Findings of each document: doc_id, seq, kind, label, original, placeholder, confidence, line, start, end, applied, context.
 
-    user_names and user_stopwords are lists, or DataFrames of one column.
+    user_names and user_stopwords are lists, or DataFrames of one column, of any length: up to ``most`` names go to every task, more
+    go there as a filter of fixed size, and what passes it is joined with them, with the same findings.
     """
-    rows = numbered(without_overlaps(with_echoes(candidates(docs, listed(user_names), listed(user_stopwords), single))))
+    spark = docs.sparkSession
+    names, stop = words.listed(spark, user_names, 2, most), words.listed(spark, user_stopwords, 1, min(most, STOP_WORDS))
+    rows = numbered(without_overlaps(with_echoes(candidates(docs, names, stop, single))))
     applied = (F.col("confidence") == AUTO) | F.lit(include_review)
     return rows.select(
         "doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")).alias("seq"), "kind", "label", F.col("value").alias("original"), "placeholder",

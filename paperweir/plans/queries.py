@@ -215,6 +215,19 @@ def redact_protected(spark, sf_dir):
     return redaction.detect(docs).select("doc_id", "original", F.col("start").cast("long").alias("start"), F.col("line").cast("long").alias("line"), "placeholder")
 
 
+@query("""WITH k AS (SELECT o_orderkey AS doc_id, c_name AS original, 'order ' || o_orderkey || ' of ' AS head FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal >= 0)
+SELECT doc_id, 'NAME_USER' AS kind, original, CAST(length(head) AS BIGINT) AS start, '〔자연인-01〕' AS placeholder FROM k
+UNION ALL SELECT doc_id, 'NAME_ECHO', original, length(head) + length(original) + 2, '〔자연인-01〕' FROM k""")
+def redact_user_table(spark, sf_dir):
+    """A table of names, told to the tasks by a filter and joined; a particle after a name makes it an echo."""
+    customers = table(spark, sf_dir, "customer")
+    head = F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" of "))
+    docs = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    docs = docs.select(F.col("o_orderkey").alias("doc_id"), F.concat(head, "c_name", F.lit(", "), "c_name", F.lit("은 x")).alias("text"))
+    found = redaction.detect(docs, user_names=customers.where("c_acctbal >= 0").select("c_name"), most=0)
+    return found.select("doc_id", "kind", "original", F.col("start").cast("long").alias("start"), "placeholder")
+
+
 _CARD = "'1234-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || '-9012-' || lpad(CAST(c_custkey * 3 % 10000 AS VARCHAR), 4, '0')"
 
 

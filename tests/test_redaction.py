@@ -71,6 +71,40 @@ def test_user_names_as_a_table(spark):
     assert [(r["kind"], r["original"]) for r in found] == [("NAME_USER", "홍동"), ("NAME_USER", "Ann Lee")]
 
 
+def test_long_lists_give_the_same_findings(spark):
+    """Names and stop words beyond what goes to the tasks: a filter and joins instead, with or without room to broadcast."""
+    import random
+
+    rng = random.Random(3)
+    parts = ["홍동", "김철수", "Ann Lee", "𝒳𝒴", "홍*동", "이", "은", "는", " ", ", ", "\n", "성명: ", "`", "대표이사 ", "a@b.co", "가", "이유로", "나폴레옹"]
+    docs = rows(spark, ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(300)] + [None, "", "홍", "Ann Lee"])
+    names = ["홍동", "Ann Lee", "𝒳𝒴", "홍*동", "나폴레옹", "가", "", None, "홍동"] + [f"name {i}" for i in range(500)]
+    stop = ["김철수", "이유로", None]
+    want = sorted(map(tuple, R.detect(docs, names, stop).collect()))
+    assert {"NAME_USER", "NAME_ECHO", "EMAIL"} <= {r[2] for r in want} and not any(r[4] == "김철수" and r[2] != "NAME_ECHO" for r in want)
+    table = lambda x: spark.createDataFrame([(w,) for w in x], "word string")
+    assert sorted(map(tuple, R.detect(docs, table(names), table(stop), most=0).collect())) == want
+    assert sorted(map(tuple, R.detect(docs, names, stop, most=0).collect())) == want
+    bound = R.words.BROADCAST_ROWS
+    try:
+        R.words.among.__defaults__ = ("left_semi", 0)
+        assert sorted(map(tuple, R.detect(docs, names, stop, most=0).collect())) == want
+    finally:
+        R.words.among.__defaults__ = ("left_semi", bound)
+    assert R.detect(docs, table([]), table([])).count() == R.detect(docs).count()
+
+
+def test_filters_miss_no_word(spark):
+    from paperweir.operators import words
+
+    known = [f"{'가나다라마바사'[i % 7]}{i}{'𝒳' * (i % 3)}" for i in range(3_000)]
+    sieve = words.told(spark.createDataFrame([(w,) for w in known], "w string").repartition(3))
+    for text in (" ".join(known[:200]), "".join(known[200:400]), known[7], "nothing here " * 2_000):
+        got = sieve.places(text, words.starts(text, "가힣"))
+        want = {(a, n) for n in sieve.lengths for a in range(len(text) - n + 1) if not (a and "가" <= text[a - 1] <= "힣") and text[a : a + n] in set(known)} if len(text) < 5_000 else set()
+        assert want <= set(got) and len(got) - len(want) < 20
+
+
 def test_one_syllable_organisations_are_optional(spark):
     found = R.detect(rows(spark, ["대표이사 이승원"]), single=False).collect()
     assert [(r["kind"], r["original"]) for r in found] == [("NAME_TITLED", "이승원")]
