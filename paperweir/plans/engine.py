@@ -17,6 +17,7 @@ from ..ship import ship
 from ..sources import commit, files, formats, markup, office
 from ..storage import stored
 from ..streaming import inbox, source
+from . import plugins
 
 # What is said where nothing could be read.
 NO_CONTENT = "내용이 없습니다."
@@ -48,6 +49,8 @@ class Config:
     page_texts: Callable[[bytes], list[str]] | None = None
     #: Readers of further handlers: files (doc_id, name, ext, handler, content) to (doc_id, blocks), see ``blocks.BLOCK``; one of a known handler takes its place.
     parsers: dict[str, Callable[[DataFrame], DataFrame]] | None = None
+    #: Table functions (see ``plugins``), or names of registered ones, for handlers: they give blocks and pictures.
+    tables: dict[str, object] | None = None
     #: Words of the user, or DataFrames of one column.
     user_names: tuple[str, ...] | DataFrame = ()
     user_stopwords: tuple[str, ...] | DataFrame = ()
@@ -157,9 +160,14 @@ def parse(found: DataFrame, config: Config = Config()) -> DataFrame:
     """
     fine = found.where("error IS NULL")
     present = {r["handler"] for r in fine.select("handler").distinct().collect()}  # names of formats
-    special = config.parsers or {}
-    parsed = [_whole(special[h](fine.where(F.col("handler") == h))) for h in sorted(present & set(special))]
-    present -= set(special)
+    tables = config.tables or {}
+    readers = {h: p for h, p in (config.parsers or {}).items() if h not in tables}
+    parsed = [_whole(readers[h](fine.where(F.col("handler") == h))) for h in sorted(present & set(readers))]
+    for h in sorted(present & set(tables)):
+        read = plugins.documents(fine.where(F.col("handler") == h), tables[h])
+        parsed.append(_whole(read, images=F.col("images"), error=F.col("error")))
+    special = {*readers, *tables}
+    present -= special
     bad = found.where("error IS NOT NULL").select("doc_id", "error")
     if present & set(TEXTS):
         text = fine.where(F.col("handler").isin(*TEXTS) & ~F.col("handler").isin(*special)).withColumn("d", files.decoded(F.col("content")))
@@ -207,10 +215,17 @@ def rendered(parsed: DataFrame, names: DataFrame, config: Config = Config(), con
     return docs.select("doc_id", F.col("name").alias("source"), F.col("ext").alias("format"), F.concat("out_name", F.lit(".md")).alias("out_name"), text.alias("text"), "error", "images", blocks.log_summary(stats).alias("summary"))
 
 
-def pictures(found: DataFrame, converted: DataFrame) -> DataFrame:
-    """doc_id, label, member, path (in the folder of results) and content of the pictures that converted texts point to."""
+def pictures(found: DataFrame, converted: DataFrame, config: Config = Config()) -> DataFrame:
+    """doc_id, label, member, path (in the folder of results) and content of the pictures that converted texts point to.
+
+    found has doc_id and content, and name and handler where table functions of ``config`` give pictures.
+    """
     wanted = converted.where("error IS NULL").select("doc_id", F.regexp_replace("out_name", r"\.md$", "").alias("stem"), F.explode("images").alias("i")).select("doc_id", "stem", "i.*")
-    held = found.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode(markup.members(F.col("content"), r"(?i)^(word|ppt)/|^BinData/")).alias("m")).select("doc_id", "m.*")
+    tables, found = config.tables or {}, found.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    boxes = found.where(~F.col("handler").isin(*tables)) if tables else found
+    held = boxes.select("doc_id", F.explode(markup.members(F.col("content"), r"(?i)^(word|ppt)/|^BinData/")).alias("m")).select("doc_id", "m.*")
+    for handler, read in tables.items():
+        held = held.unionByName(plugins.pictures(found.where(F.col("handler") == handler), read).select(held.columns))
     ending = F.when(F.lower("member").startswith("bindata/"), office.member_extension(F.col("member"))).otherwise(F.lower(office.member_extension(F.col("member"))))
     return wanted.join(held, ["doc_id", "member"]).select("doc_id", "label", "member", F.concat(F.lit("assets/"), "stem", F.lit("/"), "label", ending).alias("path"), "content")
 
@@ -241,7 +256,7 @@ def converted_files(parsed: DataFrame, names: DataFrame, config: Config = Config
     text = F.when(F.col("text").isNotNull(), F.array(F.struct(F.col("out_name").alias("name"), F.col("text").cast("binary").alias("content"))))
     rows = made.select("doc_id", F.regexp_replace("format", r"^\.", "").alias("format"), "error", text.alias("files"))
     if config.extract_images:
-        found = pictures(names.select("doc_id", "content"), made)
+        found = pictures(names.select("doc_id", "name", "handler", "content") if config.tables else names.select("doc_id", "content"), made, config)
         listed = found.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("path").alias("name"), "content")).alias("more"))
         rows = rows.join(listed, "doc_id", "left").withColumn("files", F.when(F.col("more").isNull(), F.col("files")).otherwise(F.concat("files", "more"))).drop("more")
     return rows.join(names.select("doc_id", F.col("path").alias("source"), "inner"), "doc_id")

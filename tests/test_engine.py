@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperweir.plans import engine
-from paperweir.sources import sinks
+from paperweir.sources import files, sinks
 from test_sources import container
 
 
@@ -118,3 +118,68 @@ def test_one_bad_file_fails_alone(spark, tmp_path):
     assert got["spoilt.docx"]["error"].startswith(engine.markup.UNREADABLE) and "4MB" in got["bomb.docx"]["error"]
     assert got["odd.html"]["error"] or "a" in got["odd.html"]["text"]
     assert "x" * 300_000 in got["wide.csv"]["text"]
+
+
+def test_table_functions_give_blocks_and_pictures(spark, tmp_path):
+    """A reader of a user for one format: from Python, from SQL, and one whose columns depend on its arguments; a bad file fails alone."""
+    from pyspark.sql.functions import udtf
+    from pyspark.sql.types import IntegerType, StringType, StructType
+    from pyspark.sql.udtf import AnalyzeResult
+
+    from paperweir.plans import plugins
+
+    @plugins.reader
+    def leaves(content, name):
+        if content == b"bad":
+            raise ValueError("no leaves")
+        yield {"kind": "heading", "text": name, "level": 2}
+        for i, line in enumerate(content.decode().splitlines()):
+            yield {"kind": "image", "text": line, "member": f"{i}.PNG", "content": line.encode()} if line.startswith("p") else {"kind": "para", "text": line}
+        yield {"kind": "table", "rows": [["a", "b"], ["1", "2"]]}
+
+    for name, content in {"x.pdf": "one\np first\ntwo\np second", "y.pdf": "bad", "z.txt": "plain", "e.pdf": ""}.items():
+        (tmp_path / name).write_text(content)
+    spark.udtf.register("leaves", leaves)
+    made = {}
+    for key, table in (("object", leaves), ("name", "leaves")):
+        config = engine.Config(tables={"pdf": table})
+        found = files.read_files(spark, str(tmp_path))
+        out = engine.convert(spark, str(tmp_path), config, converted_at="now")
+        made[key] = {r["source"]: (r["text"], r["error"]) for r in out.collect()}
+        got = {(r["path"], bytes(r["content"])) for r in engine.pictures(found, out, config).collect()}
+        assert got == {("assets/x/img1.png", b"p first"), ("assets/x/img2.png", b"p second")}
+    assert made["object"] == made["name"]
+    text = made["name"]["x.pdf"][0]
+    assert "## x.pdf\n\none\n\n![p first](assets/x/img1.png)\n\ntwo\n\n![p second](assets/x/img2.png)" in text and "| 1 | 2 |" in text
+    assert made["name"]["y.pdf"] == (None, "ValueError: no leaves") and made["name"]["z.txt"][1] is None and "## e.pdf" in made["name"]["e.pdf"][0]
+    rows = spark.sql("SELECT p.kind, p.text FROM {f} f, LATERAL leaves(f.content, f.name) p WHERE f.name = 'x.pdf' ORDER BY p.at", f=found).collect()
+    assert [r["kind"] for r in rows] == ["heading", "para", "image", "para", "image", "table"]
+
+    @udtf
+    class Lines:
+        @staticmethod
+        def analyze(content, name):
+            return AnalyzeResult(StructType().add("at", IntegerType()).add("kind", StringType()).add("text", StringType()).add("extra", StringType()))
+
+        def eval(self, content, name):
+            for i, line in enumerate(bytes(content).decode().splitlines()):
+                yield i, "para", line.upper(), "more"
+
+    out = engine.convert(spark, str(tmp_path), engine.Config(tables={"pdf": Lines}), converted_at="now")
+    told = {r["source"]: r["text"] for r in out.collect()}
+    assert told["x.pdf"].rstrip().endswith("ONE\n\nP FIRST\n\nTWO\n\nP SECOND") and told["e.pdf"] is None
+
+
+def test_files_without_bytes_are_told(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "_hid").mkdir()
+    for name in ("a.txt", "sub/b.docx", "c.csv", "_hid/d.txt", ".e.txt", "f.bin"):
+        (tmp_path / name).write_bytes(b"")
+    (tmp_path / "g.txt").write_text("some")
+    for folder in (str(tmp_path), f"file://{tmp_path}/"):
+        out = {r["source"]: (r["text"] is None, r["error"]) for r in engine.convert(spark, folder).collect()}
+        assert set(out) == {"a.txt", "b.docx", "c.csv", "g.txt"} and out["g.txt"] == (False, None)
+        assert out["a.txt"] == out["c.csv"] == (True, files.EMPTY) and out["b.docx"] == (True, engine.BROKEN.format("docx"))
+        paths = [r["path"] for r in files.read_files(spark, folder).select("path").collect()]
+        assert all(p.startswith(f"file:{tmp_path}/") for p in paths) and len(set(paths)) == 4
+    assert files.listing(spark, str(tmp_path)).where("size = 0").count() == 4
