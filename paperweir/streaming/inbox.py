@@ -72,7 +72,12 @@ class Settling(StatefulProcessor):
 
 
 def settled_stream(polls: DataFrame, stable: float = STABLE_SECONDS, forget: float = FORGET_SECONDS) -> DataFrame:
-    """Settled files of a stream of polls (path, name, size, modified, at, blocked).  The session keeps state in RocksDB."""
+    """Settled files of a stream of polls (path, name, size, modified, at, blocked).  The session keeps state in RocksDB.
+
+    Polls of (name, ts, size), as ``settled`` takes them, will do: a name is its path then, and only sizes tell that a file has changed.
+    """
+    given = {"path": F.col("name"), "at": F.col("ts") if "ts" in polls.columns else None, "modified": F.lit(None).cast("timestamp"), "blocked": F.lit(None).cast("boolean")}
+    polls = polls.withColumns({c: x for c, x in given.items() if c not in polls.columns and x is not None})
     by_value(__name__)
     polls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = polls.withColumnRenamed("size", "size_")
