@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -20,7 +21,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, M
 
 from ..functions.text import squash
 from ..operators.blocks import CELL
-from ..storage import stored
+from ..storage import steps, stored
 
 NODE = StructType([
     StructField("part", StringType()), StructField("ord", IntegerType()), StructField("last", IntegerType()), StructField("tag", StringType()), StructField("path", StringType()),
@@ -211,34 +212,41 @@ class _Running:
         return moved
 
 
-def html_pieces(html: Column) -> Column:
-    """The texts of a page between tokens that end a block, each with what is open there.  Null is an empty page.
+def html_pieces(pages: DataFrame) -> DataFrame:
+    """The texts of pages (doc_id, text) between tokens that end a block, each with what is open there.  Null is an empty page.
 
     ``at`` is the place of the ending token; ``cell`` that of the open cell or -1, and ``take`` says that the cell ends; ``table_end``
     and ``row_end`` are the places of the next ends of a table and a row, or -1.  A page that can't be read is one piece with an error.
+    Pages are taken in steps of about ``STEP_BYTES``, so a task holds the tokens of one step, however many pages a batch has.
     """
     groups = [HTML_SKIPPED, HTML_BOLD, HTML_LISTS, HTML_HEADINGS, HTML_CELLS, [*HTML_BLOCKS, *HTML_HEADINGS, *HTML_LISTS, "li"], ["table"], ["tr"], ["br"], ["img"], ["li"]]
     kinds = {"text": 0, "open": 1, "close": 2, "end": 3}
-
-    @pandas_udf(ArrayType(PIECE))
-    def run(column: pd.Series) -> pd.Series:
-        tags = {t: i for i, t in enumerate(sorted({t for g in groups for t in g}), 1)}
-        lut = np.zeros((len(groups), len(tags) + 1), bool)
-        for i, g in enumerate(groups):
-            lut[i, [tags[t] for t in g]] = True
-        level = np.array([0, *(int(t[1]) if t in HTML_HEADINGS else 0 for t in sorted(tags))])
-        out: list[list] = [[] for _ in column]
-        page, tokens = [], []
-        for i, text in enumerate(column):
+    names = PIECE.fieldNames()
+    tags = {t: i for i, t in enumerate(sorted({t for g in groups for t in g}), 1)}
+    lut = np.zeros((len(groups), len(tags) + 1), bool)
+    for i, g in enumerate(groups):
+        lut[i, [tags[t] for t in g]] = True
+    level = np.array([0, *(int(t[1]) if t in HTML_HEADINGS else 0 for t in sorted(tags))])
+
+    def rows(batch, ids, columns):
+        made = [pa.array(np.asarray(c, np.int32)) for c in columns[:8]] + [pa.array(np.asarray(c, bool)) for c in columns[8:11]] + [pa.array(c, pa.string()) for c in columns[11:]]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), *made], ["doc_id", *names])
+
+    def one(batch):
+        page, tokens, bad = [], [], []
+        for i, text in enumerate(batch.column("text").to_pylist()):
             try:
                 found = _tokens(text or "")
             except Exception as e:  # noqa: BLE001 - whatever a page holds, it fails alone
-                out[i].append((*[0] * 8, False, False, False, "", reason(e)))
+                bad.append((i, reason(e)))
                 continue
             page += [i] * len(found)
             tokens += found
+        if bad:
+            zero = [0] * len(bad)
+            yield rows(batch, [i for i, _ in bad], [*[zero] * 11, [""] * len(bad), [e for _, e in bad]])
         if not tokens:
-            return pd.Series(out)
+            return
         kind = np.fromiter((kinds[t[0]] for t in tokens), np.int8, len(tokens))
         tag = np.fromiter((tags.get(t[1], 0) for t in tokens), np.int64, len(tokens))
         place = np.arange(len(tokens))
@@ -249,7 +257,7 @@ def html_pieces(html: Column) -> Column:
         place, kind, tag, page, opened, closed, end = (x[used] for x in (place, kind, tag, page, opened, closed, end))
         skip, bold, lists, heading, cells, block, table, tr, br, img, li = (g[tag] for g in lut)
         here = _Running(page)
-        first = np.searchsorted(every, np.arange(len(column)))  # places are counted in their page
+        first = np.searchsorted(every, np.arange(batch.num_rows))  # places are counted in their page
         bolds, open_lists = (here.before(here.depth(opened & x, closed & x)) for x in (bold, lists))
         of = lambda x, at, none: np.where(at >= 0, x[at], none)
         levels = of(np.where(opened, level[tag], 0), here.last(heading), 0)
@@ -268,14 +276,18 @@ def html_pieces(html: Column) -> Column:
         for k in np.flatnonzero(said):
             token = tokens[place[k]]
             texts[part[k]].append(token[2] if kind[k] == 0 or img[k] else " " if br[k] else "**")
-        for n, k in enumerate(np.flatnonzero(ends)):
-            spans = tokens[place[cell[k]]][3:] if in_cell[k] else (1, 1)
-            own = int(place[cell[k]] - first[page[k]]) if in_cell[k] else -1
-            numbers = (place[k] - first[page[k]], levels[k], open_lists[k], own, *spans, table_end[k], row_end[k])
-            out[page[k]].append((*map(int, numbers), bool(closed[k] and li[k]), bool(take[k]), bool(in_table[k]), "".join(texts[n]), None))
-        return pd.Series(out)
+        at = np.flatnonzero(ends)
+        spans = np.array([tokens[place[cell[k]]][3:] if in_cell[k] else (1, 1) for k in at]).reshape(-1, 2)
+        own = np.where(in_cell, place[cell] - first[page], -1)
+        numbers = ((place - first[page])[at], levels[at], open_lists[at], own[at], spans[:, 0], spans[:, 1], table_end[at], row_end[at])
+        yield rows(batch, page[at], [*numbers, (closed & li)[at], take[at], in_table[at], ["".join(t) for t in texts], [None] * len(at)])
+
+    def run(batches):
+        for batch in batches:
+            for step in steps(batch, "text"):
+                yield from one(step)
 
-    return run(html)
+    return pages.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, StructType([StructField("doc_id", pages.schema["doc_id"].dataType), *PIECE.fields]))
 
 
 def html_blocks(pages: DataFrame, tables: bool = True) -> DataFrame:
@@ -284,7 +296,7 @@ def html_blocks(pages: DataFrame, tables: bool = True) -> DataFrame:
     Pages are read once: their pieces are stored where tables are asked for.  Texts outside cells are blocks as they come.  Only what stands in cells is dealt out, once, by page: texts of a cell,
     cells of a row and rows of a table come together in three groupings.  A page that can't be read gives one row of kind ``error``.
     """
-    pieces = pages.select("doc_id", F.explode(html_pieces(F.col("text"))).alias("p")).select("doc_id", "p.*").withColumn("text", squash(F.col("text")))
+    pieces = html_pieces(pages).withColumn("text", squash(F.col("text")))
     pieces = stored(pieces, "pieces") if tables else pieces
     none = F.lit(None).cast(f"array<array<{CELL}>>").alias("rows")
     heading = F.col("level") > 0

@@ -1,12 +1,17 @@
-"""Intermediate tables in the shared folder that the cluster names."""
+"""Intermediate tables in the shared folder that the cluster names, and the steps in which tasks take large batches."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of text that a task works on at once; a longer text is a step of its own.
+STEP_BYTES = 1 << 20
+
 _own: dict[str, str] = {}
 
 
@@ -29,3 +34,14 @@ def stored(df: DataFrame, label: str, *by: str) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def steps(batch, column: str, size: int = STEP_BYTES):
+    """An Arrow batch in slices whose texts or bytes have about ``size`` bytes and at least one row."""
+    total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64) + 1)
+    first = 0
+    while first < batch.num_rows:
+        before = total[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(total, before + size, "right")))
+        yield batch.slice(first, last - first)
+        first = last
