@@ -25,6 +25,13 @@ def test_html_blocks_references(spark, tmp_path):
     assert got == want
 
 
+def test_html_headings_references(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "html_headings", "pages", [(1, ODD)], "page_id long, html string")
+    assert got == want
+    made = markup.html_blocks(spark.createDataFrame([(1, ODD)], "doc_id long, text string"), tables=False).orderBy("at").collect()
+    assert made[0]["text"] == 'a "b" &&' and made[1]["text"] == "- x é © &lt;"  # the reader knows every reference
+
+
 def test_pages_of_a_full_batch_are_taken_in_steps(spark):
     texts = ["x" * n for n in (0, 5, 900, 2_000, 1, 1, 1_100)] + [None]
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(8)), "text": pa.array(texts)})
