@@ -20,7 +20,8 @@ BITS = 27
 TASK_WORDS, TASK_BYTES = 100_000, 4 << 20
 #: Different strings that are joined by broadcast.
 BROADCAST_ROWS = 200_000
-SALTS = 64
+#: A string is frequent if it has more than one in so many of the rows, and more than so many rows.
+FREQUENT, FREQUENT_ROWS = 5_000, 10_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -110,18 +111,22 @@ def told(words: DataFrame) -> Filter:
 
 
 def among(rows: DataFrame, column: str, words: DataFrame, how: str = "left_semi", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows whose string is a word of the table, or with ``left_anti`` those whose string isn't, nulls among them; rows is read twice.
+    """Rows whose string is a word of the table, or with ``left_anti`` those whose string isn't, nulls among them; rows is read several times.
 
-    A string may hold any share of the rows: its rows don't meet at one task.
+    A string may hold any share of the rows: rows of frequent strings don't meet at one task.  Neither the table nor the different
+    strings go through the driver, however small Spark takes their files to be.
     """
-    here = rows.select(F.col(column).alias("w")).where("w IS NOT NULL").distinct()
-    hits = stored(here.join(words, "w", "left_semi"), "hits")
-    if hits.count() <= most:
+    here = rows.select(F.col(column).alias("w")).where("w IS NOT NULL").groupBy("w").agg(F.count("*").alias("n"))
+    found = stored(here.join(words.select("w", F.lit(True).alias("hit")).hint("merge"), "w", "left"), "hits")
+    told = found.agg(F.count_if("hit").alias("hits"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    hits = found.where("hit").select("w")
+    if told["hits"] <= most:
         return rows.join(F.broadcast(hits), rows[column] == hits["w"], how)
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))
-    hits = hits.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    salted = rows.withColumn("_row_salt", salt)
-    return salted.join(hits, (salted[column] == hits["w"]) & (salted["_row_salt"] == hits["_salt"]), how).drop("_row_salt")
+    often = found.where(F.col("n") > max(FREQUENT_ROWS, told["rows"] / FREQUENT))
+    some, wanted = rows.where(F.col(column).isNotNull()), "hit" if how == "left_semi" else "hit IS NULL"
+    rare = some.join(F.broadcast(often), some[column] == often["w"], "left_anti").join(hits.hint("merge"), some[column] == hits["w"], how)
+    out = rare.unionByName(some.join(F.broadcast(often.where(wanted)), some[column] == often["w"], "left_semi"))
+    return out if how == "left_semi" else out.unionByName(rows.where(F.col(column).isNull()))
 
 
 def starts(text: str, after: str) -> np.ndarray:

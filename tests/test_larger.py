@@ -41,3 +41,16 @@ def test_pages_of_a_full_batch_are_taken_in_steps(spark):
     many = spark.createDataFrame([(i, page if i % 3 else "<p>p") for i in range(12)], "doc_id long, text string").coalesce(1)
     made = markup.html_blocks(many).groupBy("doc_id").count().collect()
     assert sorted((r["doc_id"], r["count"]) for r in made) == [(i, 3 if i % 3 else 1) for i in range(12)]
+
+
+def test_tables_of_words_stay_off_the_driver(spark):
+    from paperweir.operators import words
+
+    names = spark.range(3_000).selectExpr("concat('n', id) AS w")
+    rows = spark.range(40_000).selectExpr("id", "CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 < 3 THEN 'n7' ELSE concat('n', id) END AS value")
+    want = {r["id"] for r in rows.collect() if r["value"] and int(r["value"][1:]) < 3_000}
+    for how, ids in (("left_semi", want), ("left_anti", set(range(40_000)) - want)):
+        made = words.among(rows, "value", names, how, 0)
+        assert {r["id"] for r in made.collect()} == ids and made.count() == len(ids)
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "strategy=merge" in plan  # neither repeated for salts nor left to Spark's guess
