@@ -108,4 +108,5 @@ def in_organisation(left: Column, name: Column, right: Column, single: bool = Tr
         end = begin + F.length(x["hit"])
         return F.struct(end.alias("at"), (acc["found"] | ((F.length(x["hit"]) > 0) & (begin <= start) & (stop <= end))).alias("found"))
 
-    return F.aggregate(parts, zero, step, lambda acc: acc["found"])
+    # most texts have no such word, which one search tells
+    return F.when(text.rlike(word), F.aggregate(parts, zero, step, lambda acc: acc["found"])).otherwise(False)

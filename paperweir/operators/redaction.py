@@ -11,15 +11,18 @@ from __future__ import annotations
 import bisect
 import itertools
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..functions import names as N
-from ..storage import stored
+from ..storage import steps, stored
 from . import words
 
 AUTO, REVIEW = "AUTO", "REVIEW"
@@ -70,7 +73,7 @@ ANCHORS = ["NAME_LABELED", "NAME_TITLED", "NAME_MASKED", "NAME_USER"]
 USER, ECHO = 0, 20
 #: The same for places that only may hold a name of a large list.
 ASKED_USER, ASKED_ECHO = -2, -1
-#: Overlapping matches from which on an island is long.
+#: Overlapping matches from which on an island was walked along; now all are, and this says nothing.
 LONG_ISLAND = 64
 #: Stop words that stand in an expression; more are joined.
 STOP_WORDS = 1_000
@@ -78,7 +81,7 @@ _NAMED = [i + 1 for i, r in enumerate(RULES) if r[0] in ("NAME_LABELED", "NAME_T
 _MASKED = [i + 1 for i, r in enumerate(RULES) if r[0] == "NAME_MASKED"]
 _DIGITS = [i + 1 for i, r in enumerate(RULES) if not r[0].startswith("NAME_") and r[0] != "ADDRESS"]
 
-MATCH = ArrayType(StructType([StructField(n, t) for n, t in (("ord", IntegerType()), ("start", IntegerType()), ("value", StringType()), ("left", StringType()), ("right", StringType()), ("line", IntegerType()))]))
+MATCH = StructType([StructField(n, t) for n, t in (("ord", IntegerType()), ("start", IntegerType()), ("value", StringType()), ("left", StringType()), ("right", StringType()), ("line", IntegerType()))])
 
 
 class Spans:
@@ -93,15 +96,15 @@ class Spans:
         return k > 0 and place < self.ends[k - 1]
 
 
-def matches(text: Column, user_names: list[str] = (), asked=None) -> Column:
-    """Where each rule matches outside the protected spans: offsets in code points, the text around, the line.
+def matches(docs: DataFrame, user_names: list[str] = (), asked=None) -> DataFrame:
+    """Where each rule matches in docs (doc_id, text) outside the protected spans: offsets in code points, the text around, the line.
 
     User names come under ord 0, rule i under i + 1; ``asked``, a broadcast filter of a large list, gives places that may hold
     one of its names, under ords of their own.  Under ECHO come further places of every name that an anchor may
     confirm, with a particle after it or none; which ones are confirmed is for later steps to say.  Null gives none.
 
     The work grows with the text and its matches: lines and spans are found by bisection, names by looking up the
-    characters at each place where one may begin.
+    characters at each place where one may begin.  A task holds the matches of a step of texts, not those of a batch.
     """
     # a bare name begins with a name's shape, so other runs of Hangul needn't be told
     bare = next(i + 1 for i, r in enumerate(RULES) if r[0] == "NAME_BARE")
@@ -109,15 +112,14 @@ def matches(text: Column, user_names: list[str] = (), asked=None) -> Column:
     known = frozenset(n for n in user_names if len(n) >= 2)
     particles, surname = frozenset(N.PARTICLES), N.STARTS_WITH_SURNAME
 
-    @pandas_udf(MATCH)
-    def find(texts: pd.Series) -> pd.Series:
+    def find(batches):
         made = [(o, re.compile(p), g) for o, p, g in patterns]
         protected = [re.compile(p) for p in PROTECTED]
         hangul, first, run = re.compile("[가-힣]"), re.compile(surname), re.compile("[가-힣]*")
         plain = [x for x in made if x[0] in _DIGITS]
         lengths = sorted({len(n) for n in known})
-        out = []
-        for t in texts:
+
+        def one(t):
             rows, names = [], set()
             if t:
                 breaks = [m.start() for m in re.finditer("\n", t)]
@@ -156,10 +158,17 @@ def matches(text: Column, user_names: list[str] = (), asked=None) -> Column:
                         for n in sizes:
                             if t[a : a + n] in names and run.match(t, a + n)[0] in particles:
                                 add(ECHO, a, a + n)
-            out.append(rows)
-        return pd.Series(out)
+            return rows
+
+        for batch in batches:
+            for step in steps(batch, "text"):
+                found = [one(t) for t in step.column("text").to_pylist()]
+                ids = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                columns = list(zip(*itertools.chain.from_iterable(found), strict=True)) or [()] * len(MATCH)
+                told = [pa.array(c, pa.string() if f.dataType == StringType() else pa.int32()) for c, f in zip(columns, MATCH, strict=True)]
+                yield pa.RecordBatch.from_arrays([step.column("doc_id").take(pa.array(ids, pa.int64())), *told], ["doc_id", *MATCH.fieldNames()])
 
-    return find(text)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(find, StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *MATCH.fields]))
 
 
 def prefix(kind: Column) -> Column:
@@ -188,7 +197,7 @@ def candidates(docs: DataFrame, user_names: list[str] | DataFrame = (), user_sto
     many, barred = isinstance(user_names, DataFrame), isinstance(user_stopwords, DataFrame)
     stop = F.array(*(F.lit(w) for w in user_stopwords)) if not barred and user_stopwords else None
     asked = docs.sparkSession.sparkContext.broadcast(words.told(user_names)) if many else None
-    rows = docs.select("doc_id", F.explode(matches(F.col("text"), () if many else user_names, asked)).alias("m")).select("doc_id", "m.*")
+    rows = matches(docs, () if many else user_names, asked)
     rows = verified(rows, user_names) if many else rows
     told = [(USER, "NAME_USER", "성명(사용자 사전)", AUTO), (ECHO, "NAME_ECHO", "성명(같은 문서 재등장)", AUTO), *((i + 1, k, label, grade) for i, (k, label, _, grade, _) in enumerate(RULES))]
     rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(told, "ord int, kind string, label string, confidence string")), "ord")
@@ -220,54 +229,48 @@ def with_echoes(rows: DataFrame) -> DataFrame:
     auto = ~echo & (F.col("confidence") == AUTO)
     sure = auto & F.col("kind").isin(*ANCHORS) & (F.length("value") >= 2)
     whole, place = Window.partitionBy("doc_id", "value"), Window.partitionBy("doc_id", "start")
-    # both windows need the rows of a document together, nothing more
-    rows = rows.repartition("doc_id").withColumns({"sure": F.max(sure).over(whole), "taken": F.max(auto).over(place)})
-    return rows.where(~echo | (F.col("sure") & ~F.col("taken"))).drop("sure", "taken")
+    # all windows need the rows of a document together, nothing more; the second and those of overlaps share one order
+    rows = rows.repartition("doc_id").withColumn("sure", F.max(sure).over(whole)).where(~echo | F.col("sure"))
+    rows = _in_order(rows).withColumn("taken", F.max(auto).over(place))
+    return rows.where(~echo | ~F.col("taken")).drop("sure", "taken")
 
 
-def without_overlaps(rows: DataFrame) -> DataFrame:
-    """From the left: the first, of several at one place the longest, then automatic ones, then by rule; what begins inside it goes.
+_ORDER = (F.asc, "start"), (F.desc, "end"), (F.asc, "grade"), (F.asc, "ord")
 
-    Matches that touch in a chain are an island; the choice is a fold along each island.
-    """
-    end = F.col("start") + F.length("value")
-    rows = rows.withColumn("end", end).withColumn("grade", (F.col("confidence") != AUTO).cast("int"))
-    order = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "grade", "ord")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("new", F.coalesce((F.col("start") >= reach).cast("int"), F.lit(1)))
-    rows = rows.withColumn("island", F.sum("new").over(order))
-    fields = F.struct("start", (-F.col("end")).alias("back"), "grade", "ord", "kind", "label", "confidence", "value", "left", "right", "line", "end")
-    islands = rows.groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(fields)).alias("m"))
-    none = F.filter("m", lambda x: F.lit(False))
-    fold = F.aggregate(
-        "m",
-        F.struct(F.lit(-1).alias("end"), none.alias("kept")),
-        lambda a, x: F.when(x["start"] < a["end"], a).otherwise(F.struct(x["end"].alias("end"), F.concat(a["kept"], F.array(x)).alias("kept"))),
-        lambda a: a["kept"],
-    )
-    # the fold copies what it has kept at each step, so long islands are walked along instead
-    long = F.size("m") > LONG_ISLAND
-    keep = F.when(long, leftmost(F.when(long, F.col("m")))).otherwise(fold)
-    return islands.select("doc_id", F.explode(keep).alias("x")).select("doc_id", "x.*").drop("back", "grade")
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """The matches of each document from the left, in the order in which overlaps are settled."""
+    rows = rows.withColumn("end", F.col("start") + F.length("value")).withColumn("grade", (F.col("confidence") != AUTO).cast("int"))
+    return rows.sortWithinPartitions("doc_id", *(f(c) for f, c in _ORDER))
 
-_INTS, _TEXTS = ("start", "back", "grade", "ord"), ("kind", "label", "confidence", "value", "left", "right")
-_FOUND = StructType([*(StructField(n, IntegerType()) for n in _INTS), *(StructField(n, StringType()) for n in _TEXTS), StructField("line", IntegerType()), StructField("end", IntegerType())])
 
+def without_overlaps(rows: DataFrame) -> DataFrame:
+    """From the left: the first, of several at one place the longest, then automatic ones, then by rule; what begins inside it goes.
 
-@pandas_udf(ArrayType(_FOUND))
-def leftmost(islands: pd.Series) -> pd.Series:
-    """Of sorted matches the first, then each that begins where the last taken one has ended, or later."""
-
-    def one(found):
-        out, end = [], -1
-        for x in found:
-            if x["start"] >= end:
-                out.append(x)
-                end = x["end"]
-        return out
-
-    return pd.Series([None if x is None else one(x) for x in islands])
+    Rows are those of ``_in_order``, a document's in one partition.  Matches that touch in a chain are an island, whose first
+    match stays; the others are told by one walk along the order, which holds no document or island.
+    """
+    order = Window.partitionBy("doc_id").orderBy(*(f(c) for f, c in _ORDER))
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", F.coalesce(F.col("start") >= reach, F.lit(True)))
+    return rows.where(leftmost("new", "start", "end")).drop("new", "grade")
+
+
+@pandas_udf(BooleanType())
+def leftmost(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Of matches in order those that begin an island (``new``), then each that begins where the last taken one has ended, or later."""
+    end = -1
+    for new, start, stop in parts:
+        keep = new.to_numpy(dtype=bool).copy()
+        first = np.maximum.accumulate(np.where(keep, np.arange(len(keep)), -1))
+        starts, stops, last = start.to_numpy(), stop.to_numpy(), -1
+        for i in np.flatnonzero(~keep):
+            last = max(last, first[i])
+            if starts[i] >= (stops[last] if last >= 0 else end):
+                keep[i], last = True, i
+        if keep.any():
+            end = stops[np.flatnonzero(keep)[-1]]
+        yield pd.Series(keep)
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -286,10 +289,11 @@ def detect(docs: DataFrame, user_names=(), user_stopwords=(), include_review: bo
     """
     spark = docs.sparkSession
     names, stop = words.listed(spark, user_names, 2, most), words.listed(spark, user_stopwords, 1, min(most, STOP_WORDS))
-    rows = numbered(without_overlaps(with_echoes(candidates(docs, names, stop, single))))
+    rows = without_overlaps(with_echoes(candidates(docs, names, stop, single)))
+    rows = numbered(rows.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("start"))))
     applied = (F.col("confidence") == AUTO) | F.lit(include_review)
     return rows.select(
-        "doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")).alias("seq"), "kind", "label", F.col("value").alias("original"), "placeholder",
+        "doc_id", "seq", "kind", "label", F.col("value").alias("original"), "placeholder",
         "confidence", "line", "start", "end", applied.alias("applied"), context(F.col("left"), F.col("right")).alias("context"),
     )
 
