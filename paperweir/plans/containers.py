@@ -14,7 +14,7 @@ from pyspark.sql.types import BinaryType
 from ..operators import blocks
 from ..sources import formats
 from . import engine
-from .queries import query, table
+from .queries import dealt, query, table
 
 _NS = 'xmlns:w="http://w" xmlns:p="http://p" xmlns:a="http://a" xmlns:r="http://x/relationships"'
 
@@ -103,7 +103,8 @@ _CUSTOMERS = "WITH c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS s,
 def _files(spark, sf_dir):
     k: Column = F.col("c_custkey")
     ending = F.element_at(F.array(*(F.lit(x) for x in (".docx", ".xlsx", ".pptx", ".hwpx"))), (k % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.concat("c_name", ending).alias("name"), _packed(k, F.col("c_name"), F.col("c_mktsegment")).alias("content"))
+    rows = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", 2_000)
+    return rows.select(k.alias("doc_id"), F.concat("c_name", ending).alias("name"), _packed(k, F.col("c_name"), F.col("c_mktsegment")).alias("content"))
 
 
 @query(f"{_CUSTOMERS} SELECT k AS doc_id, {_READS} AS body FROM c")

@@ -78,3 +78,10 @@ def test_matches_of_steps_and_batches_stay_together(spark):
         assert sorted((r["doc_id"], r["kind"], r["start"], r["end"], r["placeholder"]) for r in redaction.detect(docs).collect()) == alone
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_containers_of_one_small_file_are_dealt_to_tasks(spark, tmp_path):
+    from paperweir.plans import containers
+
+    spark.range(5_000).selectExpr("id AS c_custkey", "concat('c', id) AS c_name", "'x' AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert containers._files(spark, str(tmp_path)).rdd.getNumPartitions() == 3
